@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, table
+from .bpe_transducer import encode_decode
+from .common import table
 from .exact_dedup import exact_dedup
 from .histogram_shards import histogram_sort
+from .mjpeg_avi import media_features, store_media
+
+#: Where the public vocabularies lie; other places are given to the operators themselves.
+TOKENIZERS = "/opt/tokenizers"
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,8 +34,18 @@ def op6_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histogram_sort(rows, 24).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return encode_decode(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken", public_tokenizers.PATTERN)
+
+
+def op10_mjpeg_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_features(store_media(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict:
-    return {"op1_exact_dedup": op1_exact_dedup, "op6_histogram_shards": op6_histogram_shards}
+    return {"op1_exact_dedup": op1_exact_dedup, "op6_histogram_shards": op6_histogram_shards, "op7_bpe_transducer": op7_bpe_transducer, "op10_mjpeg_avi": op10_mjpeg_avi}
 
 
 def oracle_sql() -> dict[str, str]:
