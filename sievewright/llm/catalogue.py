@@ -10,6 +10,8 @@ from .common import table
 from .exact_dedup import exact_dedup
 from .histogram_shards import histogram_sort
 from .mjpeg_avi import media_features, store_media
+from .packing import pack_documents
+from .wavelet_shards import read_shards, write_shards
 
 #: Where the public vocabularies lie; other places are given to the operators themselves.
 TOKENIZERS = "/opt/tokenizers"
@@ -26,6 +28,14 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op4_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+
+
+def op5_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_shards(write_shards(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json"))
+
+
 def op6_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = table(spark, sf_dir, "documents").select(
@@ -45,7 +55,7 @@ def op10_mjpeg_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_exact_dedup": op1_exact_dedup, "op6_histogram_shards": op6_histogram_shards, "op7_bpe_transducer": op7_bpe_transducer, "op10_mjpeg_avi": op10_mjpeg_avi}
+    return {"op1_exact_dedup": op1_exact_dedup, "op4_sum_of_squares_packing": op4_sum_of_squares_packing, "op5_wavelet_shards": op5_wavelet_shards, "op6_histogram_shards": op6_histogram_shards, "op7_bpe_transducer": op7_bpe_transducer, "op10_mjpeg_avi": op10_mjpeg_avi}
 
 
 def oracle_sql() -> dict[str, str]:
