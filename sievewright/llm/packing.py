@@ -16,7 +16,7 @@ from .files import task_number
 
 
 class SumOfSquares:
-    """Open bins by residual gap. ``place`` picks, among a new bin and every gap that fits, the one that leaves the least sum of squared counts; on ties the smallest gap, and an open bin before a new one."""
+    """Open bins by residual gap. ``place`` picks, among the gaps that fit, the one that leaves the least sum of squared counts (on ties the smallest); a bin is opened only where none fits."""
 
     def __init__(self, capacity: int):
         self.capacity, self.bins = capacity, 0
@@ -26,20 +26,17 @@ class SumOfSquares:
     def place(self, size: int) -> tuple[int, int]:
         """The bin and the offset in it."""
         cap, n = self.capacity, self.counts
-        best, gap = (2 * int(n[cap - size]) + 1 if size < cap else 0), cap
         fit = np.flatnonzero(n[size:cap]) + size
         if len(fit):
             change = 2 - 2 * n[fit] + 2 * n[fit - size]
-            if fit[0] == size:
+            if fit[0] == size:  # the bin closes, and closed bins do not count
                 change[0] = 1 - 2 * n[size]
-            k = int(change.argmin())
-            if change[k] <= best:
-                gap = int(fit[k])
-        if gap == cap:
-            bin_, self.bins = self.bins, self.bins + 1
-        else:
+            gap = int(fit[change.argmin()])
             bin_ = self.open[gap].pop()
             n[gap] -= 1
+        else:
+            gap, bin_ = cap, self.bins
+            self.bins += 1
         left = gap - size
         if left:
             self.open[left].append(bin_)
