@@ -11,6 +11,7 @@ from .exact_dedup import exact_dedup
 from .histogram_shards import histogram_sort
 from .mjpeg_avi import media_features, store_media
 from .packing import pack_documents
+from .warc import read_archives, record_kinds, resolved, write_archives
 from .wavelet_shards import read_shards, write_shards
 
 #: Where the public vocabularies lie; other places are given to the operators themselves.
@@ -28,6 +29,21 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op2_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolved(read_archives(write_archives(record_kinds(table(spark, sf_dir, "pages")))))
+
+
+OP2_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS s FROM p),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY s) AS top FROM d)
+SELECT page_id, n AS payload_bytes, s AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id <> top THEN top END AS refers_to
+FROM g
+"""
+
+
 def op4_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
 
@@ -55,8 +71,8 @@ def op10_mjpeg_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_exact_dedup": op1_exact_dedup, "op4_sum_of_squares_packing": op4_sum_of_squares_packing, "op5_wavelet_shards": op5_wavelet_shards, "op6_histogram_shards": op6_histogram_shards, "op7_bpe_transducer": op7_bpe_transducer, "op10_mjpeg_avi": op10_mjpeg_avi}
+    return {"op1_exact_dedup": op1_exact_dedup, "op2_warc_segments": op2_warc_segments, "op4_sum_of_squares_packing": op4_sum_of_squares_packing, "op5_wavelet_shards": op5_wavelet_shards, "op6_histogram_shards": op6_histogram_shards, "op7_bpe_transducer": op7_bpe_transducer, "op10_mjpeg_avi": op10_mjpeg_avi}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op2_warc_segments": OP2_SQL}
