@@ -9,6 +9,7 @@ from .bpe_transducer import encode_decode
 from .common import table
 from .exact_dedup import exact_dedup
 from .histogram_shards import histogram_sort
+from .mil_quality import score, train
 from .mjpeg_avi import media_features, store_media
 from .packing import pack_documents
 from .warc import read_archives, record_kinds, resolved, write_archives
@@ -66,12 +67,17 @@ def op7_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken", public_tokenizers.PATTERN)
 
 
+def op8_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_mjpeg_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(store_media(table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict:
-    return {"op1_exact_dedup": op1_exact_dedup, "op2_warc_segments": op2_warc_segments, "op4_sum_of_squares_packing": op4_sum_of_squares_packing, "op5_wavelet_shards": op5_wavelet_shards, "op6_histogram_shards": op6_histogram_shards, "op7_bpe_transducer": op7_bpe_transducer, "op10_mjpeg_avi": op10_mjpeg_avi}
+    return {"op1_exact_dedup": op1_exact_dedup, "op2_warc_segments": op2_warc_segments, "op4_sum_of_squares_packing": op4_sum_of_squares_packing, "op5_wavelet_shards": op5_wavelet_shards, "op6_histogram_shards": op6_histogram_shards, "op7_bpe_transducer": op7_bpe_transducer, "op8_mil_quality": op8_mil_quality, "op10_mjpeg_avi": op10_mjpeg_avi}
 
 
 def oracle_sql() -> dict[str, str]:
