@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import codecs
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,15 +30,14 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """Encodes one word (a match of the splitting pattern) at a time."""
 
-    def __init__(self, ranks: dict[bytes, int], limit: int = 150_000):
+    def __init__(self, ranks: dict[bytes, int], limit: int = 250_000):
         self.ranks, self.limit = ranks, limit
         self.token = {i: b for b, i in ranks.items()}
-        self.begins = {b[:k] for b in ranks for k in range(len(b) + 1)}
-        self.longest = max(map(len, ranks))
+        self.begins = dict.fromkeys((b[:k] for b in ranks for k in range(len(b) + 1)), -1) | ranks  # -1: begins a token, is none
         self.halves: dict[bytes, tuple[bytes, bytes] | None] = {}
         self.fits: dict[tuple[int, int], bool] = {}
         self.states: dict[tuple[int, bytes], list] = {}
-        self.start = self.state(-1, b"", (), ())
+        self.start = self.state(-1, b"", (), (), (0,))
 
     def split(self, token: bytes) -> tuple[bytes, bytes] | None:
         """The two parts of the last merge that makes ``token``; a single byte has an empty second part; None: no merges make it."""
@@ -69,7 +69,7 @@ class Transducer:
         ok = self.fits.get((left, right))
         if ok is not None:
             return ok
-        if len(self.fits) > 4 * self.limit:
+        if len(self.fits) > self.limit:
             self.fits.clear()
         ranks, last = self.ranks, 1 << 60
         a, b = self.spine(self.token[left], 1), self.spine(self.token[right], 0)
@@ -91,41 +91,48 @@ class Transducer:
         self.fits[left, right] = ok
         return ok
 
-    def state(self, last: int, rest: bytes, ends: tuple, firsts: tuple) -> list:
-        """[moves, last, rest, ends, firsts]; ends[k]: the token that ends behind rest[:k + 1], firsts[k]: the first token of that encoding."""
+    def state(self, last: int, rest: bytes, ends: tuple, firsts: tuple, live: tuple) -> list:
+        """[moves, last, rest, ends, firsts, live].
+
+        ends[k]: the token that ends behind rest[:k + 1], firsts[k]: the first token of that encoding; live: places at
+        which the next token to end may begin.
+        """
         found = self.states.get((last, rest))
         if found is None:
-            found = self.states[last, rest] = [None, last, rest, ends, firsts]
+            found = self.states[last, rest] = [None, last, rest, ends, firsts, live]
         return found
 
     def move(self, state: list, byte: int) -> tuple[list, tuple[int, ...]]:
-        _, last, rest, ends, firsts = state
+        _, last, rest, ends, firsts, before = state
         rest += bytes([byte])
-        n, new, first, get, fits = len(rest), None, None, self.ranks.get, self.fits
-        for k in range(max(0, n - self.longest), n):
-            before = ends[k - 1] if k else last
-            if before is None or (i := get(rest[k:])) is None or self.split(rest[k:]) is None:
+        n, new, first, begins, fits, live = len(rest), None, None, self.begins, self.fits, []
+        for k in before:
+            piece = rest[k:]
+            i = begins.get(piece)
+            if i is None:
+                continue
+            live.append(k)
+            if i < 0 or new is not None or len(piece) > 1 and self.split(piece) is None:
                 continue
-            ok = before < 0 or fits.get((before, i))
-            if ok or ok is None and self.stays(before, i):
+            left = ends[k - 1] if k else last
+            ok = left < 0 or fits.get((left, i))
+            if ok or ok is None and self.stays(left, i):
                 new, first = i, firsts[k - 1] if k else i
-                break
+        live.append(n)
         ends, firsts, out = (*ends, new), (*firsts, first), ()
-        while rest not in self.begins:
-            sure = {firsts[k - 1] for k in range(1, len(rest) + 1) if ends[k - 1] is not None and rest[k:] in self.begins}
+        while live[0]:  # no token beginning at the first place can end any more: what all live places share is certain
+            sure = {firsts[k - 1] for k in live}
             if len(sure) != 1:
                 break
             last = sure.pop()
             cut = len(self.token[last])
-            rest, ends, out = rest[cut:], list(ends[cut:]), (*out, last)
+            rest, ends, out, live = rest[cut:], ends[cut:], (*out, last), [k - cut for k in live]
             again: list = []
             for k, i in enumerate(ends):
-                begin = k + 1 - len(self.token[i]) if i is not None else -1
+                begin = k + 1 - len(self.token[i])
                 again.append(i if begin == 0 else again[begin - 1] if begin > 0 else None)
-                if again[-1] is None:
-                    ends[k] = None
-            ends, firsts = tuple(ends), tuple(again)
-        to = self.state(last, rest, ends, firsts), out
+            firsts = tuple(again)
+        to = self.state(last, rest, ends, firsts, tuple(live)), out
         if state[0] is None:
             state[0] = {}
         state[0][byte] = to
@@ -136,7 +143,7 @@ class Transducer:
             return [i]
         if len(self.states) > self.limit:
             self.states.clear()
-            self.start = self.state(-1, b"", (), ())
+            self.start = self.state(-1, b"", (), (), (0,))
         state, out = self.start, []
         for byte in word:
             moves = state[0]
@@ -169,14 +176,10 @@ def _tools(path: str, pattern: str):
 
         words, machine = regex.compile(pattern).findall, Transducer(read_ranks(path))
 
-        def encode(pieces: list[str]) -> list:
-            out = []
-            for p in pieces:
-                ids = tuple(i for w in words(p) for i in machine.encode(w.encode("utf-8", "surrogatepass")))
-                out.append((ids, ",".join(map(str, ids))))
-            return out
+        def encode(pieces: list[str]) -> list[bytes]:
+            return [array("I", [i for w in words(p) for i in machine.encode(w.encode("utf-8", "surrogatepass"))]).tobytes() for p in pieces]
 
-        _HELD[path, pattern] = Memory(spaced, encode, 200_000), machine
+        _HELD[path, pattern] = Memory(spaced, encode), machine, {i: str(i) for i in machine.token}
     return _HELD[path, pattern]
 
 
@@ -189,21 +192,19 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory, machine = _tools(ranks_path, pattern)
+        memory, machine, digits = _tools(ranks_path, pattern)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in portions(texts):
                 rows = []
                 for pieces in memory(texts[a:b]):
-                    decoder, digest, every, n = StreamDecoder(machine.token), hashlib.sha256(), [], 0
-                    for k in range(0, len(pieces), 1024):
-                        flat = [i for p, _ in pieces[k : k + 1024] for i in p]
-                        n += len(flat)
-                        digest.update(decoder.feed(flat).encode("utf-8", "surrogateescape"))
-                        if ids:
-                            every += flat
+                    flat = array("I", b"".join(pieces)).tolist()
+                    decoder, digest = StreamDecoder(machine.token), hashlib.sha256()
+                    for k in range(0, len(flat), 4096):
+                        digest.update(decoder.feed(flat[k : k + 4096]).encode("utf-8", "surrogateescape"))
                     digest.update(decoder.feed([], True).encode("utf-8", "surrogateescape"))
-                    rows.append((n, hashlib.sha256(",".join([s for _, s in pieces if s]).encode()).hexdigest(), digest.hexdigest(), *([every] if ids else [])))
+                    decimal = ",".join([digits[i] for i in flat])
+                    rows.append((len(flat), hashlib.sha256(decimal.encode()).hexdigest(), digest.hexdigest(), *([flat] if ids else [])))
                 kinds = [pa.int64(), pa.string(), pa.string(), *([pa.list_(pa.int32())] if ids else [])]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if ids else [])])
 

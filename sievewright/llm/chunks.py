@@ -23,26 +23,33 @@ unspaced = re.compile(r"[^ \n]+").findall
 
 
 class Memory:
-    """What each piece encodes to. ``encode`` takes a list of pieces; long pieces are not kept, and a full memory starts afresh."""
+    """What each piece encodes to. ``encode`` takes a list of pieces; long pieces are not kept.
 
-    def __init__(self, cut: Callable[[str], list[str]], encode: Callable[[list[str]], list], limit: int = 300_000, longest: int = 64):
-        self.cut, self.encode, self.limit, self.longest, self.known = cut, encode, limit, longest, {}
+    Pieces live in two generations of ``limit`` // 2 at most: a full young one becomes the old one, whose pieces come
+    back when they are met again.
+    """
+
+    def __init__(self, cut: Callable[[str], list[str]], encode: Callable[[list[str]], list], limit: int = 600_000, longest: int = 64):
+        self.cut, self.encode, self.limit, self.longest, self.young, self.old = cut, encode, limit, longest, {}, {}
 
     def __call__(self, texts: list[str]) -> list[list]:
         cut = [self.cut(t) for t in texts]
-        known = self.known
-        missing = list({p for pieces in cut for p in pieces if p not in known})
-        if len(known) + len(missing) > self.limit:
-            known = self.known = {}
-            missing = list({p for pieces in cut for p in pieces})
-        long = []
-        for k in range(0, len(missing), 20_000):
-            part = missing[k : k + 20_000]
-            known.update(zip(part, self.encode(part), strict=True))
-            long += [p for p in part if len(p) > self.longest]
-        found = [[known[p] for p in pieces] for pieces in cut]
-        for p in long:
-            del known[p]
+        every = set().union(*cut)
+        missing = every.difference(self.young)
+        if len(self.young) + len(missing) > self.limit // 2:
+            self.young, self.old, missing = {}, self.young, every
+        young, old = self.young, self.old
+        for p in [p for p in missing if p in old]:
+            young[p] = old[p]
+            missing.discard(p)
+        new = list(missing)
+        for k in range(0, len(new), 20_000):
+            part = new[k : k + 20_000]
+            young.update(zip(part, self.encode(part), strict=True))
+        found = [[young[p] for p in pieces] for pieces in cut]
+        for p in new:
+            if len(p) > self.longest:
+                del young[p]
         return found
 
 
