@@ -11,6 +11,7 @@ from .exact_dedup import exact_dedup
 from .histogram_shards import histogram_sort
 from .mil_quality import score, train
 from .mjpeg_avi import media_features, store_media
+from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .warc import read_archives, record_kinds, resolved, write_archives
 from .wavelet_shards import read_shards, write_shards
@@ -45,6 +46,10 @@ FROM g
 """
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
 def op4_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
 
@@ -77,7 +82,7 @@ def op10_mjpeg_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_exact_dedup": op1_exact_dedup, "op2_warc_segments": op2_warc_segments, "op4_sum_of_squares_packing": op4_sum_of_squares_packing, "op5_wavelet_shards": op5_wavelet_shards, "op6_histogram_shards": op6_histogram_shards, "op7_bpe_transducer": op7_bpe_transducer, "op8_mil_quality": op8_mil_quality, "op10_mjpeg_avi": op10_mjpeg_avi}
+    return {"op1_exact_dedup": op1_exact_dedup, "op2_warc_segments": op2_warc_segments, "op3_near_dedup": op3_near_dedup, "op4_sum_of_squares_packing": op4_sum_of_squares_packing, "op5_wavelet_shards": op5_wavelet_shards, "op6_histogram_shards": op6_histogram_shards, "op7_bpe_transducer": op7_bpe_transducer, "op8_mil_quality": op8_mil_quality, "op10_mjpeg_avi": op10_mjpeg_avi}
 
 
 def oracle_sql() -> dict[str, str]:
