@@ -13,6 +13,7 @@ from .mil_quality import score, train
 from .mjpeg_avi import media_features, store_media
 from .near_dedup import near_duplicates
 from .packing import pack_documents
+from .suffix_dedup import remove_repeats
 from .warc import read_archives, record_kinds, resolved, write_archives
 from .wavelet_shards import read_shards, write_shards
 
@@ -77,12 +78,16 @@ def op8_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op10_mjpeg_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(store_media(table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict:
-    return {"op1_exact_dedup": op1_exact_dedup, "op2_warc_segments": op2_warc_segments, "op3_near_dedup": op3_near_dedup, "op4_sum_of_squares_packing": op4_sum_of_squares_packing, "op5_wavelet_shards": op5_wavelet_shards, "op6_histogram_shards": op6_histogram_shards, "op7_bpe_transducer": op7_bpe_transducer, "op8_mil_quality": op8_mil_quality, "op10_mjpeg_avi": op10_mjpeg_avi}
+    return {"op1_exact_dedup": op1_exact_dedup, "op2_warc_segments": op2_warc_segments, "op3_near_dedup": op3_near_dedup, "op4_sum_of_squares_packing": op4_sum_of_squares_packing, "op5_wavelet_shards": op5_wavelet_shards, "op6_histogram_shards": op6_histogram_shards, "op7_bpe_transducer": op7_bpe_transducer, "op8_mil_quality": op8_mil_quality, "op9_suffix_dedup": op9_suffix_dedup, "op10_mjpeg_avi": op10_mjpeg_avi}
 
 
 def oracle_sql() -> dict[str, str]:
