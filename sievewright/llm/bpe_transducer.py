@@ -179,7 +179,7 @@ def _tools(path: str, pattern: str):
         def encode(pieces: list[str]) -> list[bytes]:
             return [array("I", [i for w in words(p) for i in machine.encode(w.encode("utf-8", "surrogatepass"))]).tobytes() for p in pieces]
 
-        _HELD[path, pattern] = Memory(spaced, encode), machine, {i: str(i) for i in machine.token}
+        _HELD[path, pattern] = Memory(spaced, encode, 600_000), machine, {i: str(i) for i in machine.token}
     return _HELD[path, pattern]
 
 
@@ -197,8 +197,8 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in portions(texts):
                 rows = []
-                for pieces in memory(texts[a:b]):
-                    flat = array("I", b"".join(pieces)).tolist()
+                for data in memory(texts[a:b]):
+                    flat = array("I", data).tolist()
                     decoder, digest = StreamDecoder(machine.token), hashlib.sha256()
                     for k in range(0, len(flat), 4096):
                         digest.update(decoder.feed(flat[k : k + 4096]).encode("utf-8", "surrogateescape"))

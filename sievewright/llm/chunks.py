@@ -5,7 +5,17 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-_ODD = re.compile(r"\s{2}|^\s|\s$|[^\S \n]")
+#: White space other than space and line feed, by any definition in use.
+_OTHER = [chr(c) for c in (9, 11, 12, 13, 28, 29, 30, 31)]
+_WIDE = [chr(c) for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+_RUNS = ("  ", " \n", "\n ", "\n\n")
+
+
+def _odd(text: str) -> bool:
+    """Whether white space stands at an end, in a run, or as anything but space and line feed."""
+    return text[:1] in " \n" or text[-1:] in " \n" or any(x in text for x in _RUNS) or any(x in text for x in _OTHER) or not text.isascii() and any(x in text for x in _WIDE)
+
+
 _EVEN = re.compile(r" ?[^ \n]+|\n").findall
 _SAFE = re.compile(r"(?<=\S)(?= \S)").split
 
@@ -15,7 +25,7 @@ def spaced(text: str) -> list[str]:
 
     Texts with other white space, or runs of it, are cut only before single spaces between two words.
     """
-    return _SAFE(text) if _ODD.search(text) else _EVEN(text)
+    return (_SAFE(text) if text else []) if _odd(text) else _EVEN(text)
 
 
 #: For tokenizers that drop white space: only spaces and line feeds, which every definition counts as such.
@@ -23,34 +33,36 @@ unspaced = re.compile(r"[^ \n]+").findall
 
 
 class Memory:
-    """What each piece encodes to. ``encode`` takes a list of pieces; long pieces are not kept.
+    """What each piece encodes to, as bytes. ``encode`` takes a list of pieces; long pieces are not kept.
 
     Pieces live in two generations of ``limit`` // 2 at most: a full young one becomes the old one, whose pieces come
     back when they are met again.
     """
 
-    def __init__(self, cut: Callable[[str], list[str]], encode: Callable[[list[str]], list], limit: int = 600_000, longest: int = 64):
+    def __init__(self, cut: Callable[[str], list[str]], encode: Callable[[list[str]], list[bytes]], limit: int = 1_000_000, longest: int = 64):
         self.cut, self.encode, self.limit, self.longest, self.young, self.old = cut, encode, limit, longest, {}, {}
 
-    def __call__(self, texts: list[str]) -> list[list]:
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """What each text encodes to."""
         cut = [self.cut(t) for t in texts]
-        every = set().union(*cut)
-        missing = every.difference(self.young)
-        if len(self.young) + len(missing) > self.limit // 2:
-            self.young, self.old, missing = {}, self.young, every
+        if len(self.young) >= self.limit // 2:
+            self.young, self.old = {}, self.young
         young, old = self.young, self.old
-        for p in [p for p in missing if p in old]:
-            young[p] = old[p]
-            missing.discard(p)
-        new = list(missing)
+        missing = {p for pieces in cut for p in pieces if p not in young}
+        new = []
+        for p in missing:
+            if (found := old.get(p)) is None:
+                new.append(p)
+            else:
+                young[p] = found
         for k in range(0, len(new), 20_000):
             part = new[k : k + 20_000]
             young.update(zip(part, self.encode(part), strict=True))
-        found = [[young[p] for p in pieces] for pieces in cut]
+        out = [b"".join(map(young.__getitem__, pieces)) for pieces in cut]
         for p in new:
             if len(p) > self.longest:
                 del young[p]
-        return found
+        return out
 
 
 def portions(texts: list[str], most: int = 2 << 20):

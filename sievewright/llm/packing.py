@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,7 +55,7 @@ def _memory(path: str) -> Memory:
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
-        _HELD[path] = Memory(unspaced, lambda pieces: [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)])
+        _HELD[path] = Memory(unspaced, lambda pieces: [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)])
     return _HELD[path]
 
 
@@ -72,8 +73,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end
             own, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for a, b in portions(texts):
                 rows = []
-                for d, pieces in zip(own[a:b], memory(texts[a:b]), strict=True):
-                    data = b"".join(pieces) + end
+                for d, data in zip(own[a:b], memory(texts[a:b]), strict=True):
+                    data += end
                     for k in range(0, len(data), step):
                         x = data[k : k + step]
                         rows.append((d, k // step, k // 4, len(x) // 4, zlib.crc32(x), *([x] if ids else [])))

@@ -197,7 +197,8 @@ def read_archives(listed: DataFrame) -> DataFrame:
     latter are exchanged.
     """
     spark = prepare(listed.sparkSession)
-    parts = stored(listed.select("path").repartition("path").mapInArrow(_parse, _PARTS), "warc-parts")
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = stored(listed.select("path").repartition(partitions, "path").mapInArrow(_parse, _PARTS), "warc-parts")
     part = F.struct("segment", "total", "page_id", "record_type", "refers_to", "block", "complete")
     whole = parts.where("complete").select("origin", F.array(part).alias("parts"))
     # Repeated rows write the same origin twice: equal segments count once, and the copies come back with the first.

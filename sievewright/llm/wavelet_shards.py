@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -164,7 +165,7 @@ def _memory(path: str) -> Memory:
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
-        _HELD[path] = Memory(spaced, lambda pieces: [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)])
+        _HELD[path] = Memory(spaced, lambda pieces: [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)])
     return _HELD[path]
 
 
@@ -197,8 +198,8 @@ def write_shards(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
         for batch in batches:
             own, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for a, b in portions(texts):
-                for d, pieces in zip(own[a:b], memory(texts[a:b]), strict=True):
-                    ids = b"".join(pieces) + end
+                for d, data in zip(own[a:b], memory(texts[a:b]), strict=True):
+                    ids = data + end
                     doc_ids.append(d), lengths.append(len(ids) // 4), held.append(ids)
                     total += len(ids) // 4
                     if total >= shard_tokens:
@@ -218,6 +219,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
 
 def read_shards(listed: DataFrame) -> DataFrame:
     """Per document of the shards in ``listed``: ``doc_id``, ``start``, ``n_tokens``, ``ids_crc32``, from the files alone."""
+    partitions = int(listed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,4 +229,4 @@ def read_shards(listed: DataFrame) -> DataFrame:
                 crcs = [zlib.crc32(data[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(start + ends - lengths, pa.int64()), pa.array(lengths, pa.int64()), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return listed.select("path", "start").repartition("path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return listed.select("path", "start").repartition(partitions, "path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
