@@ -300,19 +300,42 @@ def removed_spans(runs: list[bytes]) -> list[tuple[int, int]]:
     return list(zip(start[first].tolist(), end[np.concatenate([first[1:] - 1, [len(start) - 1]])].tolist(), strict=True))
 
 
-def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _outcomes(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[tuple[pa.RecordBatch, list[bytes], list[bytes], list[list]]]:
+    """Batches (text in column ``at``, runs and whole in the last two) with the bytes before, the bytes that stay and the spans."""
     for batch in batches:
-        rows = []
-        for text, runs, whole in zip(*(batch.column(k).to_pylist() for k in range(1, 4)), strict=True):
+        raws, stay, cut = [], [], []
+        for text, runs, whole in zip(*(batch.column(k).to_pylist() for k in (at, batch.num_columns - 2, batch.num_columns - 1)), strict=True):
             raw = _bytes(text)
             spans = [(0, len(raw))] if whole else removed_spans(runs) if runs else []
-            kept = b"".join(raw[a:b] for a, b in zip([0, *(e for _, e in spans)], [*(s for s, _ in spans), len(raw)], strict=True))
-            rows.append((len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept))
+            raws.append(raw)
+            cut.append(spans)
+            stay.append(b"".join(raw[a:b] for a, b in zip([0, *(e for _, e in spans)], [*(s for s, _ in spans), len(raw)], strict=True)))
+        yield batch, raws, stay, cut
+
+
+def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch, raws, stay, cut in _outcomes(batches, 1):
+        rows = [(len(r), len(r) - len(k), len(c), hashlib.sha256(k).hexdigest(), k) for r, k, c in zip(raws, stay, cut, strict=True)]
         cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
+def _judged(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, runs) and (doc_id, whole) of ``rows`` (doc_id not null, text, further columns)."""
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 4 * partitions
+    digests = rows.where(F.octet_length("text") >= LEAST).select("doc_id", F.md5("text").alias("_md5"), F.octet_length("text").alias("_n"))
+    firsts = digests.groupBy("_md5", "_n").agg(F.min("doc_id").alias("_first"), F.count("*").alias("_c")).where("_c > 1").select("_md5", "_n", "_first")
+    copies = digests.join(firsts, ["_md5", "_n"]).where("doc_id > _first").select("doc_id", F.lit(True).alias("whole")).distinct()
+    sifted = rows.select("doc_id", "text").mapInArrow(_sift(buckets), _SIFT).repartition(partitions, "bucket").sortWithinPartitions("bucket")
+    keys = sifted.mapInArrow(_repeated, "doc_id long, keys binary").groupBy("doc_id").agg(F.collect_list("keys").alias("keys"))
+    asked = keys.join(copies.select("doc_id"), "doc_id", "left_anti")
+    windows = rows.join(asked, "doc_id").select("doc_id", "text", "keys").mapInArrow(_windows(buckets), _WINDOWS)
+    expanded = windows.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(_expand, "doc_id long, runs binary")
+    return expanded.groupBy("doc_id").agg(F.collect_list("runs").alias("runs")), copies
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: ``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` and ``kept`` (the bytes that stay).
 
@@ -322,21 +345,37 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     counts as empty, texts under LEAST bytes stay as they are. Rows with a null id are neither changed nor compared;
     rows that repeat an id are no source for each other, and what one of them loses at a place the others lose there too.
     """
-    spark = prepare(docs.sparkSession)
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 4 * partitions
+    prepare(docs.sparkSession)
     every = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     rows = every.where("doc_id is not null")
-    digests = rows.where(F.octet_length("text") >= LEAST).select("doc_id", F.md5("text").alias("_md5"), F.octet_length("text").alias("_n"))
-    firsts = digests.groupBy("_md5", "_n").agg(F.min("doc_id").alias("_first"), F.count("*").alias("_c")).where("_c > 1").select("_md5", "_n", "_first")
-    copies = digests.join(firsts, ["_md5", "_n"]).where("doc_id > _first").select("doc_id", F.lit(True).alias("whole")).distinct()
-
-    sifted = rows.mapInArrow(_sift(buckets), _SIFT).repartition(partitions, "bucket").sortWithinPartitions("bucket")
-    keys = sifted.mapInArrow(_repeated, "doc_id long, keys binary").groupBy("doc_id").agg(F.collect_list("keys").alias("keys"))
-    asked = keys.join(copies.select("doc_id"), "doc_id", "left_anti")
-    windows = rows.join(asked, "doc_id").select("doc_id", "text", "keys").mapInArrow(_windows(buckets), _WINDOWS)
-    expanded = windows.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(_expand, "doc_id long, runs binary")
-    runs = expanded.groupBy("doc_id").agg(F.collect_list("runs").alias("runs"))
+    runs, copies = _judged(rows)
     told = rows.join(runs, "doc_id", "left").join(copies, "doc_id", "left").select("doc_id", "text", "runs", F.coalesce("whole", F.lit(False)).alias("whole"))
     loose = every.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<binary>").alias("runs"), F.lit(False).alias("whole"))
     return told.unionByName(loose).mapInArrow(_finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+
+
+def trimmed(docs: DataFrame) -> DataFrame:
+    """``docs``, all rows and columns, with ``text`` less its removed bytes and ``n_chars``, if there is one, to match.
+
+    Where a cut falls inside a character its other bytes go too. Texts that lose nothing stay as they are, null included.
+    """
+    prepare(docs.sparkSession)
+    names = docs.columns
+    at = names.index("text")
+    rows = docs.where("doc_id is not null")
+    runs, copies = _judged(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    runs, copies = runs.select(F.col("doc_id").alias("_doc"), F.col("runs").alias("_runs")), copies.select(F.col("doc_id").alias("_copy"), F.col("whole").alias("_whole"))
+    told = rows.join(runs, rows["doc_id"] == runs["_doc"], "left").join(copies, rows["doc_id"] == copies["_copy"], "left").select(*(rows[n] for n in names), "_runs", F.coalesce("_whole", F.lit(False)).alias("_whole"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, _, stay, cut in _outcomes(batches, at):
+            old = batch.column(at).to_pylist()
+            texts = [k.decode("utf-8", "ignore") if c else t for t, k, c in zip(old, stay, cut, strict=True)]
+            columns = [batch.column(k) for k in range(len(names))]
+            columns[at] = pa.array(texts, columns[at].type)
+            if "n_chars" in names:
+                k = names.index("n_chars")
+                columns[k] = pa.array([len(t) if c and t is not None else n for t, c, n in zip(texts, cut, columns[k].to_pylist(), strict=True)], columns[k].type)
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return told.mapInArrow(run, docs.schema).unionByName(docs.where("doc_id is null"))
