@@ -37,9 +37,9 @@ def level_rank(text: Column) -> Column:
 
 
 def level_name(rank: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, NAMES)), rank)
+    return F.get(F.array(*map(F.lit, NAMES)), rank - 1)
 
 
 def levels(values: Column) -> Column:
     """Distinct known levels of ``values`` in order of first mention."""
-    return F.array_distinct(F.filter(F.transform(values, lambda v: level_name(level_rank(v))), lambda x: x.isNotNull()))
+    return F.array_distinct(F.array_compact(F.transform(values, lambda v: level_name(level_rank(v)))))

@@ -1,2 +1,278 @@
+"""Queries over records: validation, normal forms, best of equals, joins, gates, scores, upserts."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions import dates, education, locations, markup, text
+from ..operators import eligibility, records
+from ..session import ready, table
 from .registry import registry
+
 QUERIES, SQL, query = registry()
+_NONE = "cast(null as string)"
+
+
+def _jobs(spark, d):
+    """Orders as postings: some without title, some with a bad address or date, dates in several spellings."""
+    o = table(spark, d, "orders")
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    return o.select(
+        F.col("o_orderkey").alias("id"), F.when(F.col("o_orderpriority") != "4-NOT SPECIFIED", F.concat(F.lit("  Role\t"), F.col("o_orderpriority"))).alias("title"),
+        F.when(F.col("o_orderstatus") == "P", F.lit("ftp://x/y")).otherwise(F.concat(F.lit("https://jobs.example/"), F.col("o_custkey").cast("string"))).alias("source_url"),
+        F.when(F.col("o_orderpriority") == "1-URGENT", F.translate(day, "-", "/")).when(F.col("o_orderpriority") == "5-LOW", F.expr(_NONE)).otherwise(day).alias("deadline"),
+        F.when(F.col("o_orderstatus") == "F", F.lit("硕士及以上")).when(F.col("o_orderstatus") == "O", F.lit("Bachelor's degree or PhD")).otherwise(F.lit("none")).alias("education"),
+        F.date_format("o_orderdate", "yyyy").alias("year"), F.col("o_custkey").alias("company"), F.col("o_totalprice").alias("price"),
+    )
+
+
+_JOBS = """
+WITH jobs AS (SELECT o_orderkey AS id, CASE WHEN o_orderpriority <> '4-NOT SPECIFIED' THEN '  Role' || chr(9) || o_orderpriority END AS title,
+ CASE WHEN o_orderstatus = 'P' THEN 'ftp://x/y' ELSE 'https://jobs.example/' || o_custkey END AS source_url,
+ CASE WHEN o_orderpriority = '1-URGENT' THEN strftime(o_orderdate, '%Y/%m/%d') WHEN o_orderpriority = '5-LOW' THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d') END AS deadline,
+ CASE o_orderstatus WHEN 'F' THEN 'master' WHEN 'O' THEN 'bachelor' END AS level, strftime(o_orderdate, '%Y') AS year, o_custkey AS company, o_totalprice AS price FROM orders)
+"""
+
+
+@query(_JOBS + """
+SELECT id, array_to_string(list_filter([CASE WHEN title IS NULL THEN 'Missing required field(s): title' END, CASE WHEN source_url LIKE 'ftp%' THEN 'source_url must be a supported absolute URL' END,
+ CASE WHEN deadline LIKE '%/%' THEN 'deadline must be an ISO 8601 date' END], lambda x: x IS NOT NULL), '; ') AS reasons FROM jobs
+""")
+def validate_records(spark, d):
+    return _jobs(spark, d).select("id", F.array_join(records.validation_reasons(F.col("title"), F.col("source_url"), F.col("deadline")), "; ").alias("reasons"))
+
+
+@query(_JOBS + "SELECT count(*) AS input, count(*) FILTER (title IS NOT NULL AND source_url NOT LIKE 'ftp%' AND coalesce(deadline, '') NOT LIKE '%/%') AS valid FROM jobs")
+def validation_counts(spark, d):
+    reasons = records.validation_reasons(F.col("title"), F.col("source_url"), F.col("deadline"))
+    return _jobs(spark, d).agg(F.count("*").alias("input"), F.count_if(F.size(reasons) == 0).alias("valid"))
+
+
+@query(_JOBS + """
+SELECT id, trim(replace(title, chr(9), ' ')) AS title, replace(deadline, '/', '-') AS deadline, coalesce(level, '') AS levels, year AS years,
+ 'url|' || trim(regexp_replace(source_url, '[^a-z0-9]+', ' ', 'g')) AS deduplication_key FROM jobs
+""")
+def normalize_records(spark, d):
+    raw = _jobs(spark, d).select("id", "title", "deadline", "source_url", F.array("education").alias("education_levels"), F.array(F.concat(F.lit("class of "), "year")).alias("graduation_years"), F.array().cast("array<string>").alias("locations"), *(F.expr(_NONE).alias(c) for c in ("company_name", "company_type", "description", "requirements", "recruitment_type", "graduation_requirement", "source_name", "graduation_start", "graduation_end", "apply_url")))
+    n = records.normalize_records(raw)
+    return n.select("id", "title", "deadline", F.array_join("education_levels", ",").alias("levels"), F.array_join("graduation_years", ",").alias("years"), "deduplication_key")
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN month(o_orderdate) >= 9 THEN year(o_orderdate) + 1 ELSE year(o_orderdate) END AS cohort, year(o_orderdate) * 100 + month(o_orderdate) AS month, CASE WHEN month(o_orderdate) >= 9 THEN year(o_orderdate) + 1 ELSE year(o_orderdate) END || ' graduate' AS term FROM orders")
+def cohorts(spark, d):
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), dates.cohort_year(F.concat(F.lit("grad "), F.date_format("o_orderdate", "yyyy/M"))).alias("cohort"), dates.year_month(day).alias("month"), dates.cohort_terms(dates.cohort_year(day))[3].alias("term"))
+
+
+@query("SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d') AS slashed, strftime(o_orderdate, '%Y-%m') AS dotted_month, strftime(o_orderdate, '%Y-%m-%d') AS stamped, 'soon ' || o_orderstatus AS other FROM orders")
+def date_texts(spark, d):
+    f = lambda p: dates.normalize_date_text(F.date_format("o_orderdate", p))
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), f("yyyy/MM/dd").alias("slashed"), f("yyyy.MM").alias("dotted_month"), f("yyyy-MM-dd'T'HH:mm:ss").alias("stamped"), dates.normalize_date_text(F.concat(F.lit(" soon  "), "o_orderstatus")).alias("other"))
+
+
+@query("""
+WITH r AS (SELECT p_partkey, p_brand, p_type = 'PROMO' AS official, CASE WHEN p_size > 25 THEN 1 ELSE 0 END + CASE WHEN p_retailprice > 1000 THEN 1 ELSE 0 END AS filled FROM part)
+SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY official DESC, filled DESC, p_partkey) = 1 AS best, min(p_partkey) OVER (PARTITION BY p_brand) AS position FROM r
+""")
+def dedup_best(spark, d):
+    p = table(spark, d, "part").withColumns({"description": F.when(F.col("p_size") > 25, "x"), "requirements": F.when(F.col("p_retailprice") > 1000, "y")})
+    return records.best_of_equals(p, "p_brand", "p_partkey", F.col("p_type") == "PROMO", records.populated(["description", "requirements"])).select("p_partkey", "p_brand", "best", "position")
+
+
+@query("""
+SELECT n_name AS company, count(*) AS n, string_agg(s_name, ',' ORDER BY s_suppkey) AS names, bool_or(s_acctbal > 5000) AS official FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name
+""")
+def group_ordered(spark, d):
+    s = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    g = records.group_in_order(s.withColumnRenamed("n_name", "company"), "company", "s_suppkey", F.col("s_name"), official=F.bool_or(F.col("s_acctbal") > 5000))
+    return g.select("company", "n", F.array_join("items", ",").alias("names"), "official")
+
+
+@query("SELECT o_orderkey AS id, coalesce(c_name, 'Untitled') AS name, CASE WHEN c_custkey IS NULL THEN 'Prepared job was not found.' END AS error FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON o_custkey = c_custkey")
+def lookup_join_errors(spark, d):
+    jobs = table(spark, d, "customer").where("c_acctbal > 0").select("c_custkey", "c_name")
+    j = table(spark, d, "orders").join(jobs, F.col("o_custkey") == F.col("c_custkey"), "left")
+    return j.select(F.col("o_orderkey").alias("id"), F.coalesce("c_name", F.lit("Untitled")).alias("name"), F.when(F.col("c_custkey").isNull(), "Prepared job was not found.").alias("error"))
+
+
+_BOTH = "(SELECT c_custkey AS url, c_custkey + 1 AS final_url, c_mktsegment AS segment, c_name AS name FROM customer)"
+
+
+@query(f"""
+SELECT o_orderkey AS id, coalesce(CASE WHEN o_orderstatus = 'F' THEN 'own' END, a.segment, b.segment) AS segment FROM orders
+LEFT JOIN (SELECT url, min(segment) AS segment FROM {_BOTH} GROUP BY url) a ON a.url = o_custkey LEFT JOIN (SELECT final_url, min(segment) AS segment FROM {_BOTH} GROUP BY final_url) b ON b.final_url = o_custkey
+""")
+def or_join_backfill(spark, d):
+    pages = table(spark, d, "customer").select(F.col("c_custkey").alias("page_url"), (F.col("c_custkey") + 1).alias("final_url"), F.col("c_mktsegment").alias("segment"))
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("url"), F.when(F.col("o_orderstatus") == "F", "own").alias("segment"))
+    return records.either_backfill(rows, pages, "url", "page_url", "final_url", ["segment"]).select("id", "segment")
+
+
+@query(f"""
+WITH k AS (SELECT url AS u, url AS page FROM {_BOTH} UNION ALL SELECT final_url, url FROM {_BOTH}), f AS (SELECT u, min(page) AS page FROM k GROUP BY u)
+SELECT o_orderkey AS id, page FROM orders LEFT JOIN f ON u = o_custkey
+""")
+def first_match(spark, d):
+    pages = table(spark, d, "customer").select(F.col("c_custkey").alias("page"), F.col("c_custkey").alias("page_url"), (F.col("c_custkey") + 1).alias("final_url"))
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("url"))
+    return records.first_match(rows, pages, "id", "url", "page", F.array("page_url", "final_url"), "page").select("id", "page")
+
+
+@query("SELECT 'unknown' AS problem, count(*) AS n FROM (SELECT DISTINCT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)) UNION ALL SELECT 'missing', count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT 'repeated', count(*) FROM (SELECT doc_id FROM labels GROUP BY doc_id HAVING count(*) > 1)")
+def answer_check(spark, d):
+    """Answers against their questions: ids that were not asked, not answered, answered twice."""
+    docs, labels = table(spark, d, "documents").select("doc_id"), table(spark, d, "labels").select("doc_id")
+    n = lambda df, name: df.agg(F.lit(name).alias("problem"), F.count("*").alias("n"))
+    return n(labels.distinct().join(docs, "doc_id", "left_anti"), "unknown").unionByName(n(docs.join(labels, "doc_id", "left_anti"), "missing")).unionByName(n(labels.groupBy("doc_id").count().where("count > 1"), "repeated"))
+
+
+@query("WITH x AS (SELECT conv_id, role, turn, text, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn DESC) AS rn, min(turn) OVER (PARTITION BY conv_id, role) AS position FROM conversations) SELECT conv_id, role, turn, text, position FROM x WHERE rn = 1")
+def merge_last_wins(spark, d):
+    return records.last_wins(table(spark, d, "conversations"), ["conv_id", "role"], "turn")
+
+
+@query("SELECT user_id, array_to_string(list_sort(list_distinct(list(event_type))), ',') AS kinds FROM events GROUP BY user_id")
+def union_distinct(spark, d):
+    return table(spark, d, "events").groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("kinds"))
+
+
+@query("SELECT 'difference' AS op, count(*) AS n FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels) UNION ALL SELECT 'both', count(*) FROM (SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels) UNION ALL SELECT 'either', count(*) FROM (SELECT doc_id FROM documents UNION SELECT doc_id FROM labels)")
+def set_operations(spark, d):
+    a, b = table(spark, d, "documents").select("doc_id"), table(spark, d, "labels").select("doc_id")
+    n = lambda df, name: df.agg(F.lit(name).alias("op"), F.count("*").alias("n"))
+    return n(a.subtract(b), "difference").unionByName(n(a.intersect(b), "both")).unionByName(n(a.union(b).distinct(), "either"))
+
+
+_GATE = _JOBS + """
+, g AS (SELECT id, CASE WHEN deadline IS NOT NULL AND deadline NOT LIKE '%/%' AND CAST(deadline AS DATE) < DATE '1997-01-01' THEN 'expired_deadline'
+  WHEN CAST(substr(year, 1, 4) AS INT) * 100 + 6 > 199906 THEN 'graduation_window_mismatch' WHEN level = 'master' THEN 'education_level_mismatch' END AS flag,
+ array_to_string(list_filter([CASE WHEN deadline LIKE '%/%' THEN 'invalid_deadline_format: ' || deadline END, CASE WHEN deadline IS NULL THEN 'deadline_unknown' END,
+  CASE WHEN level IS NULL THEN 'education_requirement_unknown' END, 'location_unknown'], lambda x: x IS NOT NULL), ';') AS soft FROM jobs)
+"""
+
+
+def _gated(spark, d):
+    j = _jobs(spark, d).select("id", "deadline", F.array().cast("array<string>").alias("graduation_years"), F.col("year").alias("graduation_start"), F.expr(_NONE).alias("graduation_end"), F.expr(_NONE).alias("graduation_requirement"), F.array("education").alias("education_levels"), F.array().cast("array<string>").alias("locations"))
+    profile = spark.createDataFrame([("1999-06", "本科", ["上海"])], "p_graduation string, p_education string, p_excluded array<string>")
+    return eligibility.basic_gate(j.crossJoin(F.broadcast(profile)), F.lit("1997-01-01").cast("date"))
+
+
+@query(_GATE + "SELECT id, CASE WHEN flag IS NULL THEN 'pass' ELSE 'skip' END AS decision, flag, coalesce(flag, soft) AS risk_flags FROM g")
+def hard_gate(spark, d):
+    return _gated(spark, d).select("id", "decision", "flag", F.array_join("risk_flags", ";").alias("risk_flags"))
+
+
+@query("SELECT o_orderkey AS id, o_orderdate BETWEEN TIMESTAMP '1996-03-01' AND TIMESTAMP '1997-05-31' AS closed, o_orderdate >= TIMESTAMP '1996-03-01' AS open_end FROM orders")
+def range_gate(spark, d):
+    day, start, end = F.col("o_orderdate"), F.lit("1996-03-01").cast("timestamp"), F.lit("1997-05-31").cast("timestamp")
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), eligibility.within(day, start, end).alias("closed"), eligibility.within(day, start, F.lit(None).cast("timestamp")).alias("open_end"))
+
+
+_SCORE = """
+WITH c AS (SELECT c_custkey AS id, CASE c_mktsegment WHEN 'MACHINERY' THEN 100 WHEN 'BUILDING' THEN 65 WHEN 'AUTOMOBILE' THEN 20 ELSE 40 END AS r,
+ CASE WHEN c_acctbal > 5000 THEN 100 WHEN c_acctbal > 2000 THEN 60 WHEN c_acctbal > 0 THEN 20 ELSE 40 END AS q, c_nationkey AS flags, CASE WHEN c_nationkey < 5 THEN 100 ELSE 50 END AS l FROM customer),
+s AS (SELECT id, (35 * r + 25 * q + 20 * greatest(0, 100 - 10 * flags) + 10 * l) // 90 AS score FROM c)
+"""
+
+
+def _scored(spark, d):
+    seg, bal, flags = F.col("c_mktsegment"), F.col("c_acctbal"), F.sequence(F.lit(1), F.col("c_nationkey"))
+    role = F.when(seg == "MACHINERY", "high").when(seg == "BUILDING", "medium").when(seg == "AUTOMOBILE", "low").otherwise("unclear")
+    must = F.when(bal > 5000, "yes").when(bal > 2000, "partial").when(bal > 0, "no").otherwise("unclear")
+    many = F.when(F.col("c_nationkey") > 0, F.transform(flags, lambda x: x.cast("string"))).otherwise(F.array().cast("array<string>"))
+    place = F.array(F.when(F.col("c_nationkey") < 5, "near").otherwise("far"))
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), role.alias("role_fit"), must.alias("must_have"), many.alias("gate_flags"), place.alias("locations"), F.array(F.lit("near")).alias("preferred"), (F.col("c_nationkey") == 7).alias("hard_reject"), (bal > 0).alias("is_official"))
+
+
+@query(_SCORE + "SELECT id, score, CASE WHEN score >= 70 THEN 'apply' WHEN score >= 40 THEN 'consider' WHEN score >= 20 THEN 'low_priority' ELSE 'skip' END AS recommendation FROM s")
+def weighted_score(spark, d):
+    c = _scored(spark, d)
+    score = eligibility.weighted_score(eligibility.components(F.col("role_fit"), F.col("must_have"), F.col("gate_flags"), F.lit(False), F.col("locations"), F.col("preferred")))
+    return c.select("id", score.alias("score")).withColumn("recommendation", eligibility.bucket(F.col("score")))
+
+
+@query(_SCORE + """
+SELECT s.id, CASE WHEN c_nationkey = 7 THEN 0 ELSE score END AS match_score, CASE WHEN c_nationkey = 7 THEN 'skip' WHEN score >= 70 THEN 'apply' WHEN score >= 40 THEN 'consider' WHEN score >= 20 THEN 'low_priority' ELSE 'skip' END AS recommendation,
+ CASE WHEN c_nationkey = 7 THEN 'high' WHEN c_nationkey = 0 AND c_acctbal > 3000 THEN 'high' WHEN c_acctbal > -500 THEN 'medium' ELSE 'low' END AS confidence,
+ array_to_string(list_concat(list_transform(range(1, c_nationkey + 1), lambda x: CAST(x AS VARCHAR)), CASE WHEN c_acctbal > 0 THEN [] ELSE ['non_official_source'] END), ',') AS flags
+FROM s JOIN customer ON s.id = c_custkey
+""")
+def final_assessment(spark, d):
+    more = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), "c_acctbal")
+    c = _scored(spark, d).join(more, "id").withColumns({"gate_reasons": F.array().cast("array<string>"), "reasons": F.array().cast("array<string>"), "flags": F.array().cast("array<string>"), "confidence": F.when(F.col("c_acctbal") > 3000, "high").when(F.col("c_acctbal") > -500, "medium").otherwise("low"), "understood_confidence": F.lit("high")})
+    return eligibility.assess(c).select("id", "match_score", "recommendation", F.col("final_confidence").alias("confidence"), F.array_join("risk_flags", ",").alias("flags"))
+
+
+@query("""
+WITH old AS (SELECT c_custkey AS id, c_name AS key, c_acctbal AS fact, c_mktsegment AS status FROM customer WHERE c_acctbal < 5000),
+new AS (SELECT c_name AS key, c_acctbal + 1 AS fact, 'fresh' AS status FROM customer WHERE c_acctbal > 1000)
+SELECT o.id, o.key, coalesce(n.fact, o.fact) AS fact, o.status, CASE WHEN n.key IS NULL THEN 'unchanged' ELSE 'updated' END AS action FROM old o LEFT JOIN new n USING (key)
+UNION ALL SELECT (SELECT max(id) FROM old) + row_number() OVER (ORDER BY n.key), n.key, n.fact, n.status, 'inserted' FROM new n WHERE n.key NOT IN (SELECT key FROM old)
+""")
+def upsert_preserve(spark, d):
+    c = table(spark, d, "customer")
+    old = c.where("c_acctbal < 5000").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("key"), F.col("c_acctbal").alias("fact"), F.col("c_mktsegment").alias("status"))
+    new = c.where("c_acctbal > 1000").select(F.col("c_name").alias("key"), (F.col("c_acctbal") + 1).alias("fact"), F.lit("fresh").alias("status"))
+    return records.upsert(old, new, "key", ["status"]).select("id", "key", "fact", "status", "action")
+
+
+@query("SELECT s_suppkey AS id, CASE WHEN s_suppkey = 3 THEN '感兴趣' ELSE '未查看' END AS status, CASE WHEN s_suppkey = 3 THEN 'call' ELSE '' END AS notes, 'legacy|' || s_suppkey AS deduplication_key, CASE WHEN s_acctbal > 0 THEN s_name ELSE '' END AS locations FROM supplier")
+def migrate_and_update(spark, d):
+    legacy = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("title"), F.when(F.col("s_acctbal") > 0, F.col("s_name")).alias("location"))
+    return records.set_status(records.migrated(legacy), 3, "感兴趣", "call").select("id", "status", "notes", "deduplication_key", F.array_join("locations", ",").alias("locations"))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, '[' || '\"' || event_type || '\"' || ']' AS packed, event_type AS unpacked FROM events")
+def props_json(spark, d):
+    packed = F.to_json(F.array("event_type"))
+    return table(spark, d, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"), packed.alias("packed"), F.from_json(packed, "array<string>")[0].alias("unpacked"))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def json_repair(spark, d):
+    """Every object comes fenced and without its last brace."""
+    ready(spark)
+    broken = F.concat(F.lit("Answer:\n```json\n"), F.regexp_replace("props", "\\}\\s*$", ""), F.lit("\n```"))
+    return table(spark, d, "events").select("event_id", F.from_json(markup.repaired_json(broken), "k long")["k"].alias("k"))
+
+
+@query()
+def education_levels(spark, d):
+    values = ["本科", "本科及以上学历", "硕士及以上", "博士", "博士研究生", "PhD required", "undergraduate degree", "mastery", "High School diploma"]
+    return spark.createDataFrame([(v,) for v in values], "value string").select("value", education.level_name(education.level_rank(F.col("value"))).alias("level"))
+
+
+@query()
+def location_names(spark, d):
+    ready(spark)
+    catalog = spark.createDataFrame([(0, "上海", "上海", []), (1, "深圳", "广东", ["Shenzhen"]), (2, None, "广东", [])], locations.CATALOG)
+    rows = spark.createDataFrame([(1, ["上海； 北京 / 深圳"]), (2, ["shenzhen, 广东省"]), (3, ["Sydney (HQ)", "Sydney"]), (4, [])], "id int, places array<string>")
+    return locations.normalize(rows, "id", "places", catalog).select("id", F.array_join("places", ",").alias("places"))
+
+
+@query("SELECT p_partkey, p_name AS items, CASE WHEN p_size > 25 THEN 'Target roles' ELSE '' END AS missing FROM part")
+def profile_fields(spark, d):
+    items = text.split_items(F.concat("p_name", F.lit(", "), F.upper("p_name"), F.lit("; ;")))
+    return table(spark, d, "part").select("p_partkey", F.array_join(items, ",").alias("items"), F.array_join(text.all_reasons((F.col("p_size") > 25, "Target roles")), ",").alias("missing"))
+
+
+@query("SELECT o_orderkey AS id, coalesce(nullif(CASE WHEN o_orderstatus = 'F' THEN '' ELSE o_orderstatus END, ''), o_orderpriority, 'none') AS merged, CASE WHEN o_orderstatus = 'O' THEN 'team lead' ELSE 'Degree in law;team lead' END AS facts FROM orders")
+def context_merge(spark, d):
+    """A record's own fields before its page's; facts that the gate covers go."""
+    own = F.when(F.col("o_orderstatus") == "F", "").otherwise(F.col("o_orderstatus"))
+    no = F.lit(False)
+    facts = eligibility.uncovered_facts(F.array(F.lit("Degree in law"), F.lit("team lead")), {"graduation_known": no, "education_known": F.col("o_orderstatus") == "O", "deadline_known": no, "location_known": no})
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.coalesce(F.nullif(own, F.lit("")), "o_orderpriority", F.lit("none")).alias("merged"), F.array_join(facts, ";").alias("facts"))
+
+
+@query("""SELECT p_partkey, '{"title":"' || p_name || '","brand":"' || p_brand || '"}' AS payload FROM part""")
+def prompt_payload(spark, d):
+    return table(spark, d, "part").select("p_partkey", F.to_json(F.struct(F.col("p_name").alias("title"), F.col("p_brand").alias("brand"))).alias("payload"))
+
+
+@query("SELECT o_orderkey AS id, o_orderdate AS first_seen, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey DESC) AS place FROM orders ORDER BY place LIMIT 50")
+def newest_jobs(spark, d):
+    """The display's first fifty rows, newest first; the numbering is of those alone."""
+    top = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("first_seen")).orderBy(F.desc("first_seen"), F.desc("id")).limit(50)
+    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("first_seen"), F.desc("id"))))
