@@ -1,2 +1,154 @@
+"""Queries over steps: backlogs, features, scores, plans, triage of extractions, history."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import admission, features, followups
+from ..session import table
+from . import availability, search_plan
 from .registry import registry
+
 QUERIES, SQL, query = registry()
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def backlog_anti(spark, d):
+    return admission.backlog(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels"), "doc_id")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) ORDER BY doc_id LIMIT 3")
+def backlog_batch(spark, d):
+    """A batch of three is what the operator takes."""
+    return admission.take_batch(backlog_anti(spark, d), 3, "doc_id")
+
+
+@query("SELECT n_nationkey AS idx, 100 // 25 + CASE WHEN n_nationkey < 100 % 25 THEN 1 ELSE 0 END AS quota FROM nation")
+def quota_split(spark, d):
+    return admission.quotas(table(spark, d, "nation").select(F.col("n_nationkey").alias("idx")), 100).select("idx", F.col("quota").cast("int").alias("quota"))
+
+
+@query("SELECT page_id AS ord, url, url AS title, CAST(round(least(length(html), 10000) / 10000.0 * 100) AS INT) AS relevance_score, html[1:1000] AS reason FROM pages")
+def search_results(spark, d):
+    rows = table(spark, d, "pages").select(F.col("page_id").alias("ord"), F.lit("").alias("title"), "url", F.col("url").alias("url_key"), F.col("html").alias("content"), (F.least(F.length("html"), F.lit(10000)) / 10000).alias("score"))
+    return admission.searched(rows, 10_000_000)
+
+
+@query("SELECT s_name AS url, s_name AS title, s_name AS source_name, 100 AS relevance_score FROM supplier WHERE s_acctbal > 0")
+def source_list(spark, d):
+    none = F.lit(None)
+    rows = table(spark, d, "supplier").select(F.col("s_name").alias("url"), none.cast("string").alias("title"), none.cast("string").alias("name"), (F.col("s_acctbal") > 0).alias("enabled"), none.cast("int").alias("relevance_score"))
+    return admission.enabled_sources(rows)
+
+
+@query("""
+SELECT c_custkey AS profile, 0 AS idx, '"' || c_mktsegment || '" ' || CASE WHEN c_acctbal > 0 THEN '2027校招' ELSE 'graduate' END || ' ' || CASE c_nationkey % 2 WHEN 0 THEN 'Perth' ELSE 'Sydney' END || ' employer ' ||
+ CASE c_nationkey % 3 WHEN 0 THEN 'careers apply' WHEN 1 THEN 'job description requirements' ELSE 'graduate program' END AS query FROM (SELECT * REPLACE (1 AS c_nationkey) FROM customer)
+""")
+def search_queries(spark, d):
+    empty = F.array().cast("array<string>")
+    profiles = table(spark, d, "customer").select(F.col("c_custkey").alias("profile"), F.lit(1).alias("round"), F.when(F.col("c_acctbal") > 0, "2026-10").otherwise("").alias("graduation"), F.array("c_mktsegment").alias("roles"), F.array(F.lit("Perth"), F.lit("Sydney")).alias("places"), empty.alias("kinds"))
+    return search_plan.search_queries(profiles, profiles.where("false").select("profile", F.lit("").alias("query")))
+
+
+@query("""
+WITH n AS (SELECT l_orderkey AS page, count(*) AS extracted_job_count, count(*) FILTER (l_tax > 0.04) AS missing_description_count, count(*) FILTER (l_discount > 0.05) AS missing_requirements_count,
+ count(*) FILTER (l_tax > 0.04 AND l_discount > 0.05) AS sparse, count(DISTINCT CASE WHEN l_returnflag = 'R' THEN l_linestatus END) AS urls, count(*) - count(DISTINCT l_returnflag) AS dup FROM lineitem GROUP BY l_orderkey),
+t AS (SELECT o_orderkey AS page, coalesce(extracted_job_count, 0) AS extracted_job_count, coalesce(missing_description_count, 0) AS missing_description_count, coalesce(urls, 0) AS unique_apply_url_count, coalesce(dup, 0) AS duplicate_title_count,
+ coalesce(round(sparse / extracted_job_count, 3), 0) AS sparse_record_ratio, coalesce(sparse / extracted_job_count, 0) AS ratio, o_orderstatus = 'O' AS has_links FROM orders LEFT JOIN n ON page = o_orderkey)
+SELECT page, extracted_job_count, missing_description_count, unique_apply_url_count, duplicate_title_count, sparse_record_ratio,
+ CASE WHEN extracted_job_count = 0 THEN 'no_records' WHEN extracted_job_count >= 10 AND ratio >= 0.75 THEN 'many_sparse' WHEN extracted_job_count >= 2 AND ratio >= 0.8 AND (unique_apply_url_count > 0 OR has_links) THEN 'sparse_with_links'
+ WHEN extracted_job_count >= 10 AND unique_apply_url_count <= 1 AND missing_description_count >= extracted_job_count * 0.5 THEN 'shared_apply_url' END AS rule FROM t
+""")
+def extraction_triage(spark, d):
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_returnflag").alias("title"), F.when(F.col("l_tax") <= 0.04, "d").alias("description"), F.when(F.col("l_discount") <= 0.05, "r").alias("requirements"), F.lit(True).alias("has_location"), F.when(F.col("l_returnflag") == "R", F.col("l_linestatus")).alias("apply_url"))
+    pages = table(spark, d, "orders").select(F.col("o_orderkey").alias("page"), (F.col("o_orderstatus") == "O").alias("has_links"))
+    return followups.extraction_triage(pages, rows, "page").select("page", "extracted_job_count", "missing_description_count", "unique_apply_url_count", "duplicate_title_count", "sparse_record_ratio", "rule")
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def histograms(spark, d):
+    return features.histogram(table(spark, d, "events"), "event_type")
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (event_type = 'click') AS executable, round(avg(user_id), 6) AS mean_priority, max(user_id) AS max_priority, count(*) FILTER (event_type = 'click' AND user_id >= 75) AS high_priority_executable, sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) AS usable_links FROM events")
+def frontier_features(spark, d):
+    f = features.frontier(table(spark, d, "events"), "user_id", F.col("event_type") == "click", (F.col("event_type") == "view").cast("long"))
+    return f.withColumn("mean_priority", F.round("mean_priority", 6))
+
+
+@query("""
+WITH u AS (SELECT user_id, count(*) FILTER (event_type = 'view') AS v, count(*) FILTER (event_type = 'click') AS c, count(*) FILTER (event_type = 'purchase') AS p FROM events GROUP BY user_id)
+SELECT user_id, round(CASE WHEN v > 0 THEN c / v END, 9) AS click_yield, round(CASE WHEN c > 0 THEN p / c END, 9) AS purchase_yield, greatest(0, 8 - p) AS deficit FROM u
+""")
+def pipeline_yields(spark, d):
+    n = lambda t: F.count_if(F.col("event_type") == t)
+    u = table(spark, d, "events").groupBy("user_id").agg(n("view").alias("v"), n("click").alias("c"), n("purchase").alias("p"))
+    return u.select("user_id", F.round(features.ratio(F.col("c"), F.col("v")), 9).alias("click_yield"), F.round(features.ratio(F.col("p"), F.col("c")), 9).alias("purchase_yield"), F.greatest(F.lit(0), 8 - F.col("p")).alias("deficit"))
+
+
+@query("""
+WITH s AS (SELECT user_id, event_id, count(*) FILTER (event_type = 'click') OVER w AS clicks, count(*) FILTER (event_type = 'purchase') OVER w AS buys FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+SELECT user_id, event_id, clicks, buys, greatest(0, clicks - coalesce(lag(clicks) OVER v, 0)) AS new_clicks, greatest(0, buys - coalesce(lag(buys) OVER v, 0)) AS new_buys FROM s WINDOW v AS (PARTITION BY user_id ORDER BY event_id)
+""")
+def step_deltas(spark, d):
+    from pyspark.sql.window import Window
+
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    n = lambda t: F.count_if(F.col("event_type") == t).over(w)
+    s = table(spark, d, "events").select("user_id", "event_id", n("click").alias("clicks"), n("purchase").alias("buys"))
+    return features.deltas(s, "user_id", "event_id", ["clicks", "buys"])
+
+
+@query("SELECT source, CASE WHEN bool_and(n_chars > 50) THEN sum(n_chars) END AS strict_sum, max(n_chars) AS longest FROM documents GROUP BY source")
+def execution_metrics(spark, d):
+    docs = table(spark, d, "documents").withColumn("x", F.when(F.col("n_chars") > 50, F.col("n_chars")))
+    return docs.groupBy("source").agg(features.null_strict_sum("x").alias("strict_sum"), F.length(F.max_by("text", F.struct(F.length("text"), -F.col("doc_id")))).cast("long").alias("longest"))
+
+
+_SCORES = "(VALUES ('explore_followups', 5.0, 1.0), ('job_extraction', 2.0, 0.5), ('match_analysis', 1.0, 0.25), ('acquire_page', 12.0, 2.0), ('web_search', 0.0, 0.0)) AS v(action, executable, fill)"
+_TOTAL = """
+least(executable, 10) + least(fill, 1) * 2 + CASE action WHEN 'match_analysis' THEN CASE WHEN deficit BETWEEN 1 AND 2 THEN 12 WHEN deficit > 2 THEN 3 ELSE 0 END WHEN 'job_extraction' THEN least(deficit, 8) * 0.75
+ WHEN 'explore_followups' THEN least(deficit, 8) * 0.55 WHEN 'web_search' THEN least(deficit, 20) * 0.65 ELSE 0 END
+ + CASE WHEN action = 'explore_followups' THEN 60 / 10.0 + 4 * 0.75 + 2 * 0.5 + 1.5 ELSE 0 END - CASE action WHEN 'explore_followups' THEN 0.5 WHEN 'acquire_page' THEN 1.0 WHEN 'web_search' THEN 1.5 ELSE 1.5 END
+ + CASE WHEN action = 'job_extraction' AND deficit = 8 THEN 4 ELSE 0 END
+"""
+
+
+def _actions(spark, d):
+    a = spark.createDataFrame([("explore_followups", 5.0, 1.0), ("job_extraction", 2.0, 0.5), ("match_analysis", 1.0, 0.25), ("acquire_page", 12.0, 2.0), ("web_search", 0.0, 0.0)], "action string, executable double, fill double")
+    s = table(spark, d, "nation").select(F.col("n_nationkey").alias("state"), F.greatest(F.lit(0), 8 - F.col("n_regionkey") * 2).alias("deficit"))
+    rows = s.crossJoin(F.broadcast(a)).withColumns({"mean_priority": F.lit(60.0), "frontier_executable": F.lit(4), "frontier_high": F.lit(2), "matches": 8 - F.col("deficit"), "refill_left": F.lit(2), "yield_rate": F.lit(0.0), "last_action": F.lit("none"), "last_status": F.lit("ok")})
+    return features.score_actions(rows).withColumn("tie_rank", F.array_position(F.array(*map(F.lit, features.TIES)), F.col("action")))
+
+
+_STATES = f"(SELECT n_nationkey AS state, greatest(0, 8 - n_regionkey * 2) AS deficit FROM nation) CROSS JOIN {_SCORES}"
+
+
+@query(f"SELECT state, action, round({_TOTAL}, 6) AS total FROM {_STATES}")
+def score_actions(spark, d):
+    return _actions(spark, d).select("state", "action", F.round("total", 6).alias("total"))
+
+
+@query(f"SELECT state, action, total FROM (SELECT state, action, round({_TOTAL}, 6) AS total, row_number() OVER (PARTITION BY state ORDER BY {_TOTAL} DESC, list_position(['match_analysis','job_understanding','job_extraction','analyze_page','explore_followups','acquire_page','web_search'], action)) AS n FROM {_STATES}) WHERE n = 1")
+def choose_action(spark, d):
+    return features.choose(_actions(spark, d), "state").select("state", "action", F.round("total", 6).alias("total"))
+
+
+@query("""
+SELECT n_nationkey AS state, action, action IN ('acquire_page') AND n_regionkey > 0 OR action = 'build_search_plan' OR (action = 'stop' AND n_regionkey = 0) AS available
+FROM nation CROSS JOIN (VALUES ('build_search_plan'), ('web_search'), ('acquire_page'), ('analyze_page'), ('job_extraction'), ('explore_followups'), ('job_understanding'), ('match_analysis'), ('stop')) AS v(action)
+""")
+def action_availability(spark, d):
+    """Fresh states; those of all regions but the first have sources queued."""
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("state"), F.col("n_regionkey").cast("int").alias("q"))
+    given = {"has_profile": F.lit(True), "max_search_rounds": F.lit(3), "max_results": F.lit(20), "soft_target": F.lit(8), "last_search": F.lit("none"), "acquisition_queue": F.col("q"), "pending_acquire_page": F.col("q")}
+    cols = {name: given.get(name, F.lit(False) if kind == "boolean" else F.lit(0)).alias(name) for name, kind in (c.strip().split(" ") for c in availability.COLUMNS.split(","))}
+    return availability.action_table(n.select("state", *cols.values())).select("state", "action", "available")
+
+
+@query("SELECT source, 'doc_id' AS feature, count(*) AS filled FROM documents GROUP BY source UNION ALL SELECT source, 'label', count(quality) FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source")
+def filled_columns(spark, d):
+    """How often columns are filled, as the display drops those that never are."""
+    j = table(spark, d, "documents").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left").groupBy("source").agg(F.count("doc_id").alias("doc_id"), F.count("quality").alias("label"))
+    return j.unpivot("source", ["doc_id", "label"], "feature", "filled")
