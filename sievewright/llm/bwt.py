@@ -13,10 +13,11 @@ def collection(windows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return text, np.repeat(np.arange(len(windows)), lengths)
 
 
-def suffix_array(text: np.ndarray, window: np.ndarray) -> np.ndarray:
-    """Places in the order of their suffixes; a suffix ends at its window's end mark, and end marks rank by window.
+def suffix_array(text: np.ndarray, window: np.ndarray, depth: int) -> np.ndarray:
+    """Places in the order of their suffixes' first ``depth`` symbols at least; a suffix ends at its window's end mark, and end marks rank by window.
 
-    Prefix doubling: seven symbols first, then pairs of ranks, until windows are covered.
+    Prefix doubling: seven symbols first, then pairs of ranks. Intervals of strings up to ``depth`` symbols, and so
+    their mapping by backward extension, do not depend on how suffixes are ordered that share more.
     """
     n, closed = len(text), np.flatnonzero(text == 0)
     left = closed[window] - np.arange(n)  # symbols before the end mark
@@ -25,15 +26,18 @@ def suffix_array(text: np.ndarray, window: np.ndarray) -> np.ndarray:
     for k in range(7):
         key = key << np.uint64(9) | np.where(alive, padded[k : k + n], 0).astype(np.uint64)
         alive &= left > k
-    width, most = 7, int(left.max(initial=0)) + 1
-    rank = np.unique(key, return_inverse=True)[1]
+    width, most = 7, min(int(left.max(initial=0)) + 1, depth)
+    order = np.argsort(key)
+    ordered = key[order]
+    rank = np.empty(n, np.int64)
+    rank[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
     while True:
         # A suffix that has ended within ``width`` symbols is told from its like by its window.
         at = np.minimum(np.arange(n) + width, n - 1)
         second = np.where(left < width, window, rank[at])
         pair = rank.astype(np.uint64) * np.uint64(n + 1) + second.astype(np.uint64)
         order = np.argsort(pair)
-        if 2 * width > most:
+        if 2 * width >= most:
             return order
         ordered = pair[order]
         rank = np.empty(n, np.int64)

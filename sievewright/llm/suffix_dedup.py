@@ -230,7 +230,7 @@ def _windows(buckets: int):
 def repeated_places(windows: list[bytes], docs: list[int]) -> list[np.ndarray]:
     """Per window the offsets whose LEAST-byte string also stands in a window of a smaller document (``docs``: smallest document of each)."""
     text, window = collection(windows)
-    order = suffix_array(text, window)
+    order = suffix_array(text, window, LEAST)
     new = prefix_boundaries(text, window, order, LEAST)
     group = np.cumsum(new) - 1
     doc = np.array(docs)[window[order]]
@@ -321,6 +321,13 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
+def _narrow(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id`` and ``text``; without a renaming projection where none is needed, so that both joins share one exchange of the texts."""
+    if (id_col, text_col, docs.schema[id_col].dataType.simpleString()) == ("doc_id", "text", "bigint"):
+        return docs.select("doc_id", "text")
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+
+
 def _judged(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, runs) and (doc_id, whole) of ``rows`` (doc_id not null, text, further columns)."""
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -346,7 +353,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows that repeat an id are no source for each other, and what one of them loses at a place the others lose there too.
     """
     prepare(docs.sparkSession)
-    every = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    every = _narrow(docs, id_col, text_col)
     rows = every.where("doc_id is not null")
     runs, copies = _judged(rows)
     told = rows.join(runs, "doc_id", "left").join(copies, "doc_id", "left").select("doc_id", "text", "runs", F.coalesce("whole", F.lit(False)).alias("whole"))
@@ -363,7 +370,7 @@ def trimmed(docs: DataFrame) -> DataFrame:
     names = docs.columns
     at = names.index("text")
     rows = docs.where("doc_id is not null")
-    runs, copies = _judged(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    runs, copies = _judged(_narrow(rows, "doc_id", "text"))
     runs, copies = runs.select(F.col("doc_id").alias("_doc"), F.col("runs").alias("_runs")), copies.select(F.col("doc_id").alias("_copy"), F.col("whole").alias("_whole"))
     told = rows.join(runs, rows["doc_id"] == runs["_doc"], "left").join(copies, rows["doc_id"] == copies["_copy"], "left").select(*(rows[n] for n in names), "_runs", F.coalesce("_whole", F.lit(False)).alias("_whole"))
 
