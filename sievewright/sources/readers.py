@@ -12,7 +12,7 @@ from ..operators.pages import inspection, resource_kind
 
 def json_artifact(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of a JSON artifact in a fixed schema; a malformed one stops the read. A byte order mark is no part of it."""
-    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").option("encoding", "UTF-8").json(path)
+    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
 def optional_artifact(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
