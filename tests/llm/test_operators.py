@@ -1,0 +1,321 @@
+"""The corpus operators against brute force on small tables with every odd case."""
+
+import collections
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from sievewright.llm import bpe_transducer, bwt, components, exact_dedup, histogram_shards, mil_quality, mjpeg_avi, near_dedup, packing, shingles, suffix_dedup, warc, wavelet_shards
+
+public = pytest.importorskip("public_tokenizers")
+
+#: Clashing names that operators use inside.
+DDL = "doc_id long, text string, lang string, source string, n_chars long, _hash long, cls long, kept string, label string, _len int, whole string, keys string"
+
+
+def docs(spark, rows):
+    return spark.createDataFrame([(i, t, *[None] * 10) for i, t in rows], DDL)
+
+
+def odd_texts():
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcdefghij"), rng.integers(2, 9))) for _ in range(400)]
+    prose = lambda n: " ".join(rng.choice(words, n))
+    base, passage = prose(120), prose(30)
+    near = base.split()
+    rows = [None, "", "", " \n\t", "one", "two words", base, base, base.upper(), prose(90) + " " + passage + "\n" + prose(40), passage + prose(60), prose(50) + passage, "日本語のテキスト" * 30, "日本語のテキスト" * 30, "é" * 200, "x" * 5000, "x" * 4000, base[:200], prose(3000)]
+    for k in (1, 3, 6, 9, 15):
+        changed = list(near)
+        for j in range(k):
+            changed[7 * j] = f"new{k}x{j}"
+        rows.append(" ".join(changed))
+    return list(enumerate(rows)) + [(None, base), (None, None), (6, base)]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return odd_texts()
+
+
+def test_exact_dedup(spark, odd):
+    got = exact_dedup.exact_dedup(docs(spark, odd)).collect()
+    groups = collections.defaultdict(list)
+    for i, t in odd:
+        groups[t or ""].append(i)
+    want = collections.Counter((i, max((x for x in groups[t or ""] if x is not None), default=None), len(groups[t or ""]), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in odd)
+    assert collections.Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got) == want
+    assert all(r.kept == (r.doc_id == r.keep_id) for r in got)
+    assert exact_dedup.exact_dedup(docs(spark, [])).count() == 0
+    assert exact_dedup.keep_unique(docs(spark, odd)).columns == docs(spark, []).columns
+
+
+def linked(rows, width, percent):
+    sets = {}
+    lower = {k: k + 32 for k in range(65, 91)}
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(lower))
+        sets[i] = set(zip(*(w[k:] for k in range(width)), strict=False)) if len(w) >= width else {tuple(w)} if w else set()
+    top = {i: i for i in sets if i is not None}
+
+    def root(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for a in top:
+        for b in top:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                top[y] = x
+    return sets, {i: root(i) for i in top}
+
+
+@pytest.mark.parametrize("width", [4, 5])
+def test_near_duplicates(spark, odd, width):
+    sets, want = linked(odd, width, 80)
+    got = near_dedup.near_duplicates(docs(spark, odd), width, 80).collect()
+    assert len(got) == len(odd)
+    for r in got:
+        assert r.component_id == want.get(r.doc_id) and r.kept == (r.doc_id is None or r.doc_id == r.component_id)
+        if r.doc_id is not None:
+            assert r.n_shingles == len(sets[r.doc_id])
+    assert near_dedup.near_duplicates(docs(spark, []), width).count() == 0
+    assert len({r.component_id for r in got}) < len(want)
+
+
+def test_chained_near_copies_meet_in_one_component(spark):
+    """The smallest id is not the centre: members are near the base, not near each other."""
+    rng = np.random.default_rng(5)
+    base = [f"w{k}" for k in range(300)]
+    rows = []
+    for k in range(40):
+        changed = list(base)
+        for j in rng.choice(300, 8, replace=False):
+            changed[j] = f"n{k}_{j}"
+        rows.append((k, " ".join(changed)))
+    rows.append((99, " ".join(base)))
+    _, want = linked(rows, 4, 80)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs(spark, rows), 4, 80).collect()}
+    assert got == want and len(set(want.values())) == 1
+
+
+def test_index_guarantees_the_distance():
+    """Any two signatures within 19 differing components share a key."""
+    rng = np.random.default_rng(9)
+    a = rng.integers(0, 1 << 16, (300, near_dedup.SIZE)).astype(np.uint16)
+    b = a.copy()
+    for row in b:
+        at = rng.choice(near_dedup.SIZE, 2 * near_dedup.CHUNKS - 1, replace=False)
+        row[at] ^= np.uint16(1)
+    assert all(set(x) & set(y) for x, y in zip(near_dedup.index_keys(a).tolist(), near_dedup.index_keys(b).tolist(), strict=True))
+
+
+def test_components(spark):
+    links = [(k, k + 1) for k in range(60)] + [(100, 7), (200, 201), (5, 5)]
+    got = {r.id: r.label for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert {got[k] for k in (*range(61), 100)} == {0} and got[201] == 200
+
+
+def test_suffix_dedup(spark, odd):
+    rows = sorted(((i, (t or "").encode()) for i, t in odd if i is not None), key=lambda x: x[0])
+    by_doc, want, n = collections.defaultdict(set), {}, suffix_dedup.LEAST
+    for i, b in rows:
+        by_doc[i] |= {b[k : k + n] for k in range(len(b) - n + 1)}
+    for i, b in rows:
+        gone = np.zeros(len(b), bool)
+        for k in range(len(b) - n + 1):
+            if any(b[k : k + n] in by_doc[j] for j in by_doc if j < i):
+                gone[k : k + n] = True
+        edges = np.diff(np.concatenate([[0], gone.astype(int), [0]]))
+        want[i] = (len(b), int(gone.sum()), int((edges == 1).sum()), hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=True) if not g)).hexdigest())
+    got = suffix_dedup.remove_repeats(docs(spark, odd)).collect()
+    assert len(got) == len(odd)
+    for r in got:
+        if r.doc_id is None:
+            assert r.n_removed == 0
+        else:
+            assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id]
+    assert suffix_dedup.remove_repeats(docs(spark, [])).count() == 0
+    whole = suffix_dedup.trimmed(docs(spark, odd))
+    assert whole.columns == docs(spark, []).columns and whole.count() == len(odd)
+
+
+def test_prefix_boundaries_are_exact():
+    rng = np.random.default_rng(2)
+    windows = [bytes(rng.integers(97, 99, rng.integers(3, 40)).astype(np.uint8)) for _ in range(60)] + [b"ab" * 20, b"ab" * 15]
+    for least in (2, 5, 11):
+        text, window = bwt.collection(windows)
+        order = bwt.suffix_array(text, window, least)
+        new = bwt.prefix_boundaries(text, window, order, least)
+        ends = np.flatnonzero(text == 0)
+        suffix = [bytes((text[k : ends[window[k]]] - 1).astype(np.uint8)) for k in order]
+        common = [0] + [next((j for j in range(min(len(x), len(y))) if x[j] != y[j]), min(len(x), len(y))) for x, y in zip(suffix[:-1], suffix[1:], strict=True)]
+        assert [bool(b) for b in new] == [c < least for c in common]
+
+
+def test_packing(spark, odd):
+    from tokenizers import Tokenizer
+
+    path = public.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    got = packing.pack_documents(docs(spark, odd), path, 64).collect()
+    want = collections.Counter()
+    for i, t in odd:
+        ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0]
+        for k in range(0, len(ids), 64):
+            want[i, k // 64, k, len(ids[k : k + 64]), zlib.crc32(np.array(ids[k : k + 64], "<u4").tobytes())] += 1
+    assert collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+    bins = collections.defaultdict(list)
+    for r in got:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for parts in bins.values():
+        at = 0
+        for offset, n in sorted(parts):
+            assert offset == at
+            at += n
+        assert at <= 64
+    assert len(bins) <= -(-sum(r.length for r in got) // 64) + 2
+
+
+def test_wavelet_matrix():
+    x = np.random.default_rng(1).integers(0, 300, 5000)
+    w = wavelet_shards.WaveletMatrix.from_bytes(wavelet_shards.WaveletMatrix.build(x).to_bytes())
+    assert (w.all() == x).all() and all(w.access(i) == x[i] for i in range(0, 5000, 41))
+    assert w.occurrences(7) == np.flatnonzero(x == 7).tolist() and w.count(9, 100, 4000) == (x[100:4000] == 9).sum() and w.count(70000) == 0
+    with pytest.raises(IndexError):
+        w.select(7, 5000)
+    empty = wavelet_shards.WaveletMatrix.from_bytes(wavelet_shards.WaveletMatrix.build(np.zeros(0, np.uint32)).to_bytes())
+    assert len(empty.all()) == 0 and empty.count(1) == 0
+
+
+def test_wavelet_shards(spark, odd):
+    from tokenizers import Tokenizer
+
+    path = public.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    rows = [(i, t) for i, t in odd if i is not None and (i, t) != (6, odd[6][1])] + [(6, odd[6][1])]
+    got = wavelet_shards.read_shards(wavelet_shards.write_shards(docs(spark, rows), path, shard_tokens=500)).orderBy("doc_id").collect()
+    start = 0
+    for r, (i, t) in zip(got, sorted(rows, key=lambda x: x[0]), strict=True):
+        ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0]
+        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    assert wavelet_shards.read_shards(wavelet_shards.write_shards(docs(spark, []), path)).count() == 0
+
+
+def test_histogram_sort(spark):
+    rows = [(k, "hot" * 40 if k % 3 == 0 else f"text {k} " * (k % 23)) for k in range(900)] + [(None, None), (5, "a"), (5, "a")]
+    text = F.coalesce("text", F.lit(""))
+    base = docs(spark, rows).drop("_hash").withColumns({"size": F.octet_length(text).cast("long") + 8, "key_hash": F.xxhash64(text)})
+    got = histogram_shards.histogram_sort(base, 12).collect()
+    assert len(got) == len(rows)
+    sizes, slots = collections.Counter(), collections.defaultdict(list)
+    for r in got:
+        sizes[r.shard] += r.size
+        slots[r.shard].append((r.slot, r.key_hash, r.doc_id))
+    assert set(slots) == set(range(12)) and all(sorted(s for s, _, _ in v) == list(range(len(v))) for v in slots.values())
+    assert max(sizes.values()) - min(sizes.values()) <= 2 * max(r.size for r in got)
+    order = [(h, -1 if d is None else d) for k in range(12) for _, h, d in sorted(slots[k])]
+    assert order == sorted(order)
+    assert histogram_shards.histogram_sort(base.where("false"), 12).count() == 0
+
+
+TEXTS = ["", "  a  b\n\n c", "日本語のテキスト  처리", "a\tb \n c　d", "x" * 300, " ", "'s I'll  don't\r\n", "\x1c a", "é̀ñ🙂🙂 👩‍👩‍👧 zz", "Plain words, and 12 numbers.\nNext line"]
+
+
+def test_transducer_is_tiktoken(spark):
+    import tiktoken
+
+    path = public.path("byte_bpe_multi_50k.tiktoken")
+    ranks = bpe_transducer.read_ranks(path)
+    enc = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rows = [*enumerate(TEXTS), (None, None)]
+    for r in bpe_transducer.encode_decode(docs(spark, rows), path, public.PATTERN, ids=True).collect():
+        text = (dict(rows)[r.doc_id] or "") if r.doc_id is not None else ""
+        ids = enc.encode_ordinary(text)
+        assert r.ids == ids and r.n_tokens == len(ids)
+        assert r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest() and r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+    machine = bpe_transducer.Transducer(ranks)
+    rng = np.random.default_rng(0)
+    for _ in range(500):
+        word = bytes(rng.choice(list(b"etaoin shrdlu"), rng.integers(1, 25)).astype(np.uint8))
+        assert machine.encode(word) == enc._core_bpe.encode_single_piece(word)
+    stream = bpe_transducer.StreamDecoder(machine.token)
+    assert "".join(stream.feed([i]) for i in enc.encode_ordinary("日本🙂")) + stream.feed([], True) == "日本🙂"
+
+
+def test_media_round_trip(spark, odd):
+    noise = np.random.default_rng(0).integers(0, 256, mjpeg_avi.FRAME * 3, dtype=np.uint8)
+    images = mjpeg_avi.encode_frames(noise)
+    assert (mjpeg_avi.decode_frames(images).ravel() == noise).all()
+    found, size = mjpeg_avi.read_avi(mjpeg_avi.write_avi(images, 500))
+    assert found == images and size == 500
+    stored = mjpeg_avi.store_media(docs(spark, odd))
+    got = mjpeg_avi.media_features(stored).collect()
+    by_id = collections.defaultdict(set)
+    for i, t in odd:
+        raw = (t or "").encode()
+        pad = raw + b" " * (max(1, -(-len(raw) // 192)) * 192 - len(raw))
+        by_id[i].add((len(raw), len(pad), hashlib.sha256(pad).hexdigest(), zlib.crc32(pad[-16:])))
+    assert len(got) == len(odd) and all((r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) in by_id[r.doc_id] for r in got)
+    clips = mjpeg_avi.clip_rows(stored).where("doc_id = 18").orderBy("clip").collect()
+    assert clips[0].start_ms == 0 and all(a.end_ms == b.start_ms for a, b in zip(clips, clips[1:], strict=False))
+
+
+def test_shots_at_changes():
+    frames = np.zeros((12, mjpeg_avi.HEIGHT, mjpeg_avi.WIDTH), np.uint8)
+    frames[5:] = 200
+    assert mjpeg_avi.shots(frames) == [(0, 5), (5, 12)]
+
+
+def test_warc(spark):
+    big = "<p>" + "segment " * 9000
+    rows = [(1, "u1", big), (2, "u2", big), (3, None, "short"), (4, "u4", "short"), (5, "u5", None), (6, "u6", "é" * 800), (9, "u9", big)]
+    pages = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, digest string, payload int")
+    listed = warc.write_archives(warc.record_kinds(pages), segment_bytes=4096, archive_bytes=200)
+    assert listed.count() > 1
+    got = {r.page_id: r for r in warc.resolved(warc.read_archives(listed)).collect()}
+    for i, _, html in rows:
+        raw = (html or "").encode()
+        assert (got[i].payload_bytes, got[i].payload_digest) == (len(raw), hashlib.sha1(raw).hexdigest())
+        assert (got[i].record_type, got[i].refers_to) == (("revisit", 9) if i in (1, 2) else ("response", None))
+    assert warc.unchunked(warc.chunked(b"x" * 10_000, 999)) == b"x" * 10_000
+    assert warc.resolved(warc.read_archives(warc.write_archives(warc.record_kinds(pages.where("false"))))).count() == 0
+
+
+def test_quality_learns_from_labels(spark):
+    rng = np.random.default_rng(4)
+    good = lambda: " ".join("".join(rng.choice(list("etaoinshr"), rng.integers(2, 8))) for _ in range(150)) + "."
+    rows = [(k, good() if k % 4 else good().upper().replace(" ", "!! ")) for k in range(240)]
+    labels = spark.createDataFrame([(k, int(k % 4 > 0), 0) for k in range(240)] + [(None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
+    table = docs(spark, rows + [(None, None), (500, "")])
+    model = mil_quality.train(table, labels)
+    got = mil_quality.score(table, model).collect()
+    assert len(got) == 242 and all(0 <= r.score <= 1 for r in got)
+    held = [r for r in got if r.held_out and r.doc_id is not None and r.doc_id < 240]
+    assert len(held) > 20 and np.mean([r.predicted == int(r.doc_id % 4 > 0) for r in held]) > 0.95
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got if r.doc_id is not None)
+    assert mil_quality.train(table, labels.where("false")) is None and {r.score for r in mil_quality.score(table, None).collect()} == {0.5}
+
+
+def test_quality_gradient():
+    """Training's gradient against differences."""
+    rng = np.random.default_rng(0)
+    bags = [rng.normal(size=(n, mil_quality.WIDTH)).astype(np.float32) for n in (1, 3, 5)]
+    model = mil_quality.fit(bags, np.array([0, 1, 1], np.float32), epochs=60, rate=0.02)
+    low, high = mil_quality.fit(bags, np.array([1, 0, 1], np.float32), epochs=60, rate=0.02), model
+    z = lambda m, b: float((lambda h, logit: (h * (np.exp(logit) / np.exp(logit).sum())[:, None]).sum(axis=0) @ m.w["c"] + m.w["d"][0])(*(lambda x: (x[1], x[4]))(m.instance(b))))
+    assert z(high, bags[0]) < 0 < z(high, bags[1]) and z(low, bags[1]) < 0 < z(low, bags[0])
+
+
+def test_shingle_sets_do_not_depend_on_blocks():
+    texts = ["A b C d e", "a B c D e f", "", None, "x y", "é ü ñ ö " * 50]
+    together = [s.tolist() for s in shingles.sets(texts, 4)]
+    assert together == [next(iter(shingles.sets([t], 4))).tolist() for t in texts]
+    assert len(set(together[0]) & set(together[1])) == 2 and together[2] == [] and len(together[4]) == 1
