@@ -10,16 +10,17 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """Groups of two or more rows with identical text: ``text_sha256``, ``keep_id`` (largest id), ``group_size``.
 
     Three rounds narrow the candidates. A row survives the first if its byte length occurs again, the second if
-    length and prefix hash occur again; only survivors have their whole text hashed. Every round counts with a
-    partial aggregate, so a group that holds a third of the rows reaches a reducer as one row per task, and the joins
-    back are plain equi-joins whose large side AQE may split.
+    length and prefix hash occur again; only survivors have their whole text hashed. The first two rounds work on
+    counts per (length, prefix), and every count is a partial aggregate, so a group that holds a third of the rows
+    reaches a reducer as one row per task; the join back is a plain equi-join whose large side AQE may split.
 
     Null text counts as empty; null ids never win over others (a group with null ids only has ``keep_id`` null).
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     cheap = docs.select(F.octet_length(text).alias("_len"), F.xxhash64(F.substring(text, 1, prefix_chars)).alias("_prefix"))
-    by_len = cheap.groupBy("_len").agg(F.count("*").alias("_n")).where("_n > 1").select("_len")
-    by_prefix = cheap.join(by_len, "_len", "left_semi").groupBy("_len", "_prefix").agg(F.count("*").alias("_n")).where("_n > 1").select("_len", "_prefix")
+    cells = cheap.groupBy("_len", "_prefix").agg(F.count("*").alias("_n"))
+    by_len = cells.groupBy("_len").agg(F.sum("_n").alias("_all")).where("_all > 1").select("_len")
+    by_prefix = cells.join(by_len, "_len", "left_semi").where("_n > 1").select("_len", "_prefix")
     rows = docs.select(F.col(id_col).alias("_id"), text.alias("_text"), F.octet_length(text).alias("_len"), F.xxhash64(F.substring(text, 1, prefix_chars)).alias("_prefix"))
     return (
         # The marker is made below the join, so that the text itself need not cross an exchange.
