@@ -8,7 +8,7 @@ import numpy as np
 def collection(windows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, window of each place): bytes raised by one, every window closed by 0."""
     lengths = np.array([len(w) + 1 for w in windows])
-    text = np.frombuffer(b"\x00".join(windows) + b"\x00", np.uint8).astype(np.int64) + 1
+    text = np.frombuffer(b"\x00".join(windows) + b"\x00", np.uint8).astype(np.int16) + 1
     text[np.cumsum(lengths) - 1] = 0
     return text, np.repeat(np.arange(len(windows)), lengths)
 
@@ -21,7 +21,7 @@ def suffix_array(text: np.ndarray, window: np.ndarray, depth: int) -> np.ndarray
     """
     n, closed = len(text), np.flatnonzero(text == 0)
     left = closed[window] - np.arange(n)  # symbols before the end mark
-    padded = np.concatenate([text, np.zeros(7, np.int64)])
+    padded = np.concatenate([text, np.zeros(7, np.int16)])
     key, alive = np.zeros(n, np.uint64), np.ones(n, bool)
     for k in range(7):
         key = key << np.uint64(9) | np.where(alive, padded[k : k + n], 0).astype(np.uint64)
@@ -54,14 +54,15 @@ def prefix_boundaries(text: np.ndarray, window: np.ndarray, order: np.ndarray, l
     those with a longer common prefix, and nothing beyond it is derived.
     """
     n = len(text)
+    order = order.astype(np.int32)
     bwt = text[order - 1]
-    by_symbol = np.argsort(bwt, kind="stable")
-    step = np.empty(n, np.int64)  # the last-to-first mapping
-    step[by_symbol] = np.arange(n)
-    after = np.full(n, n, np.int64)  # next place with the same symbol before it
+    by_symbol = np.argsort(bwt, kind="stable").astype(np.int32)
+    step = np.empty(n, np.int32)  # the last-to-first mapping
+    step[by_symbol] = np.arange(n, dtype=np.int32)
+    after = np.full(n, n, np.int32)  # next place with the same symbol before it
     same = bwt[by_symbol[1:]] == bwt[by_symbol[:-1]]
     after[by_symbol[:-1][same]] = by_symbol[1:][same]
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, np.int32)
     before[by_symbol[1:][same]] = by_symbol[:-1][same]
     found = np.zeros(n + 1, bool)
     found[0] = found[n] = True
@@ -69,18 +70,18 @@ def prefix_boundaries(text: np.ndarray, window: np.ndarray, order: np.ndarray, l
     marks = int(window[-1]) + 1
     first = text[order]
     ends = np.concatenate([np.arange(1, marks + 1), np.flatnonzero(first[1:] != first[:-1]) + 1, [n]])
-    ends = np.unique(ends)
-    lows = np.concatenate([[0], ends[:-1]])
+    ends = np.unique(ends).astype(np.int32)
+    lows = np.concatenate([ends[:1] * 0, ends[:-1]])
     found[ends] = True
     for _ in range(1, least):
         if not len(lows):
             break
         sizes = ends - lows
-        owner = np.repeat(np.arange(len(lows)), sizes)
-        place = np.arange(len(owner)) + np.repeat(lows - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
+        place = np.repeat(lows - (np.cumsum(sizes, dtype=np.int32) - sizes), sizes)
+        place += np.arange(len(place), dtype=np.int32)
         letter = bwt[place] != 0
-        last = place[letter & (after[place] >= ends[owner])]
-        head = place[letter & (before[place] < lows[owner])]
+        last = place[letter & (after[place] >= np.repeat(ends, sizes))]
+        head = place[letter & (before[place] < np.repeat(lows, sizes))]
         high, low = np.sort(step[last]) + 1, np.sort(step[head])
         new = ~found[high]
         found[high[new]] = True

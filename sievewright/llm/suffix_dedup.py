@@ -23,7 +23,7 @@ from .common import prepare
 LEAST, GRAM, RUN = 50, 20, 64
 _U = np.uint64
 _TABLE = np.random.default_rng(5).integers(0, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
-_PORTION, _SLAB = 3 << 20, 1 << 20
+_PORTION, _SLAB, _BLOCK = 3 << 20, 1 << 17, 1 << 17  # slabs and blocks whose arrays stay in a core's cache
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -51,7 +51,7 @@ def segments(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nd
     at = 0
     while at < len(texts):
         end, size = at, 0
-        while end < len(texts) and (end == at or size + len(texts[end]) < 1 << 19):
+        while end < len(texts) and (end == at or size + len(texts[end]) < _BLOCK):
             size += len(texts[end])
             end += 1
         # A text too long for a block goes through it in pieces that overlap.
@@ -277,14 +277,20 @@ def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 part = names[k : k + 10_000]
                 begin = np.cumsum([0, *map(len, part[:-1])])
                 keys[k : k + len(part)] = _keys(np.frombuffer(b"".join(part), np.uint8))[begin]
-            order = np.argsort(keys, kind="stable").tolist()
+            order = np.argsort(keys, kind="stable")
+            first = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]]))
+            low = np.minimum.reduceat(np.array([min(i for i, _ in held[w]) for w in names])[order], first)
+            high = np.maximum.reduceat(np.array([max(i for i, _ in held[w]) for w in names])[order], first)
+            # A key whose other documents were copies of whole texts is left with one document: nothing can repeat.
+            order = order[np.repeat(low < high, np.diff(np.concatenate([first, [len(order)]])))].tolist()
             for a, k in enumerate(order):
                 if size >= _SLAB and keys[k] != keys[order[a - 1]]:
                     resolve()
                     size = 0
                 slab.append(names[k])
                 size += len(names[k])
-            resolve()
+            if slab:
+                resolve()
         found = [(i, np.array(v, np.int64).tobytes()) for i, v in out.items() if v]
         if found:
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.binary())], ["doc_id", "runs"])
