@@ -113,13 +113,13 @@ def _sift(buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _portions(batches, 2):
+            rows.sort(key=lambda r: r[0])  # so that a stable sort by key leaves documents in the order of their ids
             ids = np.array([r[0] for r in rows], np.int64)
             every = list(segments([_bytes(r[1]) for r in rows]))
             if not every:
                 continue
             doc, key = np.concatenate([e[0] for e in every]), np.concatenate([e[3] for e in every])
-            rank = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
-            order = np.lexsort((rank[doc], key))
+            order = np.argsort(key, kind="stable")
             doc, key = doc[order], key[order]
             fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (ids[doc[1:]] != ids[doc[:-1]])])
             doc, key = doc[fresh], key[fresh]  # each key once per document
