@@ -28,6 +28,7 @@ BLOCK = 2048
 #: So many ids of documents with a shared index entry are sent to every task (some 40 MB); more are joined by exchange.
 MOST_BROADCAST = 1_000_000
 _HASH_BYTES = 6
+_MET = "key long, part int, role int, cls long, label long, n long, sign binary, asks boolean"
 
 
 def _features(width: int):
@@ -142,17 +143,18 @@ def _shrunk(width: int):
     return run
 
 
-def _linked(percent: int):
-    def wide(x: bytes) -> np.ndarray:
-        out = np.zeros((len(x) // _HASH_BYTES, 8), np.uint8)
-        out[:, :_HASH_BYTES] = np.frombuffer(x, np.uint8).reshape(-1, _HASH_BYTES)
-        return out.reshape(-1).view(np.uint64)
+def _wide(x: bytes) -> np.ndarray:
+    out = np.zeros((len(x) // _HASH_BYTES, 8), np.uint8)
+    out[:, :_HASH_BYTES] = np.frombuffer(x, np.uint8).reshape(-1, _HASH_BYTES)
+    return out.reshape(-1).view(np.uint64)
+
 
+def _linked(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yes = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                a, b = wide(x), wide(y)
+                a, b = _wide(x), _wide(y)
                 both = np.concatenate([a, b])
                 both.sort()
                 common = int((both[1:] == both[:-1]).sum())
@@ -162,6 +164,120 @@ def _linked(percent: int):
     return run
 
 
+def _open_pairs(key: int, asks: tuple[np.ndarray, ...], others: tuple[np.ndarray, ...], percent: int) -> np.ndarray:
+    """(asking rows, other rows) of entry ``key``: pairs to be compared here. Rows are (cls, label, n, sign, asks).
+
+    These are of different components, near enough in size and signature, and share no earlier entry. Of two rows that
+    ask the one of the smaller class does.
+    """
+    (cls, label, n, signs, _), (cls_b, label_b, n_b, signs_b, asks_b) = asks, others
+    chunk, left = divmod(int((index_keys(signs[:1])[0].view(np.int64) == key).argmax()), PER_CHUNK)
+    out = (label[:, None] != label_b) & ((cls[:, None] < cls_b) | ~asks_b) & (100 * np.minimum(n[:, None], n_b) >= percent * np.maximum(n[:, None], n_b))
+    far = np.zeros(out.shape, np.uint8)
+    for c in range(CHUNKS if out.any() else 0):
+        part = np.zeros(out.shape, np.uint8)
+        for k in range(c * PER_CHUNK, (c + 1) * PER_CHUNK):
+            part += signs[:, k][:, None] != signs_b[:, k]
+        if c < chunk:
+            out &= part > 1
+        elif c == chunk and left:
+            out &= part > 0
+        far += part
+    return out & (far <= FARTHEST)
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bool, pa.RecordBatch, tuple[np.ndarray, ...]]]:
+    """(key, whether a group begins, rows, their columns) of rows sorted by group and role: a group's asking rows at once, then its others batch by batch."""
+    at, held, begins = None, [], False
+
+    def columns(rows: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        signs = np.frombuffer(b"".join(rows.column("sign").to_pylist()), np.uint16).reshape(-1, SIZE)
+        return *(rows.column(k).to_numpy(zero_copy_only=False) for k in ("cls", "label", "n")), signs, rows.column("asks").to_numpy(zero_copy_only=False)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        group = np.array([batch.column(k).to_numpy(zero_copy_only=False) for k in ("key", "part", "role")])
+        cuts = [0, *(np.flatnonzero((group[:, 1:] != group[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            key, part, role = group[:, a].tolist()
+            if (key, part) != at:
+                at, held = (key, part), []
+            rows = batch.slice(a, b - a)
+            if not role:
+                held.append(rows)
+                begins = True
+            elif held:
+                if begins:
+                    rows_held = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                    yield key, True, rows_held, columns(rows_held)
+                    begins = False
+                yield key, False, rows, columns(rows)
+
+
+def _needed(percent: int):
+    """Of the rows of open entries those with a pair to compare."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, asking, use = [], None, None
+        for key, begins, rows, cols in _met(batches):
+            if begins:
+                if asking is not None and use.any():
+                    out.append(asking.filter(pa.array(use)))
+                asking, mine, use = rows, cols, np.zeros(rows.num_rows, bool)
+            else:
+                pairs = _open_pairs(key, mine, cols, percent)
+                if pairs.any():
+                    use |= pairs.any(axis=1)
+                    out.append(rows.filter(pa.array(pairs.any(axis=0))))
+            if len(out) > 256:
+                yield from pa.Table.from_batches(out).combine_chunks().to_batches()
+                out = []
+        if asking is not None and use.any():
+            out.append(asking.filter(pa.array(use)))
+        if out:
+            yield from pa.Table.from_batches(out).combine_chunks().to_batches()
+
+    return run
+
+
+def _swept(percent: int):
+    """Links among all pairs of these rows that are to be compared, on the full sets; per group as many as join its components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = []
+        for key, begins, rows, cols in _met(batches):
+            sets_ = [_wide(x) for x in rows.column("set").to_pylist()]
+            if begins:
+                mine, size, root = cols, np.array([len(x) for x in sets_]), {}
+                known, place = np.unique(np.concatenate(sets_), return_inverse=True)
+                ids = np.split(place, np.cumsum(size)[:-1])
+                mark = np.zeros(len(known), bool)
+                continue
+
+            def top(x: int, root: dict[int, int]) -> int:
+                while x in root:
+                    x = root[x]
+                return x
+
+            pairs = _open_pairs(key, mine, cols, percent)
+            for j in np.flatnonzero(pairs.any(axis=0)).tolist():
+                who, x = np.flatnonzero(pairs[:, j]), sets_[j]
+                at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+                at = at[known[at] == x]
+                mark[at] = True
+                common = np.add.reduceat(mark[np.concatenate([ids[k] for k in who])], np.cumsum([0, *size[who][:-1]]), dtype=np.int64)
+                mark[at] = False
+                for k in who[100 * common >= percent * (size[who] + len(x) - common)].tolist():
+                    a, b = top(int(mine[1][k]), root), top(int(cols[1][j]), root)
+                    if a != b:
+                        root[a] = b
+                        found.append((int(mine[0][k]), int(cols[0][j])))
+        yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: ``doc_id``, ``n_shingles``, ``component_id`` (smallest id reachable over links), ``kept`` (that is the row itself).
 
@@ -170,8 +286,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     entries give first the pairs (smallest class, other class); links are confirmed on the full sets, and components
     are built. Entries that still hold several components then propose their central class to the others, and in later
     rounds, for each class outside the largest component, its nearest classes of other components by signature, 4,
-    then 16, then 64 of them, until such a round confirms no further link. So a large group of near copies costs some comparisons per member and round, not all pairs, and no
-    row is ever left out.
+    then 16, then 64 of them, until such a round confirms no further link. These rounds only join most copies cheaply.
+    A sweep then settles the rest: every pair of an entry that is still of different components and within FARTHEST is
+    compared on the full sets, inside a task, where the sets of such classes are sent; no pair becomes a row.
 
     Null or empty texts have no shingles and are linked with nothing. Rows with a null id are answered but linked with
     nothing (``component_id`` null, ``kept`` true). Rows that repeat an id count as one document.
@@ -190,6 +307,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     one = classes.groupBy("cls").agg(F.max("n_shingles").alias("n"), F.min("sign").alias("sign"))
     one = stored(one.join(entries.select("cls").distinct(), "cls", "left_semi"), "near-members")
 
+    def meeting(rows: DataFrame) -> DataFrame:
+        """Rows of open entries by group: those outside the entry's commonest component ask (role 0), all rows answer (role 1)."""
+        parts = rows.groupBy("key", "label").agg(F.count("*").alias("_n")).groupBy("key").agg(F.max_by("label", F.struct("_n", "label")).alias("_most"))
+        known = rows.join(parts, "key").withColumns({"asks": F.col("label") != F.col("_most"), "part": F.lit(0)})
+        met = known.withColumn("role", F.explode(F.when(F.col("asks"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))))
+        return met.selectExpr(*(c.split()[0] for c in _MET.split(", ")))
+
     def side(x: str) -> DataFrame:
         return one.select(F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.col("sign").alias(f"sign_{x}"))
 
@@ -206,15 +330,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         discard(close)
         return found
 
+    def still_open(labels: DataFrame) -> DataFrame:
+        labelled = entries.join(labels.withColumnRenamed("id", "cls"), "cls", "left").select("key", "cls", F.coalesce("label", "cls").alias("label"))
+        mixed = labelled.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low <> _high").select("key")
+        return labelled.join(mixed, "key", "left_semi").join(one, "cls").select("key", "cls", "label", "n", "sign")
+
     pairs = stored(entries.where("first <> cls").select(F.col("first").alias("a"), F.col("cls").alias("b")).distinct(), "near-pairs")
     links, tried, turn = confirmed(pairs), pairs, 0
     while True:
         labels = components(links)
         turn += 1
-        labelled = entries.join(labels.withColumnRenamed("id", "cls"), "cls", "left").select("key", "cls", F.coalesce("label", "cls").alias("label"))
-        mixed = labelled.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low <> _high").select("key")
-        open_ = labelled.join(mixed, "key", "left_semi").join(one, "cls").select("key", "cls", "label", "n", "sign")
-        dealt = open_.withColumn("_turn", F.xxhash64("cls", F.lit(turn))).repartition(partitions, "key").sortWithinPartitions("key", "_turn").select("key", "cls", "label", "n", "sign")
+        dealt = still_open(labels).withColumn("_turn", F.xxhash64("cls", F.lit(turn))).repartition(partitions, "key").sortWithinPartitions("key", "_turn").select("key", "cls", "label", "n", "sign")
         most = 4 ** min(turn - 1, 3) if turn > 1 else 0
         asked = dealt.mapInArrow(lambda it, most=most: _propose(it, most), "cls long, near array<long>")
         asked = asked.groupBy("cls").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")).select("cls", F.explode("near").alias("other"))
@@ -228,6 +354,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         if more.isEmpty() and turn > 2:
             break
         links, tried = links.unionByName(more), tried.unionByName(pairs)
+    whole = f"{_MET}, set binary"
+    needed = meeting(still_open(labels)).repartition(partitions, "key", "part").sortWithinPartitions("key", "part", "role").mapInArrow(_needed(percent), _MET)
+    needed = needed.join(full_sets, "cls").selectExpr(*(c.split()[0] for c in whole.split(", ")))
+    swept = stored(needed.repartition(partitions, "key", "part").sortWithinPartitions("key", "part", "role").mapInArrow(_swept(percent), "a long, b long"), "near-links")
+    if not swept.isEmpty():
+        labels = components(links.unionByName(swept))
     discard(entries, one, full_sets)
     member = feats.join(classes.select(*same, "cls"), same, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("cls", "doc_id")).alias("cls"))
     found = member.join(labels.withColumnRenamed("id", "cls"), "cls", "left")

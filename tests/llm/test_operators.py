@@ -103,6 +103,41 @@ def test_chained_near_copies_meet_in_one_component(spark):
     assert got == want and len(set(want.values())) == 1
 
 
+def crowded(cloud):
+    """Texts around three centres, of which only the last two are linked (similarity 89 to 111).
+
+    Each centre has texts of 88 to 112, which the two find nearer by signature than each other. The two differ in 18
+    components and share index entries only with the first centre, whose texts are the most there.
+    """
+    rng = np.random.default_rng(1)
+    fresh = iter(range(10**9))
+
+    def changed(words, k):
+        out = list(words)
+        for j in rng.choice(len(out), k, replace=False):
+            out[j] = f"w{next(fresh)}"
+        return out
+
+    def signs(texts):
+        return shingles.signatures(list(shingles.sets([" ".join(x) for x in texts], 1)), near_dedup.SIZE)
+
+    centre = [f"b{k}" for k in range(100)]
+    ones = [changed(centre, 12) for _ in range(300)]
+    one = ones[(signs(ones) != signs([centre])).sum(axis=1).argmin()]
+    others = [changed(one, 11) for _ in range(2000)]
+    far = (signs(others) != signs([one])).sum(axis=1)
+    first, second, *keys = (set(x) for x in near_dedup.index_keys(signs([centre, one, *others])).tolist())
+    other = others[next(k for k in np.argsort(-far).tolist() if second & keys[k] and second & keys[k] <= first)]
+    texts = [changed(x, 12) for x, n in ((centre, 3 * cloud), (one, cloud), (other, cloud)) for _ in range(n)]
+    return [(k, " ".join(x)) for k, x in enumerate([*texts, centre, one, other])]
+
+
+def test_link_behind_many_nearer_texts(spark):
+    rows = crowded(200)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs(spark, rows), 1, 80).collect()}
+    assert got == {i: i - (i == len(rows) - 1) for i, _ in rows}
+
+
 def test_index_guarantees_the_distance():
     """Any two signatures within 19 differing components share a key."""
     rng = np.random.default_rng(9)
