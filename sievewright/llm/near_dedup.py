@@ -23,8 +23,10 @@ CHUNKS, PER_CHUNK = 10, 5
 SIZE = CHUNKS * PER_CHUNK
 #: Pairs of more differing components are not compared: at a similarity of 0.8 that is 5 in ten million.
 FARTHEST = 24
-#: Rows of an index entry that are compared with each other at once; larger entries are dealt anew every round.
+#: Rows of an index entry that are compared with each other at once. Rounds of proposals deal larger entries anew; the sweep after them lets every block of asking rows meet the whole entry.
 BLOCK = 2048
+#: Bytes of sets that the asking rows of a block in the sweep may have together.
+MOST_HELD = 1 << 26
 #: So many ids of documents with a shared index entry are sent to every task (some 40 MB); more are joined by exchange.
 MOST_BROADCAST = 1_000_000
 _HASH_BYTES = 6
@@ -308,10 +310,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     one = stored(one.join(entries.select("cls").distinct(), "cls", "left_semi"), "near-members")
 
     def meeting(rows: DataFrame) -> DataFrame:
-        """Rows of open entries by group: those outside the entry's commonest component ask (role 0), all rows answer (role 1)."""
-        parts = rows.groupBy("key", "label").agg(F.count("*").alias("_n")).groupBy("key").agg(F.max_by("label", F.struct("_n", "label")).alias("_most"))
-        known = rows.join(parts, "key").withColumns({"asks": F.col("label") != F.col("_most"), "part": F.lit(0)})
-        met = known.withColumn("role", F.explode(F.when(F.col("asks"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))))
+        """Rows of open entries by group: those outside the entry's commonest component ask (role 0), all rows answer (role 1).
+
+        The asking rows of an entry are dealt over parts of some BLOCK rows, and every part meets all rows of the entry.
+        """
+        per = rows.groupBy("key", "label").agg(F.count("*").alias("_n"), F.sum("n").alias("_size"))
+        most = F.struct("_n", "label")
+        asking = F.sum("_n") - F.max_by("_n", most), F.sum("_size") - F.max_by("_size", most)
+        parts = per.groupBy("key").agg(F.max_by("label", most).alias("_most"), F.ceil(F.greatest(asking[0] / BLOCK, asking[1] * _HASH_BYTES / MOST_HELD)).cast("int").alias("_parts"))
+        known = rows.join(parts, "key").withColumn("asks", F.col("label") != F.col("_most"))
+        own = F.struct(F.lit(0).alias("role"), F.expr("cast(pmod(xxhash64(cls), _parts) as int)").alias("part"))
+        every = F.transform(F.sequence(F.lit(0), F.col("_parts") - 1), lambda p: F.struct(F.lit(1).alias("role"), p.alias("part")))
+        met = known.withColumn("_place", F.explode(F.when(F.col("asks"), F.concat(F.array(own), every)).otherwise(every))).select("*", "_place.role", "_place.part")
         return met.selectExpr(*(c.split()[0] for c in _MET.split(", ")))
 
     def side(x: str) -> DataFrame:

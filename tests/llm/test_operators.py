@@ -138,6 +138,15 @@ def test_link_behind_many_nearer_texts(spark):
     assert got == {i: i - (i == len(rows) - 1) for i, _ in rows}
 
 
+@pytest.mark.parametrize("limit, value", [("BLOCK", 32), ("MOST_HELD", 1 << 14)])
+def test_blocks_of_a_large_entry_meet(spark, monkeypatch, limit, value):
+    """Entries of hundreds of rows in several blocks; the two linked rows do not ask in the same one or are met by all."""
+    monkeypatch.setattr(near_dedup, limit, value)
+    rows = crowded(200)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs(spark, rows), 1, 80).collect()}
+    assert got == {i: i - (i == len(rows) - 1) for i, _ in rows}
+
+
 def test_index_guarantees_the_distance():
     """Any two signatures within 19 differing components share a key."""
     rng = np.random.default_rng(9)
