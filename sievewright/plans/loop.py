@@ -78,8 +78,8 @@ def decide(run: Run, state: dict, last: dict | None) -> tuple[str, float, str]:
 def drive(run: Run, stages: dict[str, Callable[[Run], dict[str, DataFrame]]], pending: Callable[[Run], dict[str, int]]) -> Run:
     """Run ``stages`` (action to a function that returns changed tables) until a stop or the step limit.
 
-    Every step's changed tables are written below ``path`` and read back, so lineage stays short and a run can be
-    resumed from any step. A step that changes no count is an error, as nothing would ever change again. A stage that
+    Every step's changed tables are written below ``path`` and read back, so lineage stays short; nothing
+    here resumes a run from them. A step that changes no count is an error, as nothing would ever change again. A stage that
     fails is a step with status error, and the loop goes on.
     """
     last = None
