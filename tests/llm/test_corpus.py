@@ -188,6 +188,45 @@ def test_suffix_dedup(spark, odd):
     assert whole.columns == docs(spark, []).columns and whole.count() == len(odd)
 
 
+def spans_by_brute_force(rows):
+    """Per id (n_bytes, n_removed, n_spans, kept bytes) of rows with distinct ids."""
+    n, first, out = suffix_dedup.LEAST, {}, {}
+    for i, t in sorted(rows, key=lambda r: r[0]):
+        b = (t or "").encode()
+        gone = np.zeros(len(b), bool)
+        for k in range(len(b) - n + 1):
+            if first.setdefault(b[k : k + n], i) < i:
+                gone[k : k + n] = True
+        edges = np.diff(np.concatenate([[0], gone.astype(int), [0]]))
+        out[i] = (len(b), int(gone.sum()), int((edges == 1).sum()), b"".join(b[k : k + 1] for k in np.flatnonzero(~gone)))
+    return out
+
+
+@pytest.mark.parametrize("case", ["no repeats", "one document", "one portion repeats", "one hot passage"])
+def test_suffix_dedup_cases(spark, monkeypatch, case):
+    rng = np.random.default_rng(8)
+    words = lambda n: " ".join("".join(rng.choice(list("abcdefghijklmnop"), 9)) for _ in range(n))
+    shared = words(20)
+    rows = {
+        "no repeats": [(k, words(12)) for k in range(2)],
+        "one document": [(3, shared + words(5) + shared)],
+        "one portion repeats": [(k, words(30) + (shared if k in (1, 2) else "") + words(3)) for k in range(40)],
+        "one hot passage": [(k, words(3) + shared + words(4)) for k in range(300)],
+    }[case]
+    table = docs(spark, rows).coalesce(1 if case == "one portion repeats" else 4)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.remove_repeats(table).collect()}
+    assert got == spans_by_brute_force(rows)
+
+
+def test_suffix_dedup_of_texts_over_a_megabyte(spark):
+    """Repeated strings on both sides of, and across, the places where a long text is cut for its keys."""
+    rng = np.random.default_rng(9)
+    long = bytes(rng.integers(97, 123, 2_300_000, dtype=np.uint8)).decode()
+    rows = [(1, long), (2, "x" * 70 + long[(1 << 20) - 300 : (1 << 20) + 300] + "y" * 70), (3, long[2_000_000:]), (4, long + "z" * 10)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.remove_repeats(docs(spark, rows)).collect()}
+    assert got == spans_by_brute_force(rows)
+
+
 def test_prefix_boundaries_are_exact():
     rng = np.random.default_rng(2)
     windows = [bytes(rng.integers(97, 99, rng.integers(3, 40)).astype(np.uint8)) for _ in range(60)] + [b"ab" * 20, b"ab" * 15]
