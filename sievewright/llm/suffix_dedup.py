@@ -136,7 +136,9 @@ def _sift(buckets: int):
             for known, own, k in out:
                 bucket = (k >> _U(40)).astype(np.int64) % buckets
                 by = np.argsort(bucket, kind="stable")
-                cuts = np.flatnonzero(np.concatenate([[True], bucket[by][1:] != bucket[by][:-1]])) if len(by) else []
+                if not len(by):
+                    continue
+                cuts = np.flatnonzero(np.concatenate([[True], bucket[by][1:] != bucket[by][:-1]]))
                 for a, b in zip(cuts, [*cuts[1:], len(by)], strict=True):
                     part = by[a:b]
                     used, idx = np.unique(own[part], return_inverse=True)
