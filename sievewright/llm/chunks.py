@@ -1,77 +1,150 @@
-"""Cutting texts where a tokenizer's pieces end anyway, and a bounded memory of what each piece encodes to."""
+"""Cutting texts where a tokenizer's pieces end anyway, and a bounded memory of what each piece encodes to.
+
+Texts stay Arrow buffers: cuts are places in their bytes, equal pieces are found by dictionary encoding, and Python
+sees only the distinct pieces of a portion.
+"""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable
+import os
+from array import array
+from collections.abc import Callable, Iterator
+from functools import cache
 
-#: White space other than space and line feed, by any definition in use.
-_OTHER = [chr(c) for c in (9, 11, 12, 13, 28, 29, 30, 31)]
-_WIDE = [chr(c) for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
-_RUNS = ("  ", " \n", "\n ", "\n\n")
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
+#: Fixed value: the splitting pattern of the byte-level vocabularies; cutting at white space is proved for it alone.
+GPT2_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-def _odd(text: str) -> bool:
-    """Whether white space stands at an end, in a run, or as anything but space and line feed."""
-    return text[:1] in " \n" or text[-1:] in " \n" or any(x in text for x in _RUNS) or any(x in text for x in _OTHER) or not text.isascii() and any(x in text for x in _WIDE)
+_GAP, _SOLID = bytearray(256), bytearray(256)
+for _b in range(256):
+    _GAP[_b] = _b in (9, 10, 11, 12, 13, 32)
+    _SOLID[_b] = _b > 32
+_GAP, _SOLID = bytes(_GAP), bytes(_SOLID)
+#: Last bytes of the white space outside ASCII (U+0085, U+00A0; U+1680, U+2000 to U+200A, U+2028, U+2029, U+202F, U+205F, U+3000).
+_WIDE2 = np.array([0xC285, 0xC2A0])
+_WIDE3 = np.array([0xE19A80, *range(0xE28080, 0xE2808B), 0xE280A8, 0xE280A9, 0xE280AF, 0xE2819F, 0xE38080])
+_PORTION = 8 << 20
 
 
-_EVEN = re.compile(r" ?[^ \n]+|\n").findall
-_SAFE = re.compile(r"(?<=\S)(?= \S)").split
+def _mapped(data: np.ndarray, table: bytes) -> np.ndarray:
+    return np.frombuffer(data.tobytes().translate(table), np.bool_)
 
 
-def spaced(text: str) -> list[str]:
-    """Pieces that GPT-2's pattern never crosses: single spaces go with the word behind them, single line feeds stand alone.
+def before_spaces(data: np.ndarray) -> np.ndarray:
+    """Places in UTF-8 ``data`` where a run of white space follows a character that is none.
 
-    Texts with other white space, or runs of it, are cut only before single spaces between two words.
+    No match of GPT2_PATTERN reaches from such a character into the run behind it, and what matches in a run does not
+    depend on what stands before it; so each piece, a run and the word behind it, can be split by itself.
     """
-    return (_SAFE(text) if text else []) if _odd(text) else _EVEN(text)
+    cut = np.flatnonzero(_mapped(data[1:], _GAP) & _mapped(data[:-1], _SOLID)) + 1
+    last = data[cut - 1].astype(np.int64)
+    if (wide := last >= 0x80).any():
+        two = np.where(cut > 1, data[np.maximum(cut - 2, 0)], 0).astype(np.int64) << 8 | last
+        three = np.where(cut > 2, data[np.maximum(cut - 3, 0)], 0).astype(np.int64) << 16 | two
+        cut = cut[~(wide & (np.isin(two, _WIDE2) | np.isin(three, _WIDE3)))]
+    return cut
+
+
+def _glued(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, piece offsets, first piece of each text) with pieces that keep their white space."""
+    mark = np.zeros(len(data) + 1, bool)
+    mark[before_spaces(data)] = True
+    mark[offsets] = True
+    cut = np.flatnonzero(mark)
+    return data, cut, np.searchsorted(cut, offsets)
+
+
+def _bare(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same with runs of spaces and line feeds, which every definition counts as white space, left out."""
+    solid = (data != 32) & (data != 10)
+    before = np.concatenate([[0], np.cumsum(solid)])
+    start = solid.copy()
+    start[1:] &= ~solid[:-1]
+    first = offsets[:-1][offsets[:-1] < offsets[1:]]
+    start[first] = solid[first]
+    cut = np.append(before[np.flatnonzero(start)], before[-1])
+    return data[solid], cut, np.searchsorted(cut, before[offsets])
+
+
+def _whole(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    cut = np.unique(offsets)
+    return data, cut, np.searchsorted(cut, offsets)
 
 
-#: For tokenizers that drop white space: only spaces and line feeds, which every definition counts as such.
-unspaced = re.compile(r"[^ \n]+").findall
+CUTS = {"glued": _glued, "bare": _bare, "whole": _whole}
 
 
 class Memory:
-    """What each piece encodes to, as bytes. ``encode`` takes a list of pieces; long pieces are not kept.
+    """What each piece encodes to. ``encode`` takes a list of distinct pieces and gives their ids as little-endian bytes.
 
-    Pieces live in two generations of ``limit`` // 2 at most: a full young one becomes the old one, whose pieces come
-    back when they are met again.
+    Pieces of up to ``longest`` bytes live in two generations of ``limit`` // 2: a full young one becomes the old one,
+    whose pieces come back when they are met again.
     """
 
-    def __init__(self, cut: Callable[[str], list[str]], encode: Callable[[list[str]], list[bytes]], limit: int = 1_000_000, longest: int = 64):
-        self.cut, self.encode, self.limit, self.longest, self.young, self.old = cut, encode, limit, longest, {}, {}
+    def __init__(self, cut: str, encode: Callable[[list[str]], list[bytes]], limit: int = 1_000_000, longest: int = 64):
+        self.cut, self.encode, self.limit, self.longest, self.young, self.old = CUTS[cut], encode, limit, longest, {}, {}
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """What each text encodes to."""
-        cut = [self.cut(t) for t in texts]
+    def _known(self, pieces: list[bytes]) -> list[bytes]:
         if len(self.young) >= self.limit // 2:
             self.young, self.old = {}, self.young
         young, old = self.young, self.old
-        missing = {p for pieces in cut for p in pieces if p not in young}
+        found = list(map(young.get, pieces))
         new = []
-        for p in missing:
-            if (found := old.get(p)) is None:
-                new.append(p)
-            else:
-                young[p] = found
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            young.update(zip(part, self.encode(part), strict=True))
-        out = [b"".join(map(young.__getitem__, pieces)) for pieces in cut]
-        for p in new:
-            if len(p) > self.longest:
-                del young[p]
-        return out
-
-
-def portions(texts: list[str], most: int = 2 << 20):
-    """(start, end) of runs of texts with about ``most`` characters."""
-    start = total = 0
-    for k, t in enumerate(texts):
-        if total and total + len(t) > most:
-            yield start, k
-            start, total = k, 0
-        total += len(t)
-    if start < len(texts):
-        yield start, len(texts)
+        for k, ids in enumerate(found):
+            if ids is None:
+                if (ids := old.get(pieces[k])) is None:
+                    new.append(k)
+                else:
+                    found[k] = young[pieces[k]] = ids
+        for s in range(0, len(new), 20_000):
+            part = new[s : s + 20_000]
+            for k, ids in zip(part, self.encode([pieces[k].decode() for k in part]), strict=True):
+                found[k] = ids
+                if len(pieces[k]) <= self.longest:
+                    young[pieces[k]] = ids
+        return found
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, ends of each text among them) of texts data[offsets[k] : offsets[k + 1]]."""
+        data, cut, first = self.cut(data, offsets)
+        pieces = pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer(cut.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+        known = pa.array(self._known(pieces.dictionary.to_pylist()), pa.binary())
+        spread = known.take(pieces.indices)
+        ends = np.frombuffer(spread.buffers()[1], np.int32, len(spread) + 1, 4 * spread.offset) if len(spread) else np.zeros(1, np.int32)
+        ids = np.frombuffer(spread.buffers()[2] or b"", "<u4")[ends[0] // 4 : ends[-1] // 4] if len(spread) else np.zeros(0, "<u4")
+        return ids, (ends[first[1:]] - ends[0]) // 4
+
+
+def text_portions(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first, end, bytes, offsets) of runs of texts with about _PORTION bytes, straight from the array's buffers; null is empty."""
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    n = len(texts)
+    if not n:
+        return
+    offsets = np.frombuffer(texts.buffers()[1], np.int64, n + 1, 8 * texts.offset)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    a = 0
+    while a < n:
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + _PORTION, "right")) - 1)
+        yield a, b, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+        a = b
+
+
+@cache
+def library_memory(path: str, cut: str) -> Memory:
+    """A worker's memory of the tokenizers library's encoder at ``path``. Pieces are cut as asked only where that gives what whole texts give."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    probe = ["Ab cd's  12\n\nxy. z\n", " a\tb \n 'll 7%", "é ñ　 w"]
+    encode = lambda pieces: [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+    memory = Memory(cut, encode)
+    for text in probe:
+        raw = np.frombuffer(text.encode(), np.uint8)
+        if memory(raw, np.array([0, len(raw)]))[0].tobytes() != encode([text])[0]:
+            return Memory("whole", encode)
+    return memory

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import os
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .chunks import Memory, portions, unspaced
+from .chunks import library_memory, text_portions
 from .common import prepare
 from .files import task_number
 
@@ -45,39 +43,27 @@ class SumOfSquares:
         return bin_, cap - gap
 
 
-_HELD: dict[str, Memory] = {}
-
-
-def _memory(path: str) -> Memory:
-    if path not in _HELD:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        _HELD[path] = Memory(unspaced, lambda pieces: [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)])
-    return _HELD[path]
-
-
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", ids: bool = False) -> DataFrame:
     """Pieces of at most ``capacity`` ids: ``doc_id``, ``piece``, ``start``, ``length``, ``ids_crc32`` (with ``ids`` also the ids, little-endian unsigned 32-bit).
 
-    Only documents longer than ``capacity`` are cut. The tokenizer must drop white space, as its words are looked up one by one.
+    Ids are those of the tokenizers library, ``end_id`` follows them. Only documents longer than ``capacity`` are cut.
     """
     prepare(docs.sparkSession)
-    end, step = np.array([end_id], "<u4").tobytes(), 4 * capacity
+    end = np.array([end_id], "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = _memory(tokenizer_path)
+        memory = library_memory(tokenizer_path, "bare")
         for batch in batches:
-            own, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in portions(texts):
-                rows = []
-                for d, data in zip(own[a:b], memory(texts[a:b]), strict=True):
-                    data += end
-                    for k in range(0, len(data), step):
-                        x = data[k : k + step]
-                        rows.append((d, k // step, k // 4, len(x) // 4, zlib.crc32(x), *([x] if ids else [])))
+            own = batch.column(0).to_pylist()
+            for a, b, data, offsets in text_portions(batch.column(1)):
+                found, ends = memory(data, offsets)
+                rows, at = [], 0
+                for d, e in zip(own[a:b], ends.tolist(), strict=True):
+                    mine = np.concatenate([found[at:e], end])
+                    for k in range(0, len(mine), capacity):
+                        x = mine[k : k + capacity]
+                        rows.append((d, k // capacity, k, len(x), zlib.crc32(x), *([x.tobytes()] if ids else [])))
+                    at = e
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *([pa.binary()] if ids else [])]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if ids else [])]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
