@@ -2,9 +2,10 @@
 
 The transducer rests on two facts about BPE: every prefix of a word has one encoding, and a sequence of tokens is an
 encoding exactly if each token encodes to itself and each two neighbours, encoded together, stay as they are. A state
-is the last token that is certain and the bytes behind it. Reading a byte finds the one token that may end there; a
-token is emitted as soon as all positions at which a further token may still begin lie behind it, which needs no more
-lookahead than the longest token. States and their transitions are made when first met and kept up to a limit.
+holds the places at which a token that has not ended yet may have begun: for each, how far the token has got in the
+trie of all tokens and which token ends before it. Reading a byte moves to another state and tells the one token of
+the prefix's encoding that ends there. What lies before the earliest open place is certain once the open places share
+it, so tokens leave after a lookahead no longer than the longest token. States and moves are made when first met.
 """
 
 from __future__ import annotations
@@ -14,13 +15,18 @@ import codecs
 import hashlib
 from array import array
 from collections.abc import Iterator
+from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .chunks import Memory, portions, spaced
+from .chunks import GPT2_PATTERN, Memory, text_portions
 from .common import prepare
 
+_BITS, _NONE = 21, (1 << 21) - 1
+_LONG = 4096
+
 
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
@@ -28,16 +34,36 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Transducer:
-    """Encodes one word (a match of the splitting pattern) at a time."""
+    """Encodes one word (a match of the splitting pattern) at a time. Every single byte must be a token."""
 
-    def __init__(self, ranks: dict[bytes, int], limit: int = 250_000):
+    def __init__(self, ranks: dict[bytes, int], limit: int = 400_000):
+        if max(ranks.values()) >= _NONE or any(bytes([b]) not in ranks for b in range(256)):
+            raise ValueError("ranks of two million or more, or a byte without a token")
         self.ranks, self.limit = ranks, limit
         self.token = {i: b for b, i in ranks.items()}
-        self.begins = dict.fromkeys((b[:k] for b in ranks for k in range(len(b) + 1)), -1) | ranks  # -1: begins a token, is none
+        self.size = {i: len(b) for b, i in ranks.items()}
         self.halves: dict[bytes, tuple[bytes, bytes] | None] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.states: dict[tuple[int, bytes], list] = {}
-        self.start = self.state(-1, b"", (), (), (0,))
+        self.fits: dict[int, bool] = {}
+        self.step: dict[int, int] = {}  # trie: node << 8 | byte -> node
+        self.ends_at: dict[int, int] = {}  # trie: node -> its token, if merges make it
+        nodes = 1
+        for b, i in ranks.items():
+            node = 0
+            for x in b:
+                to = self.step.get(node << 8 | x)
+                if to is None:
+                    to = self.step[node << 8 | x] = nodes
+                    nodes += 1
+                node = to
+            self.ends_at[node] = i
+        self.inner = {edge >> 8 for edge in self.step}
+        self.clear()
+
+    def clear(self) -> None:
+        self.fits.clear()
+        self.moves: dict[int, int] = {}  # state << 8 | byte -> state << _BITS | token that ends here
+        self.open: list[tuple[int, ...]] = [(_NONE,)]  # per state: node << _BITS | token before the place, earliest place first
+        self.number: dict[tuple[int, ...], int] = {self.open[0]: 0}
 
     def split(self, token: bytes) -> tuple[bytes, bytes] | None:
         """The two parts of the last merge that makes ``token``; a single byte has an empty second part; None: no merges make it."""
@@ -57,104 +83,119 @@ class Transducer:
             found = self.halves[token] = halves
         return found
 
-    def spine(self, token: bytes, side: int) -> list[bytes]:
-        """Parts at one edge of ``token`` (0: left, 1: right), from its single byte up to itself."""
-        out = [token]
+    @cache  # noqa: B019  one machine per worker, bounded by the vocabulary
+    def spine(self, token: int, side: int) -> tuple[tuple[bytes, ...], tuple[int, ...]]:
+        """Parts at one edge of ``token`` (0: left, 1: right), from its single byte up to itself, and the ranks of those behind the first."""
+        out = [self.token[token]]
         while len(out[-1]) > 1:
             out.append(self.split(out[-1])[side])
-        return out[::-1]
+        out.reverse()
+        return tuple(out), (*(self.ranks[x] for x in out[1:]), 1 << 60)
 
     def stays(self, left: int, right: int) -> bool:
         """Whether the two tokens, encoded together, stay as they are: both edges grow in rank order and no merge across them comes first."""
-        ok = self.fits.get((left, right))
-        if ok is not None:
-            return ok
-        if len(self.fits) > self.limit:
-            self.fits.clear()
         ranks, last = self.ranks, 1 << 60
-        a, b = self.spine(self.token[left], 1), self.spine(self.token[right], 0)
+        (a, up_a), (b, up_b) = self.spine(left, 1), self.spine(right, 0)
         i = j = 0
         while True:
-            across = ranks.get(a[i] + b[j], last)
-            up_a = ranks[a[i + 1]] if i + 1 < len(a) else last
-            up_b = ranks[b[j + 1]] if j + 1 < len(b) else last
-            if across < up_a and across <= up_b:
-                ok = False
-                break
-            if up_a == last and up_b == last:
-                ok = True
-                break
-            if up_a <= up_b:
+            across, x, y = ranks.get(a[i] + b[j], last), up_a[i], up_b[j]
+            if across < x and across <= y:
+                return False
+            if x == last and y == last:
+                return True
+            if x <= y:
                 i += 1
             else:
                 j += 1
-        self.fits[left, right] = ok
-        return ok
-
-    def state(self, last: int, rest: bytes, ends: tuple, firsts: tuple, live: tuple) -> list:
-        """[moves, last, rest, ends, firsts, live].
-
-        ends[k]: the token that ends behind rest[:k + 1], firsts[k]: the first token of that encoding; live: places at
-        which the next token to end may begin.
-        """
-        found = self.states.get((last, rest))
-        if found is None:
-            found = self.states[last, rest] = [None, last, rest, ends, firsts, live]
-        return found
 
-    def move(self, state: list, byte: int) -> tuple[list, tuple[int, ...]]:
-        _, last, rest, ends, firsts, before = state
-        rest += bytes([byte])
-        n, new, first, begins, fits, live = len(rest), None, None, self.begins, self.fits, []
-        for k in before:
-            piece = rest[k:]
-            i = begins.get(piece)
-            if i is None:
+    def move(self, state: int, byte: int) -> int:
+        step, ends_at, inner, fits, live, new = self.step, self.ends_at, self.inner, self.fits, [], -1
+        for place in self.open[state]:
+            node = step.get(place >> _BITS << 8 | byte)
+            if node is None:
                 continue
-            live.append(k)
-            if i < 0 or new is not None or len(piece) > 1 and self.split(piece) is None:
+            left = place & _NONE
+            if node in inner:
+                live.append(node << _BITS | left)
+            if new < 0 and (i := ends_at.get(node)) is not None:
+                if left != _NONE:
+                    ok = fits.get(left << _BITS | i)
+                    if ok is None:
+                        ok = fits[left << _BITS | i] = self.split(self.token[i]) is not None and self.stays(left, i)
+                    if ok:
+                        new = i
+                elif self.split(self.token[i]) is not None:
+                    new = i
+        live.append(new)  # a token may begin behind this byte; the trie's root is node 0
+        key = tuple(live)
+        to = self.number.get(key)
+        if to is None:
+            to = self.number[key] = len(self.open)
+            self.open.append(key)
+        found = self.moves[state << 8 | byte] = to << _BITS | new
+        return found
+
+    def stream(self, word: bytes) -> Iterator[int]:
+        """Tokens of ``word``, each as soon as it is certain; held are only the places since the last certain one."""
+        state, ends, base = 0, [], 0  # ends[k]: token that ends behind byte base + k
+        depth = {0: 0}
+
+        def path(at: int) -> list[int]:
+            out = []
+            while at > base:
+                out.append(ends[at - base - 1])
+                at -= self.size[out[-1]]
+            return out[::-1]
+
+        for n, byte in enumerate(word, 1):
+            found = self.moves.get(state << 8 | byte)
+            found = self.move(state, byte) if found is None else found
+            state = found >> _BITS
+            ends.append(found & _NONE)
+            if len(ends) % 64:
                 continue
-            left = ends[k - 1] if k else last
-            ok = left < 0 or fits.get((left, i))
-            if ok or ok is None and self.stays(left, i):
-                new, first = i, firsts[k - 1] if k else i
-        live.append(n)
-        ends, firsts, out = (*ends, new), (*firsts, first), ()
-        while live[0]:  # no token beginning at the first place can end any more: what all live places share is certain
-            sure = {firsts[k - 1] for k in live}
-            if len(sure) != 1:
-                break
-            last = sure.pop()
-            cut = len(self.token[last])
-            rest, ends, out, live = rest[cut:], ends[cut:], (*out, last), [k - cut for k in live]
-            again: list = []
-            for k, i in enumerate(ends):
-                begin = k + 1 - len(self.token[i])
-                again.append(i if begin == 0 else again[begin - 1] if begin > 0 else None)
-            firsts = tuple(again)
-        to = self.state(last, rest, ends, firsts, tuple(live)), out
-        if state[0] is None:
-            state[0] = {}
-        state[0][byte] = to
-        return to
+            for place in self.open[state]:
+                node, x = place >> _BITS, 0
+                if node not in depth:  # the open places' distances: depths of their nodes, found by their bytes
+                    at = 0
+                    for x in range(1, min(n, max(self.size.values())) + 1):
+                        at = 0
+                        for b in word[n - x : n]:
+                            at = self.step.get(at << 8 | b, -1)
+                            if at < 0:
+                                break
+                        if at == node:
+                            break
+                    depth[node] = x
+            paths = [path(n - depth[place >> _BITS]) for place in self.open[state]]
+            sure = 0
+            while all(len(p) > sure and p[sure] == paths[0][sure] for p in paths):
+                sure += 1
+            for token in paths[0][:sure]:
+                yield token
+                del ends[: self.size[token]]
+                base += self.size[token]
+        yield from path(len(word))
 
     def encode(self, word: bytes) -> list[int]:
         if (i := self.ranks.get(word)) is not None:
             return [i]
-        if len(self.states) > self.limit:
-            self.states.clear()
-            self.start = self.state(-1, b"", (), (), (0,))
-        state, out = self.start, []
+        if len(self.open) > self.limit or len(self.moves) > 4 * self.limit or len(self.fits) > 4 * self.limit:
+            self.clear()
+        if len(word) > _LONG:
+            return list(self.stream(word))
+        moves, state, ends = self.moves, 0, []
         for byte in word:
-            moves = state[0]
-            state, emitted = moves and moves.get(byte) or self.move(state, byte)
-            if emitted:
-                out += emitted
-        tail, at, ends = [], len(state[2]), state[3]
+            found = moves.get(state << 8 | byte)
+            if found is None:
+                found = self.move(state, byte)
+            state = found >> _BITS
+            ends.append(found & _NONE)
+        out, at, size = [], len(word), self.size
         while at:
-            tail.append(ends[at - 1])
-            at -= len(self.token[ends[at - 1]])
-        return out + tail[::-1]
+            out.append(ends[at - 1])
+            at -= size[ends[at - 1]]
+        return out[::-1]
 
 
 class StreamDecoder:
@@ -164,47 +205,58 @@ class StreamDecoder:
         self.token, self.machine = token, codecs.getincrementaldecoder("utf-8")("surrogateescape")
 
     def feed(self, ids, final: bool = False) -> str:
-        return self.machine.decode(b"".join(map(self.token.__getitem__, ids)), final)
-
+        return self.feed_bytes(b"".join(map(self.token.__getitem__, ids)), final)
 
-_HELD: dict = {}
+    def feed_bytes(self, data, final: bool = False) -> str:
+        return self.machine.decode(data, final)
 
 
+@cache
 def _tools(path: str, pattern: str):
-    if (path, pattern) not in _HELD:
-        import regex
+    """A worker's memory of words, and Arrow arrays of each id's bytes and of its decimal digits with a comma."""
+    import regex
+
+    words, machine = regex.compile(pattern).findall, Transducer(read_ranks(path))
+
+    def encode(pieces: list[str]) -> list[bytes]:
+        return [array("I", [i for w in words(p) for i in machine.encode(w.encode("utf-8", "surrogatepass"))]).tobytes() for p in pieces]
 
-        words, machine = regex.compile(pattern).findall, Transducer(read_ranks(path))
+    ids = range(max(machine.token) + 1)
+    return Memory("glued" if pattern == GPT2_PATTERN else "whole", encode, 600_000), pa.array([machine.token.get(i, b"") for i in ids], pa.large_binary()), pa.array([b"%d," % i for i in ids], pa.large_binary()), machine.token
 
-        def encode(pieces: list[str]) -> list[bytes]:
-            return [array("I", [i for w in words(p) for i in machine.encode(w.encode("utf-8", "surrogatepass"))]).tobytes() for p in pieces]
 
-        _HELD[path, pattern] = Memory(spaced, encode, 600_000), machine, {i: str(i) for i in machine.token}
-    return _HELD[path, pattern]
+def _spread(values: pa.Array, ids: np.ndarray) -> tuple[memoryview, np.ndarray]:
+    """Concatenated values of ``ids``, and where each begins."""
+    out = values.take(pa.array(ids))
+    if not len(out):
+        return memoryview(b""), np.zeros(1, np.int64)
+    return memoryview(out.buffers()[2]), np.frombuffer(out.buffers()[1], np.int64, len(out) + 1, 8 * out.offset)
 
 
 def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = False) -> DataFrame:
     """Per row: ``doc_id``, ``n_tokens``, ``ids_sha256`` (of decimal ids joined by commas), ``decoded_sha256``.
 
     With ``ids`` also the ids themselves (``ids``: array of int). Each match of ``pattern`` is encoded by itself, no
-    special tokens. Null text counts as empty (no ids); every input row gives one row, null ids and repeats too.
+    special tokens. Null text counts as empty (no ids); every input row gives one row, null ids and repeats too; an
+    empty table gives an empty result and further columns are not read. Texts are cut into words at white space where
+    the pattern is known to allow it and go whole through any other pattern.
     """
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory, machine, digits = _tools(ranks_path, pattern)
+        memory, values, digits, token = _tools(ranks_path, pattern)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in portions(texts):
-                rows = []
-                for data in memory(texts[a:b]):
-                    flat = array("I", data).tolist()
-                    decoder, digest = StreamDecoder(machine.token), hashlib.sha256()
-                    for k in range(0, len(flat), 4096):
-                        digest.update(decoder.feed(flat[k : k + 4096]).encode("utf-8", "surrogateescape"))
-                    digest.update(decoder.feed([], True).encode("utf-8", "surrogateescape"))
-                    decimal = ",".join([digits[i] for i in flat])
-                    rows.append((len(flat), hashlib.sha256(decimal.encode()).hexdigest(), digest.hexdigest(), *([flat] if ids else [])))
+            for a, b, data, offsets in text_portions(batch.column(1)):
+                found, ends = memory(data, offsets)
+                (raw, at), (decimal, mark), rows, first = _spread(values, found), _spread(digits, found), [], 0
+                for e in ends.tolist():
+                    decoder, digest = StreamDecoder(token), hashlib.sha256()
+                    for k in range(at[first], at[e], 1 << 16):
+                        digest.update(decoder.feed_bytes(raw[k : min(k + (1 << 16), at[e])]).encode("utf-8", "surrogateescape"))
+                    digest.update(decoder.feed_bytes(b"", True).encode("utf-8", "surrogateescape"))
+                    text = decimal[mark[first] : max(mark[first], mark[e] - 1)]
+                    rows.append((e - first, hashlib.sha256(text).hexdigest(), digest.hexdigest(), *([found[first:e].tolist()] if ids else [])))
+                    first = e
                 kinds = [pa.int64(), pa.string(), pa.string(), *([pa.list_(pa.int32())] if ids else [])]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if ids else [])])
 
