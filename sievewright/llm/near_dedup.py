@@ -23,7 +23,7 @@ CHUNKS, PER_CHUNK = 10, 5
 SIZE = CHUNKS * PER_CHUNK
 #: Pairs of more differing components are not compared: at a similarity of 0.8 that is 5 in ten million.
 FARTHEST = 24
-#: Rows of an index entry that are compared with each other at once. Rounds of proposals deal larger entries anew; the sweep after them lets every block of asking rows meet the whole entry.
+#: Rows of an index entry that are compared with each other at once; in the sweep every block of asking rows meets the whole entry.
 BLOCK = 2048
 #: Bytes of sets that the asking rows of a block in the sweep may have together.
 MOST_HELD = 1 << 26
@@ -67,67 +67,53 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(index_keys(signs).reshape(-1).view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), SIZE))], ["key", "cls"])
 
 
-def _near(cls: np.ndarray, label: np.ndarray, n: np.ndarray, signs: np.ndarray, most: int) -> list[tuple[int, list[int]]]:
-    """For each row outside the commonest component: its nearest rows of other components, ``most`` at most.
+def _central(cls: np.ndarray, label: np.ndarray, n: np.ndarray, signs: np.ndarray, percent: int) -> np.ndarray:
+    """(class, distance, centre) of the rows near the central row (of least distance to 32 rows spread over all) but of another component."""
+    some = signs[np.unique(np.linspace(0, len(cls) - 1, 32).astype(int))]
+    centre = sum((signs != x).sum(axis=1) for x in some).argmin()
+    far = (signs != signs[centre]).sum(axis=1)
+    fit = (label != label[centre]) & (far <= FARTHEST) & (100 * np.minimum(n, n[centre]) >= percent * np.maximum(n, n[centre]))
+    return np.stack([cls[fit], far[fit], np.full(fit.sum(), cls[centre])])
 
-    With ``most`` 0, an entry of many rows proposes its central row (of least distance to 32 rows spread over it) to
-    all others instead: near copies of one text gather around it with one comparison each.
-    """
-    if not most and len(cls) > 8:
-        some = signs[np.linspace(0, len(cls) - 1, 32).astype(int)]
-        centre = sum((signs != x).sum(axis=1) for x in some).argmin()
-        fit = (label != label[centre]) & ((signs != signs[centre]).sum(axis=1) <= FARTHEST) & (100 * np.minimum(n, n[centre]) >= 80 * np.maximum(n, n[centre]))
-        return [(c, [int(cls[centre])]) for c in cls[fit].tolist()]
-    most = most or 4
-    values, counts = np.unique(label, return_counts=True)
-    ask = np.flatnonzero(label != values[counts.argmax()]) if len(values) > 1 else np.zeros(0, int)
-    out, step = [], max(1, 100_000 // len(cls))
-    for s in range(0, len(ask), step):
-        i = ask[s : s + step]
-        far = (signs[i][:, None, :] != signs[None, :, :]).sum(axis=2)
-        small, large = np.minimum(n[i][:, None], n[None, :]), np.maximum(n[i][:, None], n[None, :])
-        far[(label[i][:, None] == label[None, :]) | (100 * small < 80 * large)] = SIZE
-        near = np.argsort(far, axis=1, kind="stable")[:, :most]
-        for row, cols in zip(range(len(i)), near, strict=True):
-            if len(cols := cols[far[row, cols] <= FARTHEST]):
-                out.append((int(cls[i[row]]), cls[cols].tolist()))
-    return out
-
-
-def _propose(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key: per class of each index entry the classes worth checking, block by block; never more rows than came in."""
-    held, key = [], None
-
-    def pairs() -> pa.RecordBatch:
-        cols = [np.concatenate([h[k] for h in held]) for k in range(4)]
-        found = _near(*cols, most)
-        return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.list_(pa.int64()))], ["cls", "near"])
-
-    out, count = [], 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys, cls, label, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
-        signs = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint16).reshape(-1, SIZE)
-        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if keys[a] != key:
-                if count > 1:
-                    out.append(pairs())
-                held, count, key = [], 0, keys[a]
-            for s in range(a, b, BLOCK):
-                e = min(b, s + BLOCK)
-                held.append((cls[s:e], label[s:e], n[s:e], signs[s:e]))
-                count += e - s
-                if count >= BLOCK:
-                    out.append(pairs())
-                    held, count = [], 0
-        if len(out) > 256:
-            yield from out
-            out = []
-    if count > 1:
-        out.append(pairs())
-    yield from out
+
+def _propose(percent: int):
+    """Rows sorted by key: what :func:`_central` says of each index entry, BLOCK rows at a time; never more rows than came in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count, key, out = [], 0, None, []
+
+        def ended() -> None:
+            if count > 1:
+                out.append(_central(*(np.concatenate([h[k] for h in held]) for k in range(4)), percent))
+
+        def made() -> pa.RecordBatch:
+            every = np.concatenate(out, axis=1) if out else np.zeros((3, 0), np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in every], ["cls", "far", "centre"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, cls, label, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            signs = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint16).reshape(-1, SIZE)
+            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if keys[a] != key:
+                    ended()
+                    held, count, key = [], 0, keys[a]
+                for s in range(a, b, BLOCK):
+                    e = min(b, s + BLOCK)
+                    held.append((cls[s:e], label[s:e], n[s:e], signs[s:e]))
+                    count += e - s
+                    if count >= BLOCK:
+                        ended()
+                        held, count = [], 0
+            if len(out) > 256:
+                yield made()
+                out = []
+        ended()
+        yield made()
+
+    return run
 
 
 def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,16 +270,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     """Per row: ``doc_id``, ``n_shingles``, ``component_id`` (smallest id reachable over links), ``kept`` (that is the row itself).
 
     Documents are linked if 100 * intersection >= ``percent`` * union of their shingle sets (``percent`` from 80 on).
-    Texts with one and the same set form a class, and one document stands for it, so copies never meet in pairs. Index
-    entries give first the pairs (smallest class, other class); links are confirmed on the full sets, and components
-    are built. Entries that still hold several components then propose their central class to the others, and in later
-    rounds, for each class outside the largest component, its nearest classes of other components by signature, 4,
-    then 16, then 64 of them, until such a round confirms no further link. These rounds only join most copies cheaply.
-    A sweep then settles the rest: every pair of an entry that is still of different components and within FARTHEST is
-    compared on the full sets, inside a task, where the sets of such classes are sent; no pair becomes a row.
+    Texts with one and the same set form a class, and one document stands for it, so copies never meet in pairs. Two
+    rounds join most copies cheaply, with one pair per class each: the smallest class it shares an index entry with,
+    then the nearest of its open entries' central classes; links are confirmed on the full sets. A sweep then settles
+    the rest: every pair of an entry that is still of different components and within FARTHEST is compared on the full
+    sets, inside a task, where the sets of such classes are sent; no pair becomes a row and none is left out.
 
     Null or empty texts have no shingles and are linked with nothing. Rows with a null id are answered but linked with
-    nothing (``component_id`` null, ``kept`` true). Rows that repeat an id count as one document.
+    nothing (``component_id`` null, ``kept`` true). Rows that repeat an id count as one document, linked by whatever
+    any of its texts links. An empty table gives an empty result; further columns are not read.
     """
     spark = prepare(docs.sparkSession)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -306,8 +291,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     keys = classes.select("cls", "sign").mapInArrow(_keys, "key long, cls long")
     entries = keys.groupBy("key").agg(F.min("cls").alias("first"), F.count("*").alias("_n")).where("_n > 1").select("key", "first")
     entries = stored(keys.join(entries, "key"), "near-entries")
-    one = classes.groupBy("cls").agg(F.max("n_shingles").alias("n"), F.min("sign").alias("sign"))
-    one = stored(one.join(entries.select("cls").distinct(), "cls", "left_semi"), "near-members")
+    one = stored(classes.select("cls", F.col("n_shingles").alias("n"), "sign").join(entries.select("cls").distinct(), "cls", "left_semi"), "near-members")
 
     def meeting(rows: DataFrame) -> DataFrame:
         """Rows of open entries by group: those outside the entry's commonest component ask (role 0), all rows answer (role 1).
@@ -345,25 +329,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         mixed = labelled.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low <> _high").select("key")
         return labelled.join(mixed, "key", "left_semi").join(one, "cls").select("key", "cls", "label", "n", "sign")
 
-    pairs = stored(entries.where("first <> cls").select(F.col("first").alias("a"), F.col("cls").alias("b")).distinct(), "near-pairs")
-    links, tried, turn = confirmed(pairs), pairs, 0
-    while True:
-        labels = components(links)
-        turn += 1
-        dealt = still_open(labels).withColumn("_turn", F.xxhash64("cls", F.lit(turn))).repartition(partitions, "key").sortWithinPartitions("key", "_turn").select("key", "cls", "label", "n", "sign")
-        most = 4 ** min(turn - 1, 3) if turn > 1 else 0
-        asked = dealt.mapInArrow(lambda it, most=most: _propose(it, most), "cls long, near array<long>")
-        asked = asked.groupBy("cls").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")).select("cls", F.explode("near").alias("other"))
-        proposed = asked.select(F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b")).distinct()
-        pairs = stored(proposed.join(tried, ["a", "b"], "left_anti"), "near-pairs")
-        if pairs.isEmpty():
-            if turn > 2:
-                break
-            continue
-        more = confirmed(pairs)
-        if more.isEmpty() and turn > 2:
-            break
-        links, tried = links.unionByName(more), tried.unionByName(pairs)
+    firsts = entries.groupBy(F.col("cls").alias("b")).agg(F.min("first").alias("a")).where("a < b").select("a", "b")
+    links = confirmed(firsts)
+    dealt = still_open(components(links)).repartition(partitions, "key").sortWithinPartitions("key", F.xxhash64("cls")).select("key", "cls", "label", "n", "sign")
+    central = dealt.mapInArrow(_propose(percent), "cls long, far long, centre long").groupBy("cls").agg(F.min(F.struct("far", "centre")).alias("_m"))
+    more = confirmed(central.select(F.least("cls", "_m.centre").alias("a"), F.greatest("cls", "_m.centre").alias("b")).distinct())
+    if not more.isEmpty():
+        links = links.unionByName(more)
+    labels = components(links)
     whole = f"{_MET}, set binary"
     needed = meeting(still_open(labels)).repartition(partitions, "key", "part").sortWithinPartitions("key", "part", "role").mapInArrow(_needed(percent), _MET)
     needed = needed.join(full_sets, "cls").selectExpr(*(c.split()[0] for c in whole.split(", ")))
