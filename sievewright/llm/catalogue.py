@@ -17,8 +17,12 @@ from .suffix_dedup import remove_repeats
 from .warc import read_archives, record_kinds, resolved, write_archives
 from .wavelet_shards import read_shards, write_shards
 
-#: Where the public vocabularies lie; other places are given to the operators themselves.
-TOKENIZERS = "/opt/tokenizers"
+
+def tokenizer(name: str) -> str:
+    """Where a public vocabulary lies; other places are given to the operators themselves."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,11 +56,11 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
 def op5_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_shards(write_shards(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json"))
+    return read_shards(write_shards(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json")))
 
 
 def op6_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +74,7 @@ def op6_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return encode_decode(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken", public_tokenizers.PATTERN)
+    return encode_decode(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op8_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

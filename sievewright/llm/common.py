@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _PACKAGE_PARENT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -22,21 +23,25 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder name below ``spark.checkpoint.dir``, which driver and executors share.
+    """A new folder name below ``spark.checkpoint.dir``, which driver and executors share, qualified by Hadoop.
 
-    Where the session has no such setting (local tests) a temporary folder takes its place.
+    Where the session has no such setting a local session (tests) gets a temporary folder; a cluster must set one.
     """
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isEmpty():
+        held = sc._jsc.sc().getCheckpointDir()
+        if held.isDefined():
+            root = held.get()
+        elif sc.master.startswith("local"):
             root = "file://" + tempfile.mkdtemp(prefix="sievewright-")
-            spark.sparkContext.setCheckpointDir(root)
+            sc.setCheckpointDir(root)
         else:
-            root = held.get()
-    if "://" not in root and not root.startswith("file:"):
-        root = "file://" + os.path.abspath(root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+            raise ValueError("spark.checkpoint.dir is not set; it must name a folder that driver and executors share")
+    path = sc._jvm.org.apache.hadoop.fs.Path(root)
+    full = path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    full = "file://" + full[5:] if full.startswith("file:/") and not full.startswith("file://") else full
+    return f"{full.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -58,3 +63,8 @@ def discard(*tables: DataFrame) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def small(df: DataFrame, most: int) -> DataFrame:
+    """``df`` (stored) marked for broadcast if it has at most ``most`` rows, as it is beyond that."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -9,17 +9,21 @@ def located(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 
 
-def write_file(uri: str, data: bytes) -> None:
-    """Whole or not at all: a lost task leaves no half-written file under ``uri``, and a second attempt replaces it."""
+def write_file(stem: str, ending: str, data: bytes) -> str:
+    """Write a file named by ``stem`` and the task's attempt; its name.
+
+    No attempt touches another's file, so nothing is renamed or replaced: the table of names that Spark commits lists
+    the files of the attempts that counted, and nobody reads what a lost attempt left.
+    """
     from pyspark import TaskContext
 
-    system, path = located(uri)
     task = TaskContext.get()
-    part = f"{path}.{task.taskAttemptId() if task else 0}.part"
+    uri = f"{stem}-{task.taskAttemptId() if task else 0}{ending}"
+    system, path = located(uri)
     system.create_dir(path.rpartition("/")[0], recursive=True)
-    with system.open_output_stream(part) as f:
+    with system.open_output_stream(path, compression=None) as f:
         f.write(data)
-    system.move(part, path)
+    return uri
 
 
 def read_file(uri: str) -> bytes:
