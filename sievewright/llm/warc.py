@@ -26,7 +26,8 @@ def record_kinds(pages: DataFrame, least: int = 1000) -> DataFrame:
     Of equal payloads of at least ``least`` bytes the one with the largest page_id is the response, the others revisit
     it. The choice is a partial aggregate over digests; its small result is joined back, so only rows are moved, and
     the copies of a frequent page may be split by AQE. A page with a null id never answers for one with an id; rows
-    that repeat the chosen page's id and payload are responses too.
+    that repeat the chosen page's id and payload are responses too. Null html counts as empty, an empty table gives an
+    empty result, and further columns of ``pages`` are not read.
     """
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha1("payload"))
@@ -35,8 +36,9 @@ def record_kinds(pages: DataFrame, least: int = 1000) -> DataFrame:
     return rows.join(chosen, "digest", "left").select("page_id", "url", "payload", "digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("_first")).alias("refers_to"))
 
 
-def _urn(page_id: int | None, segment: int = 1) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{segment}')}>"
+def _urn(page_id: int | None, digest: str, segment: int = 1) -> str:
+    """A record's identifier: of page and payload, so that rows with one page id, or none, keep their segments apart."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}:{segment}')}>"
 
 
 def chunked(body: bytes, size: int) -> bytes:
@@ -65,9 +67,9 @@ def page_records(page_id, url, payload: bytes, digest: str, kind: str, refers_to
     """The compressed records of a page: one, or a first segment and its continuations."""
     common = [("WARC-Date", _DATE), ("Content-Type", "application/http;msgtype=response")]
     url = (url or "").replace("\r", "").replace("\n", "")
-    own = [("WARC-Record-ID", _urn(page_id)), ("WARC-Target-URI", url), ("WARC-Payload-Digest", f"sha1:{digest}"), ("WARC-Page-ID", "" if page_id is None else page_id)]
+    own = [("WARC-Record-ID", _urn(page_id, digest)), ("WARC-Target-URI", url), ("WARC-Payload-Digest", f"sha1:{digest}"), ("WARC-Page-ID", "" if page_id is None else page_id)]
     if kind == "revisit":
-        yield _record(kind, [*own, ("WARC-Profile", _PROFILE), ("WARC-Refers-To", _urn(refers_to)), ("WARC-Refers-To-Page", refers_to), *common], _HTTP + b"\r\n")
+        yield _record(kind, [*own, ("WARC-Profile", _PROFILE), ("WARC-Refers-To", _urn(refers_to, digest)), ("WARC-Refers-To-Page", refers_to), *common], _HTTP + b"\r\n")
         return
     block = _HTTP + b"Transfer-Encoding: chunked\r\n\r\n" + chunked(payload, chunk_bytes)
     parts = [block[k : k + segment_bytes] for k in range(0, len(block), segment_bytes)]
@@ -77,7 +79,7 @@ def page_records(page_id, url, payload: bytes, digest: str, kind: str, refers_to
     yield _record(kind, [*own, ("WARC-Segment-Number", 1), *common], parts[0])
     for n, part in enumerate(parts[1:], 2):
         last = [("WARC-Segment-Total-Length", len(block))] if n == len(parts) else []
-        fields = [("WARC-Record-ID", _urn(page_id, n)), ("WARC-Segment-Origin-ID", _urn(page_id)), ("WARC-Segment-Number", n), ("WARC-Page-ID", "" if page_id is None else page_id), *last]
+        fields = [("WARC-Record-ID", _urn(page_id, digest, n)), ("WARC-Segment-Origin-ID", _urn(page_id, digest)), ("WARC-Segment-Number", n), ("WARC-Page-ID", "" if page_id is None else page_id), *last]
         yield _record("continuation", [*fields, ("WARC-Date", _DATE)], part)
 
 
@@ -85,7 +87,8 @@ def write_archives(rows: DataFrame, segment_bytes: int = 16 << 10, chunk_bytes:
     """Write what :func:`record_kinds` gives to archives in the shared folder; returns their stored list (``path``).
 
     An archive is a file of gzip members, one per record. It is closed at ``archive_bytes``, also between two segments
-    of a page, so continuations may lie in another file than their origin.
+    of a page, so continuations may lie in another file than their origin. Null pages and addresses are written empty,
+    null payloads do not occur here (:func:`record_kinds` makes them empty); no rows make no archive.
     """
     spark = prepare(rows.sparkSession)
     folder = shared_dir(spark, "warc")
@@ -95,8 +98,7 @@ def write_archives(rows: DataFrame, segment_bytes: int = 16 << 10, chunk_bytes:
 
         def flush() -> pa.RecordBatch:
             nonlocal seq, size
-            path = f"{folder}/part-{part:06d}-{seq:06d}.warc.gz"
-            write_file(path, b"".join(held))
+            path = write_file(f"{folder}/part-{part:06d}-{seq:06d}", ".warc.gz", b"".join(held))
             held.clear()
             seq, size = seq + 1, 0
             return pa.RecordBatch.from_pydict({"path": [path]})
@@ -140,12 +142,12 @@ def _payload(block: bytes) -> bytes:
     return unchunked(body) if b"transfer-encoding: chunked" in head.lower() else body
 
 
-_PARTS = "origin string, segment int, total long, page_id long, record_type string, refers_to long, block binary, complete boolean"
+_PARTS = "origin string, segment int, total long, page_id long, record_type string, refers_to long, digest string, block binary, complete boolean"
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["origin", "segment", "total", "page_id", "record_type", "refers_to", "block", "complete"]
-    kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.bool_()]
+    names = ["origin", "segment", "total", "page_id", "record_type", "refers_to", "digest", "block", "complete"]
+    kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary(), pa.bool_()]
 
     def table(rows: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
@@ -159,10 +161,10 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for fields, block in read_records(stream):
                     kind, page = fields["warc-type"], number(fields.get("warc-page-id"))
                     if kind == "continuation":
-                        rows.append((fields["warc-segment-origin-id"], int(fields["warc-segment-number"]), number(fields.get("warc-segment-total-length")), page, None, None, block, False))
+                        rows.append((fields["warc-segment-origin-id"], int(fields["warc-segment-number"]), number(fields.get("warc-segment-total-length")), page, None, None, None, block, False))
                     else:
                         whole = "warc-segment-number" not in fields
-                        rows.append((fields["warc-record-id"], 1, None, page, kind, number(fields.get("warc-refers-to-page")), block, whole))
+                        rows.append((fields["warc-record-id"], 1, None, page, kind, number(fields.get("warc-refers-to-page")), fields["warc-payload-digest"].partition(":")[2], block, whole))
                     size += len(block)
                     if size > 4 << 20:
                         yield table(rows)
@@ -182,7 +184,10 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not sound:
                 raise ValueError(f"segments of {r['origin']} do not make up a record")
             payload = None if kind == "revisit" else _payload(block)
-            rows.append((parts[0]["page_id"], kind, parts[0]["refers_to"], None if payload is None else len(payload), None if payload is None else hashlib.sha1(payload).hexdigest(), payload))
+            digest = parts[0]["digest"] if payload is None else hashlib.sha1(payload).hexdigest()
+            if digest != parts[0]["digest"]:
+                raise ValueError(f"payload of {r['origin']} has another digest than its record states")
+            rows.append((parts[0]["page_id"], kind, parts[0]["refers_to"], None if payload is None else len(payload), digest, payload))
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
         names = ["page_id", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"]
         cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
@@ -190,16 +195,17 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_archives(listed: DataFrame) -> DataFrame:
-    """Per record of the archives in ``listed``: ``page_id``, ``record_type``, ``refers_to``, ``payload_bytes``, ``payload_digest``, ``payload`` (the last three null for revisits).
+    """Per record of the archives in ``listed``: ``page_id``, ``record_type``, ``refers_to``, ``payload_bytes``, ``payload_digest``, ``payload`` (for revisits the digest is that of the record, length and payload are null).
 
     Files are parsed once and their parts stored. Complete records go straight on; the segments of the others are
     grouped by their origin's identifier, ordered by number, checked against the total length and joined. Only the
-    latter are exchanged.
+    latter are exchanged. Rows that repeat page and payload write equal records, and as many come back. A broken
+    record raises; an empty list gives an empty result.
     """
     spark = prepare(listed.sparkSession)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = stored(listed.select("path").repartition(partitions, "path").mapInArrow(_parse, _PARTS), "warc-parts")
-    part = F.struct("segment", "total", "page_id", "record_type", "refers_to", "block", "complete")
+    part = F.struct("segment", "total", "page_id", "record_type", "refers_to", "digest", "block", "complete")
     whole = parts.where("complete").select("origin", F.array(part).alias("parts"))
     # Repeated rows write the same origin twice: equal segments count once, and the copies come back with the first.
     cut = parts.where("not complete").groupBy("origin", "segment").agg(F.first(part).alias("_part"), F.count("*").alias("_n"))
@@ -209,8 +215,13 @@ def read_archives(listed: DataFrame) -> DataFrame:
 
 
 def resolved(records: DataFrame) -> DataFrame:
-    """``records`` without payloads, where revisits carry length and digest of the response they refer to."""
+    """``records`` without payloads, where revisits carry the length of the response they refer to.
+
+    A revisit's response has the page it names and its digest; only revisits and the responses of pages are joined,
+    and responses are pre-aggregated, so rows without a reference never meet. An empty table gives an empty result.
+    """
     rows = stored(records.drop("payload"), "warc-records")
-    source = rows.where("record_type = 'response' and page_id is not null").groupBy("page_id").agg(F.first("payload_bytes").alias("_bytes"), F.first("payload_digest").alias("_digest"))
-    source = source.withColumnRenamed("page_id", "refers_to")
-    return rows.join(source, "refers_to", "left").select("page_id", F.coalesce("payload_bytes", "_bytes").alias("payload_bytes"), F.coalesce("payload_digest", "_digest").alias("payload_digest"), "record_type", "refers_to")
+    names = "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    source = rows.where("record_type = 'response' and page_id is not null").groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.max("payload_bytes").alias("_bytes"))
+    again = rows.where("record_type = 'revisit'").join(source, ["refers_to", "payload_digest"], "left").withColumn("payload_bytes", F.col("_bytes"))
+    return rows.where("record_type <> 'revisit'").select(*names).unionByName(again.select(*names))
