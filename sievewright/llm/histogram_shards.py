@@ -97,39 +97,44 @@ def splitters(rows: DataFrame, shards: int, tolerance: float = 0.001, bits: int
     return found
 
 
-def histogram_sort(rows: DataFrame, shards: int = 24, size_col: str = "size", hash_col: str = "key_hash", id_col: str = "doc_id", tolerance: float = 0.001, range_bits: int = 12) -> DataFrame:
+def histogram_sort(rows: DataFrame, shards: int = 24, size_col: str = "size", hash_col: str = "key_hash", id_col: str = "doc_id", tolerance: float = 0.001, range_rows: int = 20_000, most_heavy: int = 4096) -> DataFrame:
     """``rows`` with ``shard`` and ``slot``: shards of near-equal bytes that are contiguous in key order (hash, id).
 
     With the text's hash as first part of the key, equal texts lie side by side and share a shard unless a splitter
     has to fall among them; a text that outweighs the tolerance is split by id. Splitters come from repeated exact
     counts over a narrow table of (hash, id, size), then the rows are exchanged once, by sub-range of their shard.
     A slot is its sub-range's offset plus the row's place in it, so no task ever sorts a whole shard. Sub-ranges are
-    2**range_bits slices of the hash domain; the text of any splitter is cut further by id.
+    slices of the hash domain of about ``range_rows`` rows, and every text with more rows than that (and than one in
+    ``most_heavy`` of all, so there are no more such texts than that) is cut further by id.
 
     Null ids come first in key order, null sizes count as 0. Repeated rows get a slot each. An empty table stays empty.
+    Columns named ``shard``, ``slot`` or like the inner ones (with a leading underscore) must not be given.
     """
-    spark = rows.sparkSession
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(_LOW))
     narrow = stored(rows.select(F.coalesce(F.col(hash_col), F.lit(0)).alias("_hash"), key.alias("_id"), F.coalesce(F.col(size_col), F.lit(0)).cast("long").alias("_size")), "histogram")
-    cuts = splitters(narrow, shards, tolerance)
-    heavy = sorted({s.hash for s in cuts if s.id is not None})
+    cuts, total = splitters(narrow, shards, tolerance), narrow.count()
     shard = F.lit(0)
     for s in cuts:
         after = F.col("_hash") > s.hash if s.id is not None else F.col("_hash") >= s.hash
         shard = shard + (after | ((F.col("_hash") == s.hash) & (F.col("_id") >= s.id)) if s.id is not None else after).cast("int")
-    cell = F.shiftright("_hash", 64 - range_bits)
-    inside = F.lit(0).cast("long")
-    if heavy:
-        bounds = narrow.where(F.col("_hash").isin(heavy)).groupBy("_hash").agg(F.min("_id"), F.max("_id")).collect()
-        for h, low, high in bounds:
-            step = max(1, -(-(high - low + 1) // 256))
-            at = F.expr(f"1 + cast((cast(_id as decimal(20,0)) - {low}) div {step} as bigint)")
-            beyond = (cell == (h >> (64 - range_bits))) & (F.col("_hash") > h)
-            inside = inside + F.when(F.col("_hash") == h, at).when(beyond, 512).otherwise(0)
-    ranged = lambda df: df.withColumn("shard", shard).withColumn("_cell", cell).withColumn("_in", inside)
-    order = Window.partitionBy("shard").orderBy("_cell", "_in")
-    sizes = ranged(narrow).groupBy("shard", "_cell", "_in").agg(F.count("*").alias("_n"))
-    offsets = sizes.select("shard", "_cell", "_in", (F.sum("_n").over(order) - F.col("_n")).alias("_offset"))
+    cell = F.shiftright("_hash", 64 - min(24, max(12, (total // range_rows).bit_length())))
+    # Texts that one task should not sort alone: their ids are cut into even steps.
+    each = max(range_rows, total // most_heavy)
+    heavy = narrow.groupBy("_hash").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"), F.max("_id").alias("_last")).where(F.col("_n") > each)
+    step = F.expr(f"cast((cast(_last as decimal(20,0)) - _first) div ceil(_n / {each // 2}) + 1 as decimal(20,0))")
+    heavy = stored(heavy.groupBy(cell.alias("_cell")).agg(F.array_sort(F.collect_list(F.struct("_hash", F.col("_first").alias("first"), step.alias("step")))).alias("_heavy")), "histogram-heavy")
+
+    def ranged(df: DataFrame) -> DataFrame:
+        known = df.withColumn("shard", shard).withColumn("_cell", cell).join(F.broadcast(heavy), "_cell", "left")
+        below = F.coalesce(F.size(F.filter("_heavy", lambda x: x["_hash"] < F.col("_hash"))), F.lit(0)) * F.when(F.col("_heavy").isNull(), 0).otherwise(2)
+        own = F.filter("_heavy", lambda x: x["_hash"] == F.col("_hash"))
+        known = known.withColumn("_own", F.when(F.size(own) > 0, own[0]))
+        inside = F.expr("cast((cast(_id as decimal(20,0)) - _own.first) div _own.step as bigint)")
+        return known.withColumn("_part", below + F.col("_own").isNotNull().cast("int")).withColumn("_in", F.coalesce(inside, F.lit(0))).drop("_heavy", "_own")
+
+    order = Window.partitionBy("shard").orderBy("_cell", "_part", "_in")
+    at = "shard", "_cell", "_part", "_in"
+    offsets = ranged(narrow).groupBy(*at).agg(F.count("*").alias("_n")).select(*at, (F.sum("_n").over(order) - F.col("_n")).alias("_offset"))
     keyed = ranged(rows.withColumns({"_hash": F.coalesce(F.col(hash_col), F.lit(0)), "_id": key}))
-    place = Window.partitionBy("shard", "_cell", "_in").orderBy("_hash", "_id")
-    return keyed.withColumn("_place", F.row_number().over(place)).join(offsets, ["shard", "_cell", "_in"]).withColumn("slot", F.col("_offset") + F.col("_place") - 1).drop("_hash", "_id", "_cell", "_in", "_place", "_offset")
+    place = Window.partitionBy(*at).orderBy("_hash", "_id")
+    return keyed.withColumn("_place", F.row_number().over(place)).join(offsets, list(at)).withColumn("slot", F.col("_offset") + F.col("_place") - 1).select(*rows.columns, "shard", "slot")
