@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from .common import prepare
 
 PASSAGE = 512
+_BLOCK = 2048
 _COARSE = 12
 
 
@@ -75,24 +76,32 @@ def passage_features(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray)
     return np.concatenate([np.sqrt(one), np.sqrt(pair), more], axis=1).astype(np.float32)
 
 
-def passages(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(document's place, features) blocks over the whole texts; a null or empty text is one empty passage."""
-    block, at = [], []
+def bags(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray]]:
+    """(text's place, features of up to _BLOCK of its passages) over the whole texts; a null or empty text is one empty passage.
 
-    def done():
-        starts = np.cumsum([0, *map(len, block)])[:-1]
-        return np.array(at), passage_features(np.frombuffer(b"".join(block), np.uint8), starts, np.array([len(b) for b in block]))
+    Short texts are made into features together, as these do not depend on their neighbours; what is yielded always
+    begins at a multiple of _BLOCK passages of its own text.
+    """
+    held, count = [], 0
+
+    def done() -> Iterator[tuple[int, np.ndarray]]:
+        every = [part[s : s + PASSAGE] for _, part in held for s in range(0, len(part) or 1, PASSAGE)]
+        x, at = passage_features(np.frombuffer(b"".join(every), np.uint8), np.cumsum([0, *map(len, every)])[:-1], np.array([len(e) for e in every])), 0
+        for k, part in held:
+            n = max(1, -(-len(part) // PASSAGE))
+            yield k, x[at : at + n]
+            at += n
 
     for k, t in enumerate(texts):
         raw = (t or "").encode("utf-8", "surrogatepass")
-        for s in range(0, len(raw) or 1, PASSAGE):
-            block.append(raw[s : s + PASSAGE])
-            at.append(k)
-            if len(block) == 2048:
-                yield done()
-                block, at = [], []
-    if block:
-        yield done()
+        for s in range(0, len(raw) or 1, _BLOCK * PASSAGE):
+            held.append((k, raw[s : s + _BLOCK * PASSAGE]))
+            count += len(held[-1][1]) // PASSAGE + 1
+            if count >= _BLOCK:
+                yield from done()
+                held, count = [], 0
+    if held:
+        yield from done()
 
 
 @dataclass
@@ -108,46 +117,57 @@ class Model:
         return x, h, t, g, (t * g) @ self.w["a"]
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        """Probability of label 1 per text. Logits of the gate are bounded by its weights, so sums over blocks need no rescaling."""
+        """Probability of label 1 per text.
+
+        Each text is weighed in products of its own, so its score does not depend on what is scored beside it. Logits
+        of the gate are bounded by its weights, so sums over blocks need no rescaling.
+        """
         top, low = np.zeros((len(texts), self.w["W"].shape[1])), np.zeros(len(texts))
-        for at, x in passages(texts):
+        for k, x in bags(texts):
             _, h, _, _, logit = self.instance(x)
             e = np.exp(logit.astype(np.float64))
-            np.add.at(top, at, h * e[:, None])
-            np.add.at(low, at, e)
-        z = top / low[:, None] @ self.w["c"] + self.w["d"]
+            top[k] += e @ h.astype(np.float64)
+            low[k] += e.sum()
+        z = (top / low[:, None] * self.w["c"].astype(np.float64)).sum(axis=1) + float(self.w["d"][0])
         return 1 / (1 + np.exp(-z))
 
 
-def fit(bags: list[np.ndarray], labels: np.ndarray, hidden: int = 24, gate: int = 12, epochs: int = 40, batch: int = 64, rate: float = 0.01, decay: float = 1e-4, seed: int = 7) -> Model:
+def gradients(model: Model, own: list[np.ndarray], labels: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean cross entropy of the bags, and its gradient by each weight."""
+    w, sizes = model.w, np.array([len(b) for b in own])
+    first, owner = np.cumsum([0, *sizes[:-1]]), np.repeat(np.arange(len(own)), sizes)
+    x, h, t, g, logit = model.instance(np.concatenate(own))
+    e = np.exp(logit - np.maximum.reduceat(logit, first)[owner])
+    share = e / np.add.reduceat(e, first)[owner]
+    z = np.add.reduceat(h * share[:, None], first)
+    out = z @ w["c"] + w["d"]
+    p = 1 / (1 + np.exp(-out))
+    dz_out = (p - labels) / len(own)
+    grad = {"c": z.T @ dz_out, "d": np.array([dz_out.sum()])}
+    dz = np.outer(dz_out, w["c"])[owner]
+    dshare = (dz * h).sum(axis=1)
+    dlogit = share * (dshare - np.add.reduceat(share * dshare, first)[owner])
+    grad["a"] = (t * g).T @ dlogit
+    dtg = np.outer(dlogit, w["a"])
+    dt, dg = dtg * g * (1 - t * t), dtg * t * g * (1 - g)
+    grad["V"], grad["U"] = h.T @ dt, h.T @ dg
+    dh = (dz * share[:, None] + dt @ w["V"].T + dg @ w["U"].T) * (1 - h * h)
+    grad["W"], grad["b"] = x.T @ dh, dh.sum(axis=0)
+    return float(np.mean(np.logaddexp(0, out) - labels * out)), grad
+
+
+def fit(every_bag: list[np.ndarray], labels: np.ndarray, hidden: int = 24, gate: int = 12, epochs: int = 40, batch: int = 64, rate: float = 0.01, decay: float = 1e-4, seed: int = 7) -> Model:
     """Gated attention trained on document labels with Adam."""
-    every, rng = np.concatenate(bags), np.random.default_rng(seed)
+    every, rng = np.concatenate(every_bag), np.random.default_rng(seed)
     w = {"W": rng.normal(0, WIDTH**-0.5, (WIDTH, hidden)), "b": np.zeros(hidden), "V": rng.normal(0, hidden**-0.5, (hidden, gate)), "U": rng.normal(0, hidden**-0.5, (hidden, gate)), "a": rng.normal(0, gate**-0.5, gate), "c": rng.normal(0, hidden**-0.5, hidden), "d": np.zeros(1)}
     w = {k: v.astype(np.float32) for k, v in w.items()}
     model = Model(every.mean(axis=0), every.std(axis=0) + 1e-3, w)
     m1, m2, step = {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}, 0
     for epoch in range(epochs):
-        order = rng.permutation(len(bags))
+        order = rng.permutation(len(every_bag))
         for s in range(0, len(order), batch):
             own = order[s : s + batch]
-            sizes = np.array([len(bags[k]) for k in own])
-            first, owner = np.cumsum([0, *sizes[:-1]]), np.repeat(np.arange(len(own)), sizes)
-            x, h, t, g, logit = model.instance(np.concatenate([bags[k] for k in own]))
-            e = np.exp(logit - np.maximum.reduceat(logit, first)[owner])
-            share = e / np.add.reduceat(e, first)[owner]
-            z = np.add.reduceat(h * share[:, None], first)
-            p = 1 / (1 + np.exp(-(z @ w["c"] + w["d"])))
-            dz_out = (p - labels[own]) / len(own)
-            grad = {"c": z.T @ dz_out, "d": np.array([dz_out.sum()])}
-            dz = np.outer(dz_out, w["c"])[owner]
-            dshare = (dz * h).sum(axis=1)
-            dlogit = share * (dshare - np.add.reduceat(share * dshare, first)[owner])
-            grad["a"] = (t * g).T @ dlogit
-            dtg = np.outer(dlogit, w["a"])
-            dt, dg = dtg * g * (1 - t * t), dtg * t * g * (1 - g)
-            grad["V"], grad["U"] = h.T @ dt, h.T @ dg
-            dh = (dz * share[:, None] + dt @ w["V"].T + dg @ w["U"].T) * (1 - h * h)
-            grad["W"], grad["b"] = x.T @ dh, dh.sum(axis=0)
+            _, grad = gradients(model, [every_bag[k] for k in own], labels[own])
             step += 1
             lr = rate * 0.5 * (1 + np.cos(np.pi * epoch / epochs))
             for k in w:
@@ -158,46 +178,49 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, hidden: int = 24, gate: int
     return model
 
 
-def _bags(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, y, t in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            x = np.concatenate([f for _, f in passages([t])])
-            if len(x) > most:
-                x = x[np.linspace(0, len(x) - 1, most).astype(int)]
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array([i], pa.int64()), "label": pa.array([y], pa.int32()), "bag": pa.array([x.tobytes()], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array([i], pa.int64()), "label": pa.array([y], pa.int32()), "bag": pa.array([np.concatenate([x for _, x in bags([t])]).tobytes()], pa.binary())})
 
 
 def held_out(id_col):
     return F.coalesce(F.crc32(id_col.cast("string")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = 3000, max_passages: int = 64) -> Model | None:
-    """A model from at most ``max_docs`` labelled documents (those with the smallest hashed ids) that are not held out.
+def train(docs: DataFrame, labels: DataFrame, max_docs: int = 3000, max_bytes: int = 24 << 20) -> Model | None:
+    """A model from a bounded sample of labelled documents that are not held out, each with its whole text.
 
-    The bounds hold for training alone: per sampled document at most ``max_passages`` passages, spread evenly over the
-    whole text, reach the driver, as features. Rows with a null id or label are no labels; of several labels for an id
-    the largest counts. Without any labelled document there is no model.
+    The sample holds the ``max_docs`` documents with the smallest hashed ids, less those from where their texts together
+    pass ``max_bytes`` (their features, some 1.5 times that, reach the driver). Null texts count as empty. Rows with a
+    null id or label are no labels; of several labels for an id the largest counts, of several rows for an id that with
+    the smallest features. Without any labelled document, as in an empty table, there is no model.
     """
     prepare(docs.sparkSession)
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").cast("int").alias("label"))
-    picked = [(r[0], r[1]) for r in known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs).collect()]
+    first = [(r[0], r[1]) for r in known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs).collect()]
+    own, few = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]), docs.sparkSession.createDataFrame(first, "doc_id long, label int")
+    sizes = own.join(F.broadcast(few), "doc_id").groupBy("doc_id").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)))).collect()
+    sizes, picked, size = dict(map(tuple, sizes)), [], 0
+    for i, y in first:
+        size += sizes.get(i, 0)
+        if i in sizes and (size <= max_bytes or not picked):
+            picked.append((i, y))
     if not picked:
         return None
     sample = docs.sparkSession.createDataFrame(picked, "doc_id long, label int")
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")
-    found = rows.mapInArrow(lambda it: _bags(it, max_passages), "doc_id long, label int, bag binary").collect()
-    found = sorted({r["doc_id"]: r for r in found}.values(), key=lambda r: r["doc_id"])
-    if not found:
-        return None
-    bags = [np.frombuffer(r["bag"], np.float32).reshape(-1, WIDTH) for r in found]
-    return fit(bags, np.array([r["label"] for r in found], np.float32))
+    found = own.join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text").mapInArrow(_bags, "doc_id long, label int, bag binary").collect()
+    found = {r["doc_id"]: r for r in sorted(found, key=lambda r: (r["doc_id"], bytes(r["bag"])), reverse=True)}
+    found = [found[i] for i in sorted(found)]
+    return fit([np.frombuffer(r["bag"], np.float32).reshape(-1, WIDTH) for r in found], np.array([r["label"] for r in found], np.float32))
 
 
 def score(docs: DataFrame, model: Model | None, threshold: float = 0.3) -> DataFrame:
     """Per row: ``doc_id``, ``held_out``, ``score``, ``predicted`` (1 from ``threshold`` on), from the whole text alone.
 
     Null and empty texts are scored as one empty passage; equal texts get equal scores; without a model the score is
-    0.5. Every row is answered, null ids (not held out) and repeats too.
+    0.5. Every row is answered, null ids (not held out) and repeats too; an empty table gives an empty result and
+    further columns are not read.
     """
     prepare(docs.sparkSession)
 
@@ -212,7 +235,7 @@ def score(docs: DataFrame, model: Model | None, threshold: float = 0.3) -> DataF
 
 
 def keep_good(docs: DataFrame, model: Model | None, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text scores ``threshold`` or more."""
+    """The rows of ``docs``, all columns, whose text scores ``threshold`` or more; all rows where there is no model."""
     prepare(docs.sparkSession)
     if model is None:
         return docs
