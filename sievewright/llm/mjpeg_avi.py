@@ -11,6 +11,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -63,33 +64,88 @@ def encode_frames(samples: np.ndarray) -> list[bytes]:
     return [_HEAD + data[k : k + size].replace(b"\xff", b"\xff\x00") + b"\xff\xd9" for k in range(0, len(data), size)]
 
 
-def _scan(jpeg: bytes) -> bytes:
-    """The entropy-coded bytes of an image, its headers checked."""
-    at = 2
+def _segments(jpeg: bytes) -> tuple[tuple[int, int], dict[int, bytes], int, bytes]:
+    """((height, width), code tables by number, table in use, entropy-coded bytes) of a lossless image of one component."""
     if jpeg[:2] != b"\xff\xd8" or jpeg[-2:] != b"\xff\xd9":
         raise ValueError("not a JPEG image")
+    at, shape, tables = 2, None, {}
     while True:
         mark, size = struct.unpack_from(">HH", jpeg, at)
         body = jpeg[at + 4 : at + 2 + size]
-        if mark == 0xFFC3 and struct.unpack_from(">BHH", body) != (8, HEIGHT, WIDTH):
-            raise ValueError("unexpected frame size")
-        if mark == 0xFFC4 and body != _DHT:
-            raise ValueError("unexpected code table")
         at += 2 + size
-        if mark == 0xFFDA:
-            return jpeg[at:-2].replace(b"\xff\x00", b"\xff")
+        if mark == 0xFFC4:
+            while body:
+                n = 17 + sum(body[1:17])
+                tables[body[0]], body = body[:n], body[n:]
+        elif mark == 0xFFC3:
+            precision, height, width, components = struct.unpack_from(">BHHB", body)
+            if (precision, components) != (8, 1):
+                raise ValueError("only 8-bit images of one component")
+            shape = height, width
+        elif 0xFFC0 <= mark <= 0xFFCF:
+            raise ValueError("only lossless Huffman images (SOF3)")
+        elif mark == 0xFFDA:
+            if shape is None or body[0] != 1 or body[3:6] != b"\x01\x00\x00":
+                raise ValueError("only one scan of predictor 1")
+            return shape, tables, body[2] >> 4, jpeg[at:-2].replace(b"\xff\x00", b"\xff")
+
+
+def _codes(table: bytes) -> dict[tuple[int, int], int]:
+    """(length, code) -> difference category, by the canonical rule of a DHT segment."""
+    out, code, at = {}, 0, 17
+    for length in range(1, 17):
+        for _ in range(table[length]):
+            out[length, code] = table[at]
+            code, at = code + 1, at + 1
+        code <<= 1
+    return out
+
+
+def _read_bits(data: bytes, table: bytes, count: int) -> np.ndarray:
+    """``count`` differences by any code table, bit by bit."""
+    codes, out, at = _codes(table), np.empty(count, np.int32), 0
+    bits = "".join(f"{b:08b}" for b in data)
+    for k in range(count):
+        length = 1
+        while (size := codes.get((length, int(bits[at : at + length], 2)))) is None:
+            length += 1
+            if length > 16 or at + length > len(bits):
+                raise ValueError("no such code")
+        at += length
+        value = int(bits[at : at + size] or "0", 2)
+        at += size
+        out[k] = value if not size or value >> (size - 1) else value - (1 << size) + 1
+    return out
+
+
+def _summed(d: np.ndarray) -> np.ndarray:
+    """Samples of (images, height, width) differences: predictor 1, the first column from above."""
+    d[:, 0, 0] += 128
+    d[:, :, 0] = np.cumsum(d[:, :, 0], axis=1)
+    return np.cumsum(d, axis=2).astype(np.uint8)
+
+
+def decode_image(jpeg: bytes) -> np.ndarray:
+    """(height, width) samples of any lossless JPEG image of one component and predictor 1, whatever its size and code table."""
+    (height, width), tables, used, data = _segments(jpeg)
+    return _summed(_read_bits(data, tables[used], height * width).reshape(1, height, width))[0]
 
 
 def decode_frames(images: list[bytes]) -> np.ndarray:
-    """(frames, HEIGHT, WIDTH) samples of images that :func:`encode_frames` made."""
-    b = np.frombuffer(b"".join(map(_scan, images)), np.uint8).reshape(-1, 9).astype(np.uint16)
+    """(frames, HEIGHT, WIDTH) samples; images with the nine-bit code are read as one array, others bit by bit."""
+    parts = [_segments(x) for x in images]
+    if any(shape != (HEIGHT, WIDTH) for shape, *_ in parts):
+        raise ValueError("frames of one file have one size")
+    even = np.array([tables[used] == _DHT and len(data) == FRAME * 9 // 8 for _, tables, used, data in parts], bool)
+    out = np.empty((len(images), HEIGHT, WIDTH), np.uint8)
+    b = np.frombuffer(b"".join(data for (*_, data), e in zip(parts, even, strict=True) if e), np.uint8).reshape(-1, 9).astype(np.uint16)
     f = np.empty((len(b), 8), np.uint16)
     for k in range(8):
         f[:, k] = (b[:, k] & ((1 << (8 - k)) - 1)) << (k + 1) | b[:, k + 1] >> (7 - k)
-    d = _DIFF[f].reshape(-1, HEIGHT, WIDTH)
-    d[:, 0, 0] += 128
-    d[:, :, 0] = np.cumsum(d[:, :, 0], axis=1)
-    return np.cumsum(d, axis=2).astype(np.uint8)
+    out[even] = _summed(_DIFF[f].reshape(-1, HEIGHT, WIDTH))
+    for k in np.flatnonzero(~even).tolist():
+        out[k] = decode_image(images[k])
+    return out
 
 
 def _chunk(name: bytes, body: bytes) -> bytes:
@@ -153,6 +209,19 @@ def shots(frames: np.ndarray, reach: int = 4, factor: float = 3.0, floor: float
     return list(zip(cuts, [*cuts[1:], n], strict=True))
 
 
+class Clip(NamedTuple):
+    clip: int
+    start_ms: int
+    end_ms: int
+    first_frame: int
+    frames: int
+
+
+def timed(cut: list[tuple[int, int]]) -> list[Clip]:
+    """The clip of each shot."""
+    return [Clip(k, a * 1000 // FPS, b * 1000 // FPS, a, b - a) for k, (a, b) in enumerate(cut)]
+
+
 def payload_of(text: str | None) -> tuple[bytes, int]:
     raw = (text or "").encode("utf-8", "surrogatepass")
     return raw + bytes([PAD]) * (max(1, -(-len(raw) // UNIT)) * UNIT - len(raw)), len(raw)
@@ -208,7 +277,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for m, pay, cut, n in _decoded(batch.column(2).to_pylist()):
-            feature = f"frames={n};fps={FPS};shots=" + ",".join(f"{a}-{b}" for a, b in cut)
+            feature = f"frames={n};fps={FPS};clips_ms=" + ",".join(f"{c.start_ms}-{c.end_ms}" for c in timed(cut))
             rows.append((len(pay), hashlib.sha256(pay).hexdigest(), zlib.crc32(pay[-16:]), len(m), hashlib.sha256(m).hexdigest(), feature))
         cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
@@ -216,16 +285,16 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def media_features(media: DataFrame) -> DataFrame:
-    """Digests of what :func:`store_media` stored, read back from ``media``, and its shots as one string."""
+    """Digests of what :func:`store_media` stored, read back from ``media``, and its timed clips as one string; a row per row, also for repeats and null ids."""
     prepare(media.sparkSession)
     return media.select("doc_id", "n_bytes", "media").mapInArrow(_digest, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def _clips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [(i, k, a * 1000 // FPS, b * 1000 // FPS, a, b - a) for i, (_, _, cut, _) in zip(batch.column(0).to_pylist(), _decoded(batch.column(1).to_pylist()), strict=True) for k, (a, b) in enumerate(cut)]
+        rows = [(i, *c) for i, (_, _, cut, _) in zip(batch.column(0).to_pylist(), _decoded(batch.column(1).to_pylist()), strict=True) for c in timed(cut)]
         cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "clip", "start_ms", "end_ms", "first_frame", "frames"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", *Clip._fields])
 
 
 def clip_rows(media: DataFrame) -> DataFrame:
