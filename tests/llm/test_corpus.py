@@ -41,7 +41,7 @@ def odd(spark):
     return odd_texts()
 
 
-def test_exact_dedup(spark, odd):
+def test_exact_dedup(spark, odd, monkeypatch):
     got = exact_dedup.exact_dedup(docs(spark, odd)).collect()
     groups = collections.defaultdict(list)
     for i, t in odd:
@@ -50,7 +50,18 @@ def test_exact_dedup(spark, odd):
     assert collections.Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got) == want
     assert all(r.kept == (r.doc_id == r.keep_id) for r in got)
     assert exact_dedup.exact_dedup(docs(spark, [])).count() == 0
-    assert exact_dedup.keep_unique(docs(spark, odd)).columns == docs(spark, []).columns
+    for most in (exact_dedup.MOST_BROADCAST, 0):  # both ways: broadcast and exchanged
+        monkeypatch.setattr(exact_dedup, "MOST_BROADCAST", most)
+        kept = exact_dedup.keep_unique(docs(spark, odd))
+        assert kept.columns == docs(spark, []).columns
+        assert collections.Counter((r.doc_id, r.text) for r in kept.collect()) == collections.Counter((i, t) for i, t in odd if i == max((x for x in groups[t or ""] if x is not None), default=None))
+        assert collections.Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in exact_dedup.exact_dedup(docs(spark, odd)).collect()) == want
+
+
+def test_only_survivors_are_hashed(spark):
+    """The whole-text hash stands above the semi join with the repeated (length, prefix) pairs."""
+    plan = exact_dedup.survivors(docs(spark, odd_texts()), "doc_id", "text", 128)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("sha2(") < plan.index("Join LeftSemi")
 
 
 def linked(rows, width, percent):
@@ -147,6 +158,30 @@ def test_blocks_of_a_large_entry_meet(spark, monkeypatch, limit, value):
     assert got == {i: i - (i == len(rows) - 1) for i, _ in rows}
 
 
+def test_family_around_the_threshold(spark):
+    """Hundreds of variants of one text, most of them just below the threshold of each other."""
+    rng = np.random.default_rng(12)
+    base = [f"w{k}" for k in range(600)]
+    rows = []
+    for k in range(300):
+        changed = list(base)
+        for j in rng.choice(600, rng.integers(8, 14), replace=False):
+            changed[j] = f"n{rng.integers(0, 40)}_{j}"
+        rows.append((k, " ".join(changed)))
+    _, want = linked(rows, 4, 80)
+    assert 3 < len(set(want.values())) < 297
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs(spark, rows), 4, 80).collect()}
+    assert got == want
+
+
+def test_repeated_ids_with_different_texts(spark):
+    """A document of two texts joins the copies of both."""
+    words = lambda k: " ".join(f"v{k}_{j}" for j in range(60))
+    rows = [(1, words(1)), (1, words(2)), (2, words(1) + " more"), (3, words(2) + " more"), (4, words(4))]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs(spark, rows), 4, 80).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
 def test_index_guarantees_the_distance():
     """Any two signatures within 19 differing components share a key."""
     rng = np.random.default_rng(9)
@@ -245,10 +280,11 @@ def test_packing(spark, odd):
 
     path = public.path("word_bpe_49k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    got = packing.pack_documents(docs(spark, odd), path, 64).collect()
+    rows = odd + [*enumerate(TEXTS, 1000)]
+    got = packing.pack_documents(docs(spark, rows), path, 64).collect()
+    assert packing.pack_documents(docs(spark, []), path).count() == 0
     want = collections.Counter()
-    for i, t in odd:
+    for i, t in rows:
         ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0]
         for k in range(0, len(ids), 64):
             want[i, k // 64, k, len(ids[k : k + 64]), zlib.crc32(np.array(ids[k : k + 64], "<u4").tobytes())] += 1
@@ -265,29 +301,41 @@ def test_packing(spark, odd):
     assert len(bins) <= -(-sum(r.length for r in got) // 64) + 2
 
 
-def test_wavelet_matrix():
-    x = np.random.default_rng(1).integers(0, 300, 5000)
-    w = wavelet_shards.WaveletMatrix.from_bytes(wavelet_shards.WaveletMatrix.build(x).to_bytes())
-    assert (w.all() == x).all() and all(w.access(i) == x[i] for i in range(0, 5000, 41))
-    assert w.occurrences(7) == np.flatnonzero(x == 7).tolist() and w.count(9, 100, 4000) == (x[100:4000] == 9).sum() and w.count(70000) == 0
+@pytest.mark.parametrize("top", [300, 1 << 20])
+def test_wavelet_matrix(monkeypatch, top):
+    monkeypatch.setattr(wavelet_shards, "_CHUNK", 1024)
+    x = np.random.default_rng(1).integers(0, top, 5000)
+    x[::50] = 7
+    w = wavelet_shards.WaveletMatrix.from_bytes(b"head" + wavelet_shards.WaveletMatrix.build(x).to_bytes(), 4)
+    assert w.bits == int(x.max()).bit_length()
+    assert (w.all() == x).all() and (w.access(np.arange(5000)) == x).all() and w.access(41) == x[41]
+    starts, ends = np.arange(0, 4000, 7), np.arange(1000, 5000, 7)
+    assert w.occurrences(7) == np.flatnonzero(x == 7).tolist() and w.count(7, 100, 4000) == (x[100:4000] == 7).sum() and w.count(1 << 30) == 0
+    assert w.count(7, starts, ends).tolist() == [(x[a:b] == 7).sum() for a, b in zip(starts, ends, strict=True)]
     with pytest.raises(IndexError):
         w.select(7, 5000)
     empty = wavelet_shards.WaveletMatrix.from_bytes(wavelet_shards.WaveletMatrix.build(np.zeros(0, np.uint32)).to_bytes())
     assert len(empty.all()) == 0 and empty.count(1) == 0
 
 
+def test_wavelet_file_is_compressed():
+    x = np.random.default_rng(1).zipf(1.3, 200_000)
+    x = x[x < 50_000].astype(np.uint32)
+    assert len(wavelet_shards.WaveletMatrix.build(x).to_bytes()) < 0.7 * 2 * len(x)
+
+
 def test_wavelet_shards(spark, odd):
     from tokenizers import Tokenizer
 
     path = public.path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    rows = [(i, t) for i, t in odd if i is not None and (i, t) != (6, odd[6][1])] + [(6, odd[6][1])]
+    rows = [(i, t) for i, t in odd if i is not None and (i, t) != (6, odd[6][1])] + [(6, odd[6][1]), *enumerate(TEXTS, 1000)]
     got = wavelet_shards.read_shards(wavelet_shards.write_shards(docs(spark, rows), path, shard_tokens=500)).orderBy("doc_id").collect()
     start = 0
     for r, (i, t) in zip(got, sorted(rows, key=lambda x: x[0]), strict=True):
         ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0]
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        assert (r.last_id, r.n_end_ids) == (0, ids.count(0))
         start += len(ids)
     assert wavelet_shards.read_shards(wavelet_shards.write_shards(docs(spark, []), path)).count() == 0
 
@@ -304,12 +352,14 @@ def test_histogram_sort(spark):
         slots[r.shard].append((r.slot, r.key_hash, r.doc_id))
     assert set(slots) == set(range(12)) and all(sorted(s for s, _, _ in v) == list(range(len(v))) for v in slots.values())
     assert max(sizes.values()) - min(sizes.values()) <= 2 * max(r.size for r in got)
+    finer = histogram_shards.histogram_sort(base, 12, range_rows=20, most_heavy=1 << 20).select("doc_id", "shard", "slot").collect()
+    assert collections.Counter((r.doc_id, r.shard, r.slot) for r in finer if r.doc_id != 5) == collections.Counter((r.doc_id, r.shard, r.slot) for r in got if r.doc_id != 5)
     order = [(h, -1 if d is None else d) for k in range(12) for _, h, d in sorted(slots[k])]
     assert order == sorted(order)
     assert histogram_shards.histogram_sort(base.where("false"), 12).count() == 0
 
 
-TEXTS = ["", "  a  b\n\n c", "日本語のテキスト  처리", "a\tb \n c　d", "x" * 300, " ", "'s I'll  don't\r\n", "\x1c a", "é̀ñ🙂🙂 👩‍👩‍👧 zz", "Plain words, and 12 numbers.\nNext line"]
+TEXTS = ["hello <|endoftext|> world", "a\xa0\n b\u2003 c\u3000\t d\x85 e", "trailing \n\n ", "", "  a  b\n\n c", "日本語のテキスト  처리", "a\tb \n c　d", "x" * 300, " ", "'s I'll  don't\r\n", "\x1c a", "é̀ñ🙂🙂 👩‍👩‍👧 zz", "Plain words, and 12 numbers.\nNext line"]
 
 
 def test_transducer_is_tiktoken(spark):
@@ -324,8 +374,15 @@ def test_transducer_is_tiktoken(spark):
         ids = enc.encode_ordinary(text)
         assert r.ids == ids and r.n_tokens == len(ids)
         assert r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest() and r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+    other = r"\S+|\s+"
+    for r in bpe_transducer.encode_decode(docs(spark, rows), path, other, ids=True).collect():
+        assert r.ids == tiktoken.Encoding("other", pat_str=other, mergeable_ranks=ranks, special_tokens={}).encode_ordinary(dict(rows)[r.doc_id] or "")
+    assert bpe_transducer.encode_decode(docs(spark, []), path, public.PATTERN).count() == 0
     machine = bpe_transducer.Transducer(ranks)
     rng = np.random.default_rng(0)
+    for k in range(200):
+        word = bytes(rng.integers(0, 256, rng.integers(1, 400), dtype=np.uint8)) if k else b" " * 5000 + b"-" * 700
+        assert machine.encode(word) == list(machine.stream(word)) == enc._core_bpe.encode_single_piece(word)
     for _ in range(500):
         word = bytes(rng.choice(list(b"etaoin shrdlu"), rng.integers(1, 25)).astype(np.uint8))
         assert machine.encode(word) == enc._core_bpe.encode_single_piece(word)
@@ -347,10 +404,38 @@ def test_media_round_trip(spark, odd):
         pad = raw + b" " * (max(1, -(-len(raw) // 192)) * 192 - len(raw))
         by_id[i].add((len(raw), len(pad), hashlib.sha256(pad).hexdigest(), zlib.crc32(pad[-16:])))
     assert len(got) == len(odd) and all((r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) in by_id[r.doc_id] for r in got)
+    assert mjpeg_avi.media_features(mjpeg_avi.store_media(docs(spark, []))).count() == 0
+    assert all(r.feature == f"frames={(len(dict(odd)[18].encode()) + 3071) // 3072};fps=10;clips_ms=" + ",".join(f"{c.start_ms}-{c.end_ms}" for c in mjpeg_avi.clip_rows(stored).where("doc_id = 18").orderBy("clip").collect()) for r in got if r.doc_id == 18)
     clips = mjpeg_avi.clip_rows(stored).where("doc_id = 18").orderBy("clip").collect()
     assert clips[0].start_ms == 0 and all(a.end_ms == b.start_ms for a, b in zip(clips, clips[1:], strict=False))
 
 
+def test_other_code_tables():
+    """A common JPEG table of lengths 2 to 9, another frame size, and a file that mixes both kinds of frames."""
+    import struct
+
+    table = b"\x00" + bytes([0, 1, 5, 1, 1, 1, 1, 1, 1] + [0] * 7) + bytes([0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11])
+    codes = {size: f"{code:0{length}b}" for (length, code), size in mjpeg_avi._codes(table).items()}
+
+    def image(x):
+        d = np.diff(x.astype(int), axis=1, prepend=0)
+        d[1:, 0], d[0, 0] = np.diff(x[:, 0].astype(int)), int(x[0, 0]) - 128
+        bits = "".join(codes[s] + (f"{v if v > 0 else v + (1 << s) - 1:0{s}b}" if s else "") for v in d.ravel().tolist() for s in [abs(v).bit_length()])
+        data = bytes(int(bits[k : k + 8].ljust(8, "1"), 2) for k in range(0, len(bits), 8)).replace(b"\xff", b"\xff\x00")
+        frame = struct.pack(">HBHHB3B", 11, 8, *x.shape, 1, 1, 0x11, 0)
+        return b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc4" + struct.pack(">H", 2 + len(table)) + table + b"\xff\xc3" + frame + b"\xff\xda" + struct.pack(">HB2B3B", 8, 1, 1, 0, 1, 0, 0) + data + b"\xff\xd9"
+
+    rng = np.random.default_rng(6)
+    small = rng.integers(0, 256, (5, 7), dtype=np.uint8)
+    assert (mjpeg_avi.decode_image(image(small)) == small).all()
+    frames = np.cumsum(rng.integers(-3, 4, (2, mjpeg_avi.HEIGHT, mjpeg_avi.WIDTH)), axis=2).astype(np.uint8)
+    own = mjpeg_avi.encode_frames(frames[:1])
+    images, _ = mjpeg_avi.read_avi(mjpeg_avi.write_avi([*own, image(frames[1])], 1))
+    assert (mjpeg_avi.decode_frames(images) == frames).all() and (mjpeg_avi.decode_image(own[0]) == frames[0]).all()
+    with pytest.raises(ValueError):
+        mjpeg_avi.decode_image(image(small).replace(b"\xff\xc3", b"\xff\xc0"))
+
+
 def test_shots_at_changes():
     frames = np.zeros((12, mjpeg_avi.HEIGHT, mjpeg_avi.WIDTH), np.uint8)
     frames[5:] = 200
@@ -372,6 +457,22 @@ def test_warc(spark):
     assert warc.resolved(warc.read_archives(warc.write_archives(warc.record_kinds(pages.where("false"))))).count() == 0
 
 
+def test_warc_odd_pages(spark):
+    """Null and repeated ids, repeated rows, one id with two payloads; everything segmented."""
+    big, other = "<p>" + "segment " * 900, "<i>" + "another " * 900
+    rows = [(None, "a", big), (None, "b", other), (None, "c", other), (7, "d", big), (7, "e", other), (7, "e", other), (8, None, other), (9, "f", None), (None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = warc.resolved(warc.read_archives(warc.write_archives(warc.record_kinds(pages), segment_bytes=1024)))
+    want = collections.Counter()
+    for i, _, html in rows:
+        raw = (html or "").encode()
+        same = [x for x, _, h in rows if h == html and x is not None]
+        top = max(same, default=None) if len(raw) >= 1000 else None
+        revisit = top is not None and i != top
+        want[i, len(raw), hashlib.sha1(raw).hexdigest(), "revisit" if revisit else "response", top if revisit else None] += 1
+    assert collections.Counter(tuple(r) for r in got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()) == want
+
+
 def test_quality_learns_from_labels(spark):
     rng = np.random.default_rng(4)
     good = lambda: " ".join("".join(rng.choice(list("etaoinshr"), rng.integers(2, 8))) for _ in range(150)) + "."
@@ -388,13 +489,30 @@ def test_quality_learns_from_labels(spark):
 
 
 def test_quality_gradient():
-    """Training's gradient against differences."""
+    """Training's gradient against differences, weight by weight."""
     rng = np.random.default_rng(0)
-    bags = [rng.normal(size=(n, mil_quality.WIDTH)).astype(np.float32) for n in (1, 3, 5)]
-    model = mil_quality.fit(bags, np.array([0, 1, 1], np.float32), epochs=60, rate=0.02)
-    low, high = mil_quality.fit(bags, np.array([1, 0, 1], np.float32), epochs=60, rate=0.02), model
-    z = lambda m, b: float((lambda h, logit: (h * (np.exp(logit) / np.exp(logit).sum())[:, None]).sum(axis=0) @ m.w["c"] + m.w["d"][0])(*(lambda x: (x[1], x[4]))(m.instance(b))))
-    assert z(high, bags[0]) < 0 < z(high, bags[1]) and z(low, bags[1]) < 0 < z(low, bags[0])
+    bags, labels = [rng.normal(size=(n, mil_quality.WIDTH)) for n in (1, 3, 5)], np.array([0.0, 1.0, 1.0])
+    model = mil_quality.fit([b.astype(np.float32) for b in bags], labels, epochs=2)
+    model.w = {k: v.astype(np.float64) for k, v in model.w.items()}
+    _, grad = mil_quality.gradients(model, bags, labels)
+    for name, w in model.w.items():
+        for at in rng.choice(w.size, min(w.size, 12), replace=False):
+            held, step = w.flat[at], 1e-5
+            w.flat[at] = held + step
+            up, _ = mil_quality.gradients(model, bags, labels)
+            w.flat[at] = held - step
+            down, _ = mil_quality.gradients(model, bags, labels)
+            w.flat[at] = held
+            assert abs((up - down) / (2 * step) - grad[name].flat[at]) < 1e-6
+
+
+def test_scores_do_not_depend_on_neighbours():
+    rng = np.random.default_rng(1)
+    texts = ["".join(rng.choice(list("abc ,.X"), n)) for n in (0, 1, 700, 5000, 40, 2048 * 512 + 900)]
+    model = mil_quality.fit([rng.normal(size=(n, mil_quality.WIDTH)).astype(np.float32) for n in (2, 3)], np.array([0, 1], np.float32), epochs=2)
+    together = model.score(texts * 3 + texts[::-1])
+    alone = [float(model.score([t])[0]) for t in texts]
+    assert together.tolist() == alone * 3 + alone[::-1]
 
 
 def test_shingle_sets_do_not_depend_on_blocks():
