@@ -35,7 +35,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of 2048 tokens."""
-    return packing.pack_documents(docs, f"{catalogue.TOKENIZERS}/word_bpe_49k.json")
+    return packing.pack_documents(docs, catalogue.tokenizer("word_bpe_49k.json"))
 
 
 STAGES = [("quality", quality), ("exact", exact), ("near", near), ("repeats", repeats), ("pack", pack)]
