@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import bound
+
 # Levels in rising order with the phrases that name them.
 LEVELS = {
     "high_school": ("高中", "高中学历", "中专", "中等专业学校", "职高", "职业高中", "中职", "中等职业学校", "技校", "技工学校", "high school", "high school diploma", "secondary school"),
@@ -29,11 +31,13 @@ def _pattern(phrases: tuple[str, ...]) -> str:
 
 def level_rank(text: Column) -> Column:
     """1 (high school) to 5 (doctorate): the lowest level named, as that is the minimum asked for; null if none is."""
-    plain = F.regexp_replace(F.lower(F.trim(F.regexp_replace(text, "(?U)\\s+", " "))), "[._-]+", " ")
-    rank = F.lit(None).cast("int")
-    for k in range(len(NAMES), 0, -1):
-        rank = F.when(plain.rlike(_pattern(LEVELS[NAMES[k - 1]])), k).otherwise(rank)
-    return rank
+    def rank(plain: Column) -> Column:
+        out = F.lit(None).cast("int")
+        for k in range(len(NAMES), 0, -1):
+            out = F.when(plain.rlike(_pattern(LEVELS[NAMES[k - 1]])), k).otherwise(out)
+        return out
+
+    return bound(F.regexp_replace(F.lower(F.trim(F.regexp_replace(text, "(?U)\\s+", " "))), "[._-]+", " "), rank)
 
 
 def level_name(rank: Column) -> Column:

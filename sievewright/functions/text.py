@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +19,11 @@ EXCERPT_MARKERS = ("职位介绍", "岗位职责", "工作职责", "岗位要求
 LINE_ENDS = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085  ]"
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that it names several times but that is worked out once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def collapse(text: Column) -> Column:
     """Runs of white space, also beyond ASCII, to one space; trimmed; null to empty."""
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), "(?U)\\s+", " "))

@@ -18,7 +18,8 @@ def admit(inputs: DataFrame, queued: DataFrame, handled: DataFrame, key: str = "
     flag = lambda df, name: df.select(F.col(key)).where(F.col(key).isNotNull()).distinct().withColumn(name, F.lit(True))
     told = inputs.join(flag(handled, "_handled"), key, "left").join(flag(queued, "_queued"), key, "left")
     new = F.col(key).isNotNull() & F.col("_handled").isNull() & F.col("_queued").isNull()
-    seen = told.withColumn("_nth", F.row_number().over(Window.partitionBy(key).orderBy(order)))
+    # Invalid inputs are not ranked, so they do not meet.
+    seen = told.where(F.col(key).isNotNull()).withColumn("_nth", F.row_number().over(Window.partitionBy(key).orderBy(order))).unionByName(told.where(F.col(key).isNull()).withColumn("_nth", F.lit(1)))
     if limit is None:
         picked = seen.withColumn("_in", new)
     else:

@@ -30,13 +30,16 @@ def within(value: Column, start: Column, end: Column) -> Column:
 
 
 def basic_gate(jobs: DataFrame, as_of: Column) -> DataFrame:
-    """``jobs`` joined with a profile, with ``decision``, ``flag`` (of the first hard rule broken) and ``risk_flags``.
+    """``jobs`` joined with a profile, with ``decision``, ``flag`` (of the first hard rule broken), ``risk_flags``, ``gate_reasons``, ``missing_requirements`` and ``recommendation_override``.
 
     Job columns: deadline, graduation_years, graduation_start, graduation_end, graduation_requirement, education_levels,
     locations; profile columns: p_graduation, p_education, p_excluded (canonical locations). Rules stand in order:
-    deadline, window, year, education, location. Flags may repeat, and repeats count.
+    deadline, window, year, education, location. Flags may repeat, and repeats count. ``p_education_rank``, if there is
+    one, saves ranking the same profile again for each job.
     """
-    deadline, due = F.col("deadline"), iso_date(F.col("deadline"))
+    own = F.col("p_education_rank") if "p_education_rank" in jobs.columns else level_rank(F.col("p_education"))
+    rows = jobs.withColumns({"_needed": F.array_compact(F.transform("education_levels", level_rank)), "_own": own, "_due": iso_date(F.col("deadline"))})
+    deadline, due = F.col("deadline"), F.col("_due")
     has_deadline = F.coalesce(deadline != "", F.lit(False))
     month, year = year_month(F.col("p_graduation")), cohort_year(F.col("p_graduation")).cast("string")
     start, end = year_month(F.col("graduation_start")), year_month(F.col("graduation_end"))
@@ -47,8 +50,7 @@ def basic_gate(jobs: DataFrame, as_of: Column) -> DataFrame:
     years = F.filter(asked, lambda y: F.trim(y).rlike("^(19|20)\\d{2}$"))
     explicit = F.coalesce(F.lower("graduation_requirement").rlike(GRADUATION_WORDS), F.lit(False))
     misses = year.isNotNull() & (F.size(years) > 0) & ~F.array_contains(years, F.coalesce(year, F.lit("")))
-    needed = F.array_compact(F.transform("education_levels", level_rank))
-    own = level_rank(F.col("p_education"))
+    needed, own = F.col("_needed"), F.col("_own")
     low_education = (F.size(needed) > 0) & own.isNotNull() & ~F.exists(needed, lambda r: own >= r)
     bare = lambda c: F.transform(c, lambda x: F.lower(F.regexp_replace(x, "\\s+", "")))
     hits = F.array_intersect(bare("p_excluded"), bare("locations"))
@@ -72,8 +74,20 @@ def basic_gate(jobs: DataFrame, as_of: Column) -> DataFrame:
         ((F.size(needed) > 0) & own.isNull(), "education_candidate_unknown"),
         (F.size("locations") == 0, "location_unknown"),
     )
-    judged = jobs.withColumn("_hard", hard).withColumn("_soft", soft)
-    return judged.select(*jobs.columns, F.when(F.col("_hard").isNull(), "pass").otherwise("skip").alias("decision"), F.col("_hard").alias("flag"), F.when(F.col("_hard").isNull(), F.col("_soft")).otherwise(F.array("_hard")).alias("risk_flags"))
+    told = {  # per hard rule: why, and what is missing
+        "expired_deadline": ("Application deadline has passed.", F.concat(F.lit("Deadline "), deadline, F.lit(" is before "), as_of.cast("string"), F.lit("."))),
+        "graduation_window_mismatch": ("Graduation eligibility window does not match.", F.concat(F.lit("Candidate graduation date "), "p_graduation", F.lit(" is outside required window."))),
+        "graduation_year_mismatch": ("Graduation year eligibility does not match.", F.concat(F.lit("Candidate graduation year "), year, F.lit(" is not in required years: "), F.array_join(F.array_sort(F.array_distinct(F.transform(years, F.trim))), ", "), F.lit("."))),
+        "education_level_mismatch": ("Explicit education-level requirement does not match.", F.concat(F.lit("Required education level: "), F.array_join(F.array_sort(F.array_distinct(F.transform(needed, level_name))), ", "), F.lit("."))),
+        "excluded_location": ("Job location is explicitly excluded by the candidate profile.", F.concat(F.lit("Excluded location matched: "), F.array_join(F.array_sort(F.filter(F.array_distinct("p_excluded"), lambda x: F.array_contains(hits, F.lower(F.regexp_replace(x, "\\s+", ""))))), ", "), F.lit("."))),
+    }
+    judged = rows.withColumn("_hard", hard).withColumn("_soft", soft)
+    broken, none = F.col("_hard").isNotNull(), F.array().cast("array<string>")
+    said = lambda k: F.when(broken, F.array(mapped(F.col("_hard"), {f: F.lit(t[k]) if k == 0 else t[k] for f, t in told.items()}))).otherwise(none)
+    return judged.select(
+        *jobs.columns, F.when(broken, "skip").otherwise("pass").alias("decision"), F.col("_hard").alias("flag"), F.when(broken, F.array("_hard")).otherwise(F.col("_soft")).alias("risk_flags"),
+        said(0).alias("gate_reasons"), said(1).alias("missing_requirements"), F.when(broken, "skip").alias("recommendation_override"),
+    )
 
 
 def components(role_fit: Column, must_have: Column, flags: Column, rejected: Column, locations: Column, preferred: Column) -> dict[str, Column]:
@@ -108,25 +122,34 @@ def final_confidence(semantic: Column, understood: Column, flags: Column) -> Col
     return F.when(low == 0, "low").when((low == 1) | (F.size(flags) > 0), "medium").otherwise("high")
 
 
-def assess(rows: DataFrame) -> DataFrame:
+def assess(rows: DataFrame, weights: dict[str, int] | None = None) -> DataFrame:
     """Final assessments.
 
     Columns read: hard_reject, gate_reasons, gate_flags, locations, preferred, is_official, role_fit, must_have,
-    confidence, understood_confidence, reasons, flags. A hard reject or a missing verdict (role_fit null) is settled
-    without a score.
+    confidence, understood_confidence, reasons, flags; where they exist also missing_requirements (of the verdict),
+    gate_missing, recommendation_override and score_cap. A hard reject or a missing verdict (role_fit null) is settled
+    without a score: fits are unclear, and only eligibility counts as a component, with 0.
     """
+    none = F.array().cast("array<string>")
+    given = lambda name, otherwise: F.col(name) if name in rows.columns else otherwise
     settled = F.col("hard_reject") | F.col("role_fit").isNull()
     parts = components(F.col("role_fit"), F.col("must_have"), F.col("gate_flags"), F.col("hard_reject"), F.col("locations"), F.col("preferred"))
-    score = F.when(settled, 0).otherwise(weighted_score(parts))
-    official = F.when(~F.col("is_official"), F.array(F.lit("non_official_source"))).otherwise(F.array().cast("array<string>"))
+    score = F.when(settled, 0).otherwise(weighted_score(parts, weights, given("score_cap", None)))
+    override, missing = given("recommendation_override", F.lit(None).cast("string")), given("gate_missing", none)
+    official = F.when(~F.col("is_official"), F.array(F.lit("non_official_source"))).otherwise(none)
     flags = F.when(settled, F.concat("gate_flags", official)).otherwise(F.concat("gate_flags", "flags", official))
+    named = F.create_map(*(x for k, v in parts.items() for x in (F.lit(k), v.cast("int"))))
     return rows.withColumns({
         "match_score": score,
-        "recommendation": F.when(settled, "skip").otherwise(bucket(score)),
+        "recommendation": F.coalesce(override, F.when(settled, "skip").otherwise(bucket(score))),
+        "role_fit": F.when(settled, "unclear").otherwise(F.col("role_fit")),
         "must_have_fit": F.when(F.col("hard_reject"), "no").when(settled, "unclear").otherwise(F.col("must_have")),
         "final_confidence": F.when(settled, "high").otherwise(final_confidence(F.col("confidence"), F.col("understood_confidence"), F.col("gate_flags"))),
         "match_reasons": distinct_filled(F.when(settled, F.col("gate_reasons")).otherwise(F.concat("gate_reasons", "reasons"))),
+        "missing_requirements": distinct_filled(F.when(settled, missing).otherwise(F.concat(missing, given("missing_requirements", none)))),
         "risk_flags": distinct_filled(flags),
+        "deterministic_reasons": F.col("gate_reasons"),
+        "score_components": F.when(settled, F.create_map(F.lit("eligibility"), F.lit(0))).otherwise(named),
         "analysis_source": F.when(settled, "deterministic_only").otherwise("semantic_with_program_scoring"),
     })
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .eligibility import mapped
+
 # Costs of actions (model calls, network) and their order on ties.
 COSTS = {
     "build_search_plan": (0.0, 0.5), "web_search": (0.0, 1.5), "acquire_page": (0.0, 1.0), "explore_followups": (0.0, 0.5), "analyze_page": (1.0, 0.0),
@@ -23,6 +25,47 @@ def frontier(rows: DataFrame, priority: str, executable: Column, links: Column,
     return rows.agg(F.count("*").alias("total"), F.count_if(executable).alias("executable"), F.avg(priority).alias("mean_priority"), F.max(priority).alias("max_priority"), F.count_if(executable & (F.col(priority) >= high)).alias("high_priority_executable"), F.sum(links).alias("usable_links"))
 
 
+def result_features(assessments: DataFrame) -> DataFrame:
+    """One row over assessments: jobs per recommendation, mean of the scores that are numbers, rows with flags, with missing requirements."""
+    kinds = ("apply", "consider", "low_priority", "skip")
+    filled = lambda c: F.count_if(F.coalesce(F.size(c), F.lit(0)) > 0)
+    return assessments.agg(
+        *(F.count_if(F.col("recommendation") == k).alias(f"{k}_count") for k in kinds), F.avg(F.expr("try_cast(match_score as double)")).alias("average_match_score"),
+        filled("risk_flags").alias("risk_flagged_count"), filled("missing_requirements").alias("missing_requirement_count"),
+    )
+
+
+def goal_features(assessments: DataFrame, prepared: int | Column, target: int, most: int) -> DataFrame:
+    """One row: assessments, useful ones among them, what is missing to the target, what the cap on prepared jobs leaves."""
+    total = F.count("*")
+    return assessments.agg(
+        total.alias("total_match_assessments"), F.count_if(F.col("recommendation").isin("apply", "consider")).alias("useful_match_count"),
+        F.greatest(F.lit(0), F.lit(target) - total).alias("result_deficit"), F.greatest(F.lit(0), F.lit(most) - (prepared if isinstance(prepared, Column) else F.lit(prepared))).alias("remaining_result_capacity"),
+    )
+
+
+def stage_report(rows: DataFrame, by: list[str], outcome: str, error: str) -> DataFrame:
+    """Rows, successes and failures per group, and how often each error came; errors are counted, not listed one by one."""
+    base = rows.groupBy(*by).agg(F.count("*").alias("total"), F.count_if(outcome).alias("succeeded"), F.count_if(F.col(error).isNotNull()).alias("failed"))
+    kinds = rows.where(F.col(error).isNotNull()).groupBy(*by, error).agg(F.count("*").alias("n"))
+    listed = kinds.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(error).alias("error"), "n"))).alias("errors"))
+    return base.join(listed, by, "left")
+
+
+# How reasons of a stop and recommendations read.
+STOP_TEXTS = {
+    "max_results": "the hard result cap was reached", "max_steps": "the execution safety budget was exhausted", "no_progress": "no productive work remained",
+    "frontier_exhausted": "the available work frontier was exhausted", "max_search_rounds": "the search-round expansion limit was reached", "max_rounds": "the search-round expansion limit was reached",
+}
+RECOMMENDATION_TEXTS = {"apply": "Apply", "consider": "Consider", "low_priority": "Low priority", "skip": "Skip"}
+
+
+def readable(code: Column, texts: dict[str, str], title: bool = False) -> Column:
+    """The text of a code; a code without one is shown as its words."""
+    words = F.replace(code, F.lit("_"), F.lit(" "))
+    return F.coalesce(mapped(code, texts), F.initcap(words) if title else words)
+
+
 def ratio(x: Column, y: Column) -> Column:
     """Null where there is nothing to divide by."""
     return F.try_divide(x.cast("double"), y)

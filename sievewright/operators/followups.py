@@ -25,6 +25,28 @@ def route_types(pages: DataFrame, page_type: str = "page_type") -> DataFrame:
     return pages.withColumns({"next_action": mapped(t, NEXT_ACTION), "pending_kind": F.coalesce(mapped(t, KIND), F.lit("review_required")), "priority": F.coalesce(mapped(t, PRIORITY), F.lit(50)).cast("int")})
 
 
+def followup_rows(pages: DataFrame, kind: Column, action: Column, priority: Column, reasons: Column, stage: str) -> DataFrame:
+    """Pages that need another step as follow-ups: what is known of the page, why and how to go on, and its telling links."""
+    host = F.lower(F.regexp_extract("url", "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
+    links = F.transform("important_links", lambda x: F.struct(x["url"].alias("url"), x["text"].alias("text"), x["kind"].alias("kind")))
+    return pages.select(
+        "url", "final_url", "title", F.coalesce(F.nullif("source_name", F.lit("")), host).alias("source_name"), F.col("source_company_name").alias("company_name"), "company_type", "is_official",
+        kind.alias("pending_kind"), reasons.alias("reasons"), action.alias("suggested_next_action"), priority.cast("int").alias("priority"), links.alias("links"), F.lit(stage).alias("stage"),
+    )
+
+
+def classified_followups(pages: DataFrame, page_type: str = "page_type", reasons: str = "reasons") -> DataFrame:
+    """Follow-ups of classified pages that are no job's own page; without reasons of the classifier the route is the reason."""
+    routed = route_types(pages.where(F.col(page_type) != "job_detail"), page_type)
+    why = F.when(F.coalesce(F.size(reasons), F.lit(0)) > 0, F.col(reasons)).otherwise(F.array(F.concat(F.lit("page routed as "), page_type)))
+    return followup_rows(routed, F.col("pending_kind"), F.col("next_action"), F.col("priority"), why, "pre_extraction")
+
+
+def failed_followups(pages: DataFrame, error: str = "error") -> DataFrame:
+    """Pages whose analysis failed, for a person to look at."""
+    return followup_rows(pages, F.lit("review_required"), F.lit("manual_review"), F.lit(50), F.array(error), "pre_extraction")
+
+
 def fetch_error_route(error: Column) -> Column:
     return F.when(F.lower(error).rlike(PENDING_ERRORS), "pending").otherwise("rejected")
 
@@ -61,9 +83,8 @@ def explore(followups: DataFrame, excluded: DataFrame, explored: DataFrame) -> t
     """
     rows = followups.where("pending_kind = 'navigation_required'").select("fu", "priority", F.explode("links").alias("l")).select("fu", "priority", "l.ord", "l.url_key", "l.text")
     barred = excluded.select("url_key").unionByName(explored.select("url_key")).where("url_key is not null").distinct().withColumn("_barred", F.lit(True))
-    told = rows.join(barred, "url_key", "left")
-    nth = F.row_number().over(Window.partitionBy("url_key").orderBy("fu", "ord"))
-    told = told.withColumn("_nth", F.when(F.col("url_key").isNotNull() & F.col("_barred").isNull(), nth))
+    told = rows.where("url_key is not null").join(barred, "url_key", "left").withColumn("_nth", F.row_number().over(Window.partitionBy("url_key").orderBy("fu", "ord")))
+    told = told.unionByName(rows.where("url_key is null"), allowMissingColumns=True)
     state = F.when(F.col("url_key").isNull(), "invalid").when(F.col("_barred").isNotNull() | (F.col("_nth") > 1), "skipped").otherwise("discovered")
     told = told.withColumn("state", state)
     sources = told.where("state = 'discovered'").select("fu", "ord", F.col("url_key").alias("url"), F.coalesce(F.nullif(F.trim("text"), F.lit("")), "url_key").alias("title"), F.col("priority").alias("relevance_score"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.urls import canonical_url
-from ..functions.text import CHROME_LINES, EXCERPT_MARKERS, all_reasons, collapse, contained, lines
+from ..functions.text import CHROME_LINES, EXCERPT_MARKERS, all_reasons, bound, collapse, contained, lines
 
 # Words that speak for a posting, against a page, and for a log-in wall.
 POSTING_WORDS = (
@@ -170,15 +170,21 @@ def cleaned_text(judged: DataFrame, key: str = "page_id", most: int = 12_000) ->
 
 def excerpt(title: Column, text: Column, most: int = 6000, block: int = 12) -> Column:
     """Blocks of lines from each heading on; without headings the text's head and tail, which may overlap."""
-    rows = F.filter(F.transform(lines(text), F.trim), lambda x: x != "")
-    marks = "|".join(EXCERPT_MARKERS)
-    starts = F.filter(F.transform(rows, lambda x, i: F.when(F.lower(x).rlike(marks), i)), lambda i: i.isNotNull())
-    blocks = F.transform(starts, lambda i: F.array_join(F.slice(rows, i + 1, F.lit(block)), "\n"))
-    name, body = F.trim(F.coalesce(title, F.lit(""))), F.array_join(rows, "\n")
-    head = F.substring(body, 1, most // 2)
-    tail = F.when(F.length(body) > most // 2, F.right(body, F.least(F.length(body), F.lit(most) - F.length(head)))).otherwise("")
-    parts = F.when(F.size(starts) > 0, F.concat(F.filter(F.array(name), lambda x: x != ""), blocks)).otherwise(F.filter(F.array(name, head, tail), lambda x: x != ""))
-    return F.rtrim(F.substring(F.array_join(parts, "\n"), 1, most))
+    marks, name = "|".join(EXCERPT_MARKERS), F.trim(F.coalesce(title, F.lit("")))
+    filled = lambda *xs: F.filter(F.array(*xs), lambda x: x != "")
+
+    def whole(body: Column) -> Column:
+        head = F.substring(body, 1, most // 2)
+        tail = F.when(F.length(body) > most // 2, F.right(body, F.least(F.length(body), F.lit(most) - F.length(head)))).otherwise("")
+        return filled(name, head, tail)
+
+    def parts(rows: Column) -> Column:
+        starts = F.filter(F.transform(rows, lambda x, i: F.when(F.lower(x).rlike(marks), i)), lambda i: i.isNotNull())
+        blocks = F.transform(starts, lambda i: F.array_join(F.slice(rows, i + 1, F.lit(block)), "\n"))
+        return bound(blocks, lambda b: F.when(F.size(b) > 0, F.concat(filled(name), b)).otherwise(bound(F.array_join(rows, "\n"), whole)))
+
+    found = bound(F.filter(F.transform(lines(text), F.trim), lambda x: x != ""), parts)
+    return F.rtrim(F.substring(F.array_join(found, "\n"), 1, most))
 
 
 def link_kind(url: Column, label: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.dates import graduation_years, iso_date, normalize_date_text
 from ..functions.education import levels
-from ..functions.text import all_reasons, blank_to_null, key_part
+from ..functions.text import all_reasons, blank_to_null, key_part, lines
 
 # Schemes of addresses that records may come from, and states a user may set.
 SCHEMES = ("http", "https", "file", "mock")
@@ -83,20 +83,126 @@ def first_match(records: DataFrame, pages: DataFrame, record: str, url: str, pag
     return records.join(named, url, "left")
 
 
-def either_backfill(records: DataFrame, pages: DataFrame, url: str, page_url: str, final_url: str, values: list[str]) -> DataFrame:
-    """Empty ``values`` of records from the page at their address, else from the page that ended there."""
+def either_backfill(records: DataFrame, pages: DataFrame, url: str, page_url: str, final_url: str, values: list[str], order: str = "ord") -> DataFrame:
+    """Empty ``values`` of records from one page, whole: the last at their address, else the last that ended there.
+
+    A record without such a page takes the only page where ``pages`` has just one row, and stays as it is otherwise.
+    """
+    page = F.struct(*values)
+
     def side(column: str, tag: str) -> DataFrame:
-        return pages.where(F.col(column).isNotNull()).groupBy(F.col(column).alias(url)).agg(*(F.min(v).alias(f"_{tag}_{v}") for v in values))
+        return pages.where(F.col(column) != "").groupBy(F.col(column).alias(url)).agg(F.max_by(page, order).alias(tag))
+
+    alone = pages.agg(F.when(F.count("*") == 1, F.first(page)).alias("_alone"))
+    joined = records.join(side(page_url, "_a"), url, "left").join(side(final_url, "_b"), url, "left").crossJoin(F.broadcast(alone))
+    told = joined.withColumn("_page", F.coalesce("_a", "_b", "_alone"))
+    filled = {v: F.when(F.col("_page").isNull(), F.col(v)).otherwise(F.coalesce(F.nullif(v, F.lit("")), F.col("_page")[v])) for v in values}
+    return told.withColumns(filled).select(*records.columns)
+
+
+# What names an employer in a line of its own, what names none, and endings of company names.
+COMPANY_LABEL = "(?i)^(?:company|employer|hiring company|organization|公司名称|招聘单位|用人单位|雇主)\\s*[:：]\\s*(.+?)\\s*$"
+COMPANY_ABOUT = "(?i)^(?:about|关于)\\s+(.+?)\\s*$"
+UNDISCLOSED = ("our client", "the client", "我们的客户", "客户公司", "匿名雇主")
+COMPANY_ENDING = "(?i)(?:\\b(?:inc|corp|corporation|co\\.?|ltd|limited|llc|plc)\\.?$|有限公司$|集团$|科技$|银行$)"
+
+
+def explicit_company(title: Column, text: Column) -> Column:
+    """The employer that a page names itself; null if none does.
+
+    Lines are judged in order, the title first: a labelled name, then an "about" heading, and in the title a part that
+    ends like a company. Names that hide the employer do not count.
+    """
+    edge = lambda c, marks: F.regexp_replace(c, f"^[{marks}]+|[{marks}]+$", "")
+    name = lambda c: edge(c, " .,:;，。：")
+    told = lambda c: (c != "") & ~reduce(lambda x, y: x | y, (F.contains(F.lower(c), F.lit(m)) for m in UNDISCLOSED))
+    rows = F.transform(F.concat(F.array(F.coalesce(title, F.lit(""))), lines(text)), lambda x: edge(F.regexp_replace(x, "(?U)^\\s+|\\s+$", ""), "|—–\\-"))
+
+    def found(x: Column, at: Column) -> Column:
+        parts = F.filter(F.transform(F.split(x, "(?U)\\s*[|｜—–]\\s*|\\s+-\\s+"), name), lambda c: told(c) & c.rlike(COMPANY_ENDING))
+        named = F.array(*(F.when(x.rlike(form), name(F.regexp_extract(x, form, 1))) for form in (COMPANY_LABEL, COMPANY_ABOUT)))
+        return F.get(F.concat(F.filter(F.array_compact(named), told), F.when(at == 0, parts).otherwise(F.array().cast("array<string>"))), F.lit(0))
+
+    return F.get(F.array_compact(F.transform(rows, found)), F.lit(0))
+
+
+def first_apply_url(links: Column) -> Column:
+    """Address of the first link of kind apply."""
+    return F.get(F.filter(links, lambda x: x["kind"] == "apply"), F.lit(0))["url"]
+
+
+def merged_context(pages: DataFrame, context: str = "page_context", jobs: str = "jobs") -> DataFrame:
+    """A raw record per extracted job: page context, what the page's source tells, and on top the job's own fields.
+
+    ``pages``: url, source_name, source_company_name, company_type, source_location, is_official, title, visible_text,
+    important_links, and the structs ``context`` and ``jobs``. Address, source and official state come from the source,
+    never from the extraction; a company is the extraction's, else the page's own, else the source's; a job without
+    places has its source's. A field that a job's struct holds replaces the context's, null too.
+    """
+    own = [f.name for f in pages.schema[jobs].dataType.elementType]
+    given = [f.name for f in pages.schema[context].dataType]
+    filled = lambda c: F.nullif(c, F.lit(""))
+    host = F.lower(F.regexp_extract("url", "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
+    fields = {c: F.col(f"_page.{context}.{c}") for c in given} | {
+        "company_name": F.coalesce(filled(F.col(f"_page.{context}.company_name") if "company_name" in given else F.lit(None).cast("string")), explicit_company(F.col("_page.title"), F.col("_page.visible_text")), F.col("_page.source_company_name")),
+        "company_type": F.col("_page.company_type"), "apply_url": first_apply_url(F.col("_page.important_links")), "source_url": F.col("_page.url"),
+        "source_name": F.coalesce(filled(F.col("_page.source_name")), F.col("_page._host")), "is_official": F.col("_page.is_official"),
+    } | {c: F.col(f"_job.{c}") for c in own}
+    if "locations" in fields:
+        place = filled(F.col("_page.source_location"))
+        fields["locations"] = F.when((F.coalesce(F.size(fields["locations"]), F.lit(0)) <= 0) & place.isNotNull(), F.array(place)).otherwise(fields["locations"])
+    page = pages.withColumn("_host", host)
+    rows = page.select(F.struct(*(c for c in page.columns if c != jobs)).alias("_page"), F.posexplode(jobs).alias("place", "_job"))
+    return rows.select(*(v.alias(k) for k, v in fields.items()), "place")
+
+
+# What each model is shown of a page or a record.
+SHOWN = {"page": ("page_id", "title", "visible_text"), "job": ("title", "description", "requirements", "recruitment_type")}
+
+
+def payload(kind: str) -> Column:
+    """JSON of the fields that a model of ``kind`` is shown; nulls are written, so a reader sees every field."""
+    return F.to_json(F.struct(*SHOWN[kind]), {"ignoreNullFields": "false"})
+
+
+def packed(items: Column) -> Column:
+    """A list as the text that a table without lists holds; null as an empty list."""
+    return F.to_json(F.coalesce(items, F.array().cast("array<string>")))
+
+
+def unpacked(text: Column) -> Column:
+    """The list that :func:`packed` wrote; anything else is an empty list."""
+    return F.coalesce(F.from_json(text, "array<string>"), F.array().cast("array<string>"))
+
+
+# Fields a search cannot do without, and what to ask for them.
+REQUIRED = (
+    ("target_roles", "Add at least one target role."), ("skills", "Add at least one skill keyword."),
+    ("graduation_date", "Add expected graduation year or date, for example 2026 or 2026-06."), ("preferred_locations", "Add at least one preferred location."),
+)
+
+
+def profile_gaps(profiles: DataFrame) -> DataFrame:
+    """``profiles`` with ``missing_fields``, ``questions`` and ``is_complete``; a list counts if one of its items is not blank."""
+    def lacks(name: str) -> Column:
+        if name == "graduation_date":
+            return ~F.coalesce(F.col(name).rlike("(19|20)\\d{2}"), F.lit(False))
+        return F.coalesce(F.size(F.filter(name, lambda x: F.trim(x) != "")), F.lit(0)) <= 0
+
+    told = profiles.withColumns({"missing_fields": all_reasons(*((lacks(n), n) for n, _ in REQUIRED)), "questions": all_reasons(*((lacks(n), q) for n, q in REQUIRED))})
+    return told.withColumn("is_complete", F.size("missing_fields") == 0)
+
 
-    joined = records.join(side(page_url, "a"), url, "left").join(side(final_url, "b"), url, "left")
-    return joined.withColumns({v: F.coalesce(F.nullif(v, F.lit("")), f"_a_{v}", f"_b_{v}") for v in values}).drop(*(f"_{t}_{v}" for t in "ab" for v in values))
+def company_order(jobs: DataFrame, company: str = "company_name") -> DataFrame:
+    """Companies with their number of jobs, the most first, then by name whatever its case; jobs without one count as None's."""
+    return jobs.groupBy(company).agg(F.count("*").alias("job_count")).orderBy(F.desc("job_count"), F.lower(F.coalesce(company, F.lit("None"))))
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, preserved: list[str], id_col: str = "id") -> DataFrame:
     """The table after an upsert by ``key``: facts from ``new``, ids and ``preserved`` columns of rows that were there.
 
     New rows are numbered on from the largest id, in the order of their keys: a running number of the new keys alone,
-    by range partitions and their counts, so no task sorts them all. ``action`` tells inserted, updated, unchanged.
+    by ranges of keys and their counts, so no task sorts them all. ``action`` tells inserted, updated, unchanged.
     """
     from ..plans.numbering import numbered
 

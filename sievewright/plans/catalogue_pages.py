@@ -105,29 +105,59 @@ def _structured(spark, d):
     return table(spark, d, "pages").select("page_id", "url", "html", markup.structure("html", "url").alias("s")).select("page_id", "url", "html", "s.*")
 
 
-@query()
+_MADE = "SELECT page_id, 'https://h' || page_id || '.example' AS host FROM pages"
+
+
+def _made(spark, d):
+    """A page around each page's id: a title, hidden text, blocks, links of every kind, a posting in a data script."""
+    k = F.col("page_id").cast("string")
+    posting = F.to_json(F.struct(F.lit("JobPosting").alias("@type"), F.concat(F.lit("Role "), k).alias("title"), F.repeat(F.concat(F.lit("duty "), k, F.lit(" ")), 60).alias("description")))
+    html = F.concat(
+        F.lit("<html><head><title>Role "), k, F.lit(" &amp; more</title><style>p {}</style><script type='application/ld+json'>"), posting, F.lit("</script></head><body><h1>Duties  of "), k, F.lit("</h1><p>First <b>bold</b><br>second"),
+        F.lit("<div>Apply at https://apply.example/"), k, F.lit("). today</div><a href='/jobs/"), k, F.lit("'>View job</a><a href='brochure.pdf'>Apply form</a><a>none</a><a href='/apply/"), k, F.lit("'>Submit <i>now</i></a><a href='/other'>Other</a><a href='/jobs/"), k, F.lit("'>View job</a></body></html>"),
+    )
+    return table(spark, d, "pages").select("page_id", F.concat(F.lit("https://h"), k, F.lit(".example/list/")).alias("url"), html.alias("html"))
+
+
+@query(f"""
+SELECT page_id, 'Role ' || page_id || ' & more' AS title, 5 AS n_links, concat_ws(chr(10), 'Role ' || page_id || ' & more', 'Duties of ' || page_id, 'First', 'bold', 'second', 'Apply at https://apply.example/' || page_id || '). today', 'View job', 'Apply form', 'none', 'Submit', 'now', 'Other', 'View job') AS text,
+ host || '/jobs/' || page_id AS first_link, 'Submit now' AS third_label FROM ({_MADE})
+""")
 def html_structure(spark, d):
-    return _structured(spark, d).select("page_id", "title", "text", F.size("links").alias("n_links"))
+    ready(spark)
+    s = F.col("s")
+    return _made(spark, d).select("page_id", markup.structure("html", "url").alias("s")).select("page_id", s["title"].alias("title"), F.size(s["links"]).alias("n_links"), s["text"].alias("text"), s["links"][0]["href"].alias("first_link"), s["links"][2]["text"].alias("third_label"))
 
 
-@query()
+@query("""
+SELECT page_id, true AS success, 'json_ld' AS source, 'recovered_from_json_ld' AS reasons, 'Role ' || page_id || chr(10) || trim(repeat('duty ' || page_id || ' ', 60)) AS text FROM pages
+""")
 def page_recovery(spark, d):
     ready(spark)
-    return table(spark, d, "pages").select("page_id", markup.recovered("html").alias("r")).select("page_id", "r.success", "r.source", F.array_join("r.reasons", ";").alias("reasons"))
+    return _made(spark, d).select("page_id", markup.recovered("html").alias("r")).select("page_id", "r.success", "r.source", F.array_join("r.reasons", ";").alias("reasons"), "r.text")
 
 
-@query()
+@query(f"""
+WITH p AS ({_MADE})
+SELECT page_id, unnest([1, 2, 3, 4]) AS place, unnest([host || '/apply/' || page_id, 'https://apply.example/' || page_id, host || '/jobs/' || page_id, host || '/list/brochure.pdf']) AS url,
+ unnest(['Submit now', 'Apply at https://apply.example/' || page_id || '). today', 'View job', 'Apply form']) AS label, unnest(['apply', 'apply', 'job_detail_candidate', 'attachment']) AS kind FROM p
+""")
 def links_rank(spark, d):
-    return pages.important_links(_structured(spark, d))
+    ready(spark)
+    return pages.important_links(_made(spark, d).select("page_id", markup.structure("html", "url").alias("s")).select("page_id", "s.links", "s.text"))
 
 
-@query()
+@query("""
+SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'utf-8-sig' ELSE 'gb18030' END AS charset, CASE page_id % 3 WHEN 0 THEN '岗位 ' || page_id || html ELSE '岗位' || page_id END AS text, CAST(NULL AS VARCHAR) AS error FROM pages
+""")
 def response_decode(spark, d):
-    """Bodies as a server would send them: UTF-8, named in the header."""
+    """Bodies with a named charset, with a byte order mark, and in another charset that only its bytes tell."""
     ready(spark)
-    body = F.encode("html", "UTF-8")
-    rows = table(spark, d, "pages").select("page_id", markup.decoded(body, F.lit("text/html; charset=utf-8"), F.lit("")).alias("x"), F.length("html").alias("n"))
-    return rows.select("page_id", "x.charset", (F.length("x.text") == F.col("n")).alias("whole"), "x.error")
+    p, k = table(spark, d, "pages"), F.col("page_id").cast("string")
+    utf = lambda *c: F.encode(F.concat(*c), "UTF-8")
+    body = F.when(F.col("page_id") % 3 == 0, utf(F.lit("岗位 "), k, "html")).when(F.col("page_id") % 3 == 1, F.concat(F.unhex(F.lit("EFBBBF")), utf(F.lit("岗位"), k))).otherwise(F.concat(F.unhex(F.lit("B8DACEBB")), F.encode(k, "UTF-8")))
+    kind = F.when(F.col("page_id") % 3 == 0, "text/html; charset=UTF-8").otherwise("text/html")
+    return p.select("page_id", markup.decoded(body, kind, F.lit("")).alias("x")).select("page_id", "x.charset", "x.text", "x.error")
 
 
 @query("SELECT page_id, CASE WHEN url LIKE '%.html%' THEN 'html' WHEN url LIKE '%?%' THEN 'json' ELSE 'unknown' END AS kind, 'text' AS found FROM pages")

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import dates, education, locations, markup, text
 from ..operators import eligibility, records
 from ..session import ready, table
+from .numbering import numbered
 from .registry import registry
 
 QUERIES, SQL, query = registry()
@@ -97,16 +97,22 @@ def lookup_join_errors(spark, d):
 
 
 _BOTH = "(SELECT c_custkey AS url, c_custkey + 1 AS final_url, c_mktsegment AS segment, c_name AS name FROM customer)"
+_HELD = "(SELECT c_custkey AS ord, CAST(c_custkey // 3 AS VARCHAR) AS url, CASE WHEN c_custkey % 4 > 0 THEN CAST(c_custkey // 2 + 300 AS VARCHAR) ELSE '' END AS final_url, CASE WHEN c_custkey % 7 = 0 THEN '' ELSE c_mktsegment END AS segment, CASE WHEN c_custkey % 5 > 0 THEN c_name END AS name FROM customer)"
 
 
 @query(f"""
-SELECT o_orderkey AS id, coalesce(CASE WHEN o_orderstatus = 'F' THEN 'own' END, a.segment, b.segment) AS segment FROM orders
-LEFT JOIN (SELECT url, min(segment) AS segment FROM {_BOTH} GROUP BY url) a ON a.url = o_custkey LEFT JOIN (SELECT final_url, min(segment) AS segment FROM {_BOTH} GROUP BY final_url) b ON b.final_url = o_custkey
+WITH a AS (SELECT url, max(ord) AS ord FROM {_HELD} GROUP BY url), b AS (SELECT final_url, max(ord) AS ord FROM {_HELD} WHERE final_url <> '' GROUP BY final_url),
+r AS (SELECT o_orderkey AS id, CAST(o_custkey AS VARCHAR) AS url, CASE o_orderstatus WHEN 'F' THEN 'own' WHEN 'P' THEN '' END AS own FROM orders)
+SELECT id, CASE WHEN own <> '' OR p.ord IS NULL THEN own ELSE p.segment END AS segment, CASE WHEN p.ord IS NULL THEN '' ELSE p.name END AS name
+FROM r LEFT JOIN a ON a.url = r.url LEFT JOIN b ON b.final_url = r.url LEFT JOIN {_HELD} p ON p.ord = coalesce(a.ord, b.ord)
 """)
 def or_join_backfill(spark, d):
-    pages = table(spark, d, "customer").select(F.col("c_custkey").alias("page_url"), (F.col("c_custkey") + 1).alias("final_url"), F.col("c_mktsegment").alias("segment"))
-    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("url"), F.when(F.col("o_orderstatus") == "F", "own").alias("segment"))
-    return records.either_backfill(rows, pages, "url", "page_url", "final_url", ["segment"]).select("id", "segment")
+    """Three pages share an address and two a final one; pages have empty and null values of their own."""
+    k = F.col("c_custkey")
+    text = lambda e: F.expr(e).cast("string")
+    pages = table(spark, d, "customer").select(k.alias("ord"), text("c_custkey div 3").alias("page_url"), F.when(k % 4 > 0, text("c_custkey div 2 + 300")).otherwise("").alias("final_url"), F.when(k % 7 == 0, "").otherwise(F.col("c_mktsegment")).alias("segment"), F.when(k % 5 > 0, F.col("c_name")).alias("name"))
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").cast("string").alias("url"), F.when(F.col("o_orderstatus") == "F", "own").when(F.col("o_orderstatus") == "P", "").alias("segment"), F.lit("").alias("name"))
+    return records.either_backfill(rows, pages, "url", "page_url", "final_url", ["segment", "name"]).select("id", "segment", "name")
 
 
 @query(f"""
@@ -154,13 +160,16 @@ _GATE = _JOBS + """
 
 def _gated(spark, d):
     j = _jobs(spark, d).select("id", "deadline", F.array().cast("array<string>").alias("graduation_years"), F.col("year").alias("graduation_start"), F.expr(_NONE).alias("graduation_end"), F.expr(_NONE).alias("graduation_requirement"), F.array("education").alias("education_levels"), F.array().cast("array<string>").alias("locations"))
-    profile = spark.createDataFrame([("1999-06", "本科", ["上海"])], "p_graduation string, p_education string, p_excluded array<string>")
+    profile = spark.createDataFrame([("1999-06", "本科", ["上海"])], "p_graduation string, p_education string, p_excluded array<string>").withColumn("p_education_rank", education.level_rank(F.col("p_education")))
     return eligibility.basic_gate(j.crossJoin(F.broadcast(profile)), F.lit("1997-01-01").cast("date"))
 
 
-@query(_GATE + "SELECT id, CASE WHEN flag IS NULL THEN 'pass' ELSE 'skip' END AS decision, flag, coalesce(flag, soft) AS risk_flags FROM g")
+@query(_GATE + """SELECT id, CASE WHEN flag IS NULL THEN 'pass' ELSE 'skip' END AS decision, flag, coalesce(flag, soft) AS risk_flags, CASE WHEN flag IS NOT NULL THEN 'skip' END AS override,
+ CASE flag WHEN 'expired_deadline' THEN 'Application deadline has passed.' WHEN 'graduation_window_mismatch' THEN 'Graduation eligibility window does not match.' WHEN 'education_level_mismatch' THEN 'Explicit education-level requirement does not match.' ELSE '' END AS reasons,
+ CASE flag WHEN 'expired_deadline' THEN 'Deadline ' || deadline || ' is before 1997-01-01.' WHEN 'graduation_window_mismatch' THEN 'Candidate graduation date 1999-06 is outside required window.' WHEN 'education_level_mismatch' THEN 'Required education level: master.' ELSE '' END AS missing
+FROM g JOIN (SELECT id, deadline FROM jobs) USING (id)""")
 def hard_gate(spark, d):
-    return _gated(spark, d).select("id", "decision", "flag", F.array_join("risk_flags", ";").alias("risk_flags"))
+    return _gated(spark, d).select("id", "decision", "flag", F.array_join("risk_flags", ";").alias("risk_flags"), F.col("recommendation_override").alias("override"), F.array_join("gate_reasons", ";").alias("reasons"), F.array_join("missing_requirements", ";").alias("missing"))
 
 
 @query("SELECT o_orderkey AS id, o_orderdate BETWEEN TIMESTAMP '1996-03-01' AND TIMESTAMP '1997-05-31' AS closed, o_orderdate >= TIMESTAMP '1996-03-01' AS open_end FROM orders")
@@ -193,15 +202,21 @@ def weighted_score(spark, d):
 
 
 @query(_SCORE + """
-SELECT s.id, CASE WHEN c_nationkey = 7 THEN 0 ELSE score END AS match_score, CASE WHEN c_nationkey = 7 THEN 'skip' WHEN score >= 70 THEN 'apply' WHEN score >= 40 THEN 'consider' WHEN score >= 20 THEN 'low_priority' ELSE 'skip' END AS recommendation,
- CASE WHEN c_nationkey = 7 THEN 'high' WHEN c_nationkey = 0 AND c_acctbal > 3000 THEN 'high' WHEN c_acctbal > -500 THEN 'medium' ELSE 'low' END AS confidence,
- array_to_string(list_concat(list_transform(range(1, c_nationkey + 1), lambda x: CAST(x AS VARCHAR)), CASE WHEN c_acctbal > 0 THEN [] ELSE ['non_official_source'] END), ',') AS flags
-FROM s JOIN customer ON s.id = c_custkey
+, t AS (SELECT s.id, c_nationkey = 7 OR c_custkey % 11 = 0 AS settled, c_nationkey = 7 AS rejected, CASE WHEN c_custkey % 3 = 0 THEN least(score, 50) ELSE score END AS score, c_nationkey, c_acctbal, c_custkey FROM s JOIN customer ON s.id = c_custkey)
+SELECT t.id, CASE WHEN settled THEN 0 ELSE score END AS match_score, CASE WHEN rejected OR settled THEN 'skip' WHEN score >= 70 THEN 'apply' WHEN score >= 40 THEN 'consider' WHEN score >= 20 THEN 'low_priority' ELSE 'skip' END AS recommendation,
+ CASE WHEN settled THEN 'unclear' ELSE CASE r WHEN 100 THEN 'high' WHEN 65 THEN 'medium' WHEN 20 THEN 'low' ELSE 'unclear' END END AS role_fit,
+ CASE WHEN settled THEN 'high' WHEN c_nationkey = 0 AND c_acctbal > 3000 THEN 'high' WHEN c_acctbal > -500 THEN 'medium' ELSE 'low' END AS confidence,
+ array_to_string(list_concat(list_transform(range(1, c_nationkey + 1), lambda x: CAST(x AS VARCHAR)), CASE WHEN c_acctbal > 0 THEN [] ELSE ['non_official_source'] END), ',') AS flags,
+ CASE WHEN rejected THEN 'no way' WHEN settled THEN '' ELSE 'a degree' END AS missing, CASE WHEN settled THEN 'eligibility=0' ELSE 'role_alignment=' || r || ',requirement_fit=' || q || ',eligibility=' || greatest(0, 100 - 10 * c_nationkey) || ',location_preference=' || l END AS components
+FROM t JOIN c ON t.id = c.id
 """)
 def final_assessment(spark, d):
-    more = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), "c_acctbal")
-    c = _scored(spark, d).join(more, "id").withColumns({"gate_reasons": F.array().cast("array<string>"), "reasons": F.array().cast("array<string>"), "flags": F.array().cast("array<string>"), "confidence": F.when(F.col("c_acctbal") > 3000, "high").when(F.col("c_acctbal") > -500, "medium").otherwise("low"), "understood_confidence": F.lit("high")})
-    return eligibility.assess(c).select("id", "match_score", "recommendation", F.col("final_confidence").alias("confidence"), F.array_join("risk_flags", ",").alias("flags"))
+    """Some jobs are rejected, some have no verdict, some scores are capped."""
+    more = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), "c_acctbal", F.when(F.col("c_custkey") % 3 == 0, 50).alias("score_cap"), (F.col("c_custkey") % 11 == 0).alias("_none"))
+    none, some = F.array().cast("array<string>"), lambda c, x: F.when(c, F.array(F.lit(x))).otherwise(F.array().cast("array<string>"))
+    c = _scored(spark, d).join(more, "id").withColumn("role_fit", F.when(~F.col("_none"), F.col("role_fit"))).withColumns({"gate_reasons": none, "reasons": none, "flags": none, "confidence": F.when(F.col("c_acctbal") > 3000, "high").when(F.col("c_acctbal") > -500, "medium").otherwise("low"), "understood_confidence": F.lit("high"), "gate_missing": some(F.col("hard_reject"), "no way"), "missing_requirements": F.array(F.lit("a degree")), "recommendation_override": F.when(F.col("hard_reject"), "skip")})
+    parts = F.array_join(F.transform(F.map_entries("score_components"), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string"))), ",")
+    return eligibility.assess(c).select("id", "match_score", "recommendation", "role_fit", F.col("final_confidence").alias("confidence"), F.array_join("risk_flags", ",").alias("flags"), F.array_join("missing_requirements", ",").alias("missing"), parts.alias("components"))
 
 
 @query("""
@@ -225,8 +240,8 @@ def migrate_and_update(spark, d):
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, '[' || '\"' || event_type || '\"' || ']' AS packed, event_type AS unpacked FROM events")
 def props_json(spark, d):
-    packed = F.to_json(F.array("event_type"))
-    return table(spark, d, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"), packed.alias("packed"), F.from_json(packed, "array<string>")[0].alias("unpacked"))
+    held = records.packed(F.array("event_type"))
+    return table(spark, d, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"), held.alias("packed"), records.unpacked(held)[0].alias("unpacked"))
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
@@ -237,42 +252,83 @@ def json_repair(spark, d):
     return table(spark, d, "events").select("event_id", F.from_json(markup.repaired_json(broken), "k long")["k"].alias("k"))
 
 
-@query()
+@query("SELECT o_orderkey AS id, CASE o_custkey % 6 WHEN 0 THEN 'bachelor' WHEN 1 THEN 'master' WHEN 2 THEN 'doctorate' WHEN 3 THEN 'associate' WHEN 4 THEN 'high_school' END AS level FROM orders")
 def education_levels(spark, d):
-    values = ["本科", "本科及以上学历", "硕士及以上", "博士", "博士研究生", "PhD required", "undergraduate degree", "mastery", "High School diploma"]
-    return spark.createDataFrame([(v,) for v in values], "value string").select("value", education.level_name(education.level_rank(F.col("value"))).alias("level"))
+    """Levels named in running text of two languages; the lowest one counts, words inside other words do not."""
+    forms = ("本科及以上学历，或硕士", "Master's Degree  or PhD required", "Ph.D. or doctoral_degree", "大专学历", "high-school diploma; undergraduate", "mastery of bachelorette parties")
+    text = F.get(F.array(*map(F.lit, forms)), (F.col("o_custkey") % 6).cast("int"))
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), education.level_name(education.level_rank(F.concat(F.lit("Asked for: "), text))).alias("level"))
 
 
-@query()
+@query("""
+SELECT s_suppkey AS id, CASE s_suppkey % 4 WHEN 0 THEN n_name WHEN 1 THEN n_name || ',Elsewhere' WHEN 2 THEN r_name ELSE '' END AS places
+FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+""")
 def location_names(spark, d):
+    """Nations as cities and regions as provinces of the catalogue; names come in other cases, with additions, aliases and separators."""
     ready(spark)
-    catalog = spark.createDataFrame([(0, "上海", "上海", []), (1, "深圳", "广东", ["Shenzhen"]), (2, None, "广东", [])], locations.CATALOG)
-    rows = spark.createDataFrame([(1, ["上海； 北京 / 深圳"]), (2, ["shenzhen, 广东省"]), (3, ["Sydney (HQ)", "Sydney"]), (4, [])], "id int, places array<string>")
-    return locations.normalize(rows, "id", "places", catalog).select("id", F.array_join("places", ",").alias("places"))
+    home = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    cities = home.select(F.col("n_nationkey").cast("int").alias("ord"), F.col("n_name").alias("city"), F.col("r_name").alias("province"), F.array(F.concat(F.lit("old "), "n_name")).alias("aliases"))
+    provinces = table(spark, d, "region").select((F.col("r_regionkey") + 100).cast("int").alias("ord"), F.lit(None).cast("string").alias("city"), F.col("r_name").alias("province"), F.array().cast("array<string>").alias("aliases"))
+    low, k = F.lower("n_name"), F.col("s_suppkey") % 4
+    places = F.when(k == 0, F.array(F.concat(low, F.lit(" City (HQ)")), F.col("r_name"))).when(k == 1, F.array(F.concat(F.lit("OLD "), low, F.lit(" / Elsewhere；"), "n_name"))).when(k == 2, F.array(F.concat(F.lower("r_name"), F.lit(" province")))).otherwise(F.array().cast("array<string>"))
+    rows = table(spark, d, "supplier").join(home, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("id"), places.alias("places"))
+    return locations.normalize(rows, "id", "places", cities.unionByName(provinces)).select("id", F.array_join("places", ",").alias("places"))
 
 
-@query("SELECT p_partkey, p_name AS items, CASE WHEN p_size > 25 THEN 'Target roles' ELSE '' END AS missing FROM part")
+@query("SELECT p_partkey, p_name AS items, concat_ws(',', CASE WHEN p_size > 25 THEN 'target_roles' END, CASE WHEN p_size % 2 = 0 THEN 'skills' END, CASE WHEN p_size % 3 > 0 THEN 'graduation_date' END) AS missing, CASE WHEN p_size > 25 THEN 'Add at least one target role.' ELSE '' END AS asked, NOT (p_size > 25 OR p_size % 2 = 0 OR p_size % 3 > 0) AS complete FROM part")
 def profile_fields(spark, d):
-    items = text.split_items(F.concat("p_name", F.lit(", "), F.upper("p_name"), F.lit("; ;")))
-    return table(spark, d, "part").select("p_partkey", F.array_join(items, ",").alias("items"), F.array_join(text.all_reasons((F.col("p_size") > 25, "Target roles")), ",").alias("missing"))
+    part = table(spark, d, "part").withColumn("items", text.split_items(F.concat("p_name", F.lit(", "), F.upper("p_name"), F.lit("; ;"))))
+    none = F.array().cast("array<string>")
+    given = part.select("p_partkey", "items", F.when(F.col("p_size") <= 25, F.col("items")).otherwise(none).alias("target_roles"), F.when(F.col("p_size") % 2 == 0, F.array(F.lit("  "))).otherwise(F.col("items")).alias("skills"), F.when(F.col("p_size") % 3 == 0, "June 2026").otherwise("soon").alias("graduation_date"), F.col("items").alias("preferred_locations"))
+    asked = F.array_join(F.filter("questions", lambda q: F.contains(q, F.lit("role"))), ",")
+    return records.profile_gaps(given).select("p_partkey", F.array_join("items", ",").alias("items"), F.array_join("missing_fields", ",").alias("missing"), asked.alias("asked"), F.col("is_complete").alias("complete"))
 
 
-@query("SELECT o_orderkey AS id, coalesce(nullif(CASE WHEN o_orderstatus = 'F' THEN '' ELSE o_orderstatus END, ''), o_orderpriority, 'none') AS merged, CASE WHEN o_orderstatus = 'O' THEN 'team lead' ELSE 'Degree in law;team lead' END AS facts FROM orders")
+@query("""
+SELECT o_orderkey AS id, CASE WHEN o_custkey % 5 = 0 THEN 'Told Co' WHEN o_custkey % 5 = 1 THEN 'Labelled ' || o_custkey WHEN o_custkey % 5 = 2 THEN 'Titled ' || o_custkey || ' Ltd' WHEN o_custkey % 5 = 3 THEN 'Source' END AS company_name,
+ 'j.example' AS source_name, CASE WHEN o_custkey % 2 = 0 THEN 'https://j.example/apply' END AS apply_url, CASE WHEN place = 0 THEN 'first' ELSE 'second' END AS title, CASE WHEN place = 0 THEN 'here' ELSE 'there' END AS places, 'campus' AS recruitment_type
+FROM orders CROSS JOIN (SELECT unnest([0, 1]) AS place)
+""")
 def context_merge(spark, d):
-    """A record's own fields before its page's; facts that the gate covers go."""
-    own = F.when(F.col("o_orderstatus") == "F", "").otherwise(F.col("o_orderstatus"))
+    """Two jobs a page: the company is told by the context, by a label, by the title, by the source, or by none."""
+    k, s = F.col("o_custkey"), F.col("o_custkey").cast("string")
+    o = table(spark, d, "orders").withColumns({"m": k % 5})
+    job = lambda title, place: F.struct(F.lit(title).alias("title"), place.alias("locations"))
+    link = lambda kind, url: F.struct(F.lit(url).alias("url"), F.lit("x").alias("text"), F.lit(kind).alias("kind"))
+    links = F.when(k % 2 == 0, F.array(link("source", "https://j.example/s"), link("apply", "https://j.example/apply"), link("apply", "https://j.example/2"))).otherwise(F.array(link("source", "https://j.example/s")))
+    pages = o.select(
+        F.concat(F.lit("https://J.example/"), F.col("o_orderkey").cast("string")).alias("url"), F.lit("").alias("source_name"), F.when(F.col("m") == 3, "Source").alias("source_company_name"), F.lit("x").alias("company_type"), F.lit("there").alias("source_location"), F.lit(True).alias("is_official"),
+        F.when(F.col("m") == 2, F.concat(F.lit("Analyst | Titled "), s, F.lit(" Ltd - Jobs"))).otherwise("Analyst").alias("title"), F.when(F.col("m") == 1, F.concat(F.lit("Intro\nEmployer: our client\n Company : Labelled "), s, F.lit(" .\nabout Others"))).otherwise("Nothing told").alias("visible_text"),
+        links.alias("important_links"), F.struct(F.when(F.col("m") == 0, "Told Co").otherwise("").alias("company_name"), F.lit("campus").alias("recruitment_type"), F.lit("page").alias("title")).alias("page_context"),
+        F.array(job("first", F.array(F.lit("here"))), job("second", F.array().cast("array<string>"))).alias("jobs"),
+    )
+    m = records.merged_context(pages)
+    return m.select(F.regexp_extract("source_url", "([0-9]+)$", 1).cast("long").alias("id"), "company_name", "source_name", "apply_url", "title", F.array_join("locations", ",").alias("places"), "recruitment_type")
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'O' THEN 'team lead' ELSE 'Degree in law;team lead' END AS facts FROM orders")
+def uncovered_facts(spark, d):
+    """Facts that the gate covers go."""
     no = F.lit(False)
     facts = eligibility.uncovered_facts(F.array(F.lit("Degree in law"), F.lit("team lead")), {"graduation_known": no, "education_known": F.col("o_orderstatus") == "O", "deadline_known": no, "location_known": no})
-    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.coalesce(F.nullif(own, F.lit("")), "o_orderpriority", F.lit("none")).alias("merged"), F.array_join(facts, ";").alias("facts"))
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.array_join(facts, ";").alias("facts"))
 
 
-@query("""SELECT p_partkey, '{"title":"' || p_name || '","brand":"' || p_brand || '"}' AS payload FROM part""")
+@query("""SELECT p_partkey, '{"title":"' || p_name || '","description":"' || p_brand || '","requirements":null,"recruitment_type":"campus"}' AS payload FROM part""")
 def prompt_payload(spark, d):
-    return table(spark, d, "part").select("p_partkey", F.to_json(F.struct(F.col("p_name").alias("title"), F.col("p_brand").alias("brand"))).alias("payload"))
+    rows = table(spark, d, "part").select("p_partkey", F.col("p_name").alias("title"), F.col("p_brand").alias("description"), F.expr(_NONE).alias("requirements"), F.lit("campus").alias("recruitment_type"), "p_size")
+    return rows.select("p_partkey", records.payload("job").alias("payload"))
 
 
-@query("SELECT o_orderkey AS id, o_orderdate AS first_seen, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey DESC) AS place FROM orders ORDER BY place LIMIT 50")
+@query("SELECT o_orderkey AS id, o_orderdate AS first_seen, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey DESC) AS place FROM orders")
 def newest_jobs(spark, d):
-    """The display's first fifty rows, newest first; the numbering is of those alone."""
-    top = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("first_seen")).orderBy(F.desc("first_seen"), F.desc("id")).limit(50)
-    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("first_seen"), F.desc("id"))))
+    """All jobs, newest first, by ranges of their order."""
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("first_seen"), F.expr("-timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01', o_orderdate)").alias("_age"), (-F.col("o_orderkey")).alias("_last"))
+    return numbered(rows, "_age", "_last").select("id", "first_seen", F.col("row_no").alias("place"))
+
+
+@query("SELECT n_name AS company_name, count(s_suppkey) AS job_count FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name")
+def company_groups(spark, d):
+    s = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    return records.company_order(s.withColumnRenamed("n_name", "company_name"))

@@ -152,3 +152,67 @@ def filled_columns(spark, d):
     """How often columns are filled, as the display drops those that never are."""
     j = table(spark, d, "documents").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left").groupBy("source").agg(F.count("doc_id").alias("doc_id"), F.count("quality").alias("label"))
     return j.unpivot("source", ["doc_id", "label"], "feature", "filled")
+
+
+def _assessed(spark, d):
+    """Orders as assessments: some scores are no numbers, some have no recommendation."""
+    k = F.col("o_orderkey")
+    some = lambda c: F.when(c, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>"))
+    kind = F.element_at(F.array(*map(F.lit, ("apply", "consider", "low_priority", "skip"))), (k % 4 + 1).cast("int"))
+    return table(spark, d, "orders").select(k.alias("id"), F.when(k % 10 > 0, kind).alias("recommendation"), F.when(k % 7 == 0, "n/a").otherwise((k % 100).cast("string")).alias("match_score"), some(k % 3 == 0).alias("risk_flags"), F.when(k % 5 > 0, some(k % 2 == 0)).alias("missing_requirements"))
+
+
+@query("""
+SELECT count(*) FILTER (k % 10 > 0 AND k % 4 = 0) AS apply_count, count(*) FILTER (k % 10 > 0 AND k % 4 = 1) AS consider_count, count(*) FILTER (k % 10 > 0 AND k % 4 = 2) AS low_priority_count, count(*) FILTER (k % 10 > 0 AND k % 4 = 3) AS skip_count,
+ avg(CASE WHEN k % 7 > 0 THEN k % 100 END) AS average_match_score, count(*) FILTER (k % 3 = 0) AS risk_flagged_count, count(*) FILTER (k % 5 > 0 AND k % 2 = 0) AS missing_requirement_count FROM (SELECT o_orderkey AS k FROM orders)
+""")
+def result_features(spark, d):
+    return features.result_features(_assessed(spark, d))
+
+
+@query("""
+SELECT count(*) AS total_match_assessments, count(*) FILTER (k % 10 > 0 AND k % 4 < 2) AS useful_match_count, greatest(0, 10000000 - count(*)) AS result_deficit, 13 AS remaining_result_capacity FROM (SELECT o_orderkey AS k FROM orders)
+""")
+def goal_features(spark, d):
+    return features.goal_features(_assessed(spark, d), 7, 10_000_000, 20)
+
+
+@query("""
+WITH e AS (SELECT event_type, event_id % 5 > 0 AS ok, CASE WHEN event_id % 5 = 0 THEN 'error ' || event_id % 3 END AS error FROM events),
+k AS (SELECT event_type, error, count(*) AS n FROM e WHERE error IS NOT NULL GROUP BY ALL)
+SELECT event_type, total, succeeded, total - succeeded AS failed, errors FROM (SELECT event_type, count(*) AS total, count(*) FILTER (ok) AS succeeded FROM e GROUP BY event_type)
+LEFT JOIN (SELECT event_type, string_agg(error || ': ' || n, '; ' ORDER BY error) AS errors FROM k GROUP BY event_type) USING (event_type)
+""")
+def stage_reports(spark, d):
+    k = F.col("event_id")
+    rows = table(spark, d, "events").select("event_type", (k % 5 > 0).alias("ok"), F.when(k % 5 == 0, F.concat(F.lit("error "), (k % 3).cast("string"))).alias("error"))
+    errors = F.array_join(F.transform("errors", lambda e: F.concat(e["error"], F.lit(": "), e["n"].cast("string"))), "; ")
+    return features.stage_report(rows, ["event_type"], "ok", "error").select("event_type", "total", "succeeded", "failed", errors.alias("errors"))
+
+
+@query("""
+SELECT o_orderkey AS id, CASE o_custkey % 3 WHEN 0 THEN 'no productive work remained' WHEN 1 THEN 'the hard result cap was reached' ELSE 'by hand' END AS stop, CASE o_custkey % 2 WHEN 0 THEN 'Low priority' ELSE 'Look Again' END AS recommendation FROM orders
+""")
+def readable_texts(spark, d):
+    k = F.col("o_custkey")
+    stop = F.when(k % 3 == 0, "no_progress").when(k % 3 == 1, "max_results").otherwise("by_hand")
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), features.readable(stop, features.STOP_TEXTS).alias("stop"), features.readable(F.when(k % 2 == 0, "low_priority").otherwise("look_again"), features.RECOMMENDATION_TEXTS, title=True).alias("recommendation"))
+
+
+@query("""
+WITH t AS (SELECT page_id, page_id % 4 AS t, CASE page_id % 4 WHEN 1 THEN 'job_listing' WHEN 2 THEN 'irrelevant' ELSE 'uncertain' END AS page_type FROM pages)
+SELECT page_id, 'h' || page_id || '.example' AS source_name, CASE t WHEN 1 THEN 'navigation_required' WHEN 2 THEN 'ignore' ELSE 'review_required' END AS pending_kind, CASE t WHEN 1 THEN 'fetch_detail_links' WHEN 2 THEN 'skip_until_more_context' ELSE 'manual_review' END AS suggested_next_action,
+ CASE t WHEN 1 THEN 80 WHEN 2 THEN 20 ELSE 50 END AS priority, CASE WHEN page_id % 3 = 0 THEN 'seen' ELSE 'page routed as ' || page_type END AS reasons, 'apply https://h/a' AS links, 'pre_extraction' AS stage FROM t WHERE t > 0
+""")
+def classified_followups(spark, d):
+    """Classified pages that are no job's own become follow-ups."""
+    k, none = F.col("page_id"), F.array().cast("array<string>")
+    kind = F.element_at(F.array(*map(F.lit, ("job_detail", "job_listing", "irrelevant", "uncertain"))), (k % 4 + 1).cast("int"))
+    link = F.struct(F.lit("https://h/a").alias("url"), F.lit("Apply").alias("text"), F.lit("apply").alias("kind"), F.lit("").alias("reason"))
+    pages = table(spark, d, "pages").select(
+        F.concat(F.lit("https://H"), k.cast("string"), F.lit(".example/"), k.cast("string")).alias("url"), F.lit(None).cast("string").alias("final_url"), F.lit("t").alias("title"), F.lit("").alias("source_name"), F.lit("c").alias("source_company_name"),
+        F.lit("x").alias("company_type"), F.lit(False).alias("is_official"), kind.alias("page_type"), F.when(k % 3 == 0, F.array(F.lit("seen"))).otherwise(none).alias("reasons"), F.array(link).alias("important_links"),
+    )
+    rows = followups.classified_followups(pages)
+    links = F.array_join(F.transform("links", lambda x: F.concat_ws(" ", x["kind"], x["url"])), ",")
+    return rows.select(F.regexp_extract("url", "([0-9]+)$", 1).cast("long").alias("page_id"), "source_name", "pending_kind", "suggested_next_action", "priority", F.array_join("reasons", ",").alias("reasons"), links.alias("links"), "stage")

@@ -12,6 +12,10 @@ from ..operators.features import TIES, choose, score_actions
 from .availability import WORK, action_table
 
 
+class NoProgress(RuntimeError):
+    """A step that changed no count: nothing would ever change again."""
+
+
 @dataclass
 class Run:
     """Tables by name, counters that no table tells, and the trace so far."""
@@ -92,19 +96,16 @@ def drive(run: Run, stages: dict[str, Callable[[Run], dict[str, DataFrame]]], pe
             run.facts["stop_reason"] = why
             break
         try:
-            changed = stages[action](run)
-            for name, df in changed.items():
+            for name, df in stages[action](run).items():
                 where = f"{run.path}/step={run.step}/{name}"
                 df.write.mode("overwrite").parquet(where)
                 run.tables[name] = run.spark.read.parquet(where)
-            status = "ok" if counted(run) != counts or run.facts.pop("progress", False) else "no_progress"
-            if status == "no_progress":
-                raise RuntimeError(f"{action} changed nothing")
-        except RuntimeError:
-            raise
+            status = "ok"
         except Exception as e:
             status = "error"
             run.facts.setdefault("errors", []).append(str(e)[:200])
+        if status == "ok" and counted(run) == counts and not run.facts.pop("progress", False):
+            raise NoProgress(f"{action} changed nothing")
         last = {"action": action, "status": status}
         run.step += 1
     return run

@@ -7,27 +7,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def numbered(rows: DataFrame, order: str, partitions: int = 64) -> DataFrame:
-    """``rows`` with ``row_no`` from 1 in the order of ``order``, whose values are expected to be unique.
+def numbered(rows: DataFrame, *order: str, partitions: int = 64, per_range: int = 64) -> DataFrame:
+    """``rows`` with ``row_no`` from 1 in the order of the columns ``order``, whose values together are expected to be unique.
 
-    Rows are parted by hash of the value's rank bucket: approximate quantiles bound the buckets, exact counts of the
-    buckets give their offsets, and only rows of one bucket meet.
+    Bounds of ``partitions`` ranges come from the ``partitions`` * ``per_range`` values whose hashes are smallest, which
+    are spread like all values, whatever prefix they share. Exact counts of the ranges give their offsets, and only rows
+    of one range meet. The bounds decide how even the ranges are, not the numbers.
     """
-    from pyspark.sql.types import StringType
-
-    text = isinstance(rows.schema[order].dataType, StringType)
-    value = F.xxhash64(order) if text else F.col(order)
-    if text:
-        # Text has no quantiles: a bucket is the first two characters, which keep the order.
-        bucket = F.substring(order, 1, 2)
-    else:
-        cuts = rows.select(value.alias("v")).approxQuantile("v", [k / partitions for k in range(1, partitions)], 0.01)
-        cuts = sorted(set(cuts))
-        bucket = F.lit(0)
-        for c in cuts:
-            bucket = bucket + (F.col(order) >= c).cast("int")
-    held = rows.withColumn("_bucket", bucket)
-    sizes = held.groupBy("_bucket").agg(F.count("*").alias("_n"))
+    key = F.struct(*(F.col(c) for c in order))
+    some = rows.select(*order).orderBy(F.xxhash64(*order), *order).limit(partitions * per_range)
+    some = [r["k"] for r in some.select(key.alias("k")).orderBy("k").collect()]
+    bounds = some[per_range::per_range]
+    kinds = {c: rows.schema[c].dataType for c in order}
+    bucket = F.lit(0)
+    if bounds:
+        held = F.array(*(F.struct(*(F.lit(b[c]).cast(kinds[c]).alias(c) for c in order)) for b in bounds))
+        bucket = F.size(F.filter(held, lambda b: b <= key))
+    ranged = rows.withColumn("_bucket", bucket)
+    sizes = ranged.groupBy("_bucket").agg(F.count("*").alias("_n"))
     before = sizes.select("_bucket", (F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n")).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_bucket").orderBy(order))
-    return held.withColumn("_in", inside).join(before, "_bucket").withColumn("row_no", F.col("_before") + F.col("_in")).drop("_bucket", "_in", "_before")
+    inside = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
+    return ranged.withColumn("_in", inside).join(F.broadcast(before), "_bucket").withColumn("row_no", F.col("_before") + F.col("_in")).drop("_bucket", "_in", "_before")
