@@ -26,7 +26,7 @@ _GAP, _SOLID = bytes(_GAP), bytes(_SOLID)
 #: Last bytes of the white space outside ASCII (U+0085, U+00A0; U+1680, U+2000 to U+200A, U+2028, U+2029, U+202F, U+205F, U+3000).
 _WIDE2 = np.array([0xC285, 0xC2A0])
 _WIDE3 = np.array([0xE19A80, *range(0xE28080, 0xE2808B), 0xE280A8, 0xE280A9, 0xE280AF, 0xE2819F, 0xE38080])
-_PORTION = 8 << 20
+_PORTION = 4 << 20
 
 
 def _mapped(data: np.ndarray, table: bytes) -> np.ndarray:
@@ -84,7 +84,7 @@ class Memory:
     whose pieces come back when they are met again.
     """
 
-    def __init__(self, cut: str, encode: Callable[[list[str]], list[bytes]], limit: int = 1_000_000, longest: int = 64):
+    def __init__(self, cut: str, encode: Callable[[list[str]], list[bytes]], limit: int = 800_000, longest: int = 64):
         self.cut, self.encode, self.limit, self.longest, self.young, self.old = CUTS[cut], encode, limit, longest, {}, {}
 
     def _known(self, pieces: list[bytes]) -> list[bytes]:

@@ -14,10 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import prepare, tidy
 
 PASSAGE = 512
-_BLOCK = 2048
+_BLOCK = 512  # passages at once, so that their arrays stay in a core's cache
 _COARSE = 12
 
 
@@ -95,11 +95,13 @@ def bags(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray]]:
     for k, t in enumerate(texts):
         raw = (t or "").encode("utf-8", "surrogatepass")
         for s in range(0, len(raw) or 1, _BLOCK * PASSAGE):
-            held.append((k, raw[s : s + _BLOCK * PASSAGE]))
-            count += len(held[-1][1]) // PASSAGE + 1
-            if count >= _BLOCK:
+            part = raw[s : s + _BLOCK * PASSAGE]
+            own = len(part) // PASSAGE + 1
+            if held and count + own > _BLOCK:
                 yield from done()
                 held, count = [], 0
+            held.append((k, part))
+            count += own
     if held:
         yield from done()
 
@@ -209,7 +211,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 3000, max_bytes: i
     if not picked:
         return None
     sample = docs.sparkSession.createDataFrame(picked, "doc_id long, label int")
-    found = own.join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text").mapInArrow(_bags, "doc_id long, label int, bag binary").collect()
+    found = own.join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text").mapInArrow(tidy(_bags), "doc_id long, label int, bag binary").collect()
     found = {r["doc_id"]: r for r in sorted(found, key=lambda r: (r["doc_id"], bytes(r["bag"])), reverse=True)}
     found = [found[i] for i in sorted(found)]
     return fit([np.frombuffer(r["bag"], np.float32).reshape(-1, WIDTH) for r in found], np.array([r["label"] for r in found], np.float32))
@@ -230,7 +232,7 @@ def score(docs: DataFrame, model: Model | None, threshold: float = 0.3) -> DataF
             s = model.score(texts) if model else np.full(len(texts), 0.5)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64())], ["doc_id", "score"])
 
-    scored = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(run, "doc_id long, score double")
+    scored = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(tidy(run), "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -246,4 +248,4 @@ def keep_good(docs: DataFrame, model: Model | None, threshold: float = 0.3) -> D
             if batch.num_rows:
                 yield batch.filter(pa.array(model.score(batch.column(at).to_pylist()) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

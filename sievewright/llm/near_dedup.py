@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, prepare, stored
+from .common import discard, prepare, stored, tidy
 from .components import components
 from .shingles import mix, sets, signatures
 
@@ -283,12 +283,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     spark = prepare(docs.sparkSession)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    feats = stored(rows.mapInArrow(_features(width), "doc_id long, n_shingles long, set_a long, set_b long, sign binary"), "near-features")
+    feats = stored(rows.mapInArrow(tidy(_features(width)), "doc_id long, n_shingles long, set_a long, set_b long, sign binary"), "near-features")
     same = ["n_shingles", "set_a", "set_b"]
     full = feats.where("n_shingles > 0 and doc_id is not null")
     classes = stored(full.groupBy(*same).agg(F.min(F.struct("doc_id", "sign")).alias("_m")).select(F.col("_m.doc_id").alias("cls"), *same, F.col("_m.sign").alias("sign")), "near-classes")
 
-    keys = classes.select("cls", "sign").mapInArrow(_keys, "key long, cls long")
+    keys = classes.select("cls", "sign").mapInArrow(tidy(_keys), "key long, cls long")
     entries = keys.groupBy("key").agg(F.min("cls").alias("first"), F.count("*").alias("_n")).where("_n > 1").select("key", "first")
     entries = stored(keys.join(entries, "key"), "near-entries")
     one = stored(classes.select("cls", F.col("n_shingles").alias("n"), "sign").join(entries.select("cls").distinct(), "cls", "left_semi"), "near-members")
@@ -313,14 +313,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 
     ids = one.select(F.col("cls").alias("doc_id"))
     ids = F.broadcast(ids) if ids.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else ids
-    full_sets = stored(rows.join(ids, "doc_id", "left_semi").mapInArrow(_shrunk(width), "cls long, set binary"), "near-sets")
+    full_sets = stored(rows.join(ids, "doc_id", "left_semi").mapInArrow(tidy(_shrunk(width)), "cls long, set binary"), "near-sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         sized = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-        close = stored(sized.select("a", "b", "sign_a", "sign_b").mapInArrow(_close, "a long, b long"), "near-pairs")
+        close = stored(sized.select("a", "b", "sign_a", "sign_b").mapInArrow(tidy(_close), "a long, b long"), "near-pairs")
         left = close.join(full_sets.select(F.col("cls").alias("a"), F.col("set").alias("set_a")), "a")
         both = left.join(full_sets.select(F.col("cls").alias("b"), F.col("set").alias("set_b")), "b")
-        found = stored(both.select("a", "b", "set_a", "set_b").mapInArrow(_linked(percent), "a long, b long"), "near-links")
+        found = stored(both.select("a", "b", "set_a", "set_b").mapInArrow(tidy(_linked(percent)), "a long, b long"), "near-links")
         discard(close)
         return found
 
@@ -332,15 +332,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     firsts = entries.groupBy(F.col("cls").alias("b")).agg(F.min("first").alias("a")).where("a < b").select("a", "b")
     links = confirmed(firsts)
     dealt = still_open(components(links)).repartition(partitions, "key").sortWithinPartitions("key", F.xxhash64("cls")).select("key", "cls", "label", "n", "sign")
-    central = dealt.mapInArrow(_propose(percent), "cls long, far long, centre long").groupBy("cls").agg(F.min(F.struct("far", "centre")).alias("_m"))
+    central = dealt.mapInArrow(tidy(_propose(percent)), "cls long, far long, centre long").groupBy("cls").agg(F.min(F.struct("far", "centre")).alias("_m"))
     more = confirmed(central.select(F.least("cls", "_m.centre").alias("a"), F.greatest("cls", "_m.centre").alias("b")).distinct())
     if not more.isEmpty():
         links = links.unionByName(more)
     labels = components(links)
     whole = f"{_MET}, set binary"
-    needed = meeting(still_open(labels)).repartition(partitions, "key", "part").sortWithinPartitions("key", "part", "role").mapInArrow(_needed(percent), _MET)
+    needed = meeting(still_open(labels)).repartition(partitions, "key", "part").sortWithinPartitions("key", "part", "role").mapInArrow(tidy(_needed(percent)), _MET)
     needed = needed.join(full_sets, "cls").selectExpr(*(c.split()[0] for c in whole.split(", ")))
-    swept = stored(needed.repartition(partitions, "key", "part").sortWithinPartitions("key", "part", "role").mapInArrow(_swept(percent), "a long, b long"), "near-links")
+    swept = stored(needed.repartition(partitions, "key", "part").sortWithinPartitions("key", "part", "role").mapInArrow(tidy(_swept(percent)), "a long, b long"), "near-links")
     if not swept.isEmpty():
         labels = components(links.unionByName(swept))
     discard(entries, one, full_sets)

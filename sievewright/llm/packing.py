@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .chunks import library_memory, text_portions
-from .common import prepare
+from .common import prepare, tidy
 from .files import task_number
 
 
@@ -68,7 +68,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if ids else [])]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col]).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * ids)
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col]).mapInArrow(tidy(run), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * ids)
 
 
 def pack(pieces: DataFrame, packers: int, capacity: int = 2048) -> DataFrame:
@@ -91,7 +91,7 @@ def pack(pieces: DataFrame, packers: int, capacity: int = 2048) -> DataFrame:
         yield from rows.to_batches(max_chunksize=10_000)
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return pieces.repartition(packers, "doc_id", "piece").select(*names).mapInArrow(run, kinds + ", sequence_id long, offset long")
+    return pieces.repartition(packers, "doc_id", "piece").select(*names).mapInArrow(tidy(run), kinds + ", sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, per_packer: int = 40_000, **options) -> DataFrame:

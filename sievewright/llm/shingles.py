@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 
@@ -18,7 +17,7 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _RANDOM = np.random.default_rng(20240607)
 _BYTE = _RANDOM.integers(0, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _STEP = _RANDOM.integers(0, 1 << 63, 64, dtype=np.uint64) * _U(2) + _U(1)
-BLOCK = 1 << 20
+BLOCK = 1 << 18  # bytes of texts at once, so that their arrays stay in a core's cache
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -28,11 +27,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-@cache
+_HELD = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n + 1, _BASE, np.uint64), np.full(n + 1, _INVERSE, np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
+    """Powers of the base and of its inverse up to ``n`` at least; a worker keeps the longest made so far."""
+    if len(_HELD[0]) <= n:
+        size = 1 << max(16, n.bit_length())
+        up, down = np.full(size + 1, _BASE, np.uint64), np.full(size + 1, _INVERSE, np.uint64)
+        up[0] = down[0] = 1
+        _HELD[:] = np.cumprod(up), np.cumprod(down)
+    return _HELD[0], _HELD[1]
 
 
 def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -40,8 +45,7 @@ def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     data = _LOWER[data]
     gap = np.concatenate([[True], _SPACE[data], [True]])
     starts, ends = np.flatnonzero(gap[:-1] & ~gap[1:]), np.flatnonzero(~gap[:-1] & gap[1:])
-    size = 1 << max(16, int(len(data)).bit_length())
-    up, down = _powers(size)
+    up, down = _powers(len(data))
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
     return starts, mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _STEP[-1])

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bwt import collection, prefix_boundaries, suffix_array
-from .common import prepare
+from .common import prepare, tidy
 
 LEAST, GRAM, RUN = 50, 20, 64
 _U = np.uint64
@@ -343,11 +343,11 @@ def _judged(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     digests = rows.where(F.octet_length("text") >= LEAST).select("doc_id", F.md5("text").alias("_md5"), F.octet_length("text").alias("_n"))
     firsts = digests.groupBy("_md5", "_n").agg(F.min("doc_id").alias("_first"), F.count("*").alias("_c")).where("_c > 1").select("_md5", "_n", "_first")
     copies = digests.join(firsts, ["_md5", "_n"]).where("doc_id > _first").select("doc_id", F.lit(True).alias("whole")).distinct()
-    sifted = rows.select("doc_id", "text").mapInArrow(_sift(buckets), _SIFT).repartition(partitions, "bucket").sortWithinPartitions("bucket")
-    keys = sifted.mapInArrow(_repeated, "doc_id long, keys binary").groupBy("doc_id").agg(F.collect_list("keys").alias("keys"))
+    sifted = rows.select("doc_id", "text").mapInArrow(tidy(_sift(buckets)), _SIFT).repartition(partitions, "bucket").sortWithinPartitions("bucket")
+    keys = sifted.mapInArrow(tidy(_repeated), "doc_id long, keys binary").groupBy("doc_id").agg(F.collect_list("keys").alias("keys"))
     asked = keys.join(copies.select("doc_id"), "doc_id", "left_anti")
-    windows = rows.join(asked, "doc_id").select("doc_id", "text", "keys").mapInArrow(_windows(buckets), _WINDOWS)
-    expanded = windows.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(_expand, "doc_id long, runs binary")
+    windows = rows.join(asked, "doc_id").select("doc_id", "text", "keys").mapInArrow(tidy(_windows(buckets)), _WINDOWS)
+    expanded = windows.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(_expand), "doc_id long, runs binary")
     return expanded.groupBy("doc_id").agg(F.collect_list("runs").alias("runs")), copies
 
 
@@ -366,7 +366,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     runs, copies = _judged(rows)
     told = rows.join(runs, "doc_id", "left").join(copies, "doc_id", "left").select("doc_id", "text", "runs", F.coalesce("whole", F.lit(False)).alias("whole"))
     loose = every.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<binary>").alias("runs"), F.lit(False).alias("whole"))
-    return told.unionByName(loose).mapInArrow(_finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return told.unionByName(loose).mapInArrow(tidy(_finish), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def trimmed(docs: DataFrame) -> DataFrame:
@@ -393,4 +393,4 @@ def trimmed(docs: DataFrame) -> DataFrame:
                 columns[k] = pa.array([len(t) if c and t is not None else n for t, c, n in zip(texts, cut, columns[k].to_pylist(), strict=True)], columns[k].type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return told.mapInArrow(run, docs.schema).unionByName(docs.where("doc_id is null"))
+    return told.mapInArrow(tidy(run), docs.schema).unionByName(docs.where("doc_id is null"))
