@@ -134,17 +134,17 @@ def text_portions(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nd
 
 
 @cache
-def library_memory(path: str, cut: str) -> Memory:
-    """A worker's memory of the tokenizers library's encoder at ``path``. Pieces are cut as asked only where that gives what whole texts give."""
+def library_memory(path: str, cut: str, limit: int = 800_000) -> Memory:
+    """A worker's memory (of ``limit`` pieces, some 200 bytes each) of the tokenizers library's encoder at ``path``. Pieces are cut as asked only where that gives what whole texts give."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     probe = ["Ab cd's  12\n\nxy. z\n", " a\tb \n 'll 7%", "é ñ　 w"]
     encode = lambda pieces: [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-    memory = Memory(cut, encode)
+    memory = Memory(cut, encode, limit)
     for text in probe:
         raw = np.frombuffer(text.encode(), np.uint8)
         if memory(raw, np.array([0, len(raw)]))[0].tobytes() != encode([text])[0]:
-            return Memory("whole", encode)
+            return Memory("whole", encode, limit)
     return memory

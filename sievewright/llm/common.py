@@ -16,11 +16,13 @@ _PACKAGE_PARENT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspat
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let workers import this package and keep Arrow batches small enough for a worker's memory."""
+    """Let workers import this package; keep their Arrow batches, threads and allocator pools small, as several share an executor."""
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
     if _PACKAGE_PARENT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([_PACKAGE_PARENT, *paths])
+    for name, value in (("OPENBLAS_NUM_THREADS", "1"), ("MALLOC_ARENA_MAX", "2"), ("ARROW_DEFAULT_MEMORY_POOL", "system")):
+        env.setdefault(name, value)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return spark
 

@@ -203,7 +203,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     end = np.array([end_id], "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory, part, seq = library_memory(tokenizer_path, "glued"), task_number(), 0
+        memory, part, seq = library_memory(tokenizer_path, "glued", 1_500_000), task_number(), 0
         doc_ids, lengths, held, total = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
