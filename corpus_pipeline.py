@@ -1,7 +1,9 @@
 """The corpus pipeline: quality, exact copies, near copies, repeated passages, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns
-of ``documents``.
+of ``documents``. Null texts count as empty wherever texts are compared and stay null where they are kept; rows with a
+null id are kept by the near and repeats stages and packed with a null id; repeated rows are copies of one document for
+the exact stage; an empty table goes through all stages as one. Further columns of ``documents`` are carried along.
 """
 
 from __future__ import annotations
@@ -40,7 +42,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("exact", exact), ("near", near), ("repeats", repeats), ("pack", pack)]
 
-#: Training, linking and tokenizing have no form in SQL; tests/llm holds the stages against brute force.
+#: Training, linking and tokenizing have no form in SQL; tests/llm holds the stages against brute force (quality: against labels).
 ORACLE_SQL = None
 
 
