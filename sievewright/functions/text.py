@@ -64,3 +64,15 @@ def split_items(text: Column) -> Column:
 def all_reasons(*pairs: tuple[Column, Column | str]) -> Column:
     """The texts whose conditions hold, in order."""
     return F.array_compact(F.array(*(F.when(c, t if isinstance(t, Column) else F.lit(t)) for c, t in pairs)))
+
+
+def merged_items(*groups: Column) -> Column:
+    """Items of several lists in order; of those that differ in case only the first."""
+    items = F.concat(*(F.coalesce(g, F.array().cast("array<string>")) for g in groups))
+    folded = F.transform(items, F.lower)
+    return F.filter(items, lambda x, i: F.array_position(folded, F.lower(x)) == i + 1)
+
+
+def valid_run_id(text: Column) -> Column:
+    """Whether a name can be a run's: a letter or digit, then up to 127 of them, dots, colons, dashes, underscores."""
+    return F.coalesce(text.rlike("\\A[A-Za-z0-9][A-Za-z0-9_.:-]{0,127}\\z"), F.lit(False))

@@ -82,6 +82,43 @@ def deltas(rows: DataFrame, run: str, step: str, counts: list[str]) -> DataFrame
     return rows.withColumns({f"new_{c}": F.greatest(F.lit(0), F.col(c) - F.coalesce(F.lag(c).over(w), F.lit(0))) for c in counts})
 
 
+# Per action the counts whose growth is progress, and how that growth is called.
+GROWTH = {
+    "web_search": (("acquisition_queue", "new_acquisition_work"),), "acquire_page": (("acquired_pages", "page_acquired"),),
+    "analyze_page": (("job_detail_pages", "job_detail_found"), ("pending_followups", "followup_required"), ("rejected_pages", "page_rejected")),
+    "job_extraction": (("prepared_jobs", "jobs_prepared"), ("pending_followups", "pending_followup_created")), "explore_followups": (("acquisition_queue", "new_sources_discovered"),),
+    "job_understanding": (("understanding_records", "understanding_created"),), "match_analysis": (("match_assessments", "assessment_created"),),
+}
+
+
+def outcomes(steps: DataFrame, run: str, step: str) -> DataFrame:
+    """What each step came to: growth of every count, ``signals`` and ``status``.
+
+    ``steps``: run, step, action, last_search, open_queries, errors and the counts that GROWTH names, as they stood after
+    the step. A search counts only if it found something itself; new errors beside progress make it partial.
+    """
+    counts = ["errors", *dict.fromkeys(c for pairs in GROWTH.values() for c, _ in pairs)]
+    told, a = deltas(steps, run, step, counts), F.col("action")
+    new = lambda c: F.col(f"new_{c}") > 0
+    planned, found = (a == "build_search_plan") & (F.col("open_queries") > 0), F.coalesce(F.col("last_search") == "progress", F.lit(False))
+    grown, named = planned, [((a == "build_search_plan") & ~planned, F.lit("plan_empty")), (planned, F.lit("plan_created"))]
+    named += [((a == "build_search_plan") & ~planned & (F.col("last_search") == "stopped_no_progress"), F.lit("stopped_no_progress")), ((a == "web_search") & F.col("last_search").isNotNull(), F.col("last_search"))]
+    for action, pairs in GROWTH.items():
+        for count, signal in pairs:
+            grown = grown | ((a == action) & new(count) & (found if action == "web_search" else F.lit(True)))
+            named.append(((a == action) & new(count), F.lit(signal)))
+    fetched = (a == "acquire_page") & new("errors")
+    named += [(fetched & new("acquired_pages"), F.lit("partial_acquisition")), (fetched & ~new("acquired_pages"), F.lit("all_failed")), (a == "stop", F.lit("terminal"))]
+    status = F.when(a == "stop", "stopped").when(new("errors") & grown, "partial").when(new("errors"), "error").when(grown, "progress").otherwise("no_progress")
+    return told.withColumn("signals", F.array_compact(F.array(*(F.when(c, t) for c, t in named)))).withColumn("status", status)
+
+
+def resolutions(rows: DataFrame, by: str, status: str = "status") -> DataFrame:
+    """How follow-ups were settled: a map of status to count per group; rows without a status do not count."""
+    kinds = rows.where(F.coalesce(status, F.lit("")) != "").groupBy(by, status).agg(F.count("*").alias("n"))
+    return kinds.groupBy(by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(status, "n")))).alias("resolutions"))
+
+
 def score_actions(rows: DataFrame) -> DataFrame:
     """``rows`` (one per state and action) with ``components`` and ``total``.
 
@@ -119,3 +156,39 @@ def score_actions(rows: DataFrame) -> DataFrame:
 def choose(scored: DataFrame, state: str, tie: str = "tie_rank") -> DataFrame:
     """Of each state's candidates the one with the highest total; on ties the first in ``tie``."""
     return scored.withColumn("_n", F.row_number().over(Window.partitionBy(state).orderBy(F.desc("total"), tie))).where("_n = 1").drop("_n")
+
+
+def number_text(x: Column) -> Column:
+    """A number in at most six significant digits, without zeros at its end."""
+    size = F.abs(x)
+    short = F.when(size < 1, F.round(x, 6)).when(size < 10, F.round(x, 5)).when(size < 100, F.round(x, 4)).when(size < 1000, F.round(x, 3)).otherwise(F.round(x, 2))
+    return F.regexp_replace(short.cast("string"), "\\.0$", "")
+
+
+def rationale(scored: DataFrame, state: str, tie: str = "tie_rank") -> DataFrame:
+    """Per state the chosen ``action`` and ``rationale``, why it was chosen.
+
+    ``scored`` holds the candidates, at most one row per state and action: action, total, components, last_action,
+    last_status. The text names the components that count, a change of action, and the other candidates with their totals.
+    """
+    others = F.array_sort(F.collect_list(F.struct("action", "total")))
+    told = choose(scored, state, tie).join(scored.groupBy(state).agg(others.alias("_all")), state)
+    a = F.col("action")
+    parts = F.transform(F.filter(F.map_entries("components"), lambda e: e["value"] != 0), lambda e: F.concat(e["key"], F.lit("="), number_text(e["value"])))
+    rest = F.filter("_all", lambda o: o["action"] != a)
+    beside = lambda name: F.exists("_all", lambda o: o["action"] == name)
+    piece = lambda when, text: F.when(when, text).otherwise("")
+    text = F.concat(
+        F.lit("Deterministic scheduler selected "), a, F.lit(": dynamic score "), number_text(F.col("total")), F.lit(" ("), F.when(F.size(parts) > 0, F.array_join(parts, ", ")).otherwise("no positive components"), F.lit(")"),
+        piece(F.col("last_action") != a, F.concat(F.lit("; switched away from previous "), "last_action", F.lit(" "), "last_status")),
+        piece((a == "job_extraction") & beside("explore_followups"), F.lit("; downstream extraction work has the stronger current score")),
+        piece((a == "analyze_page") & beside("job_extraction"), F.lit("; holding partial downstream batch(es) while upstream work is available")),
+        piece(F.size(rest) > 0, F.concat(F.lit("; alternatives: "), F.array_join(F.transform(rest, lambda o: F.concat(o["action"], F.lit("="), number_text(o["total"]))), ", "))), F.lit("."),
+    )
+    return told.withColumn("rationale", text).drop("_all")
+
+
+def fallback_features(states: DataFrame, target: int, most: int) -> DataFrame:
+    """Goal features where only a state's ``matches`` are known: nothing useful is known of, frontier and results are empty."""
+    left = lambda n: F.greatest(F.lit(0), F.lit(n) - F.col("matches"))
+    return states.withColumns({"total_match_assessments": F.col("matches"), "useful_match_count": F.lit(0), "result_deficit": left(target), "remaining_result_capacity": left(most), "frontier_executable": F.lit(0), "mean_priority": F.lit(None).cast("double")})

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .eligibility import mapped
+from .records import last_wins
 
 # Routing of page types.
 NEXT_ACTION = {
@@ -47,6 +48,12 @@ def failed_followups(pages: DataFrame, error: str = "error") -> DataFrame:
     return followup_rows(pages, F.lit("review_required"), F.lit("manual_review"), F.lit(50), F.array(error), "pre_extraction")
 
 
+def merged_followups(prior: DataFrame, new: DataFrame, order: str = "ord") -> DataFrame:
+    """Follow-ups of both tables, new after prior ones: per address, kind and stage the last, at the place of the first."""
+    both = prior.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+    return last_wins(both.withColumn("_at", F.struct("_new", order)), ["url", "pending_kind", "stage"], "_at").drop("_new", "_at")
+
+
 def fetch_error_route(error: Column) -> Column:
     return F.when(F.lower(error).rlike(PENDING_ERRORS), "pending").otherwise("rejected")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.urls import canonical_url
-from ..functions.text import CHROME_LINES, EXCERPT_MARKERS, all_reasons, bound, collapse, contained, lines
+from ..functions.text import CHROME_LINES, EXCERPT_MARKERS, all_reasons, blank_to_null, bound, collapse, contained, lines
 
 # Words that speak for a posting, against a page, and for a log-in wall.
 POSTING_WORDS = (
@@ -84,6 +84,40 @@ def signals(text: Column) -> Column:
     return contained(text, POSTING_WORDS)
 
 
+# Words that speak for a plan beside its own terms.
+PLAN_WORDS = ("graduate", "campus", "2026", "2027", "校招", "应届")
+
+
+def plan_signals(text: Column, *terms: Column) -> Column:
+    """Terms of a search plan (lists) and plan words that lower-case ``text`` holds, sorted, each once."""
+    given = F.concat(*(F.coalesce(t, F.array().cast("array<string>")) for t in terms), F.array(*map(F.lit, PLAN_WORDS)))
+    return F.array_sort(F.array_distinct(F.filter(given, lambda t: F.coalesce((t != "") & F.contains(text, F.lower(t)), F.lit(False)))))
+
+
+def ai_input(pages: DataFrame) -> DataFrame:
+    """What analysis reads of a page: what its source told (``metadata``), the cleaned text, the telling links.
+
+    ``pages``: url, source_name, title, metadata (map), visible_text, important_links and any keys, which stay. Blank
+    values of the source count as none.
+    """
+    told = lambda k: blank_to_null(F.get(F.filter(F.map_entries(F.coalesce("metadata", F.create_map().cast("map<string,string>"))), lambda e: e["key"] == k), F.lit(0))["value"])
+    own = ("url", "source_name", "title", "visible_text", "important_links", "metadata")
+    return pages.select(
+        *(c for c in pages.columns if c not in own), "url", told("final_url").alias("final_url"), "source_name", told("company_name").alias("source_company_name"), told("company_type").alias("company_type"),
+        told("location").alias("source_location"), F.coalesce(F.lower(told("is_official")) == "true", F.lit(False)).alias("is_official"), "title", "visible_text", "important_links",
+    )
+
+
+def analysis_trace(pages: DataFrame, original: str, removed: str, most: int = 6000, method: str = "lines") -> DataFrame:
+    """How a page became what a model is shown: sizes before and after, lines that went, the excerpt and whether it was cut."""
+    text = excerpt(F.col("title"), F.col("visible_text"), most)
+    told = pages.withColumn("classification_text", text).withColumn("classification_text_length", F.length("classification_text"))
+    return told.select(
+        "url", F.lit(method).alias("cleaning_method"), F.length(original).alias("original_chars"), F.length("visible_text").alias("cleaned_chars"), F.col(removed).alias("removed_line_count"),
+        "classification_text", "classification_text_length", ((F.col("classification_text_length") >= most) & (F.length("title") + F.length("visible_text") > most)).alias("classification_truncated"),
+    )
+
+
 def login_wall(title: Column, url: Column, text: Column, has_signals: Column) -> Column:
     """A log-in word in title or address, or in a short text without posting words."""
     either = "|".join(LOGIN_WORDS)

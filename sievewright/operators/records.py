@@ -198,6 +198,61 @@ def company_order(jobs: DataFrame, company: str = "company_name") -> DataFrame:
     return jobs.groupBy(company).agg(F.count("*").alias("job_count")).orderBy(F.desc("job_count"), F.lower(F.coalesce(company, F.lit("None"))))
 
 
+def company_view(jobs: DataFrame, order: str = "ord") -> DataFrame:
+    """Jobs by company: count, whether any is official, first type known, distinct sources, the jobs themselves in order.
+
+    Sources and jobs are listed per company, so a company's list is as long as its jobs are many.
+    """
+    n = F.col(order)
+    first_seen = lambda c: F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(F.col(c) != "", F.struct(n.alias("o"), F.col(c).alias("v"))))), lambda x: x["v"]))
+    held = F.struct(*(c for c in jobs.columns if c not in (order, "company_name", "company_type", "is_official")))
+    return group_in_order(
+        jobs, "company_name", order, held, is_official=F.bool_or("is_official"), company_type=F.min_by(F.nullif("company_type", F.lit("")), F.when(F.col("company_type") != "", n)),
+        source_names=first_seen("source_name"), source_urls=first_seen("source_url"),
+    ).withColumnsRenamed({"n": "job_count", "items": "jobs"})
+
+
+# How a person's grid names the columns of jobs.
+GRID = {"id": "id", "company_name": "company", "company_type": "company type", "title": "title", "locations": "locations", "status": "status", "notes": "notes", "source_url": "source url", "source_name": "source"}
+
+
+def jobs_grid(jobs: DataFrame) -> DataFrame:
+    return jobs.select(*(F.col(c).alias(n) for c, n in GRID.items()))
+
+
+def score_rows(scored: DataFrame, *keys: str) -> DataFrame:
+    """A row per component of each score."""
+    return scored.select(*keys, F.explode("components").alias("component", "value"))
+
+
+def flattened(rows: DataFrame, sep: str = ".") -> DataFrame:
+    """Fields of structs as columns of their own, however deep, named by their path."""
+    from pyspark.sql.types import StructType
+
+    def leaves(kind, path):
+        for f in kind:
+            here = [*path, f.name]
+            if isinstance(f.dataType, StructType):
+                yield from leaves(f.dataType, here)
+            else:
+                yield here
+
+    return rows.select(*(F.col(".".join(f"`{p}`" for p in path)).alias(sep.join(path)) for path in leaves(rows.schema, [])))
+
+
+def upsert_counted(old: DataFrame, new: DataFrame, key: str, preserved: list[str], required: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(the table after an upsert, rows refused with ``reason``, counts: inserted, updated, failed).
+
+    A row without a column that the table requires is refused and the others go in.
+    """
+    lacks = all_reasons(*((F.col(c).isNull(), c) for c in required))
+    judged = new.withColumn("_lacks", lacks)
+    refused = judged.where(F.size("_lacks") > 0).withColumn("reason", F.concat(F.lit("NOT NULL constraint failed: "), F.array_join("_lacks", ", "))).drop("_lacks")
+    table = upsert(old, judged.where(F.size("_lacks") == 0).drop("_lacks"), key, preserved)
+    counts = table.agg(F.count_if(F.col("action") == "inserted").alias("inserted_count"), F.count_if(F.col("action") == "updated").alias("updated_count"))
+    return table, refused, counts.crossJoin(F.broadcast(refused.agg(F.count("*").alias("failed_count"))))
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str, preserved: list[str], id_col: str = "id") -> DataFrame:
     """The table after an upsert by ``key``: facts from ``new``, ids and ``preserved`` columns of rows that were there.
 
