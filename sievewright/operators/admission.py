@@ -69,5 +69,6 @@ def searched(rows: DataFrame, most: int) -> DataFrame:
 
 
 def enabled_sources(rows: DataFrame) -> DataFrame:
-    """Configured sources: disabled ones go; the title falls back to name, then address; the score to 100."""
-    return rows.where(F.coalesce("enabled", F.lit(True))).select("url", F.coalesce("title", "name", "url").alias("title"), F.coalesce("name", "url").alias("source_name"), F.coalesce("relevance_score", F.lit(100)).alias("relevance_score"))
+    """Configured sources: only those that say they are enabled stay; title and source name fall back to name, then address; the score to 100."""
+    keys = [c for c in ("ord",) if c in rows.columns]
+    return rows.where(F.coalesce("enabled", F.lit(False))).select(*keys, "url", F.coalesce("title", "name", "url").alias("title"), F.coalesce("name", "url").alias("source_name"), F.coalesce("relevance_score", F.lit(100)).alias("relevance_score"))

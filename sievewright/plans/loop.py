@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +29,8 @@ class Run:
     limits: dict = field(default_factory=lambda: {"max_steps": 25, "max_results": 20, "soft_target": 8, "batch": 3, "max_search_rounds": 3})
     trace: list[dict] = field(default_factory=list)
     step: int = 0
+    last: dict | None = None
+    where: dict[str, str] = field(default_factory=dict)  # table to the folder it was last written to
 
 
 def counted(run: Run) -> dict:
@@ -79,38 +83,115 @@ def decide(run: Run, state: dict, last: dict | None) -> tuple[str, float, str]:
     return best["action"], best["total"], "score"
 
 
-def drive(run: Run, stages: dict[str, Callable[[Run], dict[str, DataFrame]]], pending: Callable[[Run], dict[str, int]]) -> Run:
+#: What is stored of a step: what was done, and the state it left, from which a run can go on.
+STEP = "step int, action string, total double, why string, status string, facts string, limits string, last string, counts map<string,long>, tables map<string,string>"
+
+
+def _keep(run: Run, names: dict[str, DataFrame], step: int | str) -> None:
+    """Write tables of a step below ``path`` and go on with what was written, so lineage stays short."""
+    for name, df in names.items():
+        run.where[name] = f"{run.path}/tables/step={step}/{name}"
+        df.write.mode("overwrite").parquet(run.where[name])
+        run.tables[name] = run.spark.read.parquet(run.where[name])
+
+
+def _record(run: Run, step: int, action: str, total: float, why: str, status: str, counts: dict) -> None:
+    row = (step, action, float(total), why, status, json.dumps(run.facts), json.dumps(run.limits), json.dumps(run.last), counts, dict(run.where))
+    run.spark.createDataFrame([row], STEP).coalesce(1).write.mode("overwrite").parquet(f"{run.path}/steps/at={step}")
+
+
+def drive(
+    run: Run,
+    stages: dict[str, Callable[[Run], dict[str, DataFrame]]],
+    pending: Callable[[Run], dict[str, int]],
+    pause_after: bool = False,
+    on_stop: Callable[[Run], None] | None = None,
+) -> Run:
     """Run ``stages`` (action to a function that returns changed tables) until a stop or the step limit.
 
-    Every step's changed tables are written below ``path`` and read back, so lineage stays short; nothing
-    here resumes a run from them. A step that changes no count is an error, as nothing would ever change again. A stage that
-    fails is a step with status error, and the loop goes on.
+    Tables are written below ``path`` before the first step and whenever a step changes them; every step also leaves a
+    row of the state after it (see STEP), from which :func:`resume` and :func:`replay` go on. With ``pause_after`` the
+    run returns after one action. A step that changes no count is an error, as nothing would ever change again. A stage
+    that fails, or an action without a stage, is a step with status error, and the loop goes on. ``on_stop`` is called
+    when a run stops by itself, not when it runs out of steps.
     """
-    last = None
+    counts = counted(run)
+    if fresh := {n: df for n, df in run.tables.items() if n not in run.where}:
+        _keep(run, fresh, "start")
+    if run.last is None:
+        _record(run, run.step - 1, "start", 0.0, "", "ok", counts)
     while run.step < run.limits["max_steps"]:
-        counts = counted(run)
-        state = context(run, counts, pending(run))
-        action, total, why = decide(run, state, last)
+        action, total, why = decide(run, context(run, counts, pending(run)), run.last)
         run.trace.append({"step": run.step, "action": action, "total": total, "why": why, **{f"n_{k}": v for k, v in counts.items()}})
         if action == "stop":
             run.facts["stop_reason"] = why
-            break
+            _record(run, run.step, action, total, why, "stopped", counts)
+            if on_stop is not None:
+                on_stop(run)
+            return run
         try:
-            for name, df in stages[action](run).items():
-                where = f"{run.path}/step={run.step}/{name}"
-                df.write.mode("overwrite").parquet(where)
-                run.tables[name] = run.spark.read.parquet(where)
+            _keep(run, stages[action](run), run.step)
             status = "ok"
         except Exception as e:
             status = "error"
-            run.facts.setdefault("errors", []).append(str(e)[:200])
-        if status == "ok" and counted(run) == counts and not run.facts.pop("progress", False):
+            run.facts.setdefault("errors", []).append(f"{type(e).__name__}: {e}"[:200])
+        after = counted(run)
+        if status == "ok" and after == counts and not run.facts.pop("progress", False):
             raise NoProgress(f"{action} changed nothing")
-        last = {"action": action, "status": status}
+        run.last, counts = {"action": action, "status": status}, after
+        _record(run, run.step, action, total, why, status, counts)
         run.step += 1
+        if pause_after:
+            return run
+    run.facts["stop_reason"] = "max_steps"
     return run
 
 
-def history(spark: SparkSession, trace: list[dict]) -> DataFrame:
-    """The run's steps, newest first."""
-    return spark.createDataFrame([{k: v for k, v in t.items()} for t in trace]).orderBy(F.desc("step"))
+def steps(spark: SparkSession, path: str) -> DataFrame:
+    """The stored steps of a run."""
+    return spark.read.schema(STEP).parquet(f"{path}/steps")
+
+
+def detail(spark: SparkSession, path: str, step: int) -> dict:
+    """All that is stored of one step."""
+    row = steps(spark, path).where(F.col("step") == step).first()
+    if row is None:
+        raise KeyError(f"no step {step} below {path}")
+    return row.asDict()
+
+
+def after_step(spark: SparkSession, path: str, step: int, branch: str | None = None) -> Run:
+    """A run as ``step`` left it; with ``branch`` it goes on in that folder, and what followed stays as it is."""
+    d = detail(spark, path, step)
+    tables = {n: spark.read.parquet(w) for n, w in d["tables"].items()}
+    return Run(spark, branch or path, tables, json.loads(d["facts"]), json.loads(d["limits"]), [], step + 1, json.loads(d["last"]), dict(d["tables"]))
+
+
+def resume(spark: SparkSession, path: str, stages: dict, pending: Callable[[Run], dict[str, int]], **more) -> Run:
+    """Go on with a run after its last stored step; one that was cut off is done again, a stopped run stays stopped."""
+    try:
+        last = steps(spark, path).select("step", "action").orderBy(F.desc("step")).first()
+    except AnalysisException:
+        last = None
+    if last is None:
+        raise KeyError(f"no step below {path}")
+    run = after_step(spark, path, last["step"])
+    return run if last["action"] == "stop" else drive(run, stages, pending, **more)
+
+
+def replay(spark: SparkSession, path: str, step: int, branch: str, stages: dict, pending: Callable[[Run], dict[str, int]]) -> Run:
+    """Do exactly the action that follows a stored step, into a folder of its own."""
+    return drive(after_step(spark, path, step, branch), stages, pending, pause_after=True)
+
+
+def history(spark: SparkSession, source: str | list[dict]) -> DataFrame:
+    """A run's steps, newest first: from its folder (counts only, no table is opened) or from its trace."""
+    if isinstance(source, str):
+        return steps(spark, source).select("step", "action", "status", "total", "why", "counts").orderBy(F.desc("step"))
+    return spark.createDataFrame([{k: v for k, v in t.items()} for t in source]).orderBy(F.desc("step"))
+
+
+def trace_entry(trace: DataFrame, summaries: DataFrame, by: str = "search_round", order: str = "step") -> DataFrame:
+    """For each of ``summaries`` the last entry of ``trace`` with the same ``by``; null where there is none."""
+    rest = F.struct(*(c for c in trace.columns if c != by))
+    return summaries.join(trace.groupBy(by).agg(F.max_by(rest, order).alias("entry")), by, "left")

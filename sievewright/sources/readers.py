@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import os
+import time
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.markup import decoded
+from ..operators.admission import enabled_sources
 from ..operators.pages import inspection, resource_kind
+from ..session import ready
 
 
 def json_artifact(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -17,8 +25,6 @@ def json_artifact(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def optional_artifact(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
     """The first of ``paths`` that can be read, else no rows."""
-    from pyspark.errors import AnalysisException
-
     for p in paths:
         try:
             return json_artifact(spark, p, schema)
@@ -43,9 +49,111 @@ def acquired(responses: DataFrame) -> DataFrame:
     return d.select("url", "status_code", resource_kind(F.col("content_type")).alias("kind"), F.col("_d.text").alias("html"), "_d.charset", flaws.alias("flaws"), retry.alias("browser_fallback"))
 
 
-def mock_sources(spark: SparkSession) -> DataFrame:
-    rows = [(k, f"mock://jobs/{n}", t, "Mock search", 90 - 10 * k) for k, (n, t) in enumerate((("detail", "Job detail"), ("listing", "Job listing"), ("closed", "Closed job")))]
-    return spark.createDataFrame(rows, "ord int, url string, title string, source_name string, relevance_score int")
+def prior_followups(spark: SparkSession, folder: str) -> DataFrame:
+    """Follow-ups of an earlier run: those in its report, else the artifact of their own, else none; a broken file holds none."""
+    shape = schemas.FOLLOWUP
+    for name, whole in (("page_acquisition_report.json", False), ("pending_followups.json", True)):
+        reader = spark.read.schema(shape if whole else f"pending_followups array<struct<{shape}>>").option("multiLine", True).option("mode", "DROPMALFORMED")
+        try:
+            rows = reader.json(f"{folder}/{name}")
+        except AnalysisException:
+            continue
+        return rows if whole else rows.select(F.inline("pending_followups"))
+    return spark.createDataFrame([], shape)
+
+
+def fetched(sources: DataFrame, make: Callable[[], Callable[[str], tuple[bytes, int | None, str, dict]]], retries: int = 2, most_bytes: int = 2_000_000, pause: float = 0.25, browser: bool = False) -> DataFrame:
+    """``url``, ``body``, ``status_code``, ``final_url``, ``content_type``, ``content_encoding``, ``attempts``, ``fetch_method``, ``fetch_error`` per source.
+
+    ``make`` builds a function of an address once per task, which returns (bytes, status, final address, headers). A
+    fetch that fails is tried again up to ``retries`` times, after pauses that grow to a second; then the row carries its
+    error. A body above ``most_bytes`` is an error too.
+    """
+    ready(sources.sparkSession)
+    names = ["url", "body", "status_code", "final_url", "content_type", "content_encoding", "attempts", "fetch_method", "fetch_error"]
+
+    def one(get: Callable, url: str) -> tuple:
+        error = None
+        for n in range(1, max(0, retries) + 2):
+            try:
+                body, status, final, headers = get(url)
+                if len(body) > most_bytes:
+                    raise ValueError(f"response exceeds limit: {len(body)} bytes")
+                head = {k.lower(): v for k, v in headers.items()}
+                return url, body, status, final, head.get("content-type", ""), head.get("content-encoding", ""), n, "browser" if browser else "http", None
+            except Exception as e:
+                error = f"{type(e).__name__}: {e}"
+                if n <= retries:
+                    time.sleep(min(pause * n, 1.0))
+        return url, None, None, None, None, None, max(0, retries) + 1, "browser" if browser else "http", error
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        get = make()
+        for batch in batches:
+            yield pd.DataFrame([one(get, u) for u in batch["url"]], columns=names).astype({"status_code": "Int32", "attempts": "Int32"})
+
+    return sources.select("url").mapInPandas(run, "url string, body binary, status_code int, final_url string, content_type string, content_encoding string, attempts int, fetch_method string, fetch_error string")
+
+
+def with_fallback(first: DataFrame, rendered: DataFrame) -> DataFrame:
+    """Responses with ``browser_fallback``; where it is set the rendered response, and both errors if that failed too."""
+    again = rendered.select("url", F.struct(*(c for c in rendered.columns if c != "url")).alias("_r"))
+    d = first.join(again, "url", "left")
+    use = F.coalesce("browser_fallback", F.lit(False)) & F.col("_r").isNotNull() & F.col("_r.fetch_error").isNull()
+    both = F.concat(F.coalesce("fetch_error", F.lit("technical check failed")), F.lit("; browser: "), F.col("_r.fetch_error"))
+    error = F.when(use, None).when(F.coalesce("browser_fallback", F.lit(False)) & F.col("_r.fetch_error").isNotNull(), both).otherwise(F.col("fetch_error"))
+    other = [c for c in rendered.columns if c not in ("url", "fetch_error") and c in first.columns]
+    return d.withColumns({c: F.when(use, F.col(f"_r.{c}")).otherwise(F.col(c)) for c in other} | {"fetch_error": error}).drop("_r")
+
+
+# Sources that a search without a network answers with.
+MOCK_SOURCES = (
+    ("mock://future-bank/campus", "Future Bank Technology Graduate Careers", "Future Bank Careers", "Sydney; Shanghai", True, 94, "Official bank graduate source matching: "),
+    ("mock://global-tech/graduates", "Global Tech Graduate Jobs", "Global Tech Careers", "Remote", True, 88, "Official technology graduate source with software and data roles."),
+    ("mock://unrelated-forum/thread", "General career discussion thread", "Unrelated Forum", None, False, 28, "Low-confidence discussion page, not a direct application source."),
+)
+
+
+def mock_sources(spark: SparkSession, queries: tuple[str, ...] = ()) -> DataFrame:
+    """Three sources; the first one's reason names the first three queries."""
+    rows = [(k, u, t, n, place, official, score, why + ", ".join(queries[:3]) if k == 0 else why) for k, (u, t, n, place, official, score, why) in enumerate(MOCK_SOURCES)]
+    return spark.createDataFrame(rows, "ord int, url string, title string, source_name string, location string, is_official boolean, relevance_score int, reason string")
+
+
+def manual_sources(spark: SparkSession, rows: list[dict]) -> DataFrame:
+    """Given sources as they are, in their order."""
+    names = [c.split(" ")[0] for c in schemas.SOURCE.split(", ")]
+    return spark.createDataFrame([(k, *(r.get(c) for c in names[1:])) for k, r in enumerate(rows)], schemas.SOURCE)
+
+
+def config_file(folder: str, name: str) -> tuple[dict, bool]:
+    """(content of a configuration file, whether it is the example): a private file goes before the example."""
+    import yaml
+
+    own = os.path.join(folder, f"{name}.yaml")
+    example = not os.path.exists(own)
+    with open(os.path.join(folder, f"{name}.example.yaml") if example else own, encoding="utf-8") as f:
+        return yaml.safe_load(f) or {}, example
+
+
+def configured_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """The enabled sources of a configuration folder."""
+    shape = "ord long, url string, title string, name string, company_name string, company_type string, location string, official boolean, relevance_score int, kind string, enabled boolean"
+    listed = config_file(folder, "sources")[0].get("sources") or []
+    rows = [(k, r["url"], None, r.get("name"), r.get("company_name"), r.get("company_type"), r.get("location"), bool(r.get("official")), r.get("relevance_score"), r.get("type"), bool(r.get("enabled"))) for k, r in enumerate(listed)]
+    d = spark.createDataFrame(rows, shape)
+    kept = enabled_sources(d)
+    more = d.select("ord", "company_name", "company_type", "location", F.col("official").alias("is_official"), F.concat(F.lit("Manually configured source: "), F.coalesce("kind", F.lit("unknown"))).alias("reason"))
+    return kept.join(more, "ord")
+
+
+def prompt_text(folder: str, name: str) -> str:
+    """Instructions of a stage by name; a byte order mark is no part of them."""
+    path = os.path.join(folder, f"{name}.md")
+    if not os.path.exists(path):
+        raise FileNotFoundError(f"no prompt of this name: {name}")
+    with open(path, encoding="utf-8-sig") as f:
+        return f.read()
 
 
 def mock_pages(sources: DataFrame, texts: DataFrame) -> DataFrame:

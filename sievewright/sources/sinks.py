@@ -26,6 +26,28 @@ def rejected(rows: DataFrame, required: tuple[str, ...] = ("company_name", "sour
     return judged.where("not _lacks").drop("_lacks"), judged.where("_lacks").drop("_lacks")
 
 
+def csv_for_download(df: DataFrame, path: str, most: int = 100_000) -> None:
+    """One CSV file with a byte order mark, as spreadsheets want it; a person's grid, so more than ``most`` rows are refused."""
+    lists = [f.name for f in df.schema if f.dataType.simpleString().startswith("array")]
+    rows = df.withColumns({c: F.array_join(c, ",") for c in lists}).drop("id").limit(most + 1).toPandas()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows: use write_csv")
+    rows.to_csv(path, index=False, encoding="utf-8-sig")
+
+
+def persist_jobs(old: DataFrame, jobs: DataFrame, path: str, version: int) -> dict:
+    """Upsert a run's final jobs into the stored table; returns counts of inserted, updated and failed rows.
+
+    Scores are no part of the table. Rows without company or source name are refused and counted.
+    """
+    from ..operators.records import upsert_counted
+
+    table, _, counts = upsert_counted(old, jobs, "deduplication_key", [c for c in ("status", "notes", "first_seen_at", "created_at") if c in old.columns], ["company_name", "source_name"])
+    told = counts.first().asDict()
+    replace_table(table.drop("action"), path, version)
+    return told
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """The edited grid as CSV with a header; ``id`` stays behind. Spark writes no byte order mark."""
     lists = [f.name for f in df.schema if f.dataType.simpleString().startswith("array")]

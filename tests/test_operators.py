@@ -1,8 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from sievewright.operators import admission, eligibility, features, followups, pages, records
-from sievewright.plans import availability, loop, search_plan
+from sievewright.operators import admission, eligibility, features, followups, pages, records, stages
+from sievewright.plans import availability, loop, search_plan, tools
 from sievewright.sources import providers, readers, sinks
 from sievewright.streaming import backlog
 
@@ -126,10 +126,11 @@ def test_search_plan_turns(spark):
     assert [r.query for r in search_plan.search_queries(p, done).collect()] == ['"Ops" 2027校招 Sydney graduate program']
 
 
-def test_loop_runs_to_a_stop(spark, tmp_path):
-    """Two sources go through all stages; the run ends by itself and keeps its history."""
-    run = loop.Run(spark, str(tmp_path), {"acquisition_queue": spark.createDataFrame([("a",), ("b",)], "url string")}, {"has_plan": True, "search_rounds": 3})
-    chain = {"acquire_page": ("acquisition_queue", "acquired_pages"), "analyze_page": ("acquired_pages", "job_detail_pages"), "job_extraction": ("job_detail_pages", "prepared_jobs"), "job_understanding": ("prepared_jobs", "understanding_records"), "match_analysis": ("understanding_records", "match_assessments")}
+CHAIN = {"acquire_page": ("acquisition_queue", "acquired_pages"), "analyze_page": ("acquired_pages", "job_detail_pages"), "job_extraction": ("job_detail_pages", "prepared_jobs"), "job_understanding": ("prepared_jobs", "understanding_records"), "match_analysis": ("understanding_records", "match_assessments")}
+
+
+def chained():
+    """Stages that hand addresses on, and what each still has to do."""
 
     def stage(source, target):
         def f(r):
@@ -140,15 +141,46 @@ def test_loop_runs_to_a_stop(spark, tmp_path):
 
     def pending(r):
         left = {}
-        for action, (source, target) in chain.items():
+        for action, (source, target) in CHAIN.items():
             if source in r.tables:
                 todo = r.tables[source] if target not in r.tables else r.tables[source].join(r.tables[target], "url", "left_anti")
                 left[action] = todo.count()
         return left
 
-    done = loop.drive(run, {a: stage(*x) for a, x in chain.items()}, pending)
-    assert [t["action"] for t in done.trace] == [*chain, "stop"] and done.tables["match_assessments"].count() == 2
+    return {a: stage(*x) for a, x in CHAIN.items()}, pending
+
+
+def started(spark, path):
+    return loop.Run(spark, str(path), {"acquisition_queue": spark.createDataFrame([("a",), ("b",)], "url string")}, {"has_plan": True, "search_rounds": 3})
+
+
+def test_loop_runs_to_a_stop(spark, tmp_path):
+    """Two sources go through all stages; the run ends by itself and keeps its history."""
+    ended = []
+    done = loop.drive(started(spark, tmp_path), *chained(), on_stop=lambda r: ended.append(r.facts["stop_reason"]))
+    assert [t["action"] for t in done.trace] == [*CHAIN, "stop"] and done.tables["match_assessments"].count() == 2 and len(ended) == 1
     assert loop.history(spark, [{"step": t["step"], "action": t["action"]} for t in done.trace]).first().action == "stop"
+    assert [r.action for r in loop.history(spark, str(tmp_path)).collect()] == ["stop", *reversed(CHAIN), "start"]
+    assert loop.resume(spark, str(tmp_path), *chained()).facts["stop_reason"] == ended[0]
+
+
+def test_loop_resumes_and_replays(spark, tmp_path):
+    """A paused run goes on where it stood; a replayed step goes to a folder of its own; a failed stage is a step."""
+    stages, pending = chained()
+    first = loop.drive(started(spark, tmp_path / "run"), stages, pending, pause_after=True)
+    assert [t["action"] for t in first.trace] == ["acquire_page"] and first.step == 1
+    rest = loop.resume(spark, str(tmp_path / "run"), stages, pending)
+    assert [t["action"] for t in rest.trace] == [*list(CHAIN)[1:], "stop"] and rest.tables["match_assessments"].count() == 2
+    again = loop.replay(spark, str(tmp_path / "run"), 0, str(tmp_path / "branch"), stages, pending)
+    assert [t["action"] for t in again.trace] == ["analyze_page"] and set(again.tables) == {"acquisition_queue", "acquired_pages", "job_detail_pages"}
+    assert loop.detail(spark, str(tmp_path / "run"), 2)["action"] == "job_extraction" and loop.steps(spark, str(tmp_path / "branch")).count() == 1
+    with pytest.raises(KeyError):
+        loop.resume(spark, str(tmp_path / "none"), stages, pending)
+    with pytest.raises(KeyError):
+        loop.detail(spark, str(tmp_path / "run"), 99)
+    limited = started(spark, tmp_path / "limited")
+    limited.limits["max_steps"] = 1
+    assert loop.drive(limited, {}, pending).facts["stop_reason"] == "max_steps" and "KeyError" in limited.facts["errors"][0]
 
 
 def test_providers_isolate_errors(spark):
@@ -204,3 +236,87 @@ def test_availability_reasons(spark):
     got = {r.action: r.reasons for r in availability.action_table(row).collect()}
     assert got["build_search_plan"] == ["profile is required by build_search_plan", "previous Tavily search failed"]
     assert got["acquire_page"] == ["acquisition_queue is empty"] and got["stop"] == []
+
+
+def test_fetching_retries_and_falls_back(spark):
+    """Errors stay with their row; a page that a browser should try takes its answer, or both errors."""
+
+    def make():
+        seen = {}
+
+        def get(url):
+            seen[url] = seen.get(url, 0) + 1
+            if url == "down" or (url == "late" and seen[url] < 2):
+                raise OSError("no answer")
+            return b"x" * (50 if url == "big" else 5), 200, url + "/", {"Content-Type": "text/html"}
+
+        return get
+
+    urls = spark.createDataFrame([("down",), ("late",), ("big",), ("fine",)], "url string").coalesce(1)
+    got = {r.url: r for r in readers.fetched(urls, make, retries=1, most_bytes=10, pause=0).collect()}
+    assert (got["late"].attempts, got["late"].fetch_error, bytes(got["fine"].body), got["fine"].final_url) == (2, None, b"xxxxx", "fine/")
+    assert got["down"].fetch_error == "OSError: no answer" and got["big"].fetch_error.endswith("response exceeds limit: 50 bytes")
+    first = readers.fetched(urls, make, retries=0, most_bytes=10, pause=0).withColumn("browser_fallback", F.col("fetch_error").isNotNull())
+    both = {r.url: r for r in readers.with_fallback(first, readers.fetched(urls, make, retries=1, pause=0, browser=True)).collect()}
+    assert (both["big"].fetch_method, both["big"].fetch_error, both["fine"].fetch_method) == ("browser", None, "http")
+    assert both["down"].fetch_error == "OSError: no answer; browser: OSError: no answer"
+
+
+def test_configuration_and_earlier_artifacts(spark, tmp_path):
+    """A private file goes before the example; sources must say that they are enabled; a report goes before the list."""
+    (tmp_path / "sources.example.yaml").write_text("sources: []")
+    assert readers.config_file(str(tmp_path), "sources") == ({"sources": []}, True) and readers.configured_sources(spark, str(tmp_path)).count() == 0
+    (tmp_path / "sources.yaml").write_text("sources:\n- {url: u, enabled: true, official: true, type: portal}\n- {url: v, name: n}\n")
+    row = readers.configured_sources(spark, str(tmp_path)).collect()
+    assert [(r.url, r.title, r.relevance_score, r.is_official, r.reason) for r in row] == [("u", "u", 100, True, "Manually configured source: portal")]
+    (tmp_path / "p.md").write_text("Read.", encoding="utf-8-sig")
+    assert readers.prompt_text(str(tmp_path), "p") == "Read."
+    assert readers.prior_followups(spark, str(tmp_path)).count() == 0
+    (tmp_path / "pending_followups.json").write_text('[{"url": "a"}, {"url": "b"}]')
+    assert readers.prior_followups(spark, str(tmp_path)).count() == 2
+    (tmp_path / "page_acquisition_report.json").write_text('{"pending_followups": [{"url": "c", "priority": 5}], "other": 1}')
+    assert [(r.url, r.priority) for r in readers.prior_followups(spark, str(tmp_path)).collect()] == [("c", 5)]
+    (tmp_path / "page_acquisition_report.json").write_text("{broken")
+    assert readers.prior_followups(spark, str(tmp_path)).count() == 0
+    assert [r.url for r in readers.manual_sources(spark, [{"url": "x"}, {"url": "y"}]).orderBy("ord").collect()] == ["x", "y"]
+
+
+def test_tools_leave_a_trace(spark):
+    kit = tools.kit(spark, "mock", boom=lambda: 1 / 0)
+    assert kit.run("web_search", "q").count() == 3
+    with pytest.raises(ZeroDivisionError):
+        kit.run("boom")
+    with pytest.raises(ValueError):
+        kit.add("boom", len)
+    got = kit.events(spark).orderBy("ord").collect()
+    assert [(r.tool, r.error) for r in got] == [("web_search", None), ("boom", "division by zero")] and got[0].result.startswith("table[ord, url")
+
+
+def test_counted_upsert_and_sinks(spark, tmp_path):
+    old = spark.createDataFrame([(7, "k1", "c", "s", "感兴趣")], "id long, deduplication_key string, company_name string, source_name string, status string")
+    new = spark.createDataFrame([("k1", "d", "s", "未查看"), ("k2", "c", "s", "未查看"), ("k3", None, None, "未查看")], "deduplication_key string, company_name string, source_name string, status string")
+    _, refused, _ = records.upsert_counted(old, new, "deduplication_key", ["status"], ["company_name", "source_name"])
+    assert [(r.deduplication_key, r.reason) for r in refused.collect()] == [("k3", "NOT NULL constraint failed: company_name, source_name")]
+    assert sinks.persist_jobs(old, new, str(tmp_path / "jobs"), 1) == {"inserted_count": 1, "updated_count": 1, "failed_count": 1}
+    kept = {r.deduplication_key: (r.id, r.company_name, r.status) for r in spark.read.parquet(str(tmp_path / "jobs/version=1")).collect()}
+    assert kept == {"k1": (7, "d", "感兴趣"), "k2": (8, "c", "未查看")}
+    sinks.csv_for_download(old, str(tmp_path / "g.csv"))
+    assert (tmp_path / "g.csv").read_bytes().startswith(b"\xef\xbb\xbfdeduplication_key")
+    with pytest.raises(ValueError):
+        sinks.csv_for_download(old.union(old), str(tmp_path / "g.csv"), most=1)
+
+
+def test_prompts_and_traces(spark):
+    row = spark.createDataFrame([(1, "T", "text", False), (2, "U", "more", True)], "page_id long, title string, visible_text string, hard_reject boolean")
+    jobs = row.select(F.col("page_id").cast("string").alias("deduplication_key"), "title", F.lit("d").alias("description"), F.lit(None).cast("string").alias("requirements"), F.lit("campus").alias("recruitment_type"), "hard_reject")
+    asked = stages.understanding_requests(jobs, " Do it. ").collect()
+    assert len(asked) == 1 and asked[0].prompt.startswith("Do it.\n\nReturn ONLY valid JSON.") and asked[0].prompt.endswith('Input:\n{"job":{"title":"T","description":"d","requirements":null,"recruitment_type":"campus"}}')
+    batch = stages.extraction_requests(row.withColumn("batch", F.lit(0)), "Extract.").first().prompt
+    assert batch.endswith('{"pages":[{"page_id":1,"title":"T","visible_text":"text"},{"page_id":2,"title":"U","visible_text":"more"}]}')
+    links = row.withColumn("important_links", F.array().cast("array<string>"))
+    assert '"allowed_page_types":["job_detail",' in stages.classification_requests(links, "Classify.").first().prompt
+    trace = pages.analysis_trace(row.withColumns({"url": F.lit("u"), "html": F.lit("<p>text</p>"), "removed": F.lit(2)}), "html", "removed").first()
+    assert (trace.original_chars, trace.cleaned_chars, trace.removed_line_count, trace.classification_truncated) == (11, 4, 2, False)
+    steps = spark.createDataFrame([(1, 0, "a"), (2, 1, "b"), (3, 1, "c")], "step int, search_round int, action string")
+    got = {r.search_round: r.entry and r.entry.action for r in loop.trace_entry(steps, spark.createDataFrame([(1,), (5,)], "search_round int")).collect()}
+    assert got == {1: "c", 5: None}
