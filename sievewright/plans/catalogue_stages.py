@@ -166,7 +166,7 @@ def company_view(spark, d):
     return records.company_view(jobs).select("company_name", "job_count", "is_official", "company_type", F.size("source_names").cast("long").alias("sources"), F.array_join(F.col("jobs.title"), ",").alias("titles"))
 
 
-@query("SELECT state, action, component, value FROM (SELECT n_nationkey AS state, 'web_search' AS action, unnest(['backlog', 'cost']) AS component, unnest([n_regionkey * 1.0, -1.5]) AS value FROM nation)")
+@query("SELECT state, action, component, value FROM (SELECT n_nationkey AS state, 'web_search' AS action, unnest(['backlog', 'cost']) AS component, unnest([CAST(n_regionkey AS DOUBLE), CAST(-1.5 AS DOUBLE)]) AS value FROM nation)")
 def score_rows(spark, d):
     rows = table(spark, d, "nation").select(F.col("n_nationkey").alias("state"), F.lit("web_search").alias("action"), F.create_map(F.lit("backlog"), F.col("n_regionkey").cast("double"), F.lit("cost"), F.lit(-1.5)).alias("components"))
     return records.score_rows(rows, "state", "action")
