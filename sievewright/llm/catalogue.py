@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from .bpe_transducer import encode_decode
 from .common import table
+from .curve_packing import pack_along_curve
 from .exact_dedup import exact_dedup
+from .filter_audit import filter_audit
 from .histogram_shards import histogram_sort
 from .mil_quality import score, train
 from .mjpeg_avi import media_features, store_media
 from .near_dedup import near_duplicates
 from .packing import pack_documents
+from .source_audit import divergence
 from .suffix_dedup import remove_repeats
 from .warc import read_archives, record_kinds, resolved, write_archives
 from .wavelet_shards import read_shards, write_shards
@@ -90,9 +93,54 @@ def op10_mjpeg_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(store_media(table(spark, sf_dir, "documents")))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+t AS (SELECT r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+keep AS (SELECT lang, term, count(*) AS total FROM t GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+v AS (SELECT lang, count(*) AS kinds, sum(total) AS lang_total FROM keep GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN keep USING (lang, term) GROUP BY ALL),
+g AS (SELECT lang, source, coalesce(sum(n), 0) AS own_total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) GROUP BY ALL),
+x AS (SELECT lang, source, term, coalesce(n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(n, 0) + 1) // (own_total + kinds) AS p, 1 + 1000000000::HUGEINT * (total + 1) // (lang_total + kinds) AS q
+      FROM g JOIN keep USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term)),
+s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM x a JOIN x b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+      UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM x WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r) WHERE part = 'pair' OR rank <= 200
+"""
+
+
+def op12_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP12_SQL = r"""
+WITH l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, CASE WHEN len(w) < 200 THEN 16 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 8 ELSE 0 END
+      + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 2 ELSE 0 END
+      + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 1 ELSE 0 END AS m FROM d LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, m, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS x FROM f GROUP BY ALL),
+b AS (SELECT * FROM (VALUES ('A', 16), ('B', 8), ('C', 4), ('D', 2), ('E', 1)) AS b(k, v)),
+o AS (SELECT b1.k || b2.k || b3.k || b4.k || b5.k AS filter_order, [b1.v, b2.v, b3.v, b4.v, b5.v] AS vs FROM b b1, b b2, b b3, b b4, b b5 WHERE b1.v + b2.v + b3.v + b4.v + b5.v = 31 AND b1.v | b2.v | b3.v | b4.v | b5.v = 31),
+s AS (SELECT filter_order, step, vs[step] AS own, list_sum(vs[1:step]) - vs[step] AS before FROM o, (SELECT unnest([1, 2, 3, 4, 5])::INT AS step)),
+r AS (SELECT part, filter_order, step, own, sum(n) FILTER (m & (before | own) = 0) AS kept, sum(n) FILTER (m & before = 0 AND m & own > 0) AS removed, sum(n) FILTER (m & before > 0 AND m & own > 0) AS redundant,
+      sum(n) FILTER (m = own) AS unique_fails, sum(g) FILTER (m & before = 0 AND m & own > 0) AS good_lost, sum(x) FILTER (m & before = 0 AND m & own > 0) AS toxic_lost FROM c, s GROUP BY ALL)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+       coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, sum(coalesce(removed, 0)) OVER (PARTITION BY part, own)::BIGINT AS shapley FROM r
+"""
+
+
+def op13_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_along_curve(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
 def queries() -> dict:
-    return {"op1_exact_dedup": op1_exact_dedup, "op2_warc_segments": op2_warc_segments, "op3_near_dedup": op3_near_dedup, "op4_sum_of_squares_packing": op4_sum_of_squares_packing, "op5_wavelet_shards": op5_wavelet_shards, "op6_histogram_shards": op6_histogram_shards, "op7_bpe_transducer": op7_bpe_transducer, "op8_mil_quality": op8_mil_quality, "op9_suffix_dedup": op9_suffix_dedup, "op10_mjpeg_avi": op10_mjpeg_avi}
+    return {"op1_exact_dedup": op1_exact_dedup, "op2_warc_segments": op2_warc_segments, "op3_near_dedup": op3_near_dedup, "op4_sum_of_squares_packing": op4_sum_of_squares_packing, "op5_wavelet_shards": op5_wavelet_shards, "op6_histogram_shards": op6_histogram_shards, "op7_bpe_transducer": op7_bpe_transducer, "op8_mil_quality": op8_mil_quality, "op9_suffix_dedup": op9_suffix_dedup, "op10_mjpeg_avi": op10_mjpeg_avi, "op11_source_divergence": op11_source_divergence, "op12_filter_interaction": op12_filter_interaction, "op13_curve_packing": op13_curve_packing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op2_warc_segments": OP2_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op2_warc_segments": OP2_SQL, "op11_source_divergence": OP11_SQL, "op12_filter_interaction": OP12_SQL}
