@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..plans.numbering import numbered
+
 
 def admit(inputs: DataFrame, queued: DataFrame, handled: DataFrame, key: str = "url_key", order: str = "ord", limit: int | None = None) -> DataFrame:
     """``inputs`` with ``outcome``: invalid, handled, duplicate, limited or admitted.
@@ -58,13 +60,15 @@ def quotas(queries: DataFrame, most: int, index: str = "idx") -> DataFrame:
     return queries.crossJoin(F.broadcast(n)).withColumn("quota", F.expr(f"{most} div _n") + (F.col(index) < F.expr(f"{most} % _n")).cast("int")).drop("_n")
 
 
-def searched(rows: DataFrame, most: int) -> DataFrame:
-    """Search answers as sources: blank addresses go, the first of each identity stays, ``most`` at most.
+def searched(rows: DataFrame, most: int | None = None) -> DataFrame:
+    """Search answers as sources: blank addresses go, the first of each identity stays, the first ``most`` of them where there is a limit.
 
-    ``rows``: ord, title, url, url_key, content, score (0 to 1).
+    ``rows``: ord, title, url, url_key, content, score (0 to 1). A limit beyond a task's measure is taken by ranges.
     """
-    first = Window.partitionBy("url_key").orderBy("ord")
-    kept = rows.where(F.trim("url") != "").withColumn("_n", F.row_number().over(first)).where("_n = 1").orderBy("ord").limit(most)
+    held = F.struct(*(c for c in rows.columns if c != "url_key"))
+    kept = rows.where(F.trim("url") != "").groupBy("url_key").agg(F.min_by(held, "ord").alias("_first")).select("_first.*")
+    if most is not None:
+        kept = kept.orderBy("ord").limit(most) if most <= 10_000 else numbered(kept, "ord").where(F.col("row_no") <= most)
     return kept.select("ord", "url", F.coalesce(F.nullif("title", F.lit("")), "url").alias("title"), F.round(F.col("score") * 100).cast("int").alias("relevance_score"), F.substring("content", 1, 1000).alias("reason"))
 
 

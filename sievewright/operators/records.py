@@ -131,13 +131,14 @@ def first_apply_url(links: Column) -> Column:
     return F.get(F.filter(links, lambda x: x["kind"] == "apply"), F.lit(0))["url"]
 
 
-def merged_context(pages: DataFrame, context: str = "page_context", jobs: str = "jobs") -> DataFrame:
+def merged_context(pages: DataFrame, context: str = "page_context", jobs: str = "jobs", keep: tuple[str, ...] = ()) -> DataFrame:
     """A raw record per extracted job: page context, what the page's source tells, and on top the job's own fields.
 
     ``pages``: url, source_name, source_company_name, company_type, source_location, is_official, title, visible_text,
     important_links, and the structs ``context`` and ``jobs``. Address, source and official state come from the source,
     never from the extraction; a company is the extraction's, else the page's own, else the source's; a job without
-    places has its source's. A field that a job's struct holds replaces the context's, null too.
+    places has its source's. A field that a job's struct holds replaces the context's, null too. ``keep`` names columns of
+    the page that its records carry.
     """
     own = [f.name for f in pages.schema[jobs].dataType.elementType]
     given = [f.name for f in pages.schema[context].dataType]
@@ -153,7 +154,7 @@ def merged_context(pages: DataFrame, context: str = "page_context", jobs: str =
         fields["locations"] = F.when((F.coalesce(F.size(fields["locations"]), F.lit(0)) <= 0) & place.isNotNull(), F.array(place)).otherwise(fields["locations"])
     page = pages.withColumn("_host", host)
     rows = page.select(F.struct(*(c for c in page.columns if c != jobs)).alias("_page"), F.posexplode(jobs).alias("place", "_job"))
-    return rows.select(*(v.alias(k) for k, v in fields.items()), "place")
+    return rows.select(*(v.alias(k) for k, v in fields.items()), "place", *(F.col(f"_page.{c}").alias(c) for c in keep))
 
 
 # What each model is shown of a page or a record.
@@ -240,34 +241,62 @@ def flattened(rows: DataFrame, sep: str = ".") -> DataFrame:
     return rows.select(*(F.col(".".join(f"`{p}`" for p in path)).alias(sep.join(path)) for path in leaves(rows.schema, [])))
 
 
-def upsert_counted(old: DataFrame, new: DataFrame, key: str, preserved: list[str], required: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+def fit_for_table(rows: DataFrame, required: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows fit for the table, rows refused with ``reason``): a column that the table requires must not be null or blank."""
+    lacks = all_reasons(*((F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) == "", c) for c in required))
+    judged = rows.withColumn("_lacks", lacks)
+    refused = judged.where(F.size("_lacks") > 0).withColumn("reason", F.concat(F.lit("NOT NULL constraint failed: "), F.array_join("_lacks", ", "))).drop("_lacks")
+    return judged.where(F.size("_lacks") == 0).drop("_lacks"), refused
+
+
+def upsert_counted(old: DataFrame, new: DataFrame, key: str, preserved: list[str], required: list[str], order: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(the table after an upsert, rows refused with ``reason``, counts: inserted, updated, failed).
 
-    A row without a column that the table requires is refused and the others go in.
+    A row without its key or a column that the table requires is refused and the others go in. Every other row of the
+    batch counts: the first one of a new key as inserted, all others as updated.
     """
-    lacks = all_reasons(*((F.col(c).isNull(), c) for c in required))
-    judged = new.withColumn("_lacks", lacks)
-    refused = judged.where(F.size("_lacks") > 0).withColumn("reason", F.concat(F.lit("NOT NULL constraint failed: "), F.array_join("_lacks", ", "))).drop("_lacks")
-    table = upsert(old, judged.where(F.size("_lacks") == 0).drop("_lacks"), key, preserved)
-    counts = table.agg(F.count_if(F.col("action") == "inserted").alias("inserted_count"), F.count_if(F.col("action") == "updated").alias("updated_count"))
+    good, refused = fit_for_table(new, list(dict.fromkeys([key, *required])))
+    table = upsert(old, good, key, preserved, order=order)
+    fresh = F.col("action") == "inserted"
+    counts = table.agg(F.count_if(fresh).alias("inserted_count"), F.coalesce(F.sum(F.col("rows_seen") - fresh.cast("int")), F.lit(0)).alias("updated_count"))
     return table, refused, counts.crossJoin(F.broadcast(refused.agg(F.count("*").alias("failed_count"))))
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str, preserved: list[str], id_col: str = "id") -> DataFrame:
-    """The table after an upsert by ``key``: facts from ``new``, ids and ``preserved`` columns of rows that were there.
+def folded(batch: DataFrame, key: str, preserved: list[str], order: str | None = None) -> DataFrame:
+    """A batch as one row per key, as if its rows went in one after another by ``order``.
+
+    ``_last``: the facts of the last row, ``_first``: the ``preserved`` columns of the first, ``_at``: when that came,
+    ``_rows``: how many there are. Without ``order`` rows follow each other by their values. Rows of a key are folded by
+    partial aggregates, so a hot key reaches a reducer as one row per task.
+    """
+    facts = [c for c in batch.columns if c not in (key, order, *preserved)]
+    place = F.col(order) if order else F.struct(key, *facts, *preserved)
+    kept = F.struct(*preserved) if preserved else F.struct(F.lit(None).cast("string").alias("_none"))
+    return batch.groupBy(key).agg(F.max_by(F.struct(*facts), place).alias("_last"), F.min_by(kept, place).alias("_first"), F.min(place).alias("_at"), F.count("*").alias("_rows"))
+
+
+def upsert(old: DataFrame, new: DataFrame, key: str, preserved: list[str], id_col: str = "id", order: str | None = None) -> DataFrame:
+    """The table after the rows of ``new`` went in one by one in the order of the column ``order``.
 
-    New rows are numbered on from the largest id, in the order of their keys: a running number of the new keys alone,
-    by ranges of keys and their counts, so no task sorts them all. ``action`` tells inserted, updated, unchanged.
+    Of a key that was there, id and ``preserved`` columns stay and the facts are those of its last row; of a new key the
+    first row's ``preserved`` columns count and its last row's facts. New keys are numbered on from the largest id in the
+    order they came in (without ``order``: of their keys), by ranges and their counts. ``action`` tells inserted, updated,
+    unchanged, ``rows_seen`` how many rows of the batch had the key. ``order`` is no part of the table.
     """
     from ..plans.numbering import numbered
 
-    facts = [c for c in new.columns if c not in (key, *preserved)]
+    facts = [c for c in new.columns if c not in (key, order, *preserved)]
+    batch = folded(new, key, preserved, order)
+    told, hit = old.join(batch, key, "left"), F.col("_rows").isNotNull()
+    seen = F.coalesce("_rows", F.lit(0)).alias("rows_seen")
+    held = told.select(
+        id_col, key, *(F.when(hit, F.col(f"_last.{f}")).otherwise(F.col(f)).alias(f) if f in old.columns else F.col(f"_last.{f}").alias(f) for f in facts), *preserved,
+        F.when(hit, "updated").otherwise("unchanged").alias("action"), seen,
+    )
+    fresh = batch.join(old.select(key), key, "left_anti")
+    count = numbered(fresh, "_at") if order else numbered(fresh, key)
     top = old.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("_top"))
-    fresh = numbered(new.join(old.select(key), key, "left_anti"), key).crossJoin(F.broadcast(top))
-    inserted = fresh.select((F.col("_top") + F.col("row_no")).cast("long").alias(id_col), key, *facts, *(F.col(p) for p in preserved), F.lit("inserted").alias("action"))
-    right = new.select(key, *(F.col(f).alias(f"_new_{f}") for f in facts), F.lit(True).alias("_hit"))
-    kept = old.join(right, key, "left")
-    held = kept.select(id_col, key, *(F.when(F.col("_hit"), F.col(f"_new_{f}")).otherwise(F.col(f)).alias(f) for f in facts), *preserved, F.when(F.col("_hit"), "updated").otherwise("unchanged").alias("action"))
+    inserted = count.crossJoin(F.broadcast(top)).select((F.col("_top") + F.col("row_no")).cast("long").alias(id_col), key, *(F.col(f"_last.{f}").alias(f) for f in facts), *(F.col(f"_first.{p}").alias(p) for p in preserved), F.lit("inserted").alias("action"), seen)
     return held.unionByName(inserted)
 
 

@@ -43,7 +43,7 @@ def errors_of(rows: DataFrame, stage: str, key: str, *known: str) -> DataFrame:
 
 def _judged(rows: DataFrame, answers: DataFrame, key: str, schema: str, fits: Column) -> DataFrame:
     """``rows`` with ``value`` and ``error``; an answer that does not hold ``fits`` is none."""
-    told = parsed(answers.select(key, "answer", "error"), schema)
+    told = parsed(answers.select(key, "answer", "error", *(c for c in answers.columns if c == f"_{key}")), schema)
     told = told.withColumn("error", F.coalesce("error", F.when(~F.coalesce(fits, F.lit(False)), "answer does not fit its schema")))
     joined = rows.join(told.select(key, "value", F.col("error").alias("error"), F.lit(True).alias("_told")), key, "left")
     return joined.withColumn("error", F.coalesce("error", F.when(F.col("_told").isNull(), "no recorded answer"))).drop("_told")
@@ -106,6 +106,23 @@ def extracted(pages: DataFrame, answers: DataFrame) -> tuple[DataFrame, DataFram
     return raw, errors_of(failed, "job_extraction", "page_id", "url")
 
 
+def page_requests(pages: DataFrame, instructions: str, key: str = "url") -> DataFrame:
+    """One request per page."""
+    return pages.select(key, json_prompt(instructions, payload("page")).alias("prompt"))
+
+
+def extracted_singly(pages: DataFrame, answers: DataFrame, key: str = "url") -> tuple[DataFrame, DataFrame]:
+    """(raw records of the jobs in the answers with the page's ``key``, errors); an answer is one page's context and jobs.
+
+    A page that answers with another page's ``page_id`` fails; one that names none is taken at its place.
+    """
+    fits = F.col("value.jobs").isNotNull() & F.coalesce(F.col("value.page_id") == F.col(f"_{key}"), F.lit(True))
+    judged = _judged(pages, answers.withColumn(f"_{key}", F.col(key).cast("string")), key, schemas.EXTRACTION, fits)
+    good = judged.where("error is null").withColumns({"page_context": F.col("value.page_context"), "jobs": F.col("value.jobs")}).drop("value", "error")
+    raw = merged_context(good.withColumn("_key", F.col(key)), keep=("_key", "ord") if "ord" in pages.columns else ("_key",))
+    return raw.withColumnRenamed("_key", f"page_{key}"), errors_of(judged, "job_extraction", key)
+
+
 # Understanding and match.
 
 

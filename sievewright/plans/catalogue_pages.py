@@ -100,9 +100,61 @@ def recovery_flags(spark, d):
     return table(spark, d, "pages").select("page_id", F.array_join(pages.recovery_sources(html), ",").alias("strict"), F.array_join(pages.recovery_sources(html, strict=False), ",").alias("loose"))
 
 
-def _structured(spark, d):
+# Whole pages in SQL, for well-formed ones: what is shown, its entities, the host that addresses are taken from.
+_UNESCAPED = "regexp_replace(replace(replace(replace({}, '&quot;', chr(34)), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g')"
+_SHOWN = "regexp_replace(html, '<script\\b.*?</script>|<style\\b.*?</style>|<!--.*?-->', ' ', 'gs')"
+_PAGE = f"""
+SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS host, html, trim({_UNESCAPED.format("regexp_extract(html, '<title>(.*?)</title>', 1, 's')")}) AS title,
+ list_filter(list_transform(string_split(regexp_replace({_SHOWN}, '<[^>]+>', chr(10), 'g'), chr(10)), lambda x: trim(regexp_replace({_UNESCAPED.format("x")}, '\\s+', ' ', 'g'))), lambda x: x <> '') AS lines,
+ regexp_extract_all(html, '<a href="([^"]*)">[^<]*</a>', 1) AS hrefs, regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1) AS labels FROM pages
+"""
+
+
+@query(f"SELECT page_id, title, len(hrefs) AS n_links, array_to_string(lines, chr(10)) AS text, host || hrefs[1] AS first_link, trim(labels[3]) AS third_label FROM ({_PAGE})")
+def html_structure(spark, d):
+    """Title, visible lines and links of every whole page."""
     ready(spark)
-    return table(spark, d, "pages").select("page_id", "url", "html", markup.structure("html", "url").alias("s")).select("page_id", "url", "html", "s.*")
+    s = F.col("s")
+    return table(spark, d, "pages").select("page_id", markup.structure("html", "url").alias("s")).select("page_id", s["title"].alias("title"), F.size(s["links"]).cast("long").alias("n_links"), s["text"].alias("text"), F.get(s["links"], F.lit(0))["href"].alias("first_link"), F.get(s["links"], F.lit(2))["text"].alias("third_label"))
+
+
+_VISIBLE_LINE = "trim(regexp_replace(regexp_replace({}, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))".format(_SHOWN)
+
+
+@query(f"""
+WITH p AS (SELECT page_id, 'Page ' || page_id || chr(10) || {_UNESCAPED.format(_VISIBLE_LINE)} AS ld, {_UNESCAPED.format(_VISIBLE_LINE)} AS meta FROM pages),
+t AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'json_ld' WHEN 1 THEN 'meta_description' END AS way, CASE page_id % 3 WHEN 0 THEN ld WHEN 1 THEN meta ELSE '' END AS text FROM p)
+SELECT page_id, way IS NOT NULL AND length(text) >= 300 AS success, CASE WHEN length(text) >= 300 THEN way END AS source,
+ CASE WHEN way IS NULL THEN 'no_deterministic_recovery_source_succeeded' WHEN length(text) >= 300 THEN 'recovered_from_' || way ELSE way || '_insufficient: ' || length(text) || ' chars' END AS reasons,
+ CASE WHEN length(text) >= 300 THEN text ELSE '' END AS text FROM t
+""")
+def page_recovery(spark, d):
+    """Whole pages, two thirds of which also hold their text in a data script or in a description."""
+    ready(spark)
+    bare = F.regexp_replace(F.regexp_replace("html", "(?s)<script\\b.*?</script>|<style\\b.*?</style>|<!--.*?-->", " "), "<[^>]+>", " ")
+    shown, k = F.trim(F.regexp_replace(bare, "\\s+", " ")), F.col("page_id")
+    posting = F.to_json(F.struct(F.lit("JobPosting").alias("@type"), F.concat(F.lit("Page "), k.cast("string")).alias("title"), shown.alias("description")))
+    held = F.when(k % 3 == 0, F.concat(F.lit('<script type="application/ld+json">'), posting, F.lit("</script>"))).when(k % 3 == 1, F.concat(F.lit('<meta name="description" content="'), F.replace(shown, F.lit('"'), F.lit("&quot;")), F.lit('">'))).otherwise("")
+    return table(spark, d, "pages").select("page_id", markup.recovered(F.concat(held, "html")).alias("r")).select("page_id", "r.success", "r.source", F.array_join("r.reasons", ";").alias("reasons"), "r.text")
+
+
+@query(f"""
+WITH p AS (SELECT page_id, host, list_concat(hrefs, ['/jobs/' || page_id, '/files/' || page_id || '.pdf', '/apply/' || page_id, '/jobs/' || page_id]) AS hrefs, list_concat(labels, ['View job', 'Brochure', 'Submit now', 'again']) AS labels FROM ({_PAGE})),
+x AS (SELECT page_id, host || unnest(hrefs) AS url, trim(unnest(labels)) AS label, unnest(range(len(hrefs))) AS pos FROM p),
+k AS (SELECT *, regexp_extract(lower(url), '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path FROM x),
+y AS (SELECT page_id, url, label, 0 AS part, pos, CASE WHEN regexp_matches(path, '[.](pdf|docx?|xlsx?)$') THEN 'attachment' WHEN regexp_matches(lower(label), 'apply|application|submit|resume|申请|报名|应聘') THEN 'apply' WHEN regexp_matches(lower(label), 'source|来源') THEN 'source'
+  WHEN regexp_matches(lower(label), 'job details|view job|view position|详情|职位详情|查看职位') OR (regexp_matches(path, '(^|/)(jobs?|positions?|vacanc(y|ies)|roles?)(/|$)') AND NOT regexp_matches(path, 'apply|search|filter')) THEN 'job_detail_candidate' END AS kind FROM k
+  UNION ALL SELECT page_id, 'https://apply.example/' || page_id, 'Apply at https://apply.example/' || page_id || '.', 1, 0, 'apply' FROM pages),
+z AS (SELECT *, row_number() OVER (PARTITION BY page_id, url ORDER BY part, pos) AS nth FROM y WHERE kind IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY CASE kind WHEN 'apply' THEN 0 WHEN 'job_detail_candidate' THEN 1 WHEN 'attachment' THEN 2 WHEN 'source' THEN 3 END, part, pos) AS place FROM z WHERE nth = 1)
+SELECT page_id, place, url, label, kind FROM r WHERE place <= 10
+""")
+def links_rank(spark, d):
+    """All links of every whole page, and a few more behind it that lead somewhere."""
+    ready(spark)
+    k = F.col("page_id").cast("string")
+    more = F.concat(F.lit("<p>Apply at https://apply.example/"), k, F.lit(".</p><a href='/jobs/"), k, F.lit("'>View job</a><a href='/files/"), k, F.lit(".pdf'>Brochure</a><a href='/apply/"), k, F.lit("'>Submit now</a><a href='/jobs/"), k, F.lit("'>again</a>"))
+    return pages.important_links(table(spark, d, "pages").select("page_id", markup.structure(F.concat("html", more), "url").alias("s")).select("page_id", "s.links", "s.text"))
 
 
 _MADE = "SELECT page_id, 'https://h' || page_id || '.example' AS host FROM pages"
@@ -123,7 +175,7 @@ def _made(spark, d):
 SELECT page_id, 'Role ' || page_id || ' & more' AS title, 5 AS n_links, concat_ws(chr(10), 'Role ' || page_id || ' & more', 'Duties of ' || page_id, 'First', 'bold', 'second', 'Apply at https://apply.example/' || page_id || '). today', 'View job', 'Apply form', 'none', 'Submit', 'now', 'Other', 'View job') AS text,
  host || '/jobs/' || page_id AS first_link, 'Submit now' AS third_label FROM ({_MADE})
 """)
-def html_structure(spark, d):
+def made_structure(spark, d):
     ready(spark)
     s = F.col("s")
     return _made(spark, d).select("page_id", markup.structure("html", "url").alias("s")).select("page_id", s["title"].alias("title"), F.size(s["links"]).alias("n_links"), s["text"].alias("text"), s["links"][0]["href"].alias("first_link"), s["links"][2]["text"].alias("third_label"))
@@ -132,7 +184,7 @@ def html_structure(spark, d):
 @query("""
 SELECT page_id, true AS success, 'json_ld' AS source, 'recovered_from_json_ld' AS reasons, 'Role ' || page_id || chr(10) || trim(repeat('duty ' || page_id || ' ', 60)) AS text FROM pages
 """)
-def page_recovery(spark, d):
+def made_recovery(spark, d):
     ready(spark)
     return _made(spark, d).select("page_id", markup.recovered("html").alias("r")).select("page_id", "r.success", "r.source", F.array_join("r.reasons", ";").alias("reasons"), "r.text")
 
@@ -142,22 +194,25 @@ WITH p AS ({_MADE})
 SELECT page_id, unnest([1, 2, 3, 4]) AS place, unnest([host || '/apply/' || page_id, 'https://apply.example/' || page_id, host || '/jobs/' || page_id, host || '/list/brochure.pdf']) AS url,
  unnest(['Submit now', 'Apply at https://apply.example/' || page_id || '). today', 'View job', 'Apply form']) AS label, unnest(['apply', 'apply', 'job_detail_candidate', 'attachment']) AS kind FROM p
 """)
-def links_rank(spark, d):
+def made_links(spark, d):
     ready(spark)
     return pages.important_links(_made(spark, d).select("page_id", markup.structure("html", "url").alias("s")).select("page_id", "s.links", "s.text"))
 
 
 @query("""
-SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'utf-8-sig' ELSE 'gb18030' END AS charset, CASE page_id % 3 WHEN 0 THEN '岗位 ' || page_id || html ELSE '岗位' || page_id END AS text, CAST(NULL AS VARCHAR) AS error FROM pages
+SELECT page_id, CASE WHEN page_id % 3 = 1 THEN 'utf-8-sig' ELSE 'utf-8' END AS charset, CASE page_id % 3 WHEN 0 THEN '岗位 ' ELSE '' END || html AS text, CAST(NULL AS VARCHAR) AS error FROM pages
+UNION ALL SELECT page_id, 'gb18030', '岗位' || page_id, NULL FROM pages
 """)
 def response_decode(spark, d):
-    """Bodies with a named charset, with a byte order mark, and in another charset that only its bytes tell."""
+    """Whole pages with a named charset, with a byte order mark, with the charset in their head; and a body in another charset that only its bytes tell."""
     ready(spark)
-    p, k = table(spark, d, "pages"), F.col("page_id").cast("string")
+    p, k, one = table(spark, d, "pages"), F.col("page_id").cast("string"), F.col("page_id") % 3
+    # The header goes before the charset in a page's head.
     utf = lambda *c: F.encode(F.concat(*c), "UTF-8")
-    body = F.when(F.col("page_id") % 3 == 0, utf(F.lit("岗位 "), k, "html")).when(F.col("page_id") % 3 == 1, F.concat(F.unhex(F.lit("EFBBBF")), utf(F.lit("岗位"), k))).otherwise(F.concat(F.unhex(F.lit("B8DACEBB")), F.encode(k, "UTF-8")))
-    kind = F.when(F.col("page_id") % 3 == 0, "text/html; charset=UTF-8").otherwise("text/html")
-    return p.select("page_id", markup.decoded(body, kind, F.lit("")).alias("x")).select("page_id", "x.charset", "x.text", "x.error")
+    whole = F.when(one == 0, utf(F.lit("岗位 "), "html")).when(one == 1, F.concat(F.unhex(F.lit("EFBBBF")), utf("html"))).otherwise(utf("html"))
+    kind = F.when(one == 0, "text/html; charset=UTF-8").when(one == 1, "text/html; charset=utf-8-sig").otherwise("text/html")
+    bodies = p.select("page_id", whole.alias("body"), kind.alias("kind")).unionByName(p.select("page_id", F.concat(F.unhex(F.lit("B8DACEBB")), F.encode(k, "UTF-8")).alias("body"), F.lit("text/html").alias("kind")))
+    return bodies.select("page_id", markup.decoded("body", "kind", F.lit("")).alias("x")).select("page_id", "x.charset", "x.text", "x.error")
 
 
 @query("SELECT page_id, CASE WHEN url LIKE '%.html%' THEN 'html' WHEN url LIKE '%?%' THEN 'json' ELSE 'unknown' END AS kind, 'text' AS found FROM pages")

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, education, locations, markup, text
 from ..operators import eligibility, records
-from ..session import ready, table
+from ..session import ready, shared_folder, table
+from ..sources import buckets
 from .numbering import numbered
 from .registry import registry
 
@@ -232,6 +233,45 @@ def upsert_preserve(spark, d):
     return records.upsert(old, new, "key", ["status"]).select("id", "key", "fact", "status", "action")
 
 
+_BATCH = """
+WITH old AS (SELECT c_custkey AS id, c_name AS key, c_acctbal AS fact, c_mktsegment AS status FROM customer WHERE c_acctbal < 5000),
+b AS (SELECT 'Customer#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') AS key, arg_max(o_totalprice, o_orderkey) AS fact, arg_min(o_orderstatus, o_orderkey) AS status, min(o_orderkey) AS came, count(*) AS n FROM orders GROUP BY 1),
+t AS (SELECT o.id, o.key, coalesce(b.fact, o.fact) AS fact, o.status, CASE WHEN b.key IS NULL THEN 'unchanged' ELSE 'updated' END AS action, coalesce(n, 0) AS rows_seen FROM old o LEFT JOIN b USING (key)
+ UNION ALL SELECT (SELECT max(id) FROM old) + row_number() OVER (ORDER BY came), key, fact, status, 'inserted', n FROM b WHERE key NOT IN (SELECT key FROM old))
+"""
+
+
+def _batch(spark, d):
+    """(a table of customers, a batch of orders as rows of theirs: each key comes several times)."""
+    old = table(spark, d, "customer").where("c_acctbal < 5000").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("key"), F.col("c_acctbal").alias("fact"), F.col("c_mktsegment").alias("status"))
+    key = F.concat(F.lit("Customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0"))
+    return old, table(spark, d, "orders").select(key.alias("key"), F.col("o_totalprice").alias("fact"), F.col("o_orderstatus").alias("status"), F.col("o_orderkey").alias("ord"))
+
+
+@query(_BATCH + "SELECT id, key, fact, status, action, rows_seen FROM t")
+def upsert_repeated(spark, d):
+    """Keys that come several times in a batch: one row each, with the last facts, numbered in the order they came."""
+    old, batch = _batch(spark, d)
+    return records.upsert(old, batch, "key", ["status"], order="ord").select("id", "key", "fact", "status", "action", "rows_seen")
+
+
+@query(_BATCH + "SELECT count(*) FILTER (action = 'inserted') AS inserted_count, sum(rows_seen - CASE WHEN action = 'inserted' THEN 1 ELSE 0 END)::BIGINT AS updated_count, 0 AS failed_count FROM t")
+def upsert_repeated_counts(spark, d):
+    """Each row of a batch counts: the first of a new key as inserted, all others as updated."""
+    old, batch = _batch(spark, d)
+    return records.upsert_counted(old, batch, "key", ["status"], [], "ord")[2]
+
+
+@query(_BATCH + "SELECT id, key, fact, status FROM t")
+def bucketed_upsert(spark, d):
+    """The same through a table in buckets: written, upserted as a second version, read back."""
+    old, batch = _batch(spark, d)
+    path, shape = shared_folder(spark, "buckets"), "id long, key string, fact double, status string"
+    buckets.create_buckets(old, path, "key", buckets=16)
+    buckets.upsert_buckets(spark, path, shape, batch, "key", ["status"], [], "ord")
+    return buckets.read_buckets(spark, path, shape)
+
+
 @query("SELECT s_suppkey AS id, CASE WHEN s_suppkey = 3 THEN '感兴趣' ELSE '未查看' END AS status, CASE WHEN s_suppkey = 3 THEN 'call' ELSE '' END AS notes, 'legacy|' || s_suppkey AS deduplication_key, CASE WHEN s_acctbal > 0 THEN s_name ELSE '' END AS locations FROM supplier")
 def migrate_and_update(spark, d):
     legacy = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("title"), F.when(F.col("s_acctbal") > 0, F.col("s_name")).alias("location"))

@@ -6,25 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import stored
 
-def numbered(rows: DataFrame, *order: str, partitions: int = 64, per_range: int = 64) -> DataFrame:
+
+def numbered(rows: DataFrame, *order: str, per_range: int = 1_000_000) -> DataFrame:
     """``rows`` with ``row_no`` from 1 in the order of the columns ``order``, whose values together are expected to be unique.
 
-    Bounds of ``partitions`` ranges come from the ``partitions`` * ``per_range`` values whose hashes are smallest, which
-    are spread like all values, whatever prefix they share. Exact counts of the ranges give their offsets, and only rows
-    of one range meet. The bounds decide how even the ranges are, not the numbers.
+    The input is worked out once (persisted while its ranges are made), exchanged and sorted once by ranges of about
+    ``per_range`` rows, and stored with each row's range and place in it. Counts of the ranges, summed up in order, are
+    what comes before each; of them there are as many as ranges. Bounds decide how even ranges are, not the numbers.
     """
-    key = F.struct(*(F.col(c) for c in order))
-    some = rows.select(*order).orderBy(F.xxhash64(*order), *order).limit(partitions * per_range)
-    some = [r["k"] for r in some.select(key.alias("k")).orderBy("k").collect()]
-    bounds = some[per_range::per_range]
-    kinds = {c: rows.schema[c].dataType for c in order}
-    bucket = F.lit(0)
-    if bounds:
-        held = F.array(*(F.struct(*(F.lit(b[c]).cast(kinds[c]).alias(c) for c in order)) for b in bounds))
-        bucket = F.size(F.filter(held, lambda b: b <= key))
-    ranged = rows.withColumn("_bucket", bucket)
-    sizes = ranged.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    before = sizes.select("_bucket", (F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n")).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
-    return ranged.withColumn("_in", inside).join(F.broadcast(before), "_bucket").withColumn("row_no", F.col("_before") + F.col("_in")).drop("_bucket", "_in", "_before")
+    held = rows.persist()
+    ranges = max(1, -(-held.count() // per_range))
+    at = F.monotonically_increasing_id()  # the partition's number above 33 bits of the place in it
+    placed = stored(held.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("_at", at), "numbered")
+    held.unpersist()
+    placed = placed.withColumn("_range", F.shiftright("_at", 33))
+    sizes = placed.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    inside = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.join(F.broadcast(before), "_range").withColumn("row_no", F.col("_before") + inside + 1).drop("_range", "_at", "_before")

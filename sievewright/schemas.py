@@ -12,5 +12,5 @@ RAW_JOB = (
 JOB = RAW_JOB + ", id long, deduplication_key string, status string, notes string, first_seen_at string, last_seen_at string, created_at string, updated_at string"
 ASSESSMENT = "deduplication_key string, match_score int, recommendation string, role_fit string, must_have_fit string, confidence string, match_reasons array<string>, missing_requirements array<string>, risk_flags array<string>, analysis_source string, score_components map<string,int>"
 PROFILE = "education string, graduation_date string, target_roles array<string>, skills array<string>, preferred_company_types array<string>, preferred_locations array<string>, excluded_locations array<string>"
-EXTRACTION = "page_id string, page_context struct<company_name:string,recruitment_type:string,graduation_years:array<string>>, jobs array<struct<title:string,locations:array<string>,description:string,requirements:string>>"
+EXTRACTION = "page_id string, page_context struct<company_name:string,recruitment_type:string,graduation_years:array<string>,graduation_start:string,graduation_end:string,graduation_requirement:string,deadline:string,education_levels:array<string>>, jobs array<struct<title:string,locations:array<string>,description:string,requirements:string>>"
 UNDERSTANDING = "canonical_role string, role_family string, seniority string, confidence string, responsibilities array<string>, requirements array<struct<category:string,text:string,evidence:string>>, work_context array<string>, risk_flags array<string>"

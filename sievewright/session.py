@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,3 +22,29 @@ def ready(spark: SparkSession) -> SparkSession:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
+
+    A local session without that setting (tests) gets a temporary folder; a cluster must have one.
+    """
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        held = sc._jsc.sc().getCheckpointDir()
+        if held.isDefined():
+            root = held.get()
+        elif sc.master.startswith("local"):
+            root = "file://" + tempfile.mkdtemp(prefix="sievewright-")
+            sc.setCheckpointDir(root)
+        else:
+            raise ValueError("spark.checkpoint.dir is not set; it must name a folder that driver and executors share")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: it is worked out once, and lineage ends there."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

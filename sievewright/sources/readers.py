@@ -170,9 +170,3 @@ def profile(spark: SparkSession, values: dict) -> DataFrame:
         raise ValueError(f"preferred and excluded: {', '.join(sorted(both))}")
     row = [values.get("education", "").strip(), values.get("graduation_date", "").strip(), *lists.values()]
     return spark.createDataFrame([tuple(row)], schemas.PROFILE)
-
-
-def run_state(spark: SparkSession, path: str, step: int | None = None) -> DataFrame:
-    """The stored table of a step, or of the last one."""
-    rows = spark.read.parquet(path)
-    return rows.where(F.col("step") == step) if step is not None else rows.join(rows.agg(F.max("step").alias("step")), "step")

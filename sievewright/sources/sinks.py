@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.records import fit_for_table, upsert_counted
+
 
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
@@ -19,11 +21,8 @@ def replace_table(df: DataFrame, path: str, version: int) -> str:
 
 def rejected(rows: DataFrame, required: tuple[str, ...] = ("company_name", "source_name")) -> tuple[DataFrame, DataFrame]:
     """(rows fit for the table, rows that lack a column it requires)."""
-    lacks = F.lit(False)
-    for c in required:
-        lacks = lacks | (F.coalesce(F.trim(c), F.lit("")) == "")
-    judged = rows.withColumn("_lacks", lacks)
-    return judged.where("not _lacks").drop("_lacks"), judged.where("_lacks").drop("_lacks")
+    good, refused = fit_for_table(rows, list(required))
+    return good, refused.drop("reason")
 
 
 def csv_for_download(df: DataFrame, path: str, most: int = 100_000) -> None:
@@ -35,16 +34,19 @@ def csv_for_download(df: DataFrame, path: str, most: int = 100_000) -> None:
     rows.to_csv(path, index=False, encoding="utf-8-sig")
 
 
-def persist_jobs(old: DataFrame, jobs: DataFrame, path: str, version: int) -> dict:
+#: Columns of the jobs table that only its user or the first insert sets.
+PRESERVED = ("status", "notes", "first_seen_at", "created_at")
+
+
+def persist_jobs(old: DataFrame, jobs: DataFrame, path: str, version: int, order: str | None = None) -> dict:
     """Upsert a run's final jobs into the stored table; returns counts of inserted, updated and failed rows.
 
-    Scores are no part of the table. Rows without company or source name are refused and counted.
+    Scores are no part of the table. Rows without key, company or source name are refused and counted. The whole table
+    is written anew; :mod:`sievewright.sources.buckets` rewrites only what a batch touches.
     """
-    from ..operators.records import upsert_counted
-
-    table, _, counts = upsert_counted(old, jobs, "deduplication_key", [c for c in ("status", "notes", "first_seen_at", "created_at") if c in old.columns], ["company_name", "source_name"])
+    table, _, counts = upsert_counted(old, jobs, "deduplication_key", [c for c in PRESERVED if c in old.columns], ["company_name", "source_name"], order)
     told = counts.first().asDict()
-    replace_table(table.drop("action"), path, version)
+    replace_table(table.drop("action", "rows_seen"), path, version)
     return told
 
 
