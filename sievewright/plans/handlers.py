@@ -156,7 +156,8 @@ class Handlers:
         batch, _ = taken(run, "job_extraction")
         answers = self._asked("job_extraction", stages.page_requests(batch.withColumn("page_id", F.col("url")), self._said("job_extraction")))
         raw, failed = stages.extracted_singly(batch.withColumn("page_id", F.col("url")), answers)
-        raw = stored(complete(raw, f"page_url string, ord long, place int, {_FACTS}"), "raw-jobs")
+        lists = {c: F.coalesce(c, F.array().cast(_LIST)) for c in ("locations", "graduation_years", "education_levels")}  # what is not told is empty, not unknown to the gate
+        raw = stored(complete(raw, f"page_url string, ord long, place int, {_FACTS}").withColumns(lists), "raw-jobs")
         asked = batch.select(F.col("url").alias("page"), (F.size("important_links") > 0).alias("has_links"))
         triage = followups.extraction_triage(asked, raw.select(F.col("page_url").alias("page"), "title", "description", "requirements", (F.size(F.coalesce("locations", F.array().cast(_LIST))) > 0).alias("has_location"), "apply_url"), "page")
         triage = stored(triage.where("rule is not null").select(F.col("page").alias("url"), "rule", "pending_kind", F.col("priority").alias("_priority")), "triage")
