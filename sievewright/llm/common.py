@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _PACKAGE_PARENT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -50,11 +50,11 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there. Its rows are counted as they are written."""
+    path, seen = shared_dir(df.sparkSession, name), Observation(f"{name}-{uuid.uuid4().hex}")
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._stored_at = path
+    out._stored_at, out._stored_rows = path, int(seen.get.get("n") or 0)
     return out
 
 
@@ -87,5 +87,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small(df: DataFrame, most: int) -> DataFrame:
-    """``df`` (stored) marked for broadcast if it has at most ``most`` rows, as it is beyond that."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    """``df`` marked for broadcast if it has at most ``most`` rows (as counted when it was stored, else now), as it is beyond that."""
+    rows = getattr(df, "_stored_rows", None)
+    return F.broadcast(df) if (df.limit(most + 1).count() if rows is None else rows) <= most else df

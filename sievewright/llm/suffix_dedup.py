@@ -19,10 +19,12 @@ from pyspark.sql import functions as F
 
 from .bwt import collection, prefix_boundaries, suffix_array
 from .common import prepare, tidy
+from .files import task_number
 
 LEAST, GRAM, RUN = 50, 20, 64
 _U = np.uint64
 _TABLE = np.random.default_rng(5).integers(0, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
+_SEEN = 1 << 19  # keys known to repeat that a task remembers, eight bytes each; what it forgets is asked for again
 _PORTION, _SLAB, _BLOCK = 3 << 20, 1 << 17, 1 << 17  # slabs and blocks whose arrays stay in a core's cache
 
 
@@ -108,10 +110,22 @@ def _long(data: bytes) -> np.ndarray:
 _SIFT = "bucket int, known boolean, ids binary, idx binary, keys binary"
 
 
+def _among(held: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Which of ``key`` stand in ``held`` (sorted)."""
+    if not len(held):
+        return np.zeros(len(key), bool)
+    return held[np.minimum(np.searchsorted(held, key), len(held) - 1)] == key
+
+
 def _sift(buckets: int):
-    """Per portion and bucket: each key once, with its document of smallest id; the others of a key known to repeat, marked so."""
+    """Keys to ask for, per portion and bucket, each with its document of smallest id; and the documents of keys known to repeat, marked so, in buckets below 0.
+
+    A key that repeats within a portion is known for all its documents, and for those of the task's later portions, so
+    a task asks for it once, however many documents have it; what is known needs no bucket and is dealt evenly.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, turn = np.zeros(0, np.uint64), task_number()
         for rows in _portions(batches, 2):
             rows.sort(key=lambda r: r[0])  # so that a stable sort by key leaves documents in the order of their ids
             ids = np.array([r[0] for r in rows], np.int64)
@@ -124,27 +138,26 @@ def _sift(buckets: int):
             fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (ids[doc[1:]] != ids[doc[:-1]])])
             doc, key = doc[fresh], key[fresh]  # each key once per document
             head = np.concatenate([[True], key[1:] != key[:-1]])
-            several = np.concatenate([key[1:] == key[:-1], [False]]) & head
-            out = []
-            for known, take in ((False, head & ~several), (True, ~head | several)):
-                # The first of a repeated key is asked for as well: it stands for its portion.
-                own, k = doc[take], key[take]
-                out.append((known, own, k))
-            own, k = doc[several], key[several]
-            out.append((False, own, k))
+            several, told = np.concatenate([key[1:] == key[:-1], [False]]) & head, _among(seen, key)
             made = []
-            for known, own, k in out:
-                bucket = (k >> _U(40)).astype(np.int64) % buckets
-                by = np.argsort(bucket, kind="stable")
-                if not len(by):
-                    continue
+            known = ~head | several | told
+            turn += 1
+            if known.any():
+                used, idx = np.unique(doc[known], return_inverse=True)
+                made.append((-1 - turn % buckets, True, ids[used].tobytes(), idx.astype(np.uint16).tobytes(), _short(key[known])))
+            # The first of a repeated key is asked for as well: it stands for its task.
+            own, k = doc[head & ~told], key[head & ~told]
+            bucket = (k >> _U(40)).astype(np.int64) % buckets
+            by = np.argsort(bucket, kind="stable")
+            if len(by):
                 cuts = np.flatnonzero(np.concatenate([[True], bucket[by][1:] != bucket[by][:-1]]))
                 for a, b in zip(cuts, [*cuts[1:], len(by)], strict=True):
                     part = by[a:b]
                     used, idx = np.unique(own[part], return_inverse=True)
-                    made.append((int(bucket[part[0]]), known, ids[used].tobytes(), idx.astype(np.uint16).tobytes(), _short(k[part])))
-            if made:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), [pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()], strict=True)], ["bucket", "known", "ids", "idx", "keys"])
+                    made.append((int(bucket[part[0]]), False, ids[used].tobytes(), idx.astype(np.uint16).tobytes(), _short(k[part])))
+            new = key[several & ~told]
+            seen = np.unique(np.concatenate([seen, new])) if len(seen) + len(new) <= _SEEN else np.sort(new)[:_SEEN]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), [pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()], strict=True)], ["bucket", "known", "ids", "idx", "keys"])
 
     return run
 
@@ -162,27 +175,43 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[di
         yield bucket, held
 
 
+def _by_document(doc: np.ndarray, key: np.ndarray) -> Iterator[pa.RecordBatch]:
+    if not len(doc):
+        return
+    order = np.argsort(doc, kind="stable")
+    doc, key = doc[order], key[order]
+    cuts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+    yield pa.RecordBatch.from_arrays([pa.array(doc[cuts], pa.int64()), pa.array([_short(key[a:b]) for a, b in zip(cuts, [*cuts[1:], len(doc)], strict=True)], pa.binary())], ["doc_id", "keys"])
+
+
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per document the keys that stand in another document too."""
-    for _, rows in _by_bucket(batches):
-        ids, keys, asked = [], [], []
-        for r in rows:
-            ids.append(np.frombuffer(r["ids"], np.int64)[np.frombuffer(r["idx"], np.uint16)])
-            keys.append(_long(r["keys"]))
-            asked.append(np.full(len(keys[-1]), not r["known"]))
-        ids, keys, asked = map(np.concatenate, (ids, keys, asked))
-        mine, doc = keys[asked], ids[asked]
-        order = np.argsort(mine, kind="stable")
-        mine, doc = mine[order], doc[order]
-        twice = np.concatenate([[False], mine[1:] == mine[:-1]])
-        twice[:-1] |= twice[1:]
-        doc, key = np.concatenate([doc[twice], ids[~asked]]), np.concatenate([mine[twice], keys[~asked]])
-        order = np.argsort(doc, kind="stable")
-        doc, key = doc[order], key[order]
-        cuts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else []
-        if len(cuts):
-            ends = [*cuts[1:], len(doc)]
-            yield pa.RecordBatch.from_arrays([pa.array(doc[cuts], pa.int64()), pa.array([_short(key[a:b]) for a, b in zip(cuts, ends, strict=True)], pa.binary())], ["doc_id", "keys"])
+    """Per document the keys that stand in another document too: those that are known as they come, others if their bucket has them twice."""
+
+    def unpacked(r: dict) -> tuple[np.ndarray, np.ndarray]:
+        return np.frombuffer(r["ids"], np.int64)[np.frombuffer(r["idx"], np.uint16)], _long(r["keys"])
+
+    asked, at = [], None
+
+    def settled() -> Iterator[pa.RecordBatch]:
+        if asked:
+            doc, mine = map(np.concatenate, zip(*asked, strict=True))
+            order = np.argsort(mine, kind="stable")
+            mine, doc = mine[order], doc[order]
+            twice = np.concatenate([[False], mine[1:] == mine[:-1]])
+            twice[:-1] |= twice[1:]
+            yield from _by_document(doc[twice], mine[twice])
+
+    for batch in batches:
+        for r in batch.to_pylist():
+            if r["known"]:
+                yield from _by_document(*unpacked(r))
+                continue
+            if r["bucket"] != at:
+                yield from settled()
+                asked.clear()
+            at = r["bucket"]
+            asked.append(unpacked(r))
+    yield from settled()
 
 
 _WINDOWS = "bucket int, ids binary, starts binary, lengths binary, bytes binary"

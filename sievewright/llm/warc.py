@@ -208,7 +208,8 @@ def read_archives(listed: DataFrame) -> DataFrame:
     part = F.struct("segment", "total", "page_id", "record_type", "refers_to", "digest", "block", "complete")
     whole = parts.where("complete").select("origin", F.array(part).alias("parts"))
     # Repeated rows write the same origin twice: equal segments count once, and the copies come back with the first.
-    cut = parts.where("not complete").groupBy("origin", "segment").agg(F.first(part).alias("_part"), F.count("*").alias("_n"))
+    # One exchange by origin serves both groupings.
+    cut = parts.where("not complete").repartition("origin").groupBy("origin", "segment").agg(F.first(part).alias("_part"), F.count("*").alias("_n"))
     joined = cut.groupBy("origin").agg(F.array_sort(F.collect_list("_part")).alias("parts"), F.min("_n").alias("_n"))
     again = joined.select("origin", "parts", F.explode(F.sequence(F.lit(1).cast("long"), "_n"))).select("origin", "parts")
     return whole.unionByName(again).mapInArrow(_finish, "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")

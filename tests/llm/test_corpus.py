@@ -253,6 +253,30 @@ def test_suffix_dedup_cases(spark, monkeypatch, case):
     assert got == spans_by_brute_force(rows)
 
 
+def test_a_line_in_every_document_is_asked_for_once_a_task(spark, monkeypatch):
+    """Small portions and buckets: what a task knows to repeat goes past the buckets, and a hot key reaches its bucket once a task."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(10)
+    words = lambda n: " ".join("".join(rng.choice(list("abcdefghijklmnop"), 9)) for _ in range(n))
+    line = words(12)
+    rows = [(k, words(6) + line + words(6)) for k in range(600)]
+    monkeypatch.setattr(suffix_dedup, "_PORTION", 4_000)
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([t for _, t in rows])], ["doc_id", "text"])
+    sent = collections.Counter()
+    for out in suffix_dedup._sift(8)(iter([batch])):
+        for r in out.to_pylist():
+            assert (r["bucket"] < 0) == r["known"]
+            if not r["known"]:
+                sent.update(suffix_dedup._long(r["keys"]).tolist())
+    # A key may come once in a portion a few times before a portion has it twice.
+    assert max(sent.values()) <= 8 and len(sent) > 600
+    for seen in (suffix_dedup._SEEN, 1):  # a task that forgets asks again, with the same result
+        monkeypatch.setattr(suffix_dedup, "_SEEN", seen)
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.remove_repeats(docs(spark, rows)).collect()}
+        assert got == spans_by_brute_force(rows)
+
+
 def test_suffix_dedup_of_texts_over_a_megabyte(spark):
     """Repeated strings on both sides of, and across, the places where a long text is cut for its keys."""
     rng = np.random.default_rng(9)
