@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +34,46 @@ def flattened(nested: DataFrame) -> DataFrame:
     return rows.unionByName(nested.select("ord", F.lit(None).cast("string").alias("city"), F.col("name").alias("province"), F.array().cast("array<string>").alias("aliases")))
 
 
+# Endings that make a name a city's, a province's, or a region's that stays at the level of provinces.
+CITY_ENDING, PROVINCE_ENDING, REGION_ENDING = "(?i)(?:市|city)$", "(?i)(?:省|province)$", "(?:自治区|特别行政区)$"
+
+
+def parsed_catalog(texts: DataFrame) -> DataFrame:
+    """Catalogue rows (see CATALOG) of JSON catalogues (``text``, one each): a list, or an object with the list as ``cities`` or ``data``.
+
+    An entry is a name or an object with ``city`` or ``name``, ``children``, and other names under aliases, alias, pinyin,
+    english or en (a text or a list). Provinces with children come before their cities; names keep their order, lose
+    their endings and their blanks; regions stay provinces. Entries of any other form are left out. Read as VARIANT, so
+    entries may differ in shape.
+    """
+    got = lambda v, path, kind="string": F.try_variant_get(v, path, kind)
+    v = F.try_parse_json("text")
+    listed = F.coalesce(got(v, "$", "array<variant>"), got(v, "$.cities", "array<variant>"), got(v, "$.data", "array<variant>"))
+    rows = texts.select(F.posexplode(listed).alias("at", "v"))
+    kind = F.schema_of_variant("v")
+
+    def names(x: Column) -> Column:
+        """Other names of an entry."""
+        either = lambda key: F.coalesce(got(x, f"$.{key}", "array<string>"), F.array_compact(F.array(got(x, f"$.{key}"))))
+        first = F.when(got(x, "$.aliases", "variant").isNotNull(), either("aliases")).otherwise(either("alias"))
+        return F.filter(F.transform(F.concat(first, *(F.array_compact(F.array(got(x, f"$.{k}"))) for k in ("pinyin", "english", "en"))), lambda n: F.trim(n)), lambda n: n != "")
+
+    bare = lambda c, form: F.trim(F.regexp_replace(F.trim(c), form, ""))
+    filled = lambda c: F.nullif(c, F.lit(""))
+    told = rows.where(kind.startswith("OBJECT") | (kind == "STRING")).select("at", "v", F.trim(F.when(kind == "STRING", got(F.col("v"), "$")).otherwise(F.coalesce(filled(got(F.col("v"), "$.city")), filled(got(F.col("v"), "$.name"))))).alias("name"), F.when(kind.startswith("OBJECT"), got(F.col("v"), "$.children", "array<variant>")).alias("children"), F.when(kind.startswith("OBJECT"), names(F.col("v"))).otherwise(F.array().cast("array<string>")).alias("aliases")).where("name <> ''")
+    parent = F.col("children").isNotNull() & ~F.col("name").rlike(REGION_ENDING)
+    city = ~parent & F.col("name").rlike(CITY_ENDING)
+    own = told.select((F.col("at") * 10_000).alias("ord"), F.when(city, bare(F.col("name"), ENDING)).alias("city"), F.when(~city, bare(F.col("name"), PROVINCE_ENDING)).alias("province"), "aliases")
+    child = told.where(parent).select("at", bare(F.col("name"), PROVINCE_ENDING).alias("province"), F.posexplode("children").alias("k", "c")).withColumn("name", filled(got(F.col("c"), "$.name"))).where("name is not null")
+    cities = child.select((F.col("at") * 10_000 + F.col("k") + 1).alias("ord"), bare(F.col("name"), ENDING).alias("city"), "province", names(F.col("c")).alias("aliases"))
+    return own.unionByName(cities).select(F.col("ord").cast("int").alias("ord"), "city", "province", "aliases")
+
+
+def catalog_file(spark: SparkSession, path: str) -> DataFrame:
+    """The catalogue of a JSON file."""
+    return parsed_catalog(spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "^\ufeff", "").alias("text")))
+
+
 def normalize(rows: DataFrame, key: str, places: str, catalog: DataFrame) -> DataFrame:
     """``rows`` with ``places`` as canonical names in order of first mention.
 

@@ -56,3 +56,30 @@ def site_name(address: Column, fallback: Column | None = None) -> Column:
 def redirected_to_error(address: Column, final: Column) -> Column:
     """The final address differs and has a filled ``error`` parameter."""
     return F.coalesce((address != final) & final.rlike("[?&]error=[^&#]"), F.lit(False))
+
+
+def authority(address: Column) -> Column:
+    """Host with user and port as it is written; null where an address names none."""
+    return F.nullif(F.regexp_extract(address, "^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1), F.lit(""))
+
+
+def source_of_followup(address: Column) -> Column:
+    """What stands between the second and the third slash of an address with a scheme, else the address."""
+    return F.when(address.contains("://"), F.get(F.split(address, "/"), F.lit(2))).otherwise(address)
+
+
+def source_of_page(address: Column, final: Column, title: Column) -> Column:
+    """Host of the final address (else the address), else the title, else the address."""
+    filled = lambda c: F.nullif(c, F.lit(""))
+    return F.coalesce(authority(F.coalesce(filled(final), address)), filled(title), address)
+
+
+def source_of_file(address: Column, final: Column, title: Column) -> Column:
+    """As :func:`source_of_page`, but a file is called by its name without its ending, and any other address without a host by its scheme."""
+    filled = lambda c: F.nullif(c, F.lit(""))
+    end = F.coalesce(filled(final), address)
+    scheme, path = filled(F.lower(F.regexp_extract(end, "^([A-Za-z][A-Za-z0-9+.-]*):", 1))), F.regexp_extract(end, "^[A-Za-z][A-Za-z0-9+.-]*:([^?#]*)", 1)
+    name = F.element_at(F.split(F.rtrim(path, F.lit("/")), "/"), -1)
+    # A percent sign that begins no code stays as it is.
+    stem = F.regexp_replace(F.coalesce(F.try_url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))), name), "(?<=.)\\.[^.]*$", "")
+    return F.coalesce(authority(end), F.when((scheme == "file") & (path != ""), stem), scheme, filled(title), address)

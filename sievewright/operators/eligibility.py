@@ -77,7 +77,7 @@ def basic_gate(jobs: DataFrame, as_of: Column) -> DataFrame:
     told = {  # per hard rule: why, and what is missing
         "expired_deadline": ("Application deadline has passed.", F.concat(F.lit("Deadline "), deadline, F.lit(" is before "), as_of.cast("string"), F.lit("."))),
         "graduation_window_mismatch": ("Graduation eligibility window does not match.", F.concat(F.lit("Candidate graduation date "), "p_graduation", F.lit(" is outside required window."))),
-        "graduation_year_mismatch": ("Graduation year eligibility does not match.", F.concat(F.lit("Candidate graduation year "), year, F.lit(" is not in required years: "), F.array_join(F.array_sort(F.array_distinct(F.transform(years, F.trim))), ", "), F.lit("."))),
+        "graduation_year_mismatch": ("Graduation year eligibility does not match.", F.concat(F.lit("Candidate graduation year "), year, F.lit(" is not in required years: "), F.array_join(F.array_sort(F.array_distinct(F.transform(years, lambda x: F.trim(x)))), ", "), F.lit("."))),
         "education_level_mismatch": ("Explicit education-level requirement does not match.", F.concat(F.lit("Required education level: "), F.array_join(F.array_sort(F.array_distinct(F.transform(needed, level_name))), ", "), F.lit("."))),
         "excluded_location": ("Job location is explicitly excluded by the candidate profile.", F.concat(F.lit("Excluded location matched: "), F.array_join(F.array_sort(F.filter(F.array_distinct("p_excluded"), lambda x: F.array_contains(hits, F.lower(F.regexp_replace(x, "\\s+", ""))))), ", "), F.lit("."))),
     }

@@ -25,6 +25,27 @@ def frontier(rows: DataFrame, priority: str, executable: Column, links: Column,
     return rows.agg(F.count("*").alias("total"), F.count_if(executable).alias("executable"), F.avg(priority).alias("mean_priority"), F.max(priority).alias("max_priority"), F.count_if(executable & (F.col(priority) >= high)).alias("high_priority_executable"), F.sum(links).alias("usable_links"))
 
 
+def frontier_features(rows: DataFrame, executable: str = "executable") -> DataFrame:
+    """One row over follow-ups: counts, priorities, usable links, official ones, and how often each value of seven dimensions comes.
+
+    ``rows``: pending_kind, suggested_next_action, stage, priority, is_official, links (addresses), page_type, confidence
+    and the boolean ``executable``. Values are counted as rows of (dimension, value), so no dimension needs a pass of its
+    own; null and empty ones do not count. An empty table gives zeros and empty maps.
+    """
+    dims = {"counts_by_pending_kind": "pending_kind", "counts_by_suggested_next_action": "suggested_next_action", "counts_by_stage": "stage", "priority_distribution": "priority", "semantic_type_counts": "page_type", "semantic_confidence_counts": "confidence"}
+    each = rows.select(F.inline(F.array(*(F.struct(F.lit(k).alias("dim"), F.col(c).cast("string").alias("value")) for k, c in dims.items()))))
+    counted = each.where("value <> ''").groupBy("dim", "value").agg(F.count("*").alias("n"))
+    pairs = lambda k: F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("dim") == k, F.struct("value", "n"))))).alias(k)
+    maps = counted.agg(*map(pairs, dims))
+    able = F.coalesce(F.col(executable), F.lit(False))
+    usable = F.size(F.filter(F.coalesce("links", F.array().cast("array<string>")), lambda x: x != ""))
+    base = rows.agg(
+        F.count("*").alias("pending_count"), F.count_if(able).alias("executable_count"), F.avg("priority").alias("mean_priority"), F.max("priority").alias("max_priority"), F.count_if(able & (F.col("priority") >= 75)).alias("high_priority_executable_count"),
+        F.coalesce(F.sum(usable), F.lit(0)).alias("usable_link_count"), F.count_if("is_official").alias("official_count"), F.count_if(~F.coalesce("is_official", F.lit(False))).alias("non_official_count"),
+    )
+    return base.crossJoin(F.broadcast(maps))  # a row each
+
+
 def result_features(assessments: DataFrame) -> DataFrame:
     """One row over assessments: jobs per recommendation, mean of the scores that are numbers, rows with flags, with missing requirements."""
     kinds = ("apply", "consider", "low_priority", "skip")
@@ -44,12 +65,22 @@ def goal_features(assessments: DataFrame, prepared: int | Column, target: int, m
     )
 
 
-def stage_report(rows: DataFrame, by: list[str], outcome: str, error: str) -> DataFrame:
-    """Rows, successes and failures per group, and how often each error came; errors are counted, not listed one by one."""
+def stage_report(rows: DataFrame, by: list[str], outcome: str, error: str, order: str | None = None, first: int = 20) -> DataFrame:
+    """Rows, successes and failures per group, how often each error came (``errors``), and with ``order`` the first errors themselves.
+
+    ``first_errors`` holds the ``first`` of a group's errors by ``order``, with it. Every task passes on no more than
+    that many of a group, so a group that fails as a whole does not meet; the counts are exact whatever is listed.
+    """
     base = rows.groupBy(*by).agg(F.count("*").alias("total"), F.count_if(outcome).alias("succeeded"), F.count_if(F.col(error).isNotNull()).alias("failed"))
     kinds = rows.where(F.col(error).isNotNull()).groupBy(*by, error).agg(F.count("*").alias("n"))
     listed = kinds.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(error).alias("error"), "n"))).alias("errors"))
-    return base.join(listed, by, "left")
+    told = base.join(listed, by, "left")
+    if order is None:
+        return told
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(order, error))
+    heads = rows.where(F.col(error).isNotNull()).select(*by, order, error).withColumn("_n", rank).where(F.col("_n") <= first)
+    heads = heads.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col("_n").alias("n"), F.col(order).alias("at"), F.col(error).alias("error")))).alias("first_errors"))
+    return told.join(heads, by, "left")
 
 
 # How reasons of a stop and recommendations read.

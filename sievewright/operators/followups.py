@@ -94,8 +94,19 @@ def explore(followups: DataFrame, excluded: DataFrame, explored: DataFrame) -> t
     told = told.unionByName(rows.where("url_key is null"), allowMissingColumns=True)
     state = F.when(F.col("url_key").isNull(), "invalid").when(F.col("_barred").isNotNull() | (F.col("_nth") > 1), "skipped").otherwise("discovered")
     told = told.withColumn("state", state)
-    sources = told.where("state = 'discovered'").select("fu", "ord", F.col("url_key").alias("url"), F.coalesce(F.nullif(F.trim("text"), F.lit("")), "url_key").alias("title"), F.col("priority").alias("relevance_score"))
+    sources = told.where("state = 'discovered'").select("fu", "ord", F.col("url_key").alias("url"), F.coalesce(F.nullif(F.trim("text"), F.lit("")), "url_key").alias("title"), F.col("priority").alias("relevance_score"), "text")
     counts = told.groupBy("fu").agg(*(F.count_if(F.col("state") == s).alias(s) for s in ("discovered", "skipped", "invalid")))
     report = followups.select("fu").join(counts, "fu", "left").fillna(0)
     status = F.when(F.col("discovered") + F.col("skipped") == 0, "no_usable_links").when(F.col("discovered") > 0, "explored").otherwise("already_explored")
     return sources, report.withColumn("status", status).withColumn("skipped", F.col("skipped") + F.when(status == "no_usable_links", 0).otherwise(F.col("invalid")))
+
+
+def candidate_sources(found: DataFrame, followups: DataFrame) -> DataFrame:
+    """New sources of :func:`explore` with what their follow-up knows: label, else its title, else the address; source, company, priority, and where the link was.
+
+    ``followups``: fu, url, title, source_name, company_name, company_type, is_official, priority, pending_kind.
+    """
+    known = followups.select("fu", F.col("url").alias("_from"), F.col("title").alias("_title"), "source_name", "company_name", "company_type", "is_official", F.col("priority").alias("_priority"), "pending_kind")
+    why = F.concat(F.lit("href from follow-up "), "_from", F.when(F.coalesce("pending_kind", F.lit("")) != "", F.concat(F.lit(" ("), "pending_kind", F.lit(")"))).otherwise(""))
+    title = F.coalesce(F.nullif(F.trim("text"), F.lit("")), F.nullif("_title", F.lit("")), "url")
+    return found.join(known, "fu").select("fu", "ord", "url", title.alias("title"), "source_name", "company_name", "company_type", "is_official", F.col("_priority").alias("relevance_score"), why.alias("reason"))

@@ -202,6 +202,15 @@ def cleaned_text(judged: DataFrame, key: str = "page_id", most: int = 12_000) ->
     return held.select(key, cut.alias("text"), "original_line_count", "kept_line_count", (F.col("original_line_count") - F.col("kept_line_count")).alias("removed_line_count"), (F.length(whole) > most).alias("truncated"))
 
 
+def main_text(extracted: Column, visible: Column, least: int = 300, method: str = "extractor") -> Column:
+    """``method`` and ``text`` to clean: the main body that an extractor found where it holds ``least`` characters, else the visible lines.
+
+    ``extracted`` is whatever finds a page's body: an expression over its HTML, or a pandas function that calls a library.
+    """
+    enough = F.coalesce(F.length(F.trim(extracted)) >= least, F.lit(False))
+    return F.when(enough, F.struct(F.lit(method).alias("method"), extracted.alias("text"))).otherwise(F.struct(F.lit("fallback_text").alias("method"), F.coalesce(visible, F.lit("")).alias("text")))
+
+
 def excerpt(title: Column, text: Column, most: int = 6000, block: int = 12) -> Column:
     """Blocks of lines from each heading on; without headings the text's head and tail, which may overlap."""
     marks, name = "|".join(EXCERPT_MARKERS), F.trim(F.coalesce(title, F.lit("")))
@@ -217,7 +226,7 @@ def excerpt(title: Column, text: Column, most: int = 6000, block: int = 12) -> C
         blocks = F.transform(starts, lambda i: F.array_join(F.slice(rows, i + 1, F.lit(block)), "\n"))
         return bound(blocks, lambda b: F.when(F.size(b) > 0, F.concat(filled(name), b)).otherwise(bound(F.array_join(rows, "\n"), whole)))
 
-    found = bound(F.filter(F.transform(lines(text), F.trim), lambda x: x != ""), parts)
+    found = bound(F.filter(F.transform(lines(text), lambda x: F.trim(x)), lambda x: x != ""), parts)
     return F.rtrim(F.substring(F.array_join(found, "\n"), 1, most))
 
 
@@ -237,7 +246,7 @@ def important_links(pages: DataFrame, key: str = "page_id", most: int = 10) -> D
     """
     anchors = pages.select(key, F.posexplode("links").alias("at", "l")).select(key, F.lit(0).alias("part"), "at", F.col("l.href").alias("url"), F.trim("l.text").alias("label"))
     anchors = anchors.where("url <> ''").withColumn("kind", link_kind(F.col("url"), F.col("label"))).where("kind is not null")
-    own = F.filter(F.transform(lines(F.col("text")), F.trim), lambda x: x != "")
+    own = F.filter(F.transform(lines(F.col("text")), lambda x: F.trim(x)), lambda x: x != "")
     near = Window.partitionBy(key).orderBy("at")
     written = pages.select(key, F.posexplode(own).alias("at", "label")).withColumn("_near", F.lower(F.concat_ws(" ", F.lag("label").over(near), "label", F.lead("label").over(near))))
     written = written.where(F.col("_near").rlike("apply|application|申请|报名|应聘")).select(key, F.lit(1).alias("part"), "at", F.explode(F.regexp_extract_all("label", F.lit("(https?://[^\\s<>\"']+)"), F.lit(1))).alias("url"), "label")

@@ -64,6 +64,17 @@ def best_of_equals(rows: DataFrame, key: str, order: str, *quality: Column) -> D
     return rows.withColumn("best", F.row_number().over(rank) == 1).withColumn("position", F.min(order).over(Window.partitionBy(key)))
 
 
+def preparation_counts(rows: DataFrame, reasons: str, key: str) -> DataFrame:
+    """One row over judged records: input, valid, invalid, and of the valid ones unique and duplicate by ``key``."""
+    valid = F.size(reasons) == 0
+    keys = rows.groupBy(F.when(valid, F.col(key)).alias("_k"), valid.alias("_v")).agg(F.count("*").alias("_n"))
+    n = lambda c, x: F.coalesce(F.sum(F.when(c, x)), F.lit(0))
+    return keys.agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("input_count"), n(F.col("_v"), F.col("_n")).alias("valid_count"), n(~F.col("_v"), F.col("_n")).alias("invalid_count"),
+        F.count_if("_v").alias("unique_count"), n(F.col("_v"), F.col("_n") - 1).alias("duplicate_count"),
+    )
+
+
 def group_in_order(rows: DataFrame, by: str, order: str, item: Column, **extra: Column) -> DataFrame:
     """Groups with ``n`` and ``items`` in row order; null is a group of its own. ``extra`` adds aggregates."""
     listed = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), item.alias("v")))), lambda x: x["v"])

@@ -7,11 +7,15 @@ key, reason) and no other row is touched.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..plans.numbering import numbered
+from ..session import stored
 from ..sources.providers import parsed
 from .eligibility import assess
 from .followups import NEXT_ACTION, route_types
@@ -41,6 +45,23 @@ def errors_of(rows: DataFrame, stage: str, key: str, *known: str) -> DataFrame:
     return rows.where("error is not null").select(own.alias("stage"), key, *known, F.col("error").alias("reason"))
 
 
+def reported_errors(rows: DataFrame, stage: str, item: str = "item") -> DataFrame:
+    """Errors that a report lists in any form as rows: ``stage``, ``reason``, ``url``, ``title``, ``deduplication_key``; other columns stay.
+
+    An item is JSON text. An object with a reason keeps its fields, and its own stage where it names one; anything else is
+    the reason itself, as it stands.
+    """
+    told = F.from_json(item, "stage string, reason string, url string, title string, deduplication_key string")
+    object_ = F.coalesce(F.trim(F.col(item)).startswith("{"), F.lit(False)) & F.col("_t.reason").isNotNull()
+    rest = [c for c in rows.columns if c != item]
+    quoted = F.trim(F.col(item)).startswith('"')
+    bare = F.coalesce(F.when(quoted, F.from_json(F.concat(F.lit('{"x":'), item, F.lit("}")), "x string")["x"]), F.col(item))  # a JSON string loses its quotes
+    return rows.withColumn("_t", told).select(
+        *rest, F.when(object_, F.coalesce("_t.stage", F.lit(stage))).otherwise(stage).alias("stage"), F.when(object_, F.col("_t.reason")).otherwise(bare).alias("reason"),
+        *(F.when(object_, F.col(f"_t.{c}")).alias(c) for c in ("url", "title", "deduplication_key")),
+    )
+
+
 def _judged(rows: DataFrame, answers: DataFrame, key: str, schema: str, fits: Column) -> DataFrame:
     """``rows`` with ``value`` and ``error``; an answer that does not hold ``fits`` is none."""
     told = parsed(answers.select(key, "answer", "error", *(c for c in answers.columns if c == f"_{key}")), schema)
@@ -84,28 +105,62 @@ def extraction_requests(pages: DataFrame, instructions: str, order: str = "page_
     return bodies.select("batch", json_prompt(instructions, F.concat(F.lit('{"pages":['), F.col("_b"), F.lit("]}"))).alias("prompt"))
 
 
-def extracted(pages: DataFrame, answers: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(raw records of the jobs in the answers, one error per page of each batch that failed).
-
-    ``pages``: batch, page_id and what :func:`merged_context` reads. An answer is a list with exactly one entry per page
-    of its batch; one that repeats a page or leaves one out or adds one fails as a whole, and only for its batch.
-    """
+def judged_batches(pages: DataFrame, answers: DataFrame) -> DataFrame:
+    """``batch``, ``value`` and ``error`` of each batch of ``pages``: an answer is a list with exactly one entry per page of its batch."""
     told = parsed(answers.select("batch", "answer", "error"), f"array<struct<{schemas.EXTRACTION}>>")
-    asked = pages.groupBy("batch").agg(F.array_sort(F.collect_list("page_id")).alias("_asked"))
+    asked = pages.groupBy("batch").agg(F.array_sort(F.collect_list(F.col("page_id").cast("string"))).alias("_asked"))
     ids = F.array_sort(F.transform("value", lambda x: x["page_id"]))
-    judged = asked.join(told, "batch", "left").withColumn(
-        "error",
-        F.coalesce(
-            "error", F.when(F.col("value").isNull(), "no recorded answer"), F.when(F.size(F.array_distinct(ids)) < F.size(ids), "AI extraction returned duplicate page_id values."),
-            F.when(~ids.eqNullSafe(F.col("_asked")), "AI extraction page_id values do not match the input pages."),
-        ),
+    error = F.coalesce(
+        "error", F.when(F.col("value").isNull(), "no recorded answer"), F.when(F.size(F.array_distinct(ids)) < F.size(ids), "AI extraction returned duplicate page_id values."),
+        F.when(~ids.eqNullSafe(F.col("_asked")), "AI extraction page_id values do not match the input pages."),
     )
+    return asked.join(told, "batch", "left").select("batch", "value", error.alias("error"))
+
+
+def _taken_apart(pages: DataFrame, judged: DataFrame) -> tuple[DataFrame, DataFrame]:
     held = judged.where("error is null").select("batch", F.explode("value").alias("_v")).select("batch", "_v.page_id", "_v.page_context", "_v.jobs")
-    raw = merged_context(pages.join(held, ["batch", "page_id"]))
+    raw = merged_context(pages.withColumn("page_id", F.col("page_id").cast("string")).join(held, ["batch", "page_id"]))
     failed = pages.select("batch", "page_id", "url").join(judged.select("batch", "error"), "batch")
     return raw, errors_of(failed, "job_extraction", "page_id", "url")
 
 
+def extracted(pages: DataFrame, answers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(raw records of the jobs in the answers, one error per page of each batch that failed).
+
+    ``pages``: batch, page_id and what :func:`merged_context` reads. An answer that repeats a page or leaves one out or
+    adds one fails as a whole, and only for its batch.
+    """
+    return _taken_apart(pages, judged_batches(pages, answers))
+
+
+# Added to the instructions of a batch that is asked again.
+AGAIN = "The answer before this one could not be used. Return JSON only, with exactly one entry for every page of the input."
+
+
+def extracted_with_repair(pages: DataFrame, ask: Callable[[DataFrame], DataFrame], instructions: str, attempts: int = 3, order: str = "page_id") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(raw records, one error per page of batches that never held, report per attempt: ``attempt``, ``asked``, ``usable``).
+
+    ``ask`` takes requests (batch, prompt, attempt) and gives answers (batch, answer, error). Batches whose answer fails
+    any check, not only those that are no JSON, are asked again with altered instructions, up to ``attempts`` times;
+    others are not. Answers are stored after each attempt, so a lost executor asks nothing twice.
+    """
+    if attempts < 1:
+        raise ValueError("at least one attempt")
+    pages, todo, kept, report = stored(pages, "extraction-pages"), None, None, []
+    for n in range(1, attempts + 1):
+        open_ = pages if todo is None else pages.join(todo, "batch", "left_semi")
+        requests = extraction_requests(open_, instructions if n == 1 else f"{instructions.strip()}\n\n{AGAIN}", order).withColumn("attempt", F.lit(n))
+        judged = stored(judged_batches(open_, stored(ask(requests), f"answers-{n}")), f"judged-{n}")
+        usable = judged.where("error is null")
+        kept = usable if kept is None else kept.unionByName(usable)
+        todo = judged.where("error is not null").select("batch")
+        report.append(judged.agg(F.lit(n).alias("attempt"), F.count("*").alias("asked"), F.count_if(F.col("error").isNull()).alias("usable")))
+        if todo.isEmpty():
+            break
+    raw, errors = _taken_apart(pages, kept.unionByName(judged.where("error is not null")))
+    return raw, errors, reduce(lambda a, b: a.unionByName(b), report)
+
+
 def page_requests(pages: DataFrame, instructions: str, key: str = "url") -> DataFrame:
     """One request per page."""
     return pages.select(key, json_prompt(instructions, payload("page")).alias("prompt"))

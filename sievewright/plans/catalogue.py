@@ -6,9 +6,9 @@ as pages, orders as jobs or follow-ups, line items as records, events as steps.
 
 from __future__ import annotations
 
-from . import catalogue_pages, catalogue_records, catalogue_runs, catalogue_stages, catalogue_steps
+from . import catalogue_pages, catalogue_records, catalogue_runs, catalogue_stages, catalogue_steps, catalogue_views
 
-_PARTS = (catalogue_pages, catalogue_records, catalogue_steps, catalogue_stages, catalogue_runs)
+_PARTS = (catalogue_pages, catalogue_records, catalogue_steps, catalogue_stages, catalogue_runs, catalogue_views)
 
 
 def queries() -> dict:

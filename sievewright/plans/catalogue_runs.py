@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import features, stages
 from ..session import ready, shared_folder, table
-from ..sources import readers
+from ..sources import artifacts, readers
 from . import handlers, loop
 from .registry import registry
 
@@ -112,3 +113,109 @@ def whole_runs(spark, d):
     told = loop.steps(spark, run.path).orderBy(F.desc("step")).limit(1).select(F.explode("counts").alias("name", "value")).where(F.col("name").isin(*names))
     scored = run.tables["match_assessments"].select(F.lit("assessment").alias("part"), F.col("deduplication_key").alias("name"), F.col("match_score").cast("long").alias("value"), (F.element_at("risk_flags", -1) != "non_official_source").alias("official"))
     return scored.unionByName(told.select(F.lit("table").alias("part"), "name", "value", F.lit(None).cast("boolean").alias("official")))
+
+
+_ASKED = """
+WITH b AS (SELECT page_id, (row_number() OVER (ORDER BY page_id) - 1) // 4 AS batch FROM pages),
+t AS (SELECT *, CASE batch % 5 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 9 ELSE 1 END AS good FROM b)
+"""
+
+
+def _repaired(spark, d):
+    """Batches of four pages: some answers are no JSON at first, some repeat a page twice, some never hold all pages."""
+    s, none = F.col("page_id").cast("string"), F.lit(None).cast("string")
+    pages = table(spark, d, "pages").select(
+        s.alias("page_id"), F.col("page_id").alias("ord"), F.concat(F.lit("https://j.example/"), s).alias("url"), F.lit("src").alias("source_name"), none.alias("source_company_name"), none.alias("company_type"), none.alias("source_location"),
+        F.lit(True).alias("is_official"), F.lit("T").alias("title"), F.substring("html", 1, 40).alias("visible_text"), F.array().cast("array<struct<url:string,text:string,kind:string>>").alias("important_links"),
+    )
+    pages = stages.batched(pages, "ord", 4)
+
+    def ask(requests):
+        shown = F.from_json(F.substring_index("prompt", "Input:\n", -1), "pages array<struct<page_id:string>>")["pages"]
+        entry = lambda x: F.struct(x["page_id"].alias("page_id"), F.struct(F.lit("Co").alias("company_name")).alias("page_context"), F.array(F.struct(F.concat(F.lit("Role "), x["page_id"]).alias("title"))).alias("jobs"))
+        right, kind = F.transform(shown, entry), F.col("batch") % 5
+        twice = F.concat(F.slice(right, 1, 1), right)
+        answer = F.when((kind == 1) & (F.col("attempt") < 2), "sorry").when((kind == 2) & (F.col("attempt") < 3), F.to_json(twice)).when(kind == 3, F.to_json(F.slice(right, 2, 9))).otherwise(F.to_json(right))
+        return requests.select("batch", answer.alias("answer"), none.alias("error"))
+
+    return stages.extracted_with_repair(pages, ask, "Extract the jobs.", attempts=3, order="ord")
+
+
+@query(_ASKED + """
+SELECT CAST(page_id AS VARCHAR) AS page_id, CASE WHEN good <= 3 THEN 'Role ' || page_id END AS title, CASE WHEN good > 3 THEN 'AI extraction page_id values do not match the input pages.' END AS reason FROM t
+""")
+def answer_repair(spark, d):
+    """Pages whose batch held in one of three attempts have their jobs, the others one error each."""
+    raw, errors, _ = _repaired(spark, d)
+    page = F.regexp_extract("source_url", "([0-9]+)$", 1)
+    return raw.select(page.alias("page_id"), "title", F.lit(None).cast("string").alias("reason")).unionByName(errors.select("page_id", F.lit(None).cast("string").alias("title"), "reason"))
+
+
+@query(_ASKED + """
+, n AS (SELECT DISTINCT batch, good FROM t)
+SELECT a AS attempt, count(*) FILTER (good >= a) AS asked, count(*) FILTER (good = a) AS usable FROM n, (SELECT unnest([1, 2, 3])::INT AS a) GROUP BY a
+""")
+def repair_report(spark, d):
+    """Only batches that did not hold are asked again."""
+    return _repaired(spark, d)[2]
+
+
+_TITLE = "trim(regexp_replace(replace(replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1, 's'), '&quot;', chr(34)), '&copy;', '©'), '&amp;?', '&', 'g'))"
+
+
+def _two_passes(spark, d):
+    """Every third page is a shell of scripts at first, every fifth is down at first, every fifteenth is down for a browser too."""
+    ready(spark)
+    p = table(spark, d, "pages").withColumn("url", F.concat(F.lit("https://h.example/"), F.col("page_id").cast("string")))
+    none = F.lit(None).cast("string")
+
+    def response(rows, body, error, method):
+        d = rows.join(p, "url")
+        return d.select("url", F.when(error.isNull(), F.encode(body, "UTF-8")).alias("body"), F.when(error.isNull(), 200).alias("status_code"), F.when(error.isNull(), F.col("url")).alias("final_url"), F.lit("text/html; charset=utf-8").alias("content_type"), F.lit("").alias("content_encoding"), F.lit(1).alias("attempts"), F.lit(method).alias("fetch_method"), error.alias("fetch_error"))
+
+    k = F.col("page_id")
+    shell = F.when(k % 3 == 1, F.lit("<html><body><div id='root'></div></body></html>")).otherwise(F.col("html"))
+    fetch = lambda rows: response(rows, shell, F.when(k % 5 == 2, F.lit("OSError: no answer")).otherwise(none), "http")
+    render = lambda rows: response(rows, F.col("html"), F.when(k % 15 == 7, F.lit("OSError: no page")).otherwise(none), "browser")
+    return readers.acquire(p.select("url"), fetch, render)
+
+
+_PASSES = """
+WITH t AS (SELECT page_id, html, page_id % 5 = 2 AS down, page_id % 3 = 1 AS shell, page_id % 15 = 7 AS dead FROM pages)
+"""
+
+
+@query(_PASSES + """
+SELECT 'https://h.example/' || page_id AS url, CASE WHEN (down OR shell) AND NOT dead THEN 'browser' ELSE 'http' END AS fetch_method, CASE WHEN NOT dead THEN length(html) END AS size,
+ CASE WHEN dead THEN 'OSError: no answer; browser: OSError: no page' END AS fetch_error, CASE WHEN NOT dead THEN len(regexp_extract_all(html, '<a href="([^"]*)">[^<]*</a>', 1)) END AS n_links FROM t
+""")
+def two_pass_pages(spark, d):
+    """Whole pages; those with a flaw are fetched a second time, and what counts in the end is parsed once."""
+    pages, _ = _two_passes(spark, d)
+    return pages.select("url", "fetch_method", F.length("html").cast("long").alias("size"), "fetch_error", F.when(F.col("fetch_error").isNull(), F.size("links")).cast("long").alias("n_links"))
+
+
+@query(_PASSES + "SELECT count(*) AS sources, count(*) FILTER ((down OR shell) AND NOT dead) AS rendered, count(*) FILTER (dead) AS failed, count(*) FILTER (NOT dead) AS clean, 0 AS flawed FROM t")
+def two_pass_counts(spark, d):
+    return _two_passes(spark, d)[1].select("sources", "rendered", "failed", F.col("clean"), "flawed")
+
+
+@query("SELECT doc_id, text, lang, source, n_chars, lang || '/' || source AS keys FROM documents")
+def artifact_round_trip(spark, d):
+    """All documents into one artifact that people read, and back."""
+    path = shared_folder(spark, "artifact") + "/documents.json"
+    docs = table(spark, d, "documents").withColumn("keys", F.array("lang", "source"))
+    artifacts.write_artifact(docs, path)
+    return readers.json_artifact(spark, path, "doc_id long, text string, lang string, source string, n_chars long, keys array<string>").withColumn("keys", F.array_join("keys", "/"))
+
+
+@query("""
+WITH e AS (SELECT l_returnflag AS stage, l_orderkey * 10 + l_linenumber AS ord, CASE WHEN l_tax > 0.06 THEN 'tax ' || CAST(l_linenumber AS VARCHAR) END AS error FROM lineitem),
+r AS (SELECT *, row_number() OVER (PARTITION BY stage ORDER BY ord, error) AS n FROM e WHERE error IS NOT NULL)
+SELECT e.stage, count(*) AS total, count(*) FILTER (e.error IS NULL) AS succeeded, count(*) FILTER (e.error IS NOT NULL) AS failed, (SELECT string_agg(r.ord || ' ' || r.error, ';' ORDER BY n) FROM r WHERE r.stage = e.stage AND n <= 5) AS first_errors FROM e GROUP BY e.stage
+""")
+def stage_errors(spark, d):
+    """Stages with thousands of errors: exact counts, and the first five as rows."""
+    rows = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("stage"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), F.when(F.col("l_tax") > 0.06, F.concat(F.lit("tax "), F.col("l_linenumber").cast("string"))).alias("error"))
+    told = features.stage_report(rows.withColumn("ok", F.col("error").isNull()), ["stage"], "ok", "error", "ord", 5)
+    return told.select("stage", "total", "succeeded", "failed", F.array_join(F.transform("first_errors", lambda e: F.concat(e["at"].cast("string"), F.lit(" "), e["error"])), ";").alias("first_errors"))

@@ -213,8 +213,8 @@ class Handlers:
         named = fus.join(batch, ["ord", "url", "stage"], "left_semi").withColumn("fu", F.struct("ord", "url", "stage"))
         found, report = followups.explore(named, excluded(t), t["explored_links"])
         found = stored(found, "explored")
-        known = found.join(named.select("fu", "source_name", "company_name", "company_type", "is_official"), "fu")
-        told = numbered(known.withColumn("_fu", F.col("fu.ord")), "_fu", "ord", "url").withColumn("ord", at_step(run, F.col("row_no"))).withColumn("reason", F.lit("Explored from a follow-up"))
+        known = followups.candidate_sources(found, named)
+        told = numbered(known.withColumn("_fu", F.col("fu.ord")), "_fu", "ord", "url").withColumn("ord", at_step(run, F.col("row_no")))
         told = stored(sources(told), "found-sources")
         judged = admission.admit(told.withColumn("url_key", F.col("url")), t["acquisition_queue"].select(F.col("url").alias("url_key")), handled(t))
         return {

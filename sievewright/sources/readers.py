@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..functions.markup import decoded
+from ..functions.markup import decoded, structure
 from ..operators.admission import enabled_sources
 from ..operators.pages import inspection, resource_kind
-from ..session import ready
+from ..session import ready, stored
 
 
 def json_artifact(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -39,11 +39,11 @@ def files(spark: SparkSession, path: str, most_bytes: int = 2_000_000) -> DataFr
     return raw.select(F.col("path").alias("url"), F.when(F.col("length") <= most_bytes, F.col("content")).alias("body"), F.col("length").alias("size"))
 
 
-def acquired(responses: DataFrame) -> DataFrame:
+def acquired(responses: DataFrame, most_bytes: int = 2_000_000) -> DataFrame:
     """Responses (url, body, status_code, content_type, content_encoding) to pages: kind, decoding, flaws, whether a browser should try."""
     d = responses.withColumn("_d", decoded("body", F.coalesce("content_type", F.lit("")), F.coalesce("content_encoding", F.lit(""))))
     html = F.coalesce("_d.text", F.lit(""))
-    flaws = F.when(F.col("_d.error").isNotNull(), F.array(F.lit("decode_failed"))).otherwise(inspection(html, F.col("status_code"), F.col("content_type")))
+    flaws = F.when(F.col("_d.error").isNotNull(), F.array(F.lit("decode_failed"))).otherwise(inspection(html, F.col("status_code"), F.col("content_type"), most_bytes))
     # Flaws that a rendered page may be free of.
     retry = F.arrays_overlap(flaws, F.array(*map(F.lit, ("empty_page", "javascript_shell", "access_interstitial", "binary_or_mojibake", "decode_failed"))))
     return d.select("url", "status_code", resource_kind(F.col("content_type")).alias("kind"), F.col("_d.text").alias("html"), "_d.charset", flaws.alias("flaws"), retry.alias("browser_fallback"))
@@ -106,6 +106,32 @@ def with_fallback(first: DataFrame, rendered: DataFrame) -> DataFrame:
     return d.withColumns({c: F.when(use, F.col(f"_r.{c}")).otherwise(F.col(c)) for c in other} | {"fetch_error": error}).drop("_r")
 
 
+def acquire(sources: DataFrame, fetch: Callable[[DataFrame], DataFrame], render: Callable[[DataFrame], DataFrame] | None = None, most_bytes: int = 2_000_000) -> tuple[DataFrame, DataFrame]:
+    """(pages of ``sources`` with title, text and links, one row of counts): a fetch of all, a rendered one of those it leaves with a flaw.
+
+    ``fetch`` and ``render`` take addresses (``url``) and give responses as :func:`fetched` does. The first pass is stored
+    before it is judged, so the second asks only for rows that failed, could not be decoded, or look like an empty page,
+    a shell of scripts or a wall; its answer counts where it is one, and both errors where it is not. Structure is
+    worked out once, of what counts in the end; a page keeps the flaws that are left.
+    """
+    ready(sources.sparkSession)
+    first = stored(fetch(sources.select("url").distinct()), "first-pass")
+    judged = first.join(acquired(first).select("url", "flaws", "browser_fallback"), "url")
+    judged = judged.withColumn("browser_fallback", F.col("fetch_error").isNotNull() | F.coalesce("browser_fallback", F.lit(False)))
+    if render is not None:
+        again = stored(render(judged.where("browser_fallback").select("url")), "second-pass")
+        judged = with_fallback(judged.drop("flaws"), again)
+    final = stored(judged.drop("flaws", "browser_fallback"), "responses")
+    pages = acquired(final.where("fetch_error is null"), most_bytes).drop("browser_fallback")
+    told = pages.join(final.select("url", "final_url", "attempts", "fetch_method"), "url").withColumn("_s", structure("html", F.coalesce("final_url", "url")))
+    errors = final.where("fetch_error is not null").select("url", "fetch_method", "attempts", "fetch_error")
+    whole = told.select("*", "_s.title", "_s.text", "_s.links").drop("_s").unionByName(errors, allowMissingColumns=True)
+    none = F.coalesce(F.size("flaws"), F.lit(0)) == 0
+    rendered = F.col("fetch_method") == "browser"
+    counts = whole.agg(F.count("*").alias("sources"), F.count_if(rendered).alias("rendered"), F.count_if(F.col("fetch_error").isNotNull()).alias("failed"), F.count_if(F.col("fetch_error").isNull() & none).alias("clean"), F.count_if(~none).alias("flawed"))
+    return whole, counts
+
+
 # Sources that a search without a network answers with.
 MOCK_SOURCES = (
     ("mock://future-bank/campus", "Future Bank Technology Graduate Careers", "Future Bank Careers", "Sydney; Shanghai", True, 94, "Official bank graduate source matching: "),

@@ -73,3 +73,13 @@ def test_loose_json():
     assert markup.loose_json('{"a": {"b": "x}"') == '{"a":{"b":"x}"}}'
     assert markup.loose_json('{"a": 1, oops') is None
     assert markup.loose_json("text") is None and markup.loose_json(None) is None
+
+
+def test_lines_keep_their_digits(spark):
+    """Blanks at the ends of lines go, digits stay whatever the line's number."""
+    from sievewright.operators import pages
+
+    row = spark.createDataFrame([("T", "0 Role 0\n 1 year 1 \n2 12\napply at https://a.b/3")], "title string, text string")
+    assert row.select(pages.excerpt(F.col("title"), F.col("text")).alias("x")).first().x == "T\n0 Role 0\n1 year 1\n2 12\napply at https://a.b/3"
+    links = pages.important_links(row.select(F.lit(1).alias("page_id"), "text", F.array().cast("array<struct<href:string,text:string>>").alias("links"))).collect()
+    assert [(r.url, r.label) for r in links] == [("https://a.b/3", "apply at https://a.b/3")]
