@@ -12,12 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, shared_dir, stored
+from .common import prepare, shared_dir, small, stored
 from .files import located, task_number, write_file
 
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 _DATE = "2020-01-01T00:00:00Z"
+#: Tables of up to so many repeated digests (some 60 bytes each) are broadcast.
+MOST_BROADCAST = 500_000
 
 
 def record_kinds(pages: DataFrame, least: int = 1000) -> DataFrame:
@@ -32,6 +34,7 @@ def record_kinds(pages: DataFrame, least: int = 1000) -> DataFrame:
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha1("payload"))
     chosen = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.max("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1").select("digest", "_first")
+    chosen = small(stored(chosen, "warc-repeats"), MOST_BROADCAST)
     revisit = F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first"))
     return rows.join(chosen, "digest", "left").select("page_id", "url", "payload", "digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("_first")).alias("refers_to"))
 
