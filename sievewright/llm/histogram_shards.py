@@ -108,8 +108,11 @@ def histogram_sort(rows: DataFrame, shards: int = 24, size_col: str = "size", ha
     ``most_heavy`` of all, so there are no more such texts than that) is cut further by id.
 
     Null ids come first in key order, null sizes count as 0. Repeated rows get a slot each. An empty table stays empty.
-    Columns named ``shard``, ``slot`` or like the inner ones (with a leading underscore) must not be given.
+    Columns named ``shard`` or ``slot``, whatever their case, or with a leading underscore, as inner ones have it, are
+    refused.
     """
+    if taken := [c for c in rows.columns if c.lower() in ("shard", "slot") or c.startswith("_")]:
+        raise ValueError(f"columns that sharding names itself: {', '.join(taken)}")
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(_LOW))
     narrow = stored(rows.select(F.coalesce(F.col(hash_col), F.lit(0)).alias("_hash"), key.alias("_id"), F.coalesce(F.col(size_col), F.lit(0)).cast("long").alias("_size")), "histogram")
     cuts, total = splitters(narrow, shards, tolerance), narrow.count()

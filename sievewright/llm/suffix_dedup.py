@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bwt import collection, prefix_boundaries, suffix_array
-from .common import prepare, tidy
+from .common import prepare, tidy, unused
 from .files import task_number
 
 LEAST, GRAM, RUN = 50, 20, 64
@@ -408,8 +408,9 @@ def trimmed(docs: DataFrame) -> DataFrame:
     at = names.index("text")
     rows = docs.where("doc_id is not null")
     runs, copies = _judged(_narrow(rows, "doc_id", "text"))
-    runs, copies = runs.select(F.col("doc_id").alias("_doc"), F.col("runs").alias("_runs")), copies.select(F.col("doc_id").alias("_copy"), F.col("whole").alias("_whole"))
-    told = rows.join(runs, rows["doc_id"] == runs["_doc"], "left").join(copies, rows["doc_id"] == copies["_copy"], "left").select(*(rows[n] for n in names), "_runs", F.coalesce("_whole", F.lit(False)).alias("_whole"))
+    doc, found, copy, all_ = unused(docs, "_doc", "_runs", "_copy", "_whole")
+    runs, copies = runs.select(F.col("doc_id").alias(doc), F.col("runs").alias(found)), copies.select(F.col("doc_id").alias(copy), F.col("whole").alias(all_))
+    told = rows.join(runs, rows["doc_id"] == runs[doc], "left").join(copies, rows["doc_id"] == copies[copy], "left").select(*(rows[n] for n in names), found, F.coalesce(all_, F.lit(False)).alias(all_))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, _, stay, cut in _outcomes(batches, at):
