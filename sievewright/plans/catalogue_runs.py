@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import features, stages
 from ..session import ready, shared_folder, table
-from ..sources import artifacts, readers
+from ..sources import artifacts, readers, web
 from . import handlers, loop
 from .registry import registry
 
@@ -219,3 +219,20 @@ def stage_errors(spark, d):
     rows = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("stage"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), F.when(F.col("l_tax") > 0.06, F.concat(F.lit("tax "), F.col("l_linenumber").cast("string"))).alias("error"))
     told = features.stage_report(rows.withColumn("ok", F.col("error").isNull()), ["stage"], "ok", "error", "ord", 5)
     return told.select("stage", "total", "succeeded", "failed", F.array_join(F.transform("first_errors", lambda e: F.concat(e["at"].cast("string"), F.lit(" "), e["error"])), ";").alias("first_errors"))
+
+
+@query("""
+WITH q AS (SELECT n_name AS query, row_number() OVER (ORDER BY n_name) - 1 AS idx FROM nation),
+a AS (SELECT n_name AS query, s_name AS url, CASE WHEN s_acctbal > 0 THEN s_name ELSE '' END AS title, least(greatest(s_acctbal, 0), 9999) / 9999 AS score, row_number() OVER (PARTITION BY n_name ORDER BY s_suppkey) - 1 AS rank FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+SELECT idx * 1000000 + rank AS ord, query, url, title, round(score, 6) AS score FROM a JOIN q USING (query) WHERE rank < 110 // 25 + CASE WHEN idx < 110 % 25 THEN 1 ELSE 0 END
+""")
+def searched_source(spark, d):
+    """Nations as queries, their suppliers as recorded answers: a task per query, which keeps to its quota of 110 answers in all."""
+    nation = table(spark, d, "nation")
+    path = shared_folder(spark, "search-answers")
+    s = table(spark, d, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    score = F.least(F.greatest(F.col("s_acctbal"), F.lit(0.0)), F.lit(9999.0)) / 9999
+    s.select(F.col("n_name").alias("query"), F.col("s_suppkey").alias("rank"), F.when(F.col("s_acctbal") > 0, F.col("s_name")).otherwise("").alias("title"), F.col("s_name").alias("url"), F.lit("c").alias("content"), score.alias("score")).write.parquet(path)
+    queries = sorted(r[0] for r in nation.select("n_name").collect())  # a plan's queries: few
+    found = web.search(spark, queries, "sievewright.sources.web:recorded_search", 110, answers=path if "://" in path else f"file://{path}")
+    return found.select("ord", "query", "url", "title", F.round("score", 6).alias("score"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sievewright.functions import locations, urls
 from sievewright.operators import features, records, stages
-from sievewright.sources import artifacts, readers
+from sievewright.sources import artifacts, readers, web
 
 
 def test_artifact_is_one_file_that_people_read(spark, tmp_path):
@@ -134,3 +134,29 @@ def test_names_of_sources(spark):
     rows = spark.createDataFrame([("https://A.b:8/c", None, "T"), ("https://a.b/c", "http://f.g/", "T"), ("file:///x/My%20job.v1.html", None, "T"), ("mock:abc", None, "T"), ("words", "", ""), ("//h/x", None, None)], "u string, f string, t string")
     got = [tuple(r) for r in rows.select(urls.source_of_followup(F.col("u")), urls.source_of_page(F.col("u"), F.col("f"), F.col("t")), urls.source_of_file(F.col("u"), F.col("f"), F.col("t"))).collect()]
     assert got == [("A.b:8", "A.b:8", "A.b:8"), ("a.b", "f.g", "f.g"), ("", "T", "My job.v1"), ("mock:abc", "T", "mock"), ("words", "words", "words"), ("//h/x", "h", "h")]
+
+
+def test_search_as_a_source(spark, tmp_path):
+    """A task per query with its share of the answers; blank and repeated queries are not asked; a provider that fails is a row."""
+    answers = [("a", k, f"t{k}", f"https://a/{k}", "c", 0.5) for k in range(9, 0, -1)] + [("b", 1, None, "https://b/1", "c", None)]
+    spark.createDataFrame(answers, "query string, rank long, title string, url string, content string, score double").write.parquet(str(tmp_path / "answers"))
+    spec, where = "sievewright.sources.web:recorded_search", f"file://{tmp_path}/answers"
+    found = web.search(spark, ["a", "b", " ", "a", "none"], spec, 8, answers=where)
+    assert found.rdd.getNumPartitions() == 3
+    assert [(r.ord, r.query, r.url, r.error) for r in found.orderBy("ord").collect()] == [(0, "a", "https://a/1", None), (1, "a", "https://a/2", None), (2, "a", "https://a/3", None), (1_000_000, "b", "https://b/1", None)]
+    assert web.search(spark, [], spec, 8, answers=where).count() == 0
+    assert [r.error for r in web.search(spark, ["a"], "sievewright.sources.web:missing", 8).collect()] == ["AttributeError: module 'sievewright.sources.web' has no attribute 'missing'"]
+
+
+def test_pages_as_a_source(spark, tmp_path):
+    """All addresses of a host are one task's; one without a response is a row with its error."""
+    urls_ = [f"https://h{k % 4}.example/{k}" for k in range(12)]
+    spark.createDataFrame([(u, u.encode(), 200, "text/html") for u in urls_[:11]], "url string, body binary, status_code int, content_type string").write.parquet(str(tmp_path / "pages"))
+    got = web.fetch(spark, [*urls_, urls_[0]], "sievewright.sources.web:recorded_pages", 3, answers=f"file://{tmp_path}/pages").withColumn("task", F.spark_partition_id())
+    rows = got.collect()
+    assert sorted(r.url for r in rows) == sorted(urls_) and {r.url: r.error for r in rows if r.error} == {urls_[11]: "KeyError: 'no recorded response'"}
+    assert all(bytes(r.body) == r.url.encode() and r.status_code == 200 for r in rows if not r.error)
+    tasks = {}
+    for r in rows:
+        tasks.setdefault(r.host, set()).add(r.task)
+    assert len(tasks) == 4 and all(len(t) == 1 for t in tasks.values()) and got.rdd.getNumPartitions() <= 3
