@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from . import baseline_jpeg
 from .common import prepare
 
 WIDTH, HEIGHT, FPS = 64, 48, 10
@@ -125,8 +126,21 @@ def _summed(d: np.ndarray) -> np.ndarray:
     return np.cumsum(d, axis=2).astype(np.uint8)
 
 
+def _baseline(jpeg: bytes) -> bool:
+    """Whether an image's frame header is a baseline one."""
+    at = 2
+    while at + 4 <= len(jpeg):
+        mark, size = struct.unpack_from(">HH", jpeg, at)
+        if 0xFFC0 <= mark <= 0xFFCF and mark not in (0xFFC4, 0xFFC8, 0xFFCC):
+            return mark in (0xFFC0, 0xFFC1)
+        at += 2 + size
+    return False
+
+
 def decode_image(jpeg: bytes) -> np.ndarray:
-    """(height, width) samples of any lossless JPEG image of one component and predictor 1, whatever its size and code table."""
+    """(height, width) samples of a baseline image (its first component), or of any lossless one of one component and predictor 1, whatever its size and code table."""
+    if _baseline(jpeg):
+        return baseline_jpeg.decode(jpeg)
     (height, width), tables, used, data = _segments(jpeg)
     return _summed(_read_bits(data, tables[used], height * width).reshape(1, height, width))[0]
 
@@ -200,7 +214,7 @@ def shots(frames: np.ndarray, reach: int = 4, factor: float = 3.0, floor: float
         return [(0, n)]
     bins = (np.arange(n)[:, None] * 16 + (frames.reshape(n, -1) >> 4)).ravel()
     hist = np.bincount(bins, minlength=16 * n).reshape(n, 16)
-    diff = np.abs(np.diff(hist, axis=0)).sum(axis=1) / (2 * FRAME)
+    diff = np.abs(np.diff(hist, axis=0)).sum(axis=1) / (2 * frames[0].size)
     cuts = [0]
     for k, x in enumerate(diff):
         near = np.concatenate([diff[max(0, k - reach) : k], diff[k + 1 : k + 1 + reach]])
@@ -217,9 +231,21 @@ class Clip(NamedTuple):
     frames: int
 
 
-def timed(cut: list[tuple[int, int]]) -> list[Clip]:
-    """The clip of each shot."""
-    return [Clip(k, a * 1000 // FPS, b * 1000 // FPS, a, b - a) for k, (a, b) in enumerate(cut)]
+def timed(cut: list[tuple[int, int]], frame_us: int = 1_000_000 // FPS) -> list[Clip]:
+    """The clip of each shot, of frames of ``frame_us`` microseconds."""
+    return [Clip(k, a * frame_us // 1000, b * frame_us // 1000, a, b - a) for k, (a, b) in enumerate(cut)]
+
+
+def foreign_clips(media: bytes) -> list[Clip]:
+    """Clips of any motion-JPEG AVI file of baseline or lossless frames: images through its index, timed by its header."""
+    images = [x for x in read_avi(media)[0] if x]  # an empty chunk repeats the frame before it
+    at = media.find(b"avih")
+    frame_us = (struct.unpack_from("<I", media, at + 8)[0] if at >= 0 else 0) or 1_000_000 // FPS
+    own = images and all(x.startswith(_HEAD) for x in images)
+    frames = list(decode_frames(images)) if own else [decode_image(x) for x in images]
+    if len({f.shape for f in frames}) > 1:
+        raise ValueError("frames of one file have one size")
+    return timed(shots(np.array(frames)), frame_us) if frames else []
 
 
 def payload_of(text: str | None) -> tuple[bytes, int]:
@@ -285,19 +311,27 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def media_features(media: DataFrame) -> DataFrame:
-    """Digests of what :func:`store_media` stored, read back from ``media``, and its timed clips as one string; a row per row, also for repeats and null ids."""
+    """Digests of what :func:`store_media` stored, read back from ``media``, and its timed clips as one string; a row per row, also for repeats and null ids.
+
+    An empty table gives an empty result; further columns of ``media`` are not read.
+    """
     prepare(media.sparkSession)
     return media.select("doc_id", "n_bytes", "media").mapInArrow(_digest, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def _clips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [(i, *c) for i, (_, _, cut, _) in zip(batch.column(0).to_pylist(), _decoded(batch.column(1).to_pylist()), strict=True) for c in timed(cut)]
+        rows = [(i, *c) for i, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if m is not None for c in foreign_clips(m)]
         cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", *Clip._fields])
 
 
 def clip_rows(media: DataFrame) -> DataFrame:
-    """One timed row per shot: ``doc_id``, ``clip``, ``start_ms``, ``end_ms``, ``first_frame``, ``frames``."""
+    """One timed row per shot: ``doc_id``, ``clip``, ``start_ms``, ``end_ms``, ``first_frame``, ``frames``.
+
+    ``media``: doc_id and files of :func:`store_media` or any motion-JPEG AVI of baseline or lossless frames of whatever
+    size and rate. A null file and one without frames have no clips; rows that repeat an id have theirs each; an empty
+    table gives no rows; further columns are not read. A broken file raises.
+    """
     prepare(media.sparkSession)
     return media.select("doc_id", "media").mapInArrow(_clips, "doc_id long, clip long, start_ms long, end_ms long, first_frame long, frames long")
