@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.markup import recovered
 from ..functions.urls import canonical_url
 from ..functions.text import CHROME_LINES, EXCERPT_MARKERS, all_reasons, blank_to_null, bound, collapse, contained, lines
 
@@ -80,6 +81,17 @@ def recovery_sources(html: Column, links: Column | None = None, strict: bool = T
     return all_reasons(*found)
 
 
+def recovery(pages: DataFrame, html: str = "html") -> DataFrame:
+    """``pages`` with ``recovered`` (see :func:`sievewright.functions.markup.recover`): hidden content of each page, and how it was found.
+
+    Only pages that show one of the four marks of hidden content go through Python; what the others come to is the same
+    for all of them and stays an expression. Null HTML has no marks.
+    """
+    some = F.size(recovery_sources(F.coalesce(html, F.lit("")), strict=False)) > 0
+    none = F.struct(F.lit(False).alias("success"), F.lit(None).cast("string").alias("source"), F.lit("").alias("text"), F.array().cast("array<string>").alias("attempted"), F.array(F.lit("no_deterministic_recovery_source_succeeded")).alias("reasons"))
+    return pages.where(some).withColumn("recovered", recovered(html)).unionByName(pages.where(~some).withColumn("recovered", none))
+
+
 def signals(text: Column) -> Column:
     return contained(text, POSTING_WORDS)
 

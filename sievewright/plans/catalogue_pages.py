@@ -135,7 +135,8 @@ def page_recovery(spark, d):
     shown, k = F.trim(F.regexp_replace(bare, "\\s+", " ")), F.col("page_id")
     posting = F.to_json(F.struct(F.lit("JobPosting").alias("@type"), F.concat(F.lit("Page "), k.cast("string")).alias("title"), shown.alias("description")))
     held = F.when(k % 3 == 0, F.concat(F.lit('<script type="application/ld+json">'), posting, F.lit("</script>"))).when(k % 3 == 1, F.concat(F.lit('<meta name="description" content="'), F.replace(shown, F.lit('"'), F.lit("&quot;")), F.lit('">'))).otherwise("")
-    return table(spark, d, "pages").select("page_id", markup.recovered(F.concat(held, "html")).alias("r")).select("page_id", "r.success", "r.source", F.array_join("r.reasons", ";").alias("reasons"), "r.text")
+    found = pages.recovery(table(spark, d, "pages").select("page_id", F.concat(held, "html").alias("html")))
+    return found.select("page_id", "recovered.success", "recovered.source", F.array_join("recovered.reasons", ";").alias("reasons"), "recovered.text")
 
 
 @query(f"""

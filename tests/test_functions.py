@@ -83,3 +83,18 @@ def test_lines_keep_their_digits(spark):
     assert row.select(pages.excerpt(F.col("title"), F.col("text")).alias("x")).first().x == "T\n0 Role 0\n1 year 1\n2 12\napply at https://a.b/3"
     links = pages.important_links(row.select(F.lit(1).alias("page_id"), "text", F.array().cast("array<struct<href:string,text:string>>").alias("links"))).collect()
     assert [(r.url, r.label) for r in links] == [("https://a.b/3", "apply at https://a.b/3")]
+
+
+def test_only_marked_pages_are_parsed_for_hidden_content(spark):
+    """Pages without a mark come to what the parser would say of them, and are not sent to it."""
+    from sievewright.operators import pages
+
+    ready(spark)
+    hidden = "x" * 400
+    rows = [(1, f"<meta name='description' content='{hidden}'>"), (2, "<p>nothing hidden</p>"), (3, None), (4, '<script type="application/ld+json">{broken</script>'), (5, f'<script>window.__NEXT_DATA__ = {{"description": "{hidden}"}}</script>')]
+    df = spark.createDataFrame(rows, "page_id long, html string")
+    got = {r.page_id: r.recovered for r in pages.recovery(df).collect()}
+    want = {r.page_id: r.r for r in df.select("page_id", markup.recovered("html").alias("r")).collect()}
+    assert got == want and [got[k].success for k in range(1, 6)] == [True, False, False, False, True]
+    plan = pages.recovery(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "Filter (size(" in plan.replace("(size(array_compact", "(size(")
