@@ -22,14 +22,14 @@ _KEY = """
 """
 
 
-def _keyed(spark, d):
+def keyed_pages(spark, d):
     ready(spark)
     return table(spark, d, "pages").select("page_id", "url", F.length("html").alias("size"), urls.normalize_url("url").alias("url_key"))
 
 
 @query(f"SELECT page_id, {_KEY} AS url_key, CASE WHEN {_KEY} SIMILAR TO 'https?://[^/].*' THEN {_KEY} END AS http_key FROM pages")
 def url_normalize(spark, d):
-    return _keyed(spark, d).select("page_id", "url_key", urls.http_only(F.col("url_key")).alias("http_key"))
+    return keyed_pages(spark, d).select("page_id", "url_key", urls.http_only(F.col("url_key")).alias("http_key"))
 
 
 @query("""
@@ -42,7 +42,7 @@ def url_canonical(spark, d):
     return table(spark, d, "pages").select("page_id", urls.canonical_url(url).alias("canonical"), urls.site_name(url).alias("site"), urls.redirected_to_error(url, final).alias("to_error"))
 
 
-_ADMIT = f"""
+ADMIT = f"""
 WITH k AS (SELECT page_id, length(html) AS size, {_KEY} AS url_key FROM pages),
 b AS (SELECT site AS page_id, url_key FROM (SELECT min(page_id) AS site, url_key FROM k GROUP BY url_key)),
 x AS (SELECT page_id AS ord, url_key, size FROM k UNION ALL SELECT page_id + 1000000 AS ord, url_key, size FROM k),
@@ -55,18 +55,18 @@ o AS (SELECT ord, url_key, CASE WHEN url_key IS NULL THEN 'invalid' WHEN handled
 
 
 def _admission(spark, d):
-    k = _keyed(spark, d)
+    k = keyed_pages(spark, d)
     inputs = k.select(F.col("page_id").alias("ord"), "url_key").unionByName(k.select((F.col("page_id") + 1000000).alias("ord"), "url_key"))
     return admission.admit(inputs, k.where("size > 6000"), k.where("size < 1500"), limit=100), k
 
 
-@query(_ADMIT + "SELECT ord, url_key, outcome FROM o")
+@query(ADMIT + "SELECT ord, url_key, outcome FROM o")
 def admit_sources(spark, d):
     """Every page is offered twice; short ones are handled, long ones queued, a hundred may come in."""
     return _admission(spark, d)[0]
 
 
-@query(_ADMIT + """SELECT count(*) AS input_count, count(*) FILTER (outcome = 'admitted') AS enqueued_count, count(*) FILTER (outcome = 'duplicate') AS duplicate_count,
+@query(ADMIT + """SELECT count(*) AS input_count, count(*) FILTER (outcome = 'admitted') AS enqueued_count, count(*) FILTER (outcome = 'duplicate') AS duplicate_count,
 count(*) FILTER (outcome = 'handled') AS handled_count, count(*) FILTER (outcome = 'invalid') AS invalid_count, count(*) FILTER (outcome = 'limited') AS limited_count,
 count(*) FILTER (outcome <> 'admitted') AS skipped_count, count(*) FILTER (outcome = 'admitted') + 0 AS queue_size_after_enqueue FROM o""")
 def admission_counts(spark, d):
@@ -319,7 +319,7 @@ SELECT fu, count(*) FILTER (NOT barred AND nth = 1) AS discovered, count(*) FILT
 """)
 def followup_links(spark, d):
     """Each page is a follow-up that links to itself and the page before it; addresses with tracking were explored."""
-    k = _keyed(spark, d)
+    k = keyed_pages(spark, d)
     links = k.select(F.col("page_id").alias("fu"), F.col("page_id").alias("ord"), "url_key").unionByName(k.select((F.col("page_id") + 1).alias("fu"), F.col("page_id").alias("ord"), "url_key"))
     fus = links.groupBy("fu").agg(F.collect_list(F.struct("ord", "url_key", F.lit("").alias("text"))).alias("links")).withColumns({"priority": F.lit(50), "pending_kind": F.lit("navigation_required")})
     return followups.explore(fus, k.where(F.col("url").contains("utm_")), k.where("false"))[1]

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from ..operators import features, stages
 from ..session import ready, shared_folder, table
 from ..sources import artifacts, readers, web
+from ..streaming import admission
 from . import handlers, loop
+from .catalogue_pages import ADMIT, keyed_pages
 from .registry import registry
 
 QUERIES, SQL, query = registry()
@@ -236,3 +238,20 @@ def searched_source(spark, d):
     queries = sorted(r[0] for r in nation.select("n_name").collect())  # a plan's queries: few
     found = web.search(spark, queries, "sievewright.sources.web:recorded_search", 110, answers=path if "://" in path else f"file://{path}")
     return found.select("ord", "query", "url", "title", F.round("score", 6).alias("score"))
+
+
+@query(ADMIT + "SELECT ord, url_key, outcome FROM o")
+def streamed_admission(spark, d):
+    """What admission of all pages at once comes to, by a stream: every page in a first batch, and again in a second one that finds only state."""
+    pages = keyed_pages(spark, d)
+    path = shared_folder(spark, "admission")
+
+    def turn(rows, part):
+        rows.write.parquet(f"{path}/in/{part}")
+        stream = spark.readStream.schema("ord long, url_key string").option("recursiveFileLookup", True).parquet(f"{path}/in")
+        query_ = admission.admit_stream(stream, f"{path}/out", f"{path}/checkpoint", limit=100, queued=pages.where("size > 6000"), handled=pages.where("size < 1500"))
+        query_.awaitTermination()
+
+    turn(pages.select(F.col("page_id").alias("ord"), "url_key"), "a")
+    turn(pages.select((F.col("page_id") + 1000000).alias("ord"), "url_key"), "b")
+    return admission.judged(spark, f"{path}/out").select("ord", "url_key", "outcome")

@@ -207,10 +207,17 @@ def merged_followups(spark, d):
     return followups.merged_followups(rows.where("l_linenumber < 3"), rows.where("l_linenumber >= 3")).select("url", "pending_kind", "stage", "priority")
 
 
-@query("SELECT doc_id, regexp_full_match(name, '[A-Za-z0-9][A-Za-z0-9_.:-]{0,127}') AS valid FROM (SELECT doc_id, substr(text, CAST(doc_id % 7 + 1 AS BIGINT), 6) AS name FROM documents WHERE text IS NOT NULL)")
+_RUN_ID = "'[A-Za-z0-9][A-Za-z0-9_.:-]{0,127}'"
+
+
+@query(f"""
+SELECT doc_id, coalesce(regexp_full_match(text, {_RUN_ID}), false) AS text_valid, regexp_full_match(coalesce(source, '') || ':' || doc_id, {_RUN_ID}) AS name_valid, coalesce(regexp_full_match('-' || lang, {_RUN_ID}), false) AS dashed_valid, coalesce(regexp_full_match(repeat(lang, 64), {_RUN_ID}), false) AS long_valid FROM documents
+""")
 def run_ids(spark, d):
-    name = F.substring("text", (F.col("doc_id") % 7 + 1).cast("int"), F.lit(6))
-    return table(spark, d, "documents").where("text is not null").select("doc_id", text.valid_run_id(name).alias("valid"))
+    """Whole texts, names of sources with an id, and names that begin wrongly or are as long as they may be."""
+    docs = table(spark, d, "documents")
+    named = F.concat(F.coalesce("source", F.lit("")), F.lit(":"), F.col("doc_id").cast("string"))
+    return docs.select("doc_id", text.valid_run_id(F.col("text")).alias("text_valid"), text.valid_run_id(named).alias("name_valid"), text.valid_run_id(F.concat(F.lit("-"), "lang")).alias("dashed_valid"), text.valid_run_id(F.repeat("lang", 64)).alias("long_valid"))
 
 
 @query("SELECT p_partkey, p_name || CASE WHEN p_brand = p_name THEN '' ELSE ',' || p_brand END || ',other' AS items FROM part")
