@@ -255,3 +255,30 @@ def streamed_admission(spark, d):
     turn(pages.select(F.col("page_id").alias("ord"), "url_key"), "a")
     turn(pages.select((F.col("page_id") + 1000000).alias("ord"), "url_key"), "b")
     return admission.judged(spark, f"{path}/out").select("ord", "url_key", "outcome")
+
+
+@query("""
+WITH c AS (SELECT c_custkey AS k FROM customer WHERE c_acctbal > -500), j AS (SELECT k FROM c JOIN customer ON k = c_custkey WHERE c_nationkey < 20)
+SELECT 'resumed' AS part, k FROM j JOIN customer ON k = c_custkey WHERE c_mktsegment <> 'MACHINERY' UNION ALL SELECT 'replayed', k FROM c
+""")
+def replayed_run(spark, d):
+    """A run over customers that pauses after a step and is resumed from what it stored; and the step after that, done again in a folder of its own."""
+    path = shared_folder(spark, "resumed")
+    flow = {
+        "acquire_page": ("acquisition_queue", "acquired_pages", "true"), "analyze_page": ("acquired_pages", "job_detail_pages", "c_acctbal > -500"), "job_extraction": ("job_detail_pages", "prepared_jobs", "c_nationkey < 20"),
+        "job_understanding": ("prepared_jobs", "understanding_records", "c_mktsegment <> 'MACHINERY'"), "match_analysis": ("understanding_records", "match_assessments", "true"),
+    }
+
+    def stage(source, target, keeps):
+        return lambda r: {target: r.tables[source].where(keeps)} | ({source: r.tables[source].where("false")} if source == "acquisition_queue" else {})
+
+    def pending(r):
+        """A stage has its whole source to do until its target is there."""
+        return {a: r.counts.get(s, 0) if t not in r.counts else 0 for a, (s, t, _) in flow.items()}
+
+    stages_ = {a: stage(*x) for a, x in flow.items()}
+    first = loop.Run(spark, path, {"acquisition_queue": table(spark, d, "customer")}, {"has_plan": True, "search_rounds": 3}, {"max_steps": 25, "max_results": 10**9, "soft_target": 8, "batch": 3, "max_search_rounds": 3})
+    loop.drive(first, stages_, pending, pause_after=True)
+    done = loop.resume(spark, path, stages_, pending)
+    again = loop.replay(spark, path, 0, f"{path}-again", stages_, pending)
+    return done.tables["match_assessments"].select(F.lit("resumed").alias("part"), F.col("c_custkey").alias("k")).unionByName(again.tables["job_detail_pages"].select(F.lit("replayed").alias("part"), F.col("c_custkey").alias("k")))
