@@ -108,10 +108,10 @@ def histogram_sort(rows: DataFrame, shards: int = 24, size_col: str = "size", ha
     ``most_heavy`` of all, so there are no more such texts than that) is cut further by id.
 
     Null ids come first in key order, null sizes count as 0. Repeated rows get a slot each. An empty table stays empty.
-    Columns named ``shard`` or ``slot``, whatever their case, or with a leading underscore, as inner ones have it, are
-    refused.
+    Columns named ``shard`` or ``slot``, whatever their case, are refused; others are carried as they are, whatever
+    their names.
     """
-    if taken := [c for c in rows.columns if c.lower() in ("shard", "slot") or c.startswith("_")]:
+    if taken := [c for c in rows.columns if c.lower() in ("shard", "slot")]:
         raise ValueError(f"columns that sharding names itself: {', '.join(taken)}")
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(_LOW))
     narrow = stored(rows.select(F.coalesce(F.col(hash_col), F.lit(0)).alias("_hash"), key.alias("_id"), F.coalesce(F.col(size_col), F.lit(0)).cast("long").alias("_size")), "histogram")
@@ -138,6 +138,7 @@ def histogram_sort(rows: DataFrame, shards: int = 24, size_col: str = "size", ha
     order = Window.partitionBy("shard").orderBy("_cell", "_part", "_in")
     at = "shard", "_cell", "_part", "_in"
     offsets = ranged(narrow).groupBy(*at).agg(F.count("*").alias("_n")).select(*at, (F.sum("_n").over(order) - F.col("_n")).alias("_offset"))
-    keyed = ranged(rows.withColumns({"_hash": F.coalesce(F.col(hash_col), F.lit(0)), "_id": key}))
+    row = F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("_row")  # so that no name of theirs meets an inner one
+    keyed = ranged(rows.select(row, F.coalesce(F.col(hash_col), F.lit(0)).alias("_hash"), key.alias("_id")))
     place = Window.partitionBy(*at).orderBy("_hash", "_id")
-    return keyed.withColumn("_place", F.row_number().over(place)).join(offsets, list(at)).withColumn("slot", F.col("_offset") + F.col("_place") - 1).select(*rows.columns, "shard", "slot")
+    return keyed.withColumn("_place", F.row_number().over(place)).join(offsets, list(at)).withColumn("slot", F.col("_offset") + F.col("_place") - 1).select("_row.*", "shard", "slot")

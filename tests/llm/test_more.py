@@ -108,9 +108,12 @@ def test_shards_against_a_sorted_walk(spark, ids):
 
 def test_shards_refuse_clashing_columns(spark):
     base = spark.createDataFrame([(1, 2, 3)], "doc_id long, size long, key_hash long")
-    for name in ("shard", "Slot", "_cell"):
+    for name in ("shard", "Slot"):
         with pytest.raises(ValueError, match=name):
             histogram_shards.histogram_sort(base.withColumn(name, F.lit(1)), 2)
+    inner = base.withColumns({c: F.lit(9) for c in ("_cell", "_hash", "_id", "_size", "_part", "_in", "_own", "_heavy", "_row", "_offset", "a.b")})
+    got = histogram_shards.histogram_sort(inner, 2).collect()
+    assert [r.asDict() for r in got] == [inner.first().asDict() | {"shard": got[0].shard, "slot": 0}]
 
 
 def test_scores_against_a_plain_recomputation(spark):
