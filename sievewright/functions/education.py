@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import bound
@@ -47,3 +47,20 @@ def level_name(rank: Column) -> Column:
 def levels(values: Column) -> Column:
     """Distinct known levels of ``values`` in order of first mention."""
     return F.array_distinct(F.array_compact(F.transform(values, lambda v: level_name(level_rank(v)))))
+
+
+#: Distinct lists up to so many are broadcast; a table with more of them is ranked row by row.
+MOST_LISTS = 100_000
+
+
+def with_ranks(rows: DataFrame, levels: str = "education_levels", ranks: str = "education_ranks", most: int = MOST_LISTS) -> DataFrame:
+    """``rows`` with the ranks of their texts of levels (see :func:`level_rank`; texts that name none are left out).
+
+    Texts of a kind come again and again, and each is judged by a dozen patterns, so distinct lists are ranked once and
+    joined back. Where there are more than ``most`` of them, each row's own list is ranked. A null list stays null.
+    """
+    ranked = F.array_compact(F.transform(levels, level_rank)).alias(ranks)
+    lists = rows.where(F.col(levels).isNotNull()).select(levels).distinct()
+    if lists.limit(most + 1).count() > most:
+        return rows.select("*", ranked)
+    return rows.join(F.broadcast(lists.select(F.col(levels).alias("_levels"), ranked)), F.col(levels) == F.col("_levels"), "left").drop("_levels")

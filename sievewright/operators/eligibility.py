@@ -35,10 +35,12 @@ def basic_gate(jobs: DataFrame, as_of: Column) -> DataFrame:
     Job columns: deadline, graduation_years, graduation_start, graduation_end, graduation_requirement, education_levels,
     locations; profile columns: p_graduation, p_education, p_excluded (canonical locations). Rules stand in order:
     deadline, window, year, education, location. Flags may repeat, and repeats count. ``p_education_rank``, if there is
-    one, saves ranking the same profile again for each job.
+    one, saves ranking the same profile again for each job, ``education_ranks`` (:func:`sievewright.functions.education.with_ranks`)
+    ranking the same levels.
     """
     own = F.col("p_education_rank") if "p_education_rank" in jobs.columns else level_rank(F.col("p_education"))
-    rows = jobs.withColumns({"_needed": F.array_compact(F.transform("education_levels", level_rank)), "_own": own, "_due": iso_date(F.col("deadline"))})
+    needs = F.col("education_ranks") if "education_ranks" in jobs.columns else F.array_compact(F.transform("education_levels", level_rank))
+    rows = jobs.withColumns({"_needed": needs, "_own": own, "_due": iso_date(F.col("deadline"))})
     deadline, due = F.col("deadline"), F.col("_due")
     has_deadline = F.coalesce(deadline != "", F.lit(False))
     month, year = year_month(F.col("p_graduation")), cohort_year(F.col("p_graduation")).cast("string")

@@ -162,7 +162,7 @@ _GATE = _JOBS + """
 def _gated(spark, d):
     j = _jobs(spark, d).select("id", "deadline", F.array().cast("array<string>").alias("graduation_years"), F.col("year").alias("graduation_start"), F.expr(_NONE).alias("graduation_end"), F.expr(_NONE).alias("graduation_requirement"), F.array("education").alias("education_levels"), F.array().cast("array<string>").alias("locations"))
     profile = spark.createDataFrame([("1999-06", "本科", ["上海"])], "p_graduation string, p_education string, p_excluded array<string>").withColumn("p_education_rank", education.level_rank(F.col("p_education")))
-    return eligibility.basic_gate(j.crossJoin(F.broadcast(profile)), F.lit("1997-01-01").cast("date"))
+    return eligibility.basic_gate(education.with_ranks(j).crossJoin(F.broadcast(profile)), F.lit("1997-01-01").cast("date"))
 
 
 @query(_GATE + """SELECT id, CASE WHEN flag IS NULL THEN 'pass' ELSE 'skip' END AS decision, flag, coalesce(flag, soft) AS risk_flags, CASE WHEN flag IS NOT NULL THEN 'skip' END AS override,

@@ -98,3 +98,14 @@ def test_only_marked_pages_are_parsed_for_hidden_content(spark):
     assert got == want and [got[k].success for k in range(1, 6)] == [True, False, False, False, True]
     plan = pages.recovery(df)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and "Filter (size(" in plan.replace("(size(array_compact", "(size(")
+
+
+def test_distinct_lists_of_levels_are_ranked_once(spark):
+    """The same ranks whether lists are joined back or ranked row by row; null and empty lists stay what they are."""
+    lists = [["本科及以上"], ["Master's degree", "none"], [], None, ["PhD", "doctorate"], ["本科及以上"]]
+    rows = spark.createDataFrame(list(enumerate(lists)), "id int, education_levels array<string>")
+    want = [r.x for r in rows.orderBy("id").select(F.array_compact(F.transform("education_levels", education.level_rank)).alias("x")).collect()]
+    for most in (100, 1):
+        got = education.with_ranks(rows, most=most)
+        assert got.columns == ["id", "education_levels", "education_ranks"] and [r.education_ranks for r in got.orderBy("id").collect()] == want
+    assert education.with_ranks(rows.where("false")).count() == 0
