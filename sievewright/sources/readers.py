@@ -16,13 +16,21 @@ from ..functions.markup import decoded, structure
 from ..operators.admission import enabled_sources
 from ..operators.pages import inspection, resource_kind
 from ..session import ready, stored
+from .artifacts import LISTED
 
 
-def json_artifact(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def json_artifact(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
     """Rows of a JSON artifact in a fixed schema; a malformed one stops the read. A byte order mark is no part of it."""
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
+def json_parts(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of an artifact in files: those that its list names, each an array that one task reads. A file that is missing or malformed stops the read."""
+    listed = json_artifact(spark, f"{path}/{LISTED}", "files array<string>").first()
+    names = [f"{path}/{n}" for n in listed.files] if listed else []
+    return json_artifact(spark, names, schema) if names else spark.createDataFrame([], schema)
+
+
 def optional_artifact(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
     """The first of ``paths`` that can be read, else no rows."""
     for p in paths:

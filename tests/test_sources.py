@@ -39,6 +39,42 @@ def test_artifact_of_many_tasks(spark, tmp_path):
     assert json.loads(path.read_text()) == []
 
 
+def test_artifact_in_files(spark, tmp_path):
+    """Rows of any number: files of a bounded size, each an array, and a list of those that count."""
+    path = tmp_path / "deep" / "a"
+    files = lambda: sorted(p.name for p in path.iterdir())
+    rows = spark.range(0, 1000, 1, 7).withColumn("text", F.when(F.col("id") % 5 > 0, F.concat(F.lit("é\n],"), F.col("id"))))
+    artifacts.write_parts(rows, str(path), part_bytes=2000)
+    listed = json.loads((path / "files.json").read_text())
+    assert listed["rows"] == 1000 and files() == sorted([*listed["files"], "files.json"]) and all((path / n).stat().st_size < 2100 for n in listed["files"])
+    assert [r["id"] for n in listed["files"] for r in json.loads((path / n).read_text())] == list(range(1000))
+    (path / "000000-000000-9-left.json").write_text("[{")  # of an attempt that did not count
+    back = lambda: readers.json_parts(spark, str(path), "id long, text string")
+    assert sorted(map(tuple, back().collect())) == sorted(map(tuple, rows.collect()), key=lambda r: r[0])
+    with pytest.raises(Exception, match="(?i)exists"):
+        artifacts.write_parts(spark.range(5), str(path), overwrite=False)
+    with pytest.raises(Exception, match="(?i)zero"):
+        artifacts.write_parts(spark.range(5).select((1 / (F.col("id") - 3)).alias("x")), str(path))
+    assert back().count() == 1000
+    artifacts.write_parts(spark.range(3), str(path), part_bytes=1)
+    assert sorted(r.id for r in back().collect()) == [0, 1, 2] and len(files()) == 4
+    (path / json.loads((path / "files.json").read_text())["files"][0]).write_text("[{")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        back().collect()
+    artifacts.write_parts(spark.range(0), str(path))
+    assert back().count() == 0 and files() == ["files.json"]
+
+
+def test_artifact_beyond_one_file(spark, tmp_path, monkeypatch):
+    """The round trip has no limit of bytes, and null stays null."""
+    from sievewright.plans import catalogue
+
+    spark.range(40).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 20).alias("text"), F.when(F.col("id") > 3, "en").alias("lang"), F.lit("s").alias("source"), F.lit(100).cast("long").alias("n_chars")).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(artifacts.write_artifact, "__defaults__", (True, 1000))
+    got = catalogue.queries()["artifact_round_trip"](spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [r["doc_id"] for r in got] == list(range(40)) and [r["keys"] for r in got] == [None] * 4 + ["en/s"] * 36
+
+
 def responses(rows, told):
     """``told``: address to (body, error)."""
     d = rows.join(rows.sparkSession.createDataFrame([(u, None if b is None else b.encode(), e) for u, (b, e) in told.items()], "url string, body binary, fetch_error string"), "url")
