@@ -69,7 +69,12 @@ def searched(rows: DataFrame, most: int | None = None) -> DataFrame:
     kept = rows.where(F.trim("url") != "").groupBy("url_key").agg(F.min_by(held, "ord").alias("_first")).select("_first.*")
     if most is not None:
         kept = kept.orderBy("ord").limit(most) if most <= 10_000 else numbered(kept, "ord").where(F.col("row_no") <= most)
-    return kept.select("ord", "url", F.coalesce(F.nullif("title", F.lit("")), "url").alias("title"), F.round(F.col("score") * 100).cast("int").alias("relevance_score"), F.substring("content", 1, 1000).alias("reason"))
+    return as_sources(kept)
+
+
+def as_sources(answers: DataFrame) -> DataFrame:
+    """Every answer (ord, title, url, content, score) as a source: its address where it has no title, a score of 0 to 100, the first 1,000 characters as reason."""
+    return answers.select("ord", "url", F.coalesce(F.nullif("title", F.lit("")), "url").alias("title"), F.round(F.col("score") * 100).cast("int").alias("relevance_score"), F.substring("content", 1, 1000).alias("reason"))
 
 
 def enabled_sources(rows: DataFrame) -> DataFrame:

@@ -159,3 +159,18 @@ def test_search_answers_without_a_limit(spark):
     rows = spark.createDataFrame([(k, "", f"u{k % 7}", f"u{k % 7}", "c", 0.5) for k in range(30)] + [(90, "t", " ", "x", "c", 0.1)], "ord long, title string, url string, url_key string, content string, score double")
     assert [r.ord for r in admission.searched(rows).orderBy("ord").collect()] == list(range(7)) == [r.ord for r in admission.searched(rows, 20_000).orderBy("ord").collect()]
     assert [r.ord for r in admission.searched(rows, 2).orderBy("ord").collect()] == [0, 1]
+
+
+def test_search_results_of_repeated_addresses(spark, tmp_path):
+    """As many sources as pages, as in the SQL: repeated, blank and missing addresses stay."""
+    import duckdb
+
+    from sievewright.plans import catalogue
+
+    pages = [(1, "https://a/x", "<p>one</p>"), (2, "https://a/x", "<p>two</p>" * 2000), (3, "https://a/x", "<p>one</p>"), (4, " ", "é" * 1001), (5, None, ""), (6, "https://a/y", None), (6, "https://a/y", None)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = [tuple(r) for r in catalogue.queries()["search_results"](spark, str(tmp_path)).select("ord", "url", "title", "relevance_score", "reason").collect()]
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = db.execute(f"SELECT ord, url, title, relevance_score, reason FROM ({catalogue.oracle_sql()['search_results']})").fetchall()
+    assert len(got) == 7 and sorted(got, key=str) == sorted(want, key=str)
