@@ -8,15 +8,25 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: At most so much goes to a Python worker at once: pages are long, and a worker holds a batch several times over (texts, pieces, links).
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1_000, "spark.sql.execution.arrow.maxBytesPerBatch": 1 << 20}
+
 _PACKAGE_PARENT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package where it is not installed."""
+    """Let Python workers import this package where it is not installed, and bound what they hold by rows and bytes of a batch.
+
+    Both bounds stay set, as results are worked out later; smaller plain numbers of the session are kept.
+    """
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
     if _PACKAGE_PARENT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([_PACKAGE_PARENT, *paths])
+    for name, most in BATCH.items():
+        now = spark.conf.get(name).lower().removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
     return spark
 
 

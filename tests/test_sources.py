@@ -196,3 +196,27 @@ def test_pages_as_a_source(spark, tmp_path):
     for r in rows:
         tasks.setdefault(r.host, set()).add(r.task)
     assert len(tasks) == 4 and all(len(t) == 1 for t in tasks.values()) and got.rdd.getNumPartitions() <= 3
+
+
+def test_batches_are_bounded(spark):
+    """Long texts come to Python workers in batches of about a megabyte, short ones by a thousand; smaller settings stay."""
+    import pandas as pd
+
+    from sievewright.session import BATCH, ready
+
+    @F.pandas_udf("int")
+    def together(x: pd.Series) -> pd.Series:
+        return pd.Series([len(x)] * len(x))
+
+    held = {k: spark.conf.get(k) for k in BATCH}
+    try:
+        for k in BATCH:
+            spark.conf.unset(k)
+        ready(spark)
+        most = lambda n, size: spark.range(0, n, 1, 1).select(together(F.repeat(F.lit("x"), F.lit(size) + F.col("id").cast("int") % 2)).alias("n")).agg(F.max("n")).first()[0]
+        assert most(200, 100_000) <= 12 and most(5000, 10) == 1000
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+        assert ready(spark).conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "50"
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
