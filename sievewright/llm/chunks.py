@@ -7,9 +7,11 @@ sees only the distinct pieces of a portion.
 from __future__ import annotations
 
 import os
+import re
 from array import array
 from collections.abc import Callable, Iterator
 from functools import cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,8 @@ _GAP, _SOLID = bytes(_GAP), bytes(_SOLID)
 _WIDE2 = np.array([0xC285, 0xC2A0])
 _WIDE3 = np.array([0xE19A80, *range(0xE28080, 0xE2808B), 0xE280A8, 0xE280A9, 0xE280AF, 0xE2819F, 0xE38080])
 _PORTION = 4 << 20
+#: Pieces encoded side by side as one text, and characters of each of them at most.
+_JOINED, _LONGEST = 100, 1000
 
 
 def _mapped(data: np.ndarray, table: bytes) -> np.ndarray:
@@ -77,6 +81,15 @@ def _whole(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 CUTS = {"glued": _glued, "bare": _bare, "whole": _whole}
 
 
+def _listed(values: pa.BinaryArray) -> list[bytes]:
+    """What ``to_pylist`` gives, without a scalar for each value; none may be null."""
+    if not len(values):
+        return []
+    offsets, raw = np.frombuffer(values.buffers()[1], np.int32, len(values) + 1, 4 * values.offset), values.buffers()[2]
+    raw = raw.to_pybytes() if raw is not None else b""
+    return [raw[i:j] for i, j in pairwise(offsets.tolist())]
+
+
 class Memory:
     """What each piece encodes to. ``encode`` takes a list of distinct pieces and gives their ids as little-endian bytes.
 
@@ -93,12 +106,11 @@ class Memory:
         young, old = self.young, self.old
         found = list(map(young.get, pieces))
         new = []
-        for k, ids in enumerate(found):
-            if ids is None:
-                if (ids := old.get(pieces[k])) is None:
-                    new.append(k)
-                else:
-                    found[k] = young[pieces[k]] = ids
+        for k in [k for k, ids in enumerate(found) if ids is None]:
+            if (ids := old.get(pieces[k])) is None:
+                new.append(k)
+            else:
+                found[k] = young[pieces[k]] = ids
         for s in range(0, len(new), 20_000):
             part = new[s : s + 20_000]
             for k, ids in zip(part, self.encode([pieces[k].decode() for k in part]), strict=True):
@@ -111,7 +123,7 @@ class Memory:
         """(ids of all texts, ends of each text among them) of texts data[offsets[k] : offsets[k + 1]]."""
         data, cut, first = self.cut(data, offsets)
         pieces = pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer(cut.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
-        known = pa.array(self._known(pieces.dictionary.to_pylist()), pa.binary())
+        known = pa.array(self._known(_listed(pieces.dictionary)), pa.binary())
         spread = known.take(pieces.indices)
         ends = np.frombuffer(spread.buffers()[1], np.int32, len(spread) + 1, 4 * spread.offset) if len(spread) else np.zeros(1, np.int32)
         ids = np.frombuffer(spread.buffers()[2] or b"", "<u4")[ends[0] // 4 : ends[-1] // 4] if len(spread) else np.zeros(0, "<u4")
@@ -133,6 +145,81 @@ def text_portions(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nd
         a = b
 
 
+def _token_bytes(tokenizer) -> np.ndarray | None:
+    """Bytes of normalised text that each id stands for; None where the vocabulary doesn't tell."""
+    from tokenizers.models import BPE
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    model, normal = tokenizer.model, tokenizer.normalizer
+    if not isinstance(model, BPE) or model.dropout or model.continuing_subword_prefix:
+        return None
+    known, added, suffix = tokenizer.get_vocab(with_added_tokens=False), tokenizer.get_added_tokens_decoder(), model.end_of_word_suffix or ""
+    letters = set(ByteLevel.alphabet())
+    if any(c not in known or c + suffix not in known for c in letters):
+        return None
+    sizes = np.zeros(max(*known.values(), *added) + 1, np.int64)
+    for token, i in known.items():
+        if i not in added:
+            token = token.removesuffix(suffix)
+            sizes[i] = len(token)
+            if not token or not letters.issuperset(token):
+                return None
+    for i, token in added.items():
+        text = token.content
+        sizes[i] = len(text.encode())
+        if not text or re.search(r"\s", text) or token.lstrip or token.rstrip or token.single_word or token.normalized or (normal and normal.normalize_str(text) != text):
+            return None
+    return sizes
+
+
+def _bare_texts(pieces: list[str], normal) -> tuple:
+    """(pieces that stand side by side, the others, texts of the former, bytes up to the end of each without spaces, once ``normal`` has passed; None where it moves them)."""
+    text = " ".join(pieces)
+    joint, alone = range(len(pieces)), []
+    if text.split(" ") != text.split() or max(map(len, pieces)) > _LONGEST:
+        fit = [len(p) <= _LONGEST and p.split() == [p] for p in pieces]
+        joint, alone = [k for k, f in enumerate(fit) if f], [k for k, f in enumerate(fit) if not f]
+    texts = [" ".join([pieces[k] for k in joint[s : s + _JOINED]]) for s in range(0, len(joint), _JOINED)]
+    raw = " ".join(map(normal.normalize_str, texts) if normal else texts).encode()
+    gaps = np.flatnonzero(np.frombuffer(raw, np.uint8) == 32)
+    return joint, alone, texts, np.append(gaps, len(raw)) - np.arange(len(joint)) if len(gaps) == len(joint) - 1 else None
+
+
+#: What lays pieces side by side, for cuts under which they may.
+_LAID = {"bare": _bare_texts}
+
+
+def library_encoder(tokenizer, cut: str) -> Callable[[list[str]], list[bytes]]:
+    """``encode`` for a :class:`Memory` that cuts as ``cut`` says: the ids that the library gives each piece by itself.
+
+    A call for a piece costs more than its ids. So pieces stand side by side in texts of at most _JOINED pieces, where
+    the cut's law keeps them apart, and the bytes that the ids stand for tell where each piece ends. Pieces that the
+    law does not keep apart have a text of their own, as all have where those ends do not fall between two ids.
+    """
+    sizes, laid, normal = _token_bytes(tokenizer), _LAID.get(cut), tokenizer.normalizer
+
+    def encoded(texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(pieces: list[str]) -> list[bytes]:
+        joint, alone, texts, ends = laid(pieces, normal)
+        if ends is None or not len(joint):
+            return encoded(pieces)
+        ids = b"".join(encoded(texts))
+        reach = np.cumsum(sizes[np.frombuffer(ids, "<u4")])
+        at = np.searchsorted(reach, ends)
+        if at[-1] != len(reach) - 1 or (reach[at] != ends).any():
+            return encoded(pieces)
+        found = [b""] * len(pieces)
+        for k, (i, j) in zip(joint, pairwise([0, *(4 * at + 4).tolist()]), strict=True):
+            found[k] = ids[i:j]
+        for k, own in zip(alone, encoded([pieces[k] for k in alone]), strict=True):
+            found[k] = own
+        return found
+
+    return encoded if sizes is None or laid is None else encode
+
+
 @cache
 def library_memory(path: str, cut: str, limit: int = 800_000) -> Memory:
     """A worker's memory (of ``limit`` pieces, some 200 bytes each) of the tokenizers library's encoder at ``path``. Pieces are cut as asked only where that gives what whole texts give."""
@@ -141,8 +228,8 @@ def library_memory(path: str, cut: str, limit: int = 800_000) -> Memory:
 
     tokenizer = Tokenizer.from_file(path)
     probe = ["Ab cd's  12\n\nxy. z\n", " a\tb \n 'll 7%", "é ñ　 w"]
-    encode = lambda pieces: [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-    memory = Memory(cut, encode, limit)
+    encode = library_encoder(tokenizer, "whole")
+    memory = Memory(cut, library_encoder(tokenizer, cut), limit)
     for text in probe:
         raw = np.frombuffer(text.encode(), np.uint8)
         if memory(raw, np.array([0, len(raw)]))[0].tobytes() != encode([text])[0]:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sievewright.llm import bpe_transducer, curve_packing, exact_dedup, filter_audit, histogram_shards, mil_quality, mjpeg_avi, near_dedup, packing, source_audit, warc, wavelet_shards
+from sievewright.llm import bpe_transducer, chunks, curve_packing, exact_dedup, filter_audit, histogram_shards, mil_quality, mjpeg_avi, near_dedup, packing, source_audit, warc, wavelet_shards
 
 public = pytest.importorskip("public_tokenizers")
 DDL = "doc_id long, text string, lang string, source string, n_chars long, _hash long, cls long, kept string, label string, _len int, whole string, keys string"
@@ -169,3 +169,51 @@ def test_stages_with_clashing_columns(spark, tmp_path):
         got = stage(spark, more, str(tmp_path))
         assert got.columns == more.columns and key(got) == key(stage(spark, bare, str(tmp_path))), name
     assert corpus_pipeline.STAGES[-1][1](spark, more, str(tmp_path)).count() == corpus_pipeline.STAGES[-1][1](spark, bare, str(tmp_path)).count()
+
+
+class Counted:
+    """A tokenizer that counts the texts it is asked for."""
+
+    def __init__(self, inner):
+        self.inner, self.asked = inner, 0
+
+    def __getattr__(self, name):
+        return getattr(self.inner, name)
+
+    def encode_batch_fast(self, texts, **options):
+        self.asked += len(texts)
+        return self.inner.encode_batch_fast(texts, **options)
+
+
+ODD_PIECES = ["a\tb", "\x0b", "x y", "　z", " ", "éé", "́a", "İßΣ", "it's'll", "don't.", "<|endoftext|>", "a<|endoftext|≯", "<|ENDOFTEXT|>", "\x00\x01", "\x1c", "\u0085", "中文", "가", "12.5%", "\U0001f600‍", "q" * 5000]
+
+
+def counted_encoder(monkeypatch, name, cut):
+    """The encoder that workers use for ``cut``, and what counts its texts."""
+    from tokenizers import Tokenizer
+
+    made = []
+
+    class Opened:
+        @staticmethod
+        def from_file(path):
+            made.append(Counted(Tokenizer.from_file(path)))
+            return made[-1]
+
+    plain = Tokenizer.from_file(public.path(name))
+    with monkeypatch.context() as m:
+        m.setattr("tokenizers.Tokenizer", Opened)
+        memory = chunks.library_memory.__wrapped__(public.path(name), cut)
+    assert memory.cut is chunks.CUTS[cut]
+    return memory.encode, made[0], lambda pieces: [np.array(e.ids, "<u4").tobytes() for e in plain.encode_batch(pieces, add_special_tokens=False)]
+
+
+def test_bare_pieces_are_encoded_side_by_side(monkeypatch):
+    encode, seen, alone = counted_encoder(monkeypatch, "word_bpe_49k.json", "bare")
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcdeABC,.'äß7"), rng.integers(1, 12))) for _ in range(4000)]
+    seen.asked = 0
+    assert encode(words) == alone(words)
+    assert seen.asked <= 100
+    for pieces in (ODD_PIECES, [*words[:300], *ODD_PIECES, *words[300:600]], words[:1], ["\t"], ["<|endoftext|>"] * 3):
+        assert encode(pieces) == alone(pieces)
