@@ -185,8 +185,22 @@ def _bare_texts(pieces: list[str], normal) -> tuple:
     return joint, alone, texts, np.append(gaps, len(raw)) - np.arange(len(joint)) if len(gaps) == len(joint) - 1 else None
 
 
+def _glued_texts(pieces: list[str], normal) -> tuple:
+    """The same for pieces with their white space, which need nothing between them; a text ends where :func:`before_spaces` has no cut."""
+    if normal:
+        return range(len(pieces)), [], [], None
+    raw = [p.encode() for p in pieces]
+    ends, data = np.cumsum(list(map(len, raw))), b"".join(raw)
+    safe = np.zeros(len(data) + 1, bool)
+    safe[before_spaces(np.frombuffer(data, np.uint8))] = True
+    inner = ends[:-1]
+    apart = ~safe[inner] | (ends[1:] - inner > _LONGEST) | (np.arange(1, len(pieces)) % _JOINED == 0)
+    texts = [data[i:j].decode() for i, j in pairwise([0, *inner[apart].tolist(), len(data)])]
+    return range(len(pieces)), [], texts, ends
+
+
 #: What lays pieces side by side, for cuts under which they may.
-_LAID = {"bare": _bare_texts}
+_LAID = {"bare": _bare_texts, "glued": _glued_texts}
 
 
 def library_encoder(tokenizer, cut: str) -> Callable[[list[str]], list[bytes]]:

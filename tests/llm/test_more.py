@@ -217,3 +217,15 @@ def test_bare_pieces_are_encoded_side_by_side(monkeypatch):
     assert seen.asked <= 100
     for pieces in (ODD_PIECES, [*words[:300], *ODD_PIECES, *words[300:600]], words[:1], ["\t"], ["<|endoftext|>"] * 3):
         assert encode(pieces) == alone(pieces)
+
+
+def test_glued_pieces_are_encoded_side_by_side(monkeypatch):
+    encode, seen, alone = counted_encoder(monkeypatch, "byte_bpe_50k.json", "glued")
+    rng = np.random.default_rng(4)
+    words = ["".join([rng.choice([" ", "\n", "  ", "\n\t "]), *rng.choice(list("abcdeABC,.'äß7"), rng.integers(1, 12))]) for _ in range(4000)]
+    seen.asked = 0
+    assert encode(words) == alone(words)
+    assert seen.asked <= 100
+    spaced = [" " + p for p in ODD_PIECES]
+    for pieces in (ODD_PIECES, spaced, [*words[:300], *ODD_PIECES, *spaced, *words[300:600]], words[:1], ["  "], [" a", "  ", " b", "c", " d", " e"], ["<|endoftext|>"] * 3):
+        assert encode(pieces) == alone(pieces)
