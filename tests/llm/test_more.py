@@ -229,3 +229,18 @@ def test_glued_pieces_are_encoded_side_by_side(monkeypatch):
     spaced = [" " + p for p in ODD_PIECES]
     for pieces in (ODD_PIECES, spaced, [*words[:300], *ODD_PIECES, *spaced, *words[300:600]], words[:1], ["  "], [" a", "  ", " b", "c", " d", " e"], ["<|endoftext|>"] * 3):
         assert encode(pieces) == alone(pieces)
+
+
+def test_texts_of_shards_are_asked_for_side_by_side(monkeypatch):
+    from tokenizers import Tokenizer
+
+    tokenizer, made = Tokenizer.from_file(public.path("byte_bpe_50k.json")), []
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("abcdefgh,ß"), rng.integers(2, 10))) for _ in range(5000)]
+    texts = [" ".join(rng.choice(words, 300)) for _ in range(100)] + ["", "  ", *ODD_PIECES]
+    monkeypatch.setattr(Tokenizer, "from_file", lambda path: made.append(Counted(tokenizer)) or made[-1])
+    memory = chunks.library_memory.__wrapped__("any", "glued", 1_500_000)
+    made[0].asked, raw = 0, [t.encode() for t in texts]
+    ids, ends = memory(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    assert made[0].asked <= len(texts) + 100
+    assert [ids[i:j].tolist() for i, j in itertools.pairwise([0, *ends.tolist()])] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
