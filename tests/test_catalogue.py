@@ -70,3 +70,9 @@ TEXTS = [(0, "Some prose stands here.\nShort"), (1, ""), (2, None), (3, "\n"), (
 def test_lines_of_an_empty_text(spark, tmp_path):
     found, want = both(spark, odd(tmp_path, "documents", {"doc_id": "int64", "text": "string"}, TEXTS), "clean_lines")
     assert found == want and len(found) == 6
+
+
+def test_documents_without_text_stay(spark, tmp_path):
+    """An empty text is a row of its own, a null one has none."""
+    found, want = both(spark, odd(tmp_path, "documents", {"doc_id": "int64", "text": "string"}, TEXTS), "clean_text")
+    assert found == want and len(found) == 5
