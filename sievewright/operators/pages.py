@@ -87,7 +87,7 @@ def recovery(pages: DataFrame, html: str = "html") -> DataFrame:
     Only pages that show one of the four marks of hidden content go through Python; what the others come to is the same
     for all of them and stays an expression. Null HTML has no marks.
     """
-    some = bound(F.coalesce(html, F.lit("")), lambda h: F.size(recovery_sources(h, strict=False)) > 0)
+    some = F.size(bound(F.coalesce(html, F.lit("")), lambda h: recovery_sources(h, strict=False))) > 0
     none = F.struct(F.lit(False).alias("success"), F.lit(None).cast("string").alias("source"), F.lit("").alias("text"), F.array().cast("array<string>").alias("attempted"), F.array(F.lit("no_deterministic_recovery_source_succeeded")).alias("reasons"))
     return pages.where(some).withColumn("recovered", recovered(html)).unionByName(pages.where(~some).withColumn("recovered", none))
 
